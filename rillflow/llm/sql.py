@@ -2,6 +2,27 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP5 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS k
+  FROM (SELECT rid, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), pairs AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS n_common FROM s a JOIN s b ON a.k = b.k AND a.rid <> b.rid GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * n_common >= 75 * (na.n + nb.n - n_common)
+), reached(rid, other) AS (
+  SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM reached r JOIN links l ON r.other = l.a
+), c AS (
+  SELECT r.rid, min(o.doc_id) AS component_id FROM reached r JOIN d o ON o.rid = r.other GROUP BY r.rid
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id IS NOT DISTINCT FROM d.doc_id AS kept
+FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)
+"""
+
 OP6 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
@@ -68,4 +89,4 @@ WITH rules(rule_host, rule_path, rule_verdict) AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)
 """
 
-ORACLE_SQL = {"op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_url_filters": OP10}
+ORACLE_SQL = {"op5_near_dedup": OP5, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_url_filters": OP10}
