@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dedup, quality_classifier, quality_rules, sharding, token_counts, url_filters
+from . import bpe, decontaminate, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filters
 from .session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.measure_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,5 +64,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality_classifier, op5_near_dedup, op6_decontamination, op8_quality_rules, op9_token_counts, op10_url_filters)
+    f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality_classifier, op4_suffix_dedup, op5_near_dedup, op6_decontamination, op8_quality_rules, op9_token_counts, op10_url_filters)
 }
