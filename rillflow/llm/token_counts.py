@@ -3,10 +3,10 @@
 Documents are taken in blocks of about ``BLOCK_CHARS`` characters. A block keeps each
 document's pre-token frequencies as numbers into the block's own list of distinct
 pre-tokens, packed and compressed, and is written once to the shared folder. The lists
-then meet across blocks: every distinct pre-token of the corpus is encoded once, its
-number of pieces is joined back to the lists by a shuffle on the pre-token, and each
-block sums frequencies times pieces. A frequent pre-token has one row per block, not per
-occurrence; token ids are counted and dropped at once.
+then meet across blocks, shuffled and sorted by pre-token: every distinct pre-token of the
+corpus is encoded once, its number of pieces is joined to its rows as they stream by, and
+each block sums frequencies times pieces. A frequent pre-token has one row per block, not
+per occurrence; token ids are counted and dropped at once.
 
 Null texts count as empty and have no tokens. Repeated rows are counted each on its own,
 ids may be null, and an empty table gives no rows.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -135,11 +136,20 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part], names=["block", "nth", "piece"])
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by pre-token; each distinct one is encoded once and its count joined to its rows."""
         c = codec(tokenizer, pattern)
         special = {s.encode() for s in c.special}
+        before, n = None, 0
         for b in batches:
-            n = [1 if p in special else len(c.piece._encode_single_piece(p)) for p in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["piece", "n"])
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b.column(2))
+            distinct, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            counts = [1 if p in special else len(c.piece._encode_single_piece(p)) for p in distinct[1:]]
+            n = n if distinct[0] == before else 1 if distinct[0] in special else len(c.piece._encode_single_piece(distinct[0]))
+            counts = np.array([n, *counts], np.int32)
+            before, n = distinct[-1], int(counts[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.repeat(counts, np.diff(ends, prepend=0)))], names=["block", "nth", "n"])
 
     def add_up(counted: pa.Table, blocks: pa.Table) -> pa.Table:
         nth, n = (counted[c].to_numpy() for c in ("nth", "n"))
@@ -158,8 +168,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
         number, f"block long, ids array<{id_type}>, n_bytes binary, sizes binary, steps binary, counts binary, lengths binary, pieces binary"
     )
     blocks = settled(rows)
-    listed = blocks.select("block", "lengths", "pieces").mapInArrow(lists, "block long, nth int, piece binary").repartition("piece")
-    counted = listed.select("piece").distinct().mapInArrow(pieces_of, "piece binary, n int")
-    counts = listed.join(counted.hint("shuffle_hash"), "piece").select("block", "nth", "n")
+    listed = blocks.select("block", "lengths", "pieces").mapInArrow(lists, "block long, nth int, piece binary")
+    counts = listed.repartition("piece").sortWithinPartitions("piece").mapInArrow(pieces_of, "block long, nth int, n int")
     kept = blocks.drop("lengths", "pieces")
     return counts.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(add_up, f"{id_col} {id_type}, n_bytes long, n_tokens long")
