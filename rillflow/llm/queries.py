@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filters
+from . import bpe, decontaminate, licenses, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filters
 from .session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"),
+        F.aggregate("notices", F.lit(0).cast("long"), lambda a, x: a + x["differences"]).alias("n_differences"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
 
@@ -64,5 +74,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality_classifier, op4_suffix_dedup, op5_near_dedup, op6_decontamination, op8_quality_rules, op9_token_counts, op10_url_filters)
+    f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality_classifier, op4_suffix_dedup, op5_near_dedup, op6_decontamination, op7_licenses, op8_quality_rules, op9_token_counts, op10_url_filters)
 }
