@@ -177,13 +177,13 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _padded(strings: pa.Array, width: int, backwards: bool = False) -> np.ndarray:
-    """The strings as rows of a matrix, filled up with zeros."""
+    """The strings as rows of a matrix, filled up with zeros; one column at a time, which takes no room beside the matrix."""
     data, at = T.flat(strings)
     size = np.diff(at)
     out = np.zeros((len(size), -(-width // 8) * 8), np.uint8)
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(data)) - at[row]
-    out[row, size[row] - 1 - place if backwards else place] = data
+    for k in range(int(size.max(initial=0))):
+        rows = np.flatnonzero(size > k)
+        out[rows, k] = data[at[rows + 1] - 1 - k if backwards else at[rows] + k]
     return out
 
 
