@@ -41,6 +41,7 @@ LEAD = 40
 PLACES = LENGTH - LEAD + 1
 #: Windows of a long text that are looked at together.
 STEP = (1 << 20) - 256
+_SHUFFLED = "row {}, id {}, text_key long, doc_key long, packed binary"
 
 
 def named_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +122,9 @@ def _leads(n_buckets: int):
             for k in np.flatnonzero(np.diff(cuts)):
                 o = np.sort(order[cuts[k] : cuts[k + 1]])
                 o = o[np.lexsort((entry[o], key[o], ~plain[o]))]
-                rows.append((k, lead[o[plain[o]]].astype("<u8").tobytes(), _planes(key[o]), _planes(entry[o])))
+                # six bytes beside the bucket's range: leads that agree in them by chance only cost a comparison
+                packed = lead[o[plain[o]]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((k, packed.tobytes(), _planes(key[o]), _planes(entry[o])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "leads", "keys", "suffixes"])
 
@@ -133,7 +136,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in groups(batches, 1):
         leads, keys, suffixes = [], [], []
         for packed, k, s in zip(*(group[c].to_pylist() for c in ("leads", "keys", "suffixes")), strict=True):
-            own, k, s = np.frombuffer(packed, "<u8"), _numbers(k), _numbers(s)
+            six = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+            own, k, s = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel(), _numbers(k), _numbers(s)
             yield pa.RecordBatch.from_arrays([pa.array(k[len(own) :]), pa.array(s[len(own) :])], names=["key", "suffix"])
             leads.append(own)
             keys.append(k[: len(own)])
@@ -147,13 +151,33 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[twice]), pa.array(suffix[twice])], names=["key", "suffix"])
 
 
-def _cutter(text_place: int):
+def _packer(n_kept: int):
+    """Compresses each text before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for b in batches:
+            data, at = T.flat(b.column(n_kept))
+            raw = memoryview(data)
+            packed = pa.array([pack(raw[at[i] : at[i + 1]]) for i in range(b.num_rows)], pa.binary())
+            names = [b.schema.field(i).name for i in range(n_kept)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_kept], packed], names=[*names, "packed"])
+
+    return run
+
+
+def _texts(packed: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) for x in packed.to_pylist()], pa.large_binary())
+
+
+def _cutter():
     """One row per suffix: the bytes from it to the end of its last string, and those before it back to the start of its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = T.flat(b.column(0).field(text_place))
-            offsets, packed = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy()
+            data, at = T.flat(_texts(b.column(4)))
+            offsets, packed = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy()
             row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
             packed = packed[offsets[0] : offsets[-1]]
             for lo in range(0, len(packed), 20_000):
@@ -311,20 +335,23 @@ def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text_key, spans): each row of ``docs`` as a struct, with its document's spans, packed as start << 32 | size."""
+    """(row, id, text_key, doc_key, packed, spans): each row of ``docs`` as a struct without its text, the
+    text compressed, and its document's spans, as start << 32 | size."""
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    place = docs.columns.index(text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(id_col, F.xxhash64(text))
     blobs = docs.where(F.octet_length(text_col) >= LENGTH).select(key, text).mapInArrow(_leads(n_buckets), "bucket int, leads binary, keys binary, suffixes binary")
     dealt = blobs.repartition("bucket").sortWithinPartitions("bucket")
     marked = dealt.mapInArrow(_repeated, "key long, suffix long").groupBy("key").agg(F.collect_set("suffix").alias("suffixes"))
     # both joins below take all of these columns, so that Spark shuffles the texts once
-    wide = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), key.alias("doc_key")).repartition("doc_key")
+    others = F.struct(F.col(text_col).isNull().alias("no_text"), *(c for c in docs.columns if c != text_col))
+    wide = docs.select(others.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), key.alias("doc_key"), text.alias("text"))
+    row_type = wide.schema["row"].dataType.simpleString()
+    wide = wide.mapInArrow(_packer(4), _SHUFFLED.format(row_type, id_type)).repartition("doc_key")
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
-    cut = met.select("row", "id", "text_key", "doc_key", "suffixes").mapInArrow(_cutter(place), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
+    cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
     ranged = cut.repartitionByRange(F.substring("suffix", 1, LEAD), "id", "text_key", "place")
     inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
     edges = ranged.mapInArrow(_at_edges, f"id {id_type}, text_key long, start long, end long, string binary")
@@ -336,7 +363,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
     spans = spans.groupBy(F.xxhash64("id", "text_key").alias("key")).agg(F.collect_list(span).alias("spans"))
     joined = wide.join(spans.hint("shuffle_hash"), wide["doc_key"] == spans["key"], "left")
-    return joined.select("row", "id", "text_key", "doc_key", "spans")
+    return joined.select("row", "id", "text_key", "doc_key", "packed", "spans")
 
 
 def _union(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +399,7 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(_cut_rows(b.column(0).field(1), b.column(2).to_numpy(), b.column(4)))
+            rows = list(_cut_rows(_texts(b.column(4)), b.column(2).to_numpy(), b.column(5)))
             size, kept, removed, runs = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -387,9 +414,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fields = [b.column(0).field(i) for i in range(len(docs_names))]
-            kept = [k.decode("utf-8", "ignore") for _, k, _, _ in _cut_rows(fields[place], b.column(2).to_numpy(), b.column(4))]
-            fields[place] = pc.if_else(fields[place].is_valid(), pa.array(kept, pa.string()), pa.scalar(None, pa.string()))
+            no_text, *fields = (b.column(0).field(i) for i in range(len(docs_names)))
+            kept = [k.decode("utf-8", "ignore") for _, k, _, _ in _cut_rows(_texts(b.column(4)), b.column(2).to_numpy(), b.column(5))]
+            fields.insert(place, pc.if_else(no_text, pa.scalar(None, pa.string()), pa.array(kept, pa.string())))
             yield pa.RecordBatch.from_arrays(fields, names=docs_names)
 
     docs_names = docs.columns
