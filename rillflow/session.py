@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,3 +25,18 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(target)
     context._rillflow_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``; one is made only where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder; iterative operators cut their lineage with it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
