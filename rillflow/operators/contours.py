@@ -8,6 +8,7 @@ are told apart first by connected components on the joints, so no task needs a w
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,7 +93,7 @@ def level_lines(segments: DataFrame) -> DataFrame:
     named = segments.join(roots.select("grid_id.grid_id", "grid_id.level", F.col("node").alias("id_a"), F.col("root").alias("line")), ["grid_id", "level", "id_a"])
     grid_type = segments.schema["grid_id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         points = _walk(pdf)
         return pd.DataFrame([{"grid_id": key[0], "level": key[1], "line": key[2], "points": [{"x": x, "y": y} for x, y in points], "closed": points[0] == points[-1]}])
 
@@ -147,7 +148,7 @@ def rings(members: DataFrame, n_cols: int) -> DataFrame:
     named = sides.join(follow, ["grid_id", "site", "side"]).join(roots.select("grid_id.grid_id", "grid_id.site", F.col("node").alias("side"), F.col("root").alias("ring")), ["grid_id", "site", "side"])
     kinds = [members.schema[c].dataType.simpleString() for c in ("grid_id", "site")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         follows = dict(zip(pdf["side"], pdf["follows"], strict=True))
         start = dict(zip(pdf["side"], zip(pdf["c0"], pdf["r0"], strict=True), strict=True))
         side, points = key[2], []

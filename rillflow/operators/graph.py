@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -171,7 +172,7 @@ def flood(cells: DataFrame, epsilon: float, tile: int = 128) -> DataFrame:
     part, place = "grid_id int, row int, col int, z double, new double, changed boolean", ["t_row", "t_col"]
     grid_type = cells.schema["grid_id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         return _relax(pdf, epsilon)
 
     while True:
