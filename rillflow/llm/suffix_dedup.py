@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -277,7 +278,7 @@ class _Range:
         if self.rows is None or not self.rows.num_rows:
             self.rows = None
             return
-        words = _padded(self.rows["suffix"].combine_chunks(), LENGTH)[:, :LEAD].copy().view(">u8")
+        words = _padded(pc.binary_slice(self.rows["suffix"].combine_chunks(), 0, LEAD), LEAD).view(">u8")
         self.at_edge = np.zeros(len(words), bool)
         for pick in (np.min, np.max):
             same = np.arange(len(words))
@@ -285,8 +286,9 @@ class _Range:
                 same = same[words[same, d] == pick(words[same, d])]
             self.at_edge[same] = True
 
-    def part(self, edge: bool) -> pa.Table:
-        rows = self.rows.take(pa.array(np.flatnonzero(self.at_edge == edge)))
+    def part(self, edges_only: bool) -> pa.Table:
+        """Rows in document order: all, or those of the first and last lead."""
+        rows = self.rows.take(pa.array(np.flatnonzero(self.at_edge))) if edges_only else self.rows
         ids = rows["id"].combine_chunks()
         keys = [rows["place"].to_numpy(), rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
         order = np.lexsort(keys)
@@ -300,9 +302,9 @@ def _found(rows: pa.Table) -> np.ndarray:
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated strings whose leads lie wholly in this task's range."""
+    """Spans of strings that repeat one in this task's range."""
     own = _Range(batches)
-    if own.rows is None or own.at_edge.all():
+    if own.rows is None:
         return
     rows = own.part(False)
     row, start, end = _spans(_found(rows), rows["place"].to_numpy())
@@ -312,26 +314,20 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same for the first and last lead; strings first seen here come along, to be compared with other ranges."""
+    """Strings of the first and last lead, each where it is first in this task's range, to be compared with other ranges."""
     own = _Range(batches)
     if own.rows is None:
         return
     rows = own.part(True)
-    found, place = _found(rows), rows["place"].to_numpy()
-    row, start, end = _spans(found, place)
+    place, far = rows["place"].to_numpy(), rows["far"].to_numpy()
     ids, keys = rows["id"].combine_chunks(), rows["text_key"].combine_chunks()
-
-    def out(r: np.ndarray, a: np.ndarray, z: np.ndarray, strings: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(r)), keys.take(pa.array(r)), pa.array(a), pa.array(z), strings], names=["id", "text_key", "start", "end", "string"])
-
-    yield out(row, start, end, pa.nulls(len(row), pa.binary()))
     texts = pc.binary_join_element_wise(rows["before"].combine_chunks().cast(pa.large_binary()), rows["suffix"].combine_chunks().cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
     data, at = T.flat(texts)
-    far = rows["far"].to_numpy()
-    row, back = np.nonzero(found == 1)
+    row, back = np.nonzero(_found(rows) == 1)
     for lo in range(0, len(row), 20_000):
         r, k = row[lo : lo + 20_000], back[lo : lo + 20_000]
-        yield out(r, place[r] - k, place[r] - k + LENGTH, _gather(data, at[r] + far[r] - k, np.full(len(r), LENGTH)))
+        chosen = pa.array(r)
+        yield pa.RecordBatch.from_arrays([ids.take(chosen), keys.take(chosen), pa.array(place[r] - k), _gather(data, at[r] + far[r] - k, np.full(len(r), LENGTH))], names=["id", "text_key", "start", "string"])
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -354,12 +350,10 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
     ranged = cut.repartitionByRange(F.substring("suffix", 1, LEAD), "id", "text_key", "place")
     inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
-    edges = ranged.mapInArrow(_at_edges, f"id {id_type}, text_key long, start long, end long, string binary")
-    firsts = edges.where("string is not null")
-    order = F.struct(F.col("id").isNotNull().alias("has_id"), "id", "text_key", "start")
-    earliest = firsts.groupBy("string").agg(F.min(order).alias("first"))
-    later = firsts.join(earliest, "string").where(~order.eqNullSafe(F.col("first"))).select("id", "text_key", "start", "end")
-    spans = inside.unionByName(edges.where("string is null").select("id", "text_key", "start", "end")).unionByName(later)
+    edges = ranged.mapInArrow(_at_edges, f"id {id_type}, text_key long, start long, string binary")
+    nth = F.row_number().over(W.partitionBy("string").orderBy(F.asc_nulls_first("id"), "text_key", "start"))
+    later = edges.withColumn("nth", nth).where("nth > 1").select("id", "text_key", "start", (F.col("start") + LENGTH).alias("end"))
+    spans = inside.unionByName(later)
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
     spans = spans.groupBy(F.xxhash64("id", "text_key").alias("key")).agg(F.collect_list(span).alias("spans"))
     joined = wide.join(spans.hint("shuffle_hash"), wide["doc_key"] == spans["key"], "left")
