@@ -37,7 +37,7 @@ from . import text as T
 from .near_dedup import groups
 
 LENGTH = 100
-LEAD = 40
+LEAD = 32
 #: Places that a suffix can have in a string that names it.
 PLACES = LENGTH - LEAD + 1
 #: Windows of a long text that are looked at together.
