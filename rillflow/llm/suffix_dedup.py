@@ -7,13 +7,14 @@ corpus. Two steps keep the sort small without losing a single such string:
    ``LEAD`` bytes, the leftmost of equals. That choice depends on the string alone, so
    equal strings name suffixes with equal leading bytes, as far from their start. About one
    suffix in thirty is named. Leading bytes that occur once in the corpus are dropped.
-2. The others are range-partitioned by their leading bytes, with splitters that Spark
-   samples; document order comes second, so a very frequent lead is spread over tasks.
+2. The others are range-partitioned by their bytes, with splitters that Spark samples;
+   the bytes before them, and then document order, spread a very frequent passage over tasks.
    Each task sorts its suffixes by multikey quicksort, eight bytes at a time, and sorts
    the bytes before them likewise. Common prefixes of neighbours in both orders then
    tell which strings are equal, whatever their place around the suffix, and the first
-   in document order stays. Leads at the ends of a task's range may go on in the next
-   range; their strings are compared across boundaries by a shuffle on the string.
+   in document order stays. A string can only go on in another range if its bytes from
+   the suffix on are those of the first or last suffix of its own range; such strings
+   are compared across boundaries by a shuffle on the string.
 
 Texts are shuffled once, by document. Order is by id, null first, then by a hash of the
 text, then by place. Null and empty texts have no bytes. Texts shorter than ``LENGTH``
@@ -40,6 +41,8 @@ LENGTH = 100
 LEAD = 32
 #: Places that a suffix can have in a string that names it.
 PLACES = LENGTH - LEAD + 1
+#: Bytes before a suffix that place it among equal ones.
+NEXT = 16
 #: Windows of a long text that are looked at together.
 STEP = (1 << 20) - 256
 _SHUFFLED = "row {}, id {}, text_key long, doc_key long, packed binary"
@@ -173,7 +176,7 @@ def _texts(packed: pa.Array) -> pa.Array:
 
 
 def _cutter():
-    """One row per suffix: the bytes from it to the end of its last string, and those before it back to the start of its first."""
+    """One row per suffix: the bytes from it to the end of its last string, and backwards those before it to the start of its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,27 +191,27 @@ def _cutter():
                 r, place, near, far = r[fits], place[fits], near[fits], far[fits]
                 here = at[r] + place
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(place), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), _gather(data, here, LENGTH - near), _gather(data, here - far, far)],
+                    [b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(place), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), _gather(data, here, LENGTH - near), _gather(data, here - 1, far, -1)],
                     names=["id", "text_key", "place", "near", "far", "suffix", "before"],
                 )
 
     return run
 
 
-def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1) -> pa.Array:
     at = np.concatenate([[0], np.cumsum(size)])
-    where = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
+    where = step * np.arange(at[-1]) + np.repeat(start - step * at[:-1], size)
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[where])])
 
 
-def _padded(strings: pa.Array, width: int, backwards: bool = False) -> np.ndarray:
+def _padded(strings: pa.Array, width: int) -> np.ndarray:
     """The strings as rows of a matrix, filled up with zeros; one column at a time, which takes no room beside the matrix."""
     data, at = T.flat(strings)
     size = np.diff(at)
     out = np.zeros((len(size), -(-width // 8) * 8), np.uint8)
     for k in range(int(size.max(initial=0))):
         rows = np.flatnonzero(size > k)
-        out[rows, k] = data[at[rows + 1] - 1 - k if backwards else at[rows] + k]
+        out[rows, k] = data[at[rows] + k]
     return out
 
 
@@ -277,28 +280,37 @@ class _Range:
         self.rows = pa.Table.from_batches(held).combine_chunks() if held else None
         if self.rows is None or not self.rows.num_rows:
             self.rows = None
-            return
-        words = _padded(pc.binary_slice(self.rows["suffix"].combine_chunks(), 0, LEAD), LEAD).view(">u8")
-        self.at_edge = np.zeros(len(words), bool)
+
+    def reach(self) -> np.ndarray:
+        """How many leading bytes each suffix has in common with this range's first or last one.
+
+        A suffix of another range has no more in common with it than the nearer of those two.
+        """
+        bytes_ = _padded(self.rows["suffix"].combine_chunks(), LENGTH)
+        words = bytes_.view(">u8")
+        common = np.zeros(len(words), np.int64)
         for pick in (np.min, np.max):
             same = np.arange(len(words))
             for d in range(words.shape[1]):
                 same = same[words[same, d] == pick(words[same, d])]
-            self.at_edge[same] = True
-
-    def part(self, edges_only: bool) -> pa.Table:
-        """Rows in document order: all, or those of the first and last lead."""
-        rows = self.rows.take(pa.array(np.flatnonzero(self.at_edge))) if edges_only else self.rows
+            differ = bytes_[:, :LENGTH] != bytes_[same[0], :LENGTH]
+            common = np.maximum(common, np.where(differ.any(1), differ.argmax(1), LENGTH))
+        return common
+
+    def part(self, chosen: np.ndarray | None = None) -> tuple[pa.Table, np.ndarray]:
+        """Rows in document order, all or the chosen ones, and where they stood."""
+        at = np.arange(self.rows.num_rows) if chosen is None else chosen
+        rows = self.rows if chosen is None else self.rows.take(pa.array(chosen))
         ids = rows["id"].combine_chunks()
         keys = [rows["place"].to_numpy(), rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
         order = np.lexsort(keys)
         new = np.ones(len(order), bool)  # rows equal in id and text bring the same suffixes
         new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-        return rows.take(pa.array(order[new])).combine_chunks()
+        return rows.take(pa.array(order[new])).combine_chunks(), at[order[new]]
 
 
 def _found(rows: pa.Table) -> np.ndarray:
-    return repeats(_padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1, True), rows["near"].to_numpy(), rows["far"].to_numpy())
+    return repeats(_padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1), rows["near"].to_numpy(), rows["far"].to_numpy())
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +318,7 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = _Range(batches)
     if own.rows is None:
         return
-    rows = own.part(False)
+    rows, _ = own.part()
     row, start, end = _spans(_found(rows), rows["place"].to_numpy())
     for lo in range(0, len(row), 100_000):
         r = pa.array(row[lo : lo + 100_000])
@@ -314,20 +326,25 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of the first and last lead, each where it is first in this task's range, to be compared with other ranges."""
+    """Strings that may go on in another range, each where it is first in this task's range.
+
+    Those are strings whose bytes from the suffix on are also in this range's first or last suffix.
+    """
     own = _Range(batches)
     if own.rows is None:
         return
-    rows = own.part(True)
-    place, far = rows["place"].to_numpy(), rows["far"].to_numpy()
+    reach = own.reach()
+    rows, at_row = own.part(np.flatnonzero(reach >= LEAD))
+    reach = reach[at_row]
+    place = rows["place"].to_numpy()
     ids, keys = rows["id"].combine_chunks(), rows["text_key"].combine_chunks()
-    texts = pc.binary_join_element_wise(rows["before"].combine_chunks().cast(pa.large_binary()), rows["suffix"].combine_chunks().cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
-    data, at = T.flat(texts)
-    row, back = np.nonzero(_found(rows) == 1)
+    suffix, before = (_padded(rows[c].combine_chunks(), w) for c, w in (("suffix", LENGTH), ("before", PLACES - 1)))
+    around = np.concatenate([before[:, : PLACES - 1][:, ::-1], suffix[:, :LENGTH]], axis=1)
+    row, back = np.nonzero((_found(rows) == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
     for lo in range(0, len(row), 20_000):
         r, k = row[lo : lo + 20_000], back[lo : lo + 20_000]
         chosen = pa.array(r)
-        yield pa.RecordBatch.from_arrays([ids.take(chosen), keys.take(chosen), pa.array(place[r] - k), _gather(data, at[r] + far[r] - k, np.full(len(r), LENGTH))], names=["id", "text_key", "start", "string"])
+        yield pa.RecordBatch.from_arrays([ids.take(chosen), keys.take(chosen), pa.array(place[r] - k), _gather(around.ravel(), r * around.shape[1] + PLACES - 1 - k, np.full(len(r), LENGTH))], names=["id", "text_key", "start", "string"])
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -348,7 +365,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wide = wide.mapInArrow(_packer(4), _SHUFFLED.format(row_type, id_type)).repartition("doc_key")
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
-    ranged = cut.repartitionByRange(F.substring("suffix", 1, LEAD), "id", "text_key", "place")
+    ranged = cut.repartitionByRange("suffix", F.substring("before", 1, NEXT), "id", "text_key", "place")
     inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
     edges = ranged.mapInArrow(_at_edges, f"id {id_type}, text_key long, start long, string binary")
     nth = F.row_number().over(W.partitionBy("string").orderBy(F.asc_nulls_first("id"), "text_key", "start"))
