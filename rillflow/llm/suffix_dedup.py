@@ -31,7 +31,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -325,26 +324,51 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks().take(r), rows["text_key"].combine_chunks().take(r), pa.array(start[lo : lo + 100_000]), pa.array(end[lo : lo + 100_000])], names=["id", "text_key", "start", "end"])
 
 
-def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings that may go on in another range, each where it is first in this task's range.
+def _at_edges(n_buckets: int):
+    """Strings that may go on in another range, each where it is first in this task's range, packed by bucket of the string.
 
     Those are strings whose bytes from the suffix on are also in this range's first or last suffix.
     """
-    own = _Range(batches)
-    if own.rows is None:
-        return
-    reach = own.reach()
-    rows, at_row = own.part(np.flatnonzero(reach >= LEAD))
-    reach = reach[at_row]
-    place = rows["place"].to_numpy()
-    ids, keys = rows["id"].combine_chunks(), rows["text_key"].combine_chunks()
-    suffix, before = (_padded(rows[c].combine_chunks(), w) for c, w in (("suffix", LENGTH), ("before", PLACES - 1)))
-    around = np.concatenate([before[:, : PLACES - 1][:, ::-1], suffix[:, :LENGTH]], axis=1)
-    row, back = np.nonzero((_found(rows) == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
-    for lo in range(0, len(row), 20_000):
-        r, k = row[lo : lo + 20_000], back[lo : lo + 20_000]
-        chosen = pa.array(r)
-        yield pa.RecordBatch.from_arrays([ids.take(chosen), keys.take(chosen), pa.array(place[r] - k), _gather(around.ravel(), r * around.shape[1] + PLACES - 1 - k, np.full(len(r), LENGTH))], names=["id", "text_key", "start", "string"])
+    spread = np.multiply.accumulate(np.full(-(-LENGTH // 8), T._MUL, np.uint64))
+    shift = np.uint64(32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Range(batches)
+        if own.rows is None:
+            return
+        reach = own.reach()
+        rows, at_row = own.part(np.flatnonzero(reach >= LEAD))
+        reach = reach[at_row]
+        place, keys, ids = rows["place"].to_numpy(), rows["text_key"].to_numpy(), rows["id"].combine_chunks()
+        suffix, before = (_padded(rows[c].combine_chunks(), w) for c, w in (("suffix", LENGTH), ("before", PLACES - 1)))
+        around = np.concatenate([before[:, : PLACES - 1][:, ::-1], suffix[:, :LENGTH]], axis=1)
+        row, back = np.nonzero((_found(rows) == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
+        for lo in range(0, len(row), 100_000):
+            r, k = row[lo : lo + 100_000], back[lo : lo + 100_000]
+            strings = np.zeros((len(r), 8 * len(spread)), np.uint8)
+            strings[:, :LENGTH] = around[r[:, None], (PLACES - 1 - k)[:, None] + np.arange(LENGTH)]
+            bucket = (((T.mix((strings.view("<u8") * spread).sum(1)) >> shift) * np.uint64(n_buckets)) >> shift).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            cuts = pa.array(np.append(first, len(order)).astype(np.int32))
+            r, k = r[order], k[order]
+            lists = (pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pa.array(r)), pa.array(keys[r]), pa.array(place[r] - k)))
+            packed = [zstandard.compress(x.tobytes(), 1) for x in np.split(strings[order], first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), *lists, pa.array(packed, pa.binary())], names=["bucket", "ids", "text_keys", "starts", "strings"])
+
+    return run
+
+
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of strings of one bucket, but for the first of equal ones in document order."""
+    for group in groups(batches, 1):
+        ids, keys, starts = (group[c].combine_chunks().flatten() for c in ("ids", "text_keys", "starts"))
+        strings = np.frombuffer(b"".join(map(zstandard.decompress, group["strings"].to_pylist())), np.uint8).reshape(len(ids), -1)
+        in_order = np.lexsort([starts.to_numpy(), keys.to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)])
+        order = in_order[multikey_order(strings[in_order])]
+        again = pa.array(order[1:][(strings[order[1:]] == strings[order[:-1]]).all(1)])
+        start = starts.take(again)
+        yield pa.RecordBatch.from_arrays([ids.take(again), keys.take(again), start, pc.add(start, LENGTH)], names=["id", "text_key", "start", "end"])
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -367,10 +391,9 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
     ranged = cut.repartitionByRange("suffix", F.substring("before", 1, NEXT), "id", "text_key", "place")
     inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
-    edges = ranged.mapInArrow(_at_edges, f"id {id_type}, text_key long, start long, string binary")
-    nth = F.row_number().over(W.partitionBy("string").orderBy(F.asc_nulls_first("id"), "text_key", "start"))
-    later = edges.withColumn("nth", nth).where("nth > 1").select("id", "text_key", "start", (F.col("start") + LENGTH).alias("end"))
-    spans = inside.unionByName(later)
+    edges = ranged.mapInArrow(_at_edges(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, strings binary")
+    met_again = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, f"id {id_type}, text_key long, start long, end long")
+    spans = inside.unionByName(met_again)
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
     spans = spans.groupBy(F.xxhash64("id", "text_key").alias("key")).agg(F.collect_list(span).alias("spans"))
     joined = wide.join(spans.hint("shuffle_hash"), wide["doc_key"] == spans["key"], "left")
