@@ -175,7 +175,7 @@ def _texts(packed: pa.Array) -> pa.Array:
 
 
 def _cutter():
-    """One row per suffix: the bytes from it to the end of its last string, and backwards those before it to the start of its first."""
+    """One row per suffix: the bytes from it to the end of its last string, and those before it back to the start of its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,27 +190,27 @@ def _cutter():
                 r, place, near, far = r[fits], place[fits], near[fits], far[fits]
                 here = at[r] + place
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(place), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), _gather(data, here, LENGTH - near), _gather(data, here - 1, far, -1)],
+                    [b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(place), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), _gather(data, here, LENGTH - near), _gather(data, here - far, far)],
                     names=["id", "text_key", "place", "near", "far", "suffix", "before"],
                 )
 
     return run
 
 
-def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1) -> pa.Array:
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     at = np.concatenate([[0], np.cumsum(size)])
-    where = step * np.arange(at[-1]) + np.repeat(start - step * at[:-1], size)
+    where = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[where])])
 
 
-def _padded(strings: pa.Array, width: int) -> np.ndarray:
+def _padded(strings: pa.Array, width: int, backwards: bool = False) -> np.ndarray:
     """The strings as rows of a matrix, filled up with zeros; one column at a time, which takes no room beside the matrix."""
     data, at = T.flat(strings)
     size = np.diff(at)
     out = np.zeros((len(size), -(-width // 8) * 8), np.uint8)
     for k in range(int(size.max(initial=0))):
         rows = np.flatnonzero(size > k)
-        out[rows, k] = data[at[rows] + k]
+        out[rows, k] = data[at[rows + 1] - 1 - k if backwards else at[rows] + k]
     return out
 
 
@@ -309,7 +309,7 @@ class _Range:
 
 
 def _found(rows: pa.Table) -> np.ndarray:
-    return repeats(_padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1), rows["near"].to_numpy(), rows["far"].to_numpy())
+    return repeats(_padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1, True), rows["near"].to_numpy(), rows["far"].to_numpy())
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +340,7 @@ def _at_edges(n_buckets: int):
         rows, at_row = own.part(np.flatnonzero(reach >= LEAD))
         reach = reach[at_row]
         place, keys, ids = rows["place"].to_numpy(), rows["text_key"].to_numpy(), rows["id"].combine_chunks()
-        suffix, before = (_padded(rows[c].combine_chunks(), w) for c, w in (("suffix", LENGTH), ("before", PLACES - 1)))
+        suffix, before = _padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1, True)
         around = np.concatenate([before[:, : PLACES - 1][:, ::-1], suffix[:, :LENGTH]], axis=1)
         row, back = np.nonzero((_found(rows) == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
         for lo in range(0, len(row), 100_000):
@@ -389,7 +389,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wide = wide.mapInArrow(_packer(4), _SHUFFLED.format(row_type, id_type)).repartition("doc_key")
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
-    ranged = cut.repartitionByRange("suffix", F.substring("before", 1, NEXT), "id", "text_key", "place")
+    ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place")
     inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
     edges = ranged.mapInArrow(_at_edges(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, strings binary")
     met_again = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, f"id {id_type}, text_key long, start long, end long")
