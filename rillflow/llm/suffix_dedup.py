@@ -190,8 +190,8 @@ def _cutter():
                 r, place, near, far = r[fits], place[fits], near[fits], far[fits]
                 here = at[r] + place
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(place), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32)), _gather(data, here, LENGTH - near), _gather(data, here - far, far)],
-                    names=["id", "text_key", "place", "near", "far", "suffix", "before"],
+                    [b.column(1).take(pa.array(r)), b.column(2).take(pa.array(r)), pa.array(place), _gather(data, here, LENGTH - near), _gather(data, here - far, far)],
+                    names=["id", "text_key", "place", "suffix", "before"],
                 )
 
     return run
@@ -309,7 +309,9 @@ class _Range:
 
 
 def _found(rows: pa.Table) -> np.ndarray:
-    return repeats(_padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1, True), rows["near"].to_numpy(), rows["far"].to_numpy())
+    suffix, before = (rows[c].combine_chunks() for c in ("suffix", "before"))
+    near, far = LENGTH - pc.binary_length(suffix).to_numpy(), pc.binary_length(before).to_numpy()
+    return repeats(_padded(suffix, LENGTH), _padded(before, PLACES - 1, True), near, far)
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +390,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row_type = wide.schema["row"].dataType.simpleString()
     wide = wide.mapInArrow(_packer(4), _SHUFFLED.format(row_type, id_type)).repartition("doc_key")
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
-    cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, near int, far int, suffix binary, before binary")
+    cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, suffix binary, before binary")
     ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place")
     inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
     edges = ranged.mapInArrow(_at_edges(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, strings binary")
