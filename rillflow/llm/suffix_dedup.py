@@ -296,16 +296,14 @@ class _Range:
             common = np.maximum(common, np.where(differ.any(1), differ.argmax(1), LENGTH))
         return common
 
-    def part(self, chosen: np.ndarray | None = None) -> tuple[pa.Table, np.ndarray]:
-        """Rows in document order, all or the chosen ones, and where they stood."""
-        at = np.arange(self.rows.num_rows) if chosen is None else chosen
-        rows = self.rows if chosen is None else self.rows.take(pa.array(chosen))
-        ids = rows["id"].combine_chunks()
-        keys = [rows["place"].to_numpy(), rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
+    def part(self) -> None:
+        """Puts the rows in document order, each once."""
+        ids = self.rows["id"].combine_chunks()
+        keys = [self.rows["place"].to_numpy(), self.rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
         order = np.lexsort(keys)
         new = np.ones(len(order), bool)  # rows equal in id and text bring the same suffixes
         new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-        return rows.take(pa.array(order[new])).combine_chunks(), at[order[new]]
+        self.rows = self.rows.take(pa.array(order[new])).combine_chunks()
 
 
 def _found(rows: pa.Table) -> np.ndarray:
@@ -314,37 +312,36 @@ def _found(rows: pa.Table) -> np.ndarray:
     return repeats(_padded(suffix, LENGTH), _padded(before, PLACES - 1, True), near, far)
 
 
-def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of strings that repeat one in this task's range."""
-    own = _Range(batches)
-    if own.rows is None:
-        return
-    rows, _ = own.part()
-    row, start, end = _spans(_found(rows), rows["place"].to_numpy())
-    for lo in range(0, len(row), 100_000):
-        r = pa.array(row[lo : lo + 100_000])
-        yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks().take(r), rows["text_key"].combine_chunks().take(r), pa.array(start[lo : lo + 100_000]), pa.array(end[lo : lo + 100_000])], names=["id", "text_key", "start", "end"])
+def _within(n_buckets: int):
+    """Of this task's range, in one pass: packed spans of strings that repeat one in it, and packed strings to compare with other ranges.
 
-
-def _at_edges(n_buckets: int):
-    """Strings that may go on in another range, each where it is first in this task's range, packed by bucket of the string.
-
-    Those are strings whose bytes from the suffix on are also in this range's first or last suffix.
+    The latter are strings whose bytes from the suffix on are also in this range's first or
+    last suffix, each where it is first in the range, packed by bucket of the string. Both
+    leave together, as a second reading of the range need not see the same cuts.
     """
     spread = np.multiply.accumulate(np.full(-(-LENGTH // 8), T._MUL, np.uint64))
     shift = np.uint64(32)
+    names = ["bucket", "ids", "text_keys", "starts", "ends", "strings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Range(batches)
         if own.rows is None:
             return
+        own.part()
+        found, place, keys, ids = _found(own.rows), own.rows["place"].to_numpy(), own.rows["text_key"].to_numpy(), own.rows["id"].combine_chunks()
+        row, start, end = _spans(found, place)
+        for lo in range(0, len(row), 5_000):
+            r = row[lo : lo + 5_000]
+            bucket = ((T.mix(keys[r[:1]].view(np.uint64) ^ np.uint64(start[lo])) >> shift) * np.uint64(n_buckets) >> shift).astype(np.int32)
+            cuts = pa.array([0, len(r)], pa.int32())
+            lists = (pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pa.array(r)), pa.array(keys[r]), pa.array(start[lo : lo + 5_000]), pa.array(end[lo : lo + 5_000])))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *lists, pa.nulls(1, pa.binary())], names=names)
         reach = own.reach()
-        rows, at_row = own.part(np.flatnonzero(reach >= LEAD))
-        reach = reach[at_row]
-        place, keys, ids = rows["place"].to_numpy(), rows["text_key"].to_numpy(), rows["id"].combine_chunks()
+        chosen = np.flatnonzero(reach >= LEAD)
+        rows, reach, found, place, keys, ids = own.rows.take(pa.array(chosen)), reach[chosen], found[chosen], place[chosen], keys[chosen], ids.take(pa.array(chosen))
         suffix, before = _padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1, True)
         around = np.concatenate([before[:, : PLACES - 1][:, ::-1], suffix[:, :LENGTH]], axis=1)
-        row, back = np.nonzero((_found(rows) == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
+        row, back = np.nonzero((found == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
         for lo in range(0, len(row), 100_000):
             r, k = row[lo : lo + 100_000], back[lo : lo + 100_000]
             strings = np.zeros((len(r), 8 * len(spread)), np.uint8)
@@ -356,21 +353,28 @@ def _at_edges(n_buckets: int):
             r, k = r[order], k[order]
             lists = (pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pa.array(r)), pa.array(keys[r]), pa.array(place[r] - k)))
             packed = [zstandard.compress(x.tobytes(), 1) for x in np.split(strings[order], first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), *lists, pa.array(packed, pa.binary())], names=["bucket", "ids", "text_keys", "starts", "strings"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), *lists, pa.nulls(len(first), pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=names)
 
     return run
 
 
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of strings of one bucket, but for the first of equal ones in document order."""
+    """Spans of one bucket: those that came as such, and of its strings all but the first of equal ones in document order."""
+    names = ["id", "text_key", "start", "end"]
     for group in groups(batches, 1):
+        done = group.filter(pc.is_null(group["strings"]))
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done[c].combine_chunks().flatten() for c in ("ids", "text_keys", "starts", "ends")], names=names)
+        group = group.filter(pc.is_valid(group["strings"]))
+        if not group.num_rows:
+            continue
         ids, keys, starts = (group[c].combine_chunks().flatten() for c in ("ids", "text_keys", "starts"))
         strings = np.frombuffer(b"".join(map(zstandard.decompress, group["strings"].to_pylist())), np.uint8).reshape(len(ids), -1)
         in_order = np.lexsort([starts.to_numpy(), keys.to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)])
         order = in_order[multikey_order(strings[in_order])]
         again = pa.array(order[1:][(strings[order[1:]] == strings[order[:-1]]).all(1)])
         start = starts.take(again)
-        yield pa.RecordBatch.from_arrays([ids.take(again), keys.take(again), start, pc.add(start, LENGTH)], names=["id", "text_key", "start", "end"])
+        yield pa.RecordBatch.from_arrays([ids.take(again), keys.take(again), start, pc.add(start, LENGTH)], names=names)
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -392,10 +396,8 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, suffix binary, before binary")
     ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place")
-    inside = ranged.mapInArrow(_inside, f"id {id_type}, text_key long, start long, end long")
-    edges = ranged.mapInArrow(_at_edges(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, strings binary")
-    met_again = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, f"id {id_type}, text_key long, start long, end long")
-    spans = inside.unionByName(met_again)
+    found = ranged.mapInArrow(_within(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, ends array<long>, strings binary")
+    spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, f"id {id_type}, text_key long, start long, end long")
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
     spans = spans.groupBy(F.xxhash64("id", "text_key").alias("key")).agg(F.collect_list(span).alias("spans"))
     joined = wide.join(spans.hint("shuffle_hash"), wide["doc_key"] == spans["key"], "left")

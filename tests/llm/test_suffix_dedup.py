@@ -71,6 +71,23 @@ def test_one_passage_over_many_tasks(spark):
     assert got == Counter(plain(rows))
 
 
+def test_ranges_that_are_coalesced(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(220)) for _ in range(40)]
+    rows = [(n, f"{rng.random()} {lines[n % 40][rng.randrange(9):]} {rng.random()} tail") for n in range(1200)]
+    learn_hashes(spark, rows)
+    conf = {"spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = Counter((*r[:4], bytes(r[4])) for r in S.measure_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == Counter(plain(rows))
+
+
 def test_long_texts_are_whole(spark, monkeypatch):
     monkeypatch.setattr(S, "STEP", 700)
     parts = list(S._pieces(S.pa.array(["a" * 500, "b" * 3000, None, "c" * 800])))
