@@ -174,6 +174,21 @@ def _texts(packed: pa.Array) -> pa.Array:
     return pa.array([unpack(x) for x in packed.to_pylist()], pa.large_binary())
 
 
+def _merged(row: np.ndarray, packed: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and suffixes, with those that two parts of a long text name at one place made one, from the nearest to the farthest start.
+
+    The starts whose strings name a suffix are one run, so no string comes in between.
+    """
+    place, near, far = packed >> 16, (packed >> 8) & 0xFF, packed & 0xFF
+    fits = np.flatnonzero((place - far >= 0) & (place - near + LENGTH <= size[row]))
+    order = fits[np.lexsort((place[fits], row[fits]))]
+    row, place, near, far = row[order], place[order], near[order], far[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    return row[first], (place[first] << 16) | (np.minimum.reduceat(near, first) << 8) | np.maximum.reduceat(far, first)
+
+
 def _cutter():
     """One row per suffix: the bytes from it to the end of its last string, and those before it back to the start of its first."""
 
@@ -183,6 +198,8 @@ def _cutter():
             offsets, packed = b.column(5).offsets.to_numpy(), b.column(5).values.to_numpy()
             row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
             packed = packed[offsets[0] : offsets[-1]]
+            if np.diff(at).max(initial=0) >= STEP + LENGTH:
+                row, packed = _merged(row, packed, np.diff(at))
             for lo in range(0, len(packed), 20_000):
                 s, r = packed[lo : lo + 20_000], row[lo : lo + 20_000]
                 place, near, far = s >> 16, (s >> 8) & 0xFF, s & 0xFF

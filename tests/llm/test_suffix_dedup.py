@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from rillflow.llm import suffix_dedup as S
 
@@ -96,6 +97,26 @@ def test_long_texts_are_whole(spark, monkeypatch):
     assert {p for lo, p in starts if lo == 1} == set(range(2901))
 
 
+def test_passages_at_the_parts_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "STEP", 700)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for n in range(60):
+        passage, at = some(rng.randint(100, 167)), 700 * rng.randint(1, 3)
+        at += rng.randint(0, 5) if n % 2 else 99 + rng.randint(0, 5) - len(passage)
+        rows += [(2 * n, some(at) + passage + some(rng.randint(300, 900))), (2 * n + 1, some(rng.randint(0, 2000)) + passage + some(40))]
+    whole = some(799) + rows[0][1][-1]
+    rows += [(200, whole), (200, whole), (None, whole)]
+    learn_hashes(spark, rows)
+    cloudpickle.register_pickle_by_value(S)  # so that the workers see the small STEP
+    try:
+        got = Counter((*r[:4], bytes(r[4])) for r in S.measure_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(S)
+    assert got == Counter(plain(rows))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     rows = rng.integers(0, 2, (300, 24)).astype(np.uint8)
