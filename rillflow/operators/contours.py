@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import settings
+from ..errors import AnalysisError
 from ..functions import geometry
 from ..functions.projection import Grid
 from ..functions.scalars import level_multiples, round_interval
@@ -101,10 +102,19 @@ def level_lines(segments: DataFrame) -> DataFrame:
 
 
 def contours(lattice: DataFrame, grid: Grid, interval_m: float | None = None, value: str = "z", max_levels: int = 400) -> DataFrame:
-    """Level lines at multiples of an interval, of a round one if none is given."""
+    """Level lines at multiples of an interval, of a round one if none is given; more than ``max_levels`` in a grid are refused."""
     span = lattice.groupBy("grid_id").agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    step = F.lit(float(interval_m)) if interval_m else round_interval(F.col("high") - F.col("low"))
-    levels = span.select("grid_id", F.slice(level_multiples(F.col("low"), F.col("high"), step), 1, max_levels).alias("levels"))
+    relief = F.col("high") - F.col("low")
+    step = F.lit(float(interval_m)) if interval_m else round_interval(relief)
+    n_levels = F.ceil(F.col("high") / step) - 1 - F.floor(F.col("low") / step)
+    over = span.select(n_levels.alias("n"), relief.alias("relief"), step.alias("step"), round_interval(relief, max_levels // 2).alias("round")).where(F.col("n") > max_levels).orderBy(F.desc("n")).first()
+    if over:
+        raise AnalysisError(
+            "invalid_interval",
+            f"A {over.step:g} m interval over {over.relief:.0f} m of relief is {over.n} lines; the limit is {max_levels}.",
+            f"Ask for {over.round:g} m or more, or omit it.",
+        )
+    levels = span.select("grid_id", level_multiples(F.col("low"), F.col("high"), step).alias("levels"))
     return level_lines(crossings(lattice, levels, grid.n_cols, value))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillflow.errors import AnalysisError
 from rillflow.functions.projection import Grid, LocalFrame
 from rillflow.operators import contours, focal, graph, hydrology, siting
 
@@ -219,3 +220,12 @@ def test_mask_outline_keeps_area_and_winding(spark):
     made = json.loads(shape)
     assert made["type"] == "MultiPolygon" and [len(p) for p in made["coordinates"]] == [2, 1]
     assert all(ring[0] == ring[-1] for polygon in made["coordinates"] for ring in polygon)
+
+
+def test_more_levels_than_the_limit_are_refused(spark):
+    z = np.array([[0.0, 401.5], [0.0, 401.5]])
+    with pytest.raises(AnalysisError) as refused:
+        contours.contours(lattice(spark, z), grid(2), 1.0)
+    assert refused.value.code == "invalid_interval" and "401 lines" in refused.value.detail and refused.value.hint.startswith("Ask for 2.5 m")
+    kept = contours.contours(lattice(spark, z - 1.0), grid(2), 1.0, max_levels=401)
+    assert kept.select("level").distinct().count() == 401
