@@ -30,6 +30,12 @@ def along_col(grid: str = "grid_id"):
     return W.partitionBy(grid, "col").orderBy("row")
 
 
+def with_extremes(lattice: DataFrame, **extremes: Column) -> DataFrame:
+    """Adds aggregates of each grid to its cells; they are combined before they are shuffled, so no task needs a whole grid."""
+    per_grid = lattice.groupBy(F.col("grid_id").alias("_grid")).agg(*(c.alias(n) for n, c in extremes.items()))
+    return lattice.join(F.broadcast(per_grid), F.col("grid_id").eqNullSafe(F.col("_grid"))).drop("_grid")
+
+
 def with_neighbours(lattice: DataFrame, value: str, name: str = "near") -> DataFrame:
     """Adds the 3 x 3 values around each cell as an array, row by row from the south-west; null where there are none."""
     triple = F.array(F.lag(value).over(along_row()), F.col(value), F.lead(value).over(along_row()))
@@ -70,8 +76,8 @@ def horn_slope(lattice: DataFrame, resolution_m: float, value: str = "z", name:
 
 def hillshade(lattice: DataFrame, resolution_m: float, value: str = "z", azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """Adds ``shade`` between 0 and 1; gradients are central differences, one-sided at the edge of the lattice."""
-    lowest = F.min(value).over(W.partitionBy("grid_id"))
-    wide = with_neighbours(lattice.withColumn("_v", F.coalesce(F.col(value), lowest)), "_v")
+    lowest = with_extremes(lattice, _lowest=F.min(value))
+    wide = with_neighbours(lowest.withColumn("_v", F.coalesce(F.col(value), F.col("_lowest"))).drop("_lowest"), "_v")
 
     def slope(before: Column, after: Column) -> Column:
         here = F.col("_v")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow.errors import AnalysisError
 from rillflow.functions.projection import Grid, LocalFrame
-from rillflow.operators import contours, focal, graph, hydrology, siting
+from rillflow.operators import contours, focal, graph, hydrology, imagery, siting
 
 FRAME = LocalFrame(81.3, 21.25)
 EPS = 1e-4
@@ -229,3 +229,17 @@ def test_more_levels_than_the_limit_are_refused(spark):
     assert refused.value.code == "invalid_interval" and "401 lines" in refused.value.detail and refused.value.hint.startswith("Ask for 2.5 m")
     kept = contours.contours(lattice(spark, z - 1.0), grid(2), 1.0, max_levels=401)
     assert kept.select("level").distinct().count() == 401
+
+
+def test_extremes_of_a_grid_need_no_single_task(spark):
+    z = np.array([[2.0, np.nan, 5.0], [4.0, 1.0, 3.0], [6.0, 7.0, 8.0]])
+    both = lattice(spark, z).union(lattice(spark, z + 10).withColumn("grid_id", F.lit(None).cast("int")))
+    made = focal.hillshade(both, 10.0)
+    windows = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
+    assert windows and not any("min(" in x for x in windows)
+    got = {(r.grid_id, r.row, r.col): r.shade for r in made.collect()}
+    filled = {(r.row, r.col): r.shade for r in focal.hillshade(lattice(spark, np.where(np.isnan(z), 1.0, z)), 10.0).collect()}
+    assert len(got) == 18 and all(got[g, *k] == pytest.approx(v) for k, v in filled.items() for g in (0, None))
+    ring = lattice(spark, z).withColumn("m", (F.col("row") != 1) | (F.col("col") != 1))
+    closed = imagery.fill_holes(ring, 3, "m")
+    assert "Window" not in closed._jdf.queryExecution().optimizedPlan().toString() and closed.where("m").count() == 9
