@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import settings
-from ..session import settled
+from ..session import discard, settled
 
 KEY = ["grid_id", "cell"]
 
@@ -30,11 +30,12 @@ def accumulate(flow: DataFrame, weight: str | None = None) -> DataFrame:
     while state.where("jump is not null").limit(1).count():
         added = state.where("jump is not null").groupBy("grid_id", F.col("jump").alias("cell")).agg(F.sum("total").alias("added"))
         further = state.select("grid_id", F.col("cell").alias("jump"), F.col("jump").alias("further"))
-        state = settled(
+        before, state = state, settled(
             state.join(added, KEY, "left")
             .join(further, ["grid_id", "jump"], "left")
             .select(*KEY, F.col("further").alias("jump"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
         )
+        discard(before)
     return state.select(*KEY, F.col("total").alias("accumulation"))
 
 
@@ -53,7 +54,7 @@ def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | None =
         straight, diagonal = F.when(moved & ~across, 1).otherwise(0), F.when(moved & across, 1).otherwise(0)
     else:
         straight = diagonal = F.lit(0)
-    state = settled(ends.select(*KEY, F.coalesce("receiver", "cell").alias("root"), straight.cast("long").alias("straight"), diagonal.cast("long").alias("diagonal")))
+    state = last = settled(ends.select(*KEY, F.coalesce("receiver", "cell").alias("root"), straight.cast("long").alias("straight"), diagonal.cast("long").alias("diagonal")))
     while True:
         after = state.select("grid_id", F.col("cell").alias("root"), F.col("root").alias("_root"), F.col("straight").alias("_s"), F.col("diagonal").alias("_d"))
         new = settled(
@@ -61,7 +62,8 @@ def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | None =
                 *KEY, F.col("_root").alias("root"), (F.col("straight") + F.col("_s")).alias("straight"), (F.col("diagonal") + F.col("_d")).alias("diagonal"), (F.col("root") != F.col("_root")).alias("moved")
             )
         )
-        state = new.drop("moved")
+        discard(last)
+        last, state = new, new.drop("moved")
         if not new.where("moved").limit(1).count():
             return state
 
@@ -89,7 +91,7 @@ def height_above(flow: DataFrame, trunk: DataFrame, value: str = "z") -> DataFra
     marks = trunk.select("grid_id", F.col("cell").alias("root"), F.lit(True).alias("is_trunk")).distinct()
     beds = flow.select("grid_id", F.col("cell").alias("root"), F.col(value).alias("bed"))
     mapped = trunk.select("grid_id", F.lit(True).alias("has_trunk")).distinct()
-    joined = reached.join(marks, ["grid_id", "root"], "left").join(beds, ["grid_id", "root"]).join(flow.select(*KEY, value), KEY).join(F.broadcast(mapped), "grid_id", "left")
+    joined = reached.join(marks, ["grid_id", "root"], "left").join(beds, ["grid_id", "root"]).join(flow.select(*KEY, value), KEY).join(mapped, "grid_id", "left")
     above = F.when(F.col("has_trunk").isNull(), F.lit(float("inf"))).when(F.col("is_trunk"), F.col(value) - F.col("bed")).otherwise(F.lit(float("-inf")))
     return joined.select(*KEY, above.alias("above"))
 
@@ -108,7 +110,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, ["grid_id", "a"]).where("b > a").select("grid_id", F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("grid_id", "a").agg(F.min("b").alias("low"))
         small = large.join(low, ["grid_id", "a"]).where("b <> low").select("grid_id", F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = settled(small.unionByName(low.withColumnRenamed("low", "b")).distinct())
+        last, edges = edges, settled(small.unionByName(low.withColumnRenamed("low", "b")).distinct())
+        discard(last)
         now = state(edges)
         if now == before:
             break
@@ -168,7 +171,7 @@ def flood(cells: DataFrame, epsilon: float, tile: int = 128) -> DataFrame:
     tile changes. Rounds grow with the number of tiles that a flood path crosses.
     """
     start = F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")))
-    state = settled(cells.select("grid_id", "row", "col", F.col("z").cast("double").alias("z"), start.alias("level")))
+    state = last = settled(cells.select("grid_id", "row", "col", F.col("z").cast("double").alias("z"), start.alias("level")))
     part, place = "grid_id int, row int, col int, z double, new double, changed boolean", ["t_row", "t_col"]
     grid_type = cells.schema["grid_id"].dataType.simpleString()
 
@@ -182,7 +185,8 @@ def flood(cells: DataFrame, epsilon: float, tile: int = 128) -> DataFrame:
         )
         dealt = state.withColumn("t", F.explode(tiles)).select("grid_id", "row", "col", "z", "level", F.col("t.t_row").alias("t_row"), F.col("t.t_col").alias("t_col"), ((F.col("t.t_row") != t_row) | (F.col("t.t_col") != t_col)).alias("rim"))
         made = settled(dealt.groupBy("grid_id", *place).applyInPandas(run, part.replace("grid_id int", f"grid_id {grid_type}")))
-        state = made.select("grid_id", "row", "col", "z", F.col("new").alias("level"))
+        discard(last)
+        last, state = made, made.select("grid_id", "row", "col", "z", F.col("new").alias("level"))
         if not made.where("changed").limit(1).count():
             return state
 

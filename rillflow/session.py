@@ -1,9 +1,10 @@
-"""Getting the package's own code to the executors."""
+"""Getting the package's own code to the executors, and tables between the steps of iterative operators."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +29,38 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``; one is made only where none is named."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    One is made only where none is named and all of Spark runs in this process; elsewhere
+    a folder of one machine would be lost to the others, so that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder; iterative operators cut their lineage with it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, written once to the shared folder as a table and read from there.
+
+    What follows survives lost executors, and Spark plans it by the size of the files: a
+    checkpoint would carry on the estimates of the plan that made it, which self-joins
+    multiply from round to round.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._settled_in = folder
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes the files of a settled table that nothing will read any more."""
+    folder = getattr(df, "_settled_in", None)
+    if folder is not None:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
