@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import settled
+from .session import discard, settled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = settled(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        last, edges = edges, settled(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        discard(last)
         now = _state(edges)
         if now == before:
             break

@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import discard, settled, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the session names none, as in tests in local mode, one is made here.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder; what follows survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["batch", "discard", "settled", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
