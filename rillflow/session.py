@@ -10,9 +10,15 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch of rows that goes to a Python worker; one longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds this package to what Python workers can import, once per application."""
+    """Adds this package to what Python workers can import, once per application, and bounds what they get at once."""
     context = spark.sparkContext
+    if not context.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(context, "_rillflow_shipped", False):
         return spark
     here = os.path.dirname(os.path.abspath(__file__))
