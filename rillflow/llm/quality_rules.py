@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule turns measures of a text into a verdict. On a small sample the cascade
-measures what each rule costs and how many texts it rejects, and orders the rules by
-rejections per cost; each following rule then looks only at texts that all rules before
+measures what each rule costs, beyond measures that are made anyway, and how many texts
+it rejects, and orders the rules by rejections per cost; each following rule then looks only at texts that all rules before
 it let pass. The order changes the time, never the verdict, since a text is kept only
-if no rule rejects it. Every text is read whole.
+if no rule rejects it. Every text is read whole. Lines and windows of words that hash
+alike are compared byte by byte before they count as equal.
 
 Null texts count as empty. An empty text has no words. Repeated rows are judged each on
 its own; an empty table gives no rows.
@@ -13,6 +14,7 @@ its own; an empty table gives no rows.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .session import batch
+from .session import batch, quoted
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
+_SPACE_BYTES = bytes(np.flatnonzero(~T.SPACES).tolist())
 _IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
 _IS_UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
 _IS_LETTER = _IS_UPPER | ((np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A))
@@ -53,6 +56,9 @@ class Texts:
         out._made = {k: v[rows] for k, v in self._made.items() if k[0] != "_"}
         return out
 
+    def raw(self, row: int) -> bytes:
+        return self.data[self.at[row] : self.at[row + 1]].tobytes()
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return sums[self.at[1:]] - sums[self.at[:-1]]
@@ -78,9 +84,11 @@ def _dup_lines(x: Texts) -> np.ndarray:
     words = np.concatenate([[0], np.cumsum(T.SPACES[x.data])])
     full = words[ends] > words[starts]
     starts, ends, text = starts[full], ends[full], text[full]
-    key = T.mix(T.word_hashes(x.data, starts, ends) + text.astype(np.uint64))
-    _, first = np.unique(key, return_index=True)
-    return np.bincount(text, minlength=x.n) - np.bincount(text[first], minlength=x.n)
+    one, two = _twins(T.mix(T.word_hashes(x.data, starts, ends) + text.astype(np.uint64)))
+    if not _equal(x, starts, ends, text, one, two):
+        lines = [[part for part in x.raw(i).split(b"\n") if part.translate(None, _SPACE_BYTES)] for i in range(x.n)]
+        return np.array([len(own) - len(set(own)) for own in lines], np.int64)
+    return np.bincount(text[two], minlength=x.n)
 
 
 def _repeat_words(x: Texts, width: int = 5) -> np.ndarray:
@@ -89,21 +97,41 @@ def _repeat_words(x: Texts, width: int = 5) -> np.ndarray:
     if n < width:
         return np.zeros(x.n, np.int64)
     text = np.repeat(np.arange(x.n), np.diff(first))
-    inside = text[: n - width + 1] == text[width - 1 :]
+    inside = np.flatnonzero(text[: n - width + 1] == text[width - 1 :])
     key = T.run_hashes(T.word_hashes(x.data, starts, ends), width)[inside]
-    key = T.mix(key + text[: n - width + 1][inside].astype(np.uint64))
-    order = np.argsort(key)
-    same = key[order[1:]] == key[order[:-1]]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    one, two = (inside[k] for k in _twins(T.mix(key + text[inside].astype(np.uint64))))
+    if not all(_equal(x, starts, ends, text, one + j, two + j) for j in range(width)):
+        return np.array([_plain_repeats(x.raw(i), width) for i in range(x.n)], np.int64)
     cover = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(inside)[twice]
+    at = np.union1d(one, two)
     cover[at] += 1
     np.subtract.at(cover, at + width, 1)
     covered = np.cumsum(cover[:n]) > 0
     return np.bincount(text[covered], minlength=x.n)
 
 
+def _twins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal keys, each but the first of its kind beside the one before it."""
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    return order[same], order[same + 1]
+
+
+def _equal(x: Texts, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether the parts at ``one`` are those at ``two``, in the same texts, as their hashes say."""
+    size = ends - starts
+    if (size[one] != size[two]).any() or (text[one] != text[two]).any():
+        return False
+    return bool(T.same_bytes(x.data, starts[one], starts[two], size[one]).all())
+
+
+def _plain_repeats(raw: bytes, width: int) -> int:
+    words = raw.split()  # on bytes, at just the six bytes that part words
+    windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+    times = Counter(windows)
+    return len({p for i, w in enumerate(windows) if times[w] > 1 for p in range(i, i + width)})
+
+
 MEASURES: dict[str, Callable[[Texts], np.ndarray]] = {
     "_words": _words,
     "n_words": lambda x: np.diff(x["_words"][2]),
@@ -152,24 +180,45 @@ def passes(x: Texts, rules: Sequence[Rule]) -> np.ndarray:
     return alive
 
 
-def ranked(sample: pa.Array, rules: Sequence[Rule]) -> list[Rule]:
-    """The rules by rejections per second on the sample, the best first."""
-    worth = []
-    for rule in rules:
-        began, out, n = time.perf_counter(), 0, 0
-        for _, _, data, at in T.blocks(sample):
+def trial(texts: pa.Array, rules: Sequence[Rule], made: Sequence[str] = ()) -> list[tuple[float, int, int]]:
+    """(seconds, rejected texts, texts) of each rule, each on its own, without the time of the measures that are ``made`` before."""
+    out = [(0.0, 0, 0)] * len(rules)
+    for _, _, data, at in T.blocks(texts):
+        for k, rule in enumerate(rules):
             x = Texts(data, at)
-            out += int(rule.rejects(x).sum())
-            n += x.n
-        worth.append(((out + 0.5) / (n + 1) / max(time.perf_counter() - began, 1e-6), rule))
-    return [rule for _, rule in sorted(worth, key=lambda p: -p[0])]
+            for name in made:
+                x[name]
+            began = time.perf_counter()
+            rejected = int(rule.rejects(x).sum())
+            out[k] = (out[k][0] + time.perf_counter() - began, out[k][1] + rejected, out[k][2] + x.n)
+    return out
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = 256) -> list[Rule]:
-    """Orders the rules by what they did on at most ``sample_rows`` rows; only the speed depends on them."""
-    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.sample(0.01, seed=5).limit(sample_rows).collect() or texts.limit(sample_rows).collect()
-    return ranked(pa.array([r.text for r in rows], pa.string()), rules)
+def ranked(rules: Sequence[Rule], trials: Sequence[tuple[float, int, int]]) -> list[Rule]:
+    """The rules by rejections per second, the best first."""
+    worth = [(rejected + 0.5) / (n + 1) / max(seconds, 1e-6) for seconds, rejected, n in trials]
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth[k])]
+
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", made: Sequence[str] = (), sample_rows: int = 256) -> list[Rule]:
+    """Orders the rules by what they did on about ``sample_rows`` rows; only the speed depends on them.
+
+    The rules are tried where the rows are; only each rule's figures come to the driver.
+    """
+    rules, names = tuple(rules), tuple(made)
+    texts = docs.select(F.col(quoted(text_col)).alias("text")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seconds, rejected, n = zip(*trial(b.column(0), rules, names), strict=True)
+            yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "seconds": seconds, "rejected": rejected, "n": n})
+
+    for rows in (texts.sample(0.01, seed=5), texts):
+        tried = rows.limit(sample_rows).mapInArrow(run, "rule long, seconds double, rejected long, n long")
+        found = {r.rule: (r.seconds, r.rejected, r.n) for r in tried.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "n"))).collect()}
+        if found:
+            return ranked(rules, [found[k] for k in range(len(rules))])
+    return list(rules)
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, text_col: str = "text") -> DataFrame:
@@ -189,7 +238,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES,
 def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: Sequence[Rule] = BASE_RULES, more: Sequence[Rule] = MORE_RULES) -> DataFrame:
     """The measures of every text, whether a base rule rejects it, and whether no rule does."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    cascade = order_rules(docs, more, text_col)
+    cascade = order_rules(docs, more, text_col, ["_words", *names])
     base = tuple(base)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -208,6 +257,6 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kept[left[passes(x.only(left), cascade)]] = True
                 yield batch(schema, b.column(0).slice(lo, hi - lo), *measures, failed, kept)
 
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"{id_col} {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(
+        run, f"{quoted(id_col)} {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
     )

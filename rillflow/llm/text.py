@@ -13,11 +13,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
+_SEED = 0x2545F4914F6CDD1D
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 #: Words end at space and at 0x09 to 0x0D.
 SPACES = np.ones(256, bool)
@@ -91,7 +96,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial hash, and the factors that shift a difference of two of them to its place."""
+    """Prefix sums of a polynomial hash, and the factors that shift a difference of two of them to its place.
+
+    Some strings are known to collide under it, so it serves only where equal hashes are compared in full afterwards.
+    """
     up, down = _powers(max(12, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
@@ -99,9 +107,44 @@ def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    sums, down = rolling(data)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word's bytes: eight at a time are mixed in, words of over ``LONG`` bytes are hashed one by one."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_MUL) + np.uint64(_SEED))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    rows = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        rows = rows[size[rows] > k]
+        if not len(rows):
+            break
+        out[rows] = mix(out[rows] ^ (eight[starts[rows] + k] & _FIRST_BYTES[np.minimum(size[rows] - k, 8)]))
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[far] = np.array([xxhash.xxh3_64_intdigest(raw[a:z], seed=_SEED) for a, z in zip(starts[far].tolist(), ends[far].tolist(), strict=True)], np.uint64)
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each of ``starts`` are those from each of ``others``."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    step = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    wrong = data[np.repeat(starts, size) + step] != data[np.repeat(others, size) + step]
+    return np.diff(np.concatenate([[0], np.cumsum(wrong)])[at]) == 0
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's words with one space between them, and len + 1 offsets into that."""
+    size = ends - starts + 1
+    last = first[1:][np.diff(first) > 0] - 1
+    size[last] -= 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    where = np.repeat(starts - at[:-1], size) + np.arange(at[-1])
+    out = np.append(data, np.uint8(0x20))[where]
+    between = np.ones(len(size), bool)
+    between[last] = False
+    out[at[1:][between] - 1] = 0x20
+    return out, at[first]
 
 
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
