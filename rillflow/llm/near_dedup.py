@@ -1,28 +1,33 @@
 """Near-duplicate detection on bottom-k sketches.
 
 One hash function gives each five-word shingle a number; a document's sketch is the
-``SKETCH`` smallest numbers of its set. Documents with equal sets form one class. Inverted
-lists of the retained values bring classes together, the sketch of the union of two
-classes estimates their similarity and drops what lies far below the threshold, and
-exact Jaccard similarities on full sets confirm every link.
+``SKETCH`` smallest numbers of its set. Documents with the same words in the same order
+form one class. Inverted lists of the retained values bring classes together, the sketch
+of the union of two classes estimates their similarity and drops what lies far below the
+threshold, and exact Jaccard similarities on full sets confirm every link.
 
 No list is cut short and no pair of a large list is written out:
 
 * A retained value that only one class holds leads nowhere. The others of a class are put
   in order of rarity; as two linked classes share at least ``_least_shared()`` retained
   values, the first few of each class, up to a prefix, are enough to meet.
-* Values of at most ``COLD`` classes give all their pairs. More frequent values, in order
-  of hash, at most ``HOT_SLOTS`` of a class, give lists that are dealt out in pairs of
-  blocks of ``BLOCK`` classes. Inside a pair of blocks, sketches are compared by matrix
-  products and only a spanning forest of what is similar leaves the task.
+* Values of at most ``COLD`` classes give all their pairs. The lists of more frequent
+  values are dealt out in pairs of blocks of ``BLOCK`` classes. Inside a pair of blocks,
+  sketches are compared by matrix products and only a spanning forest of what is similar
+  leaves the task.
+* The first ``EARLY`` frequent values of each class are looked up first, as they bring
+  most copies together. Of all frequent values, those lists follow that still can join
+  something: not lists whose classes are all in one candidate component by then, nor lists
+  whose classes all have one and the same frequent value just before, whose list holds
+  them all.
 * Connected candidates are then compared in full, again in blocks and by matrix products
-  of membership, and again only spanning forests leave a task.
+  of membership, and again only spanning forests leave a task. Each link of such a forest
+  is held against the words of its two texts before it counts.
 
 Prefix and estimate allow five standard deviations of a sketch, so a pair at the very
 threshold is missed with a chance of about one in a million; sets of up to three quarters of
-``SKETCH`` shingles are found without any such chance. Sets are compared by their
-shingles' 64-bit hashes. A cluster of n different near copies costs n * n / BLOCK set
-comparisons, spread over tasks.
+``SKETCH`` shingles are found without any such chance. A cluster of n different near
+copies costs n * n / BLOCK set comparisons, spread over tasks.
 
 Null and empty texts, and those without words, have an empty set and link with nothing. A
 null id counts as a document but is never a component's id, unless all ids of the
@@ -32,25 +37,29 @@ no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as T
 from .components import connected
-from .session import batch, settled
+from .session import batch, discard, quoted, settled
 
 WIDTH = 5
 #: A link needs LEAST / 100 as Jaccard similarity.
 LEAST = 75
 SKETCH = 64
 COLD = 16
-HOT_SLOTS = 13
-BLOCK = 512
+EARLY = 6
+#: Classes, and values of their sets, in a block.
+BLOCK, BLOCK_VALUES = 512, 1 << 19
 #: Up to so many ids of classes to compare are broadcast to the second scan; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 
@@ -75,34 +84,42 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> list[n
     return out
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that depend on the set alone."""
-    a = T.mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    b = T.mix(s * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def _digests(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of each text's lower-cased words, as two numbers."""
+    data = T.LOWER[data]
+    words, cuts = T.joined_words(data, *T.spans(data, at, T.SPACES))
+    raw = memoryview(words)
+    made = b"".join(hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    return np.frombuffer(made, "<i8").reshape(-1, 2)
+
+
+def _wide(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(quoted(text_col))
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, n, d1, d2, sketch): size, digest and smallest values of each document's set."""
+    """(id, text_key, n, d1, d2, sketch): size of each document's set, digest of its words, smallest values of the set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             schema = pa.schema([("id", b.schema.field(0).type), ("text_key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
             for lo, hi, data, at in T.blocks(b.column(2)):
-                sets = shingle_sets(data, at)
-                digests = [_digest(s) for s in sets]
+                sets, digests = shingle_sets(data, at), _digests(data, at)
                 kept = [s[:SKETCH].astype(np.int64) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
-                yield batch(schema, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), [len(s) for s in sets], [d for d, _ in digests], [d for _, d in digests], lists)
+                yield batch(schema, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), [len(s) for s in sets], digests[:, 0], digests[:, 1], lists)
 
-    wide = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
-    return wide.mapInArrow(run, f"id {id_type}, text_key long, n long, d1 long, d2 long, sketch array<long>")
+    return _wide(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, text_key long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _slots(classes: DataFrame) -> DataFrame:
-    """(value, node, n, hot): the lists in which each class is looked for."""
+    """(value, node, n, hot, nth, before): the lists in which each class is looked for.
+
+    Of a class's frequent values, ``nth`` counts from 0 and ``before`` is the one before.
+    """
     values = classes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     held = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
     shared = values.join(held.hint("shuffle_hash"), "value")
@@ -113,8 +130,18 @@ def _slots(classes: DataFrame) -> DataFrame:
     # what no other class holds comes first in order of rarity and uses up the prefix
     room = F.greatest(F.lit(0), prefix - (F.col("k") - F.size("v"))).cast("int")
     cold = F.size(F.filter("v", lambda x: ~x["hot"]))
-    chosen = per_class.select("node", "n", F.explode(F.slice("v", F.lit(1), F.least(room, cold + HOT_SLOTS))).alias("x"))
-    return chosen.select("x.value", "node", "n", "x.hot")
+    chosen = per_class.select("node", "n", cold.alias("cold"), "v", F.posexplode(F.slice("v", F.lit(1), room)).alias("i", "x"))
+    before = F.when(F.col("i") > F.col("cold"), F.get("v", F.col("i") - 1)["value"])
+    return chosen.select("x.value", "node", "n", "x.hot", (F.col("i") - F.col("cold")).alias("nth"), before.alias("before"))
+
+
+def _open_lists(frequent: DataFrame, roots: DataFrame) -> DataFrame:
+    """(value, node) of the frequent values whose lists can still join something."""
+    placed = frequent.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = placed.groupBy("value").agg(F.count("*").alias("n"), F.count("before").alias("n_before"), *(f(c).alias(f"{name}_{c}") for c in ("root", "before") for name, f in (("min", F.min), ("max", F.max))))
+    inside = (F.col("n_before") == F.col("n")) & (F.col("min_before") == F.col("max_before"))
+    wanted = lists.where((F.col("min_root") < F.col("max_root")) & ~inside).select("value")
+    return placed.join(wanted, "value", "left_semi").select("value", "node")
 
 
 def _similar_pairs(slots: DataFrame, short: DataFrame) -> DataFrame:
@@ -133,10 +160,11 @@ def _similar_pairs(slots: DataFrame, short: DataFrame) -> DataFrame:
 
 def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
     """Each row once for every pair of blocks of its group that it belongs to: columns lo and hi name the pair, own the row's block."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("members", blocks)
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("members") - 1)))
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("weight") / BLOCK_VALUES)).cast("int")
+    # few groups are that large, and only they take part in the join
+    large = rows.groupBy(key).agg(n_blocks.alias("blocks")).where("blocks > 1")
+    placed = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return pairs.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
@@ -186,99 +214,159 @@ def overlaps(members: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _forest(linked: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) that join each node to the smallest node of its component, alone ones left out."""
+def _tree(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that reach every node of each component from its first one, in that order."""
+    seen = ~linked.any(0)
+    links: list[tuple[int, int]] = []
+    for root in range(len(linked)):
+        if seen[root]:
+            continue
+        seen[root], front = True, np.array([root])
+        while len(front):
+            new = np.flatnonzero(linked[front].any(0) & ~seen)
+            links += zip(front[linked[np.ix_(front, new)].argmax(0)].tolist(), new.tolist(), strict=True) if len(new) else ()
+            seen[new], front = True, new
+    return links
+
+
+def _forest(linked: np.ndarray, nodes: np.ndarray, sure: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) that join each node to the smallest node of its component, alone ones left out.
+
+    Where ``sure`` is given, components rest only on links that it confirms.
+    """
     order = np.argsort(nodes)
-    linked = linked[np.ix_(order, order)]
-    label = np.arange(len(nodes))
+    linked = linked[np.ix_(order, order)] & ~np.eye(len(nodes), dtype=bool)
     while True:
-        new = np.where(linked, label[None, :], len(nodes)).min(1, initial=len(nodes))
-        new = np.minimum(label, new)
-        new = new[new]
-        if (new == label).all():
+        links = _tree(linked)
+        wrong = [(i, j) for i, j in links if not sure(order[i], order[j])] if sure else []
+        if not wrong:
             break
-        label = new
-    apart = label != np.arange(len(nodes))
-    return nodes[order][apart], nodes[order][label[apart]]
+        for i, j in wrong:
+            linked[i, j] = linked[j, i] = False
+    root = np.arange(len(nodes))
+    for i, j in links:
+        root[j] = root[i]
+    apart = root != np.arange(len(nodes))
+    return nodes[order][apart], nodes[order][root[apart]]
 
 
-def _by_estimate(group: pa.Table) -> np.ndarray:
+def _by_estimate(group: pa.Table) -> tuple[np.ndarray, None]:
     sketch = [np.asarray(x, np.int64) for x in group["s"].to_pylist()]
     common = overlaps(sketch)
     last = np.array([s[-1] if len(s) == SKETCH else 1 << 62 for s in sketch])
     # values of either sketch up to the last value that both cover
     upto = np.stack([np.searchsorted(s, last, "right") for s in sketch])
     union = upto + upto.T - common
-    return common * SKETCH >= union * _least_shared()
+    return common * SKETCH >= union * _least_shared(), None
+
+
+def linked_sets(one: set, two: set) -> bool:
+    both = len(one & two)
+    return 100 * both >= LEAST * (len(one) + len(two) - both)
 
 
-def _by_sets(group: pa.Table) -> np.ndarray:
-    sets = [np.frombuffer(x, np.int64) for x in group["s"].to_pylist()]
+def _by_sets(group: pa.Table) -> tuple[np.ndarray, Callable[[int, int], bool]]:
+    """Links by the sets' hashes, and what confirms one of them on the words themselves."""
+    texts = group["s"].combine_chunks()
+    sets = shingle_sets(*T.flat(texts))
     common = overlaps(sets)
     size = np.array([len(s) for s in sets])
-    return common * 100 >= (size[:, None] + size[None, :] - common) * LEAST
 
+    @lru_cache(maxsize=8)
+    def plain(i: int) -> set[tuple[bytes, ...]]:
+        words = texts[i].as_py().split(b" ")
+        return {tuple(words[k : k + WIDTH]) for k in range(max(1, len(words) - WIDTH + 1))}
 
-def _linker(links: Callable[[pa.Table], np.ndarray]):
+    return common * 100 >= (size[:, None] + size[None, :] - common) * LEAST, lambda i, j: linked_sets(plain(int(i)), plain(int(j)))
+
+
+def _linker(links: Callable[[pa.Table], tuple]):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alone", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
             own = group["own"].to_numpy()
-            linked = links(group)
+            linked, sure = links(group)
             if own.min() != own.max():  # within one block, the block's own pair does it
                 linked &= own[:, None] != own[None, :]
-            a, b = _forest(linked, group["node"].to_numpy())
-            yield batch(schema, a, b, np.full(len(a), group["members"][0].as_py() == 1))
+            a, b = _forest(linked, group["node"].to_numpy(), sure)
+            yield batch(schema, a, b, np.full(len(a), group["blocks"][0].as_py() == 1))
 
     return run
 
 
-def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], tuple]) -> DataFrame:
     """(a, b, alone): forests of the links within each group; ``alone`` if the group was one block."""
     keys = [key, "lo", "hi"]
     dealt = _in_blocks(rows, key).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "own", "members", "node", "s").mapInArrow(_linker(links), "a long, b long, alone boolean")
+    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(_linker(links), "a long, b long, alone boolean")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d1, d2, n, s) of the documents that stand for wanted classes, s the packed set."""
+def _full_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d1, d2, s) of the documents that stand for wanted classes, s the words with a space between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
+        schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("s", pa.binary())])
         for b in batches:
             for _, _, data, at in T.blocks(b.column(0)):
-                sets = shingle_sets(data, at)
-                digests = [_digest(s) for s in sets]
-                yield batch(schema, [d for d, _ in digests], [d for _, d in digests], [len(s) for s in sets], [s.astype(np.int64).tobytes() for s in sets])
+                digests, low = _digests(data, at), T.LOWER[data]
+                words, cuts = T.joined_words(low, *T.spans(low, at, T.SPACES))
+                packed = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(words)])
+                yield batch(schema, digests[:, 0], digests[:, 1], packed)
 
     keys = wanted.select(F.col("rep.id").alias("want_id"), F.col("rep.text_key").alias("want_key"))
     keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
-    wide = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
+    wide = _wide(docs, id_col, text_col)
     found = wide.join(keys, wide["id"].eqNullSafe(keys["want_id"]) & (wide["text_key"] == keys["want_key"]), "left_semi")
-    return found.select("text").mapInArrow(run, "d1 long, d2 long, n long, s binary").dropDuplicates(["d1", "d2", "n"])
+    return found.select("text").mapInArrow(run, "d1 long, d2 long, s binary").dropDuplicates(["d1", "d2"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; kept is the row whose id names its component."""
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, n, rep) of every row; rep (no_id, id, text_key) names the first document of its component, null without words."""
     made = settled(sketches(docs, id_col, text_col))
-    same = ["d1", "d2", "n"]
+    same = ["d1", "d2"]
     rep = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("rep")
-    classes = settled(made.where("n > 0").groupBy(*same).agg(rep, F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    classes = settled(made.where("n > 0").groupBy(*same).agg(rep, F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
     # the upper half of a value keeps the order and is distinct enough for an estimate
     short = classes.select("node", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("s"))
     slots = settled(_slots(classes))
-    frequent = slots.where("hot").select("value", "node").join(classes.select("node", F.col("sketch").alias("s")), "node")
-    similar = _similar_pairs(slots, short).unionByName(_link(frequent, "value", _by_estimate).select("a", "b"))
-    candidates = settled(connected(similar).join(classes.select("node", "rep", *same), "node"))
-    sets = _full_sets(docs, candidates, id_col, text_col)
-    rows = candidates.select("root", "node", *same).join(sets, same).select("root", "node", "s")
+    whole = classes.select("node", F.col("sketch").alias("s"), F.lit(1).alias("weight"))
+
+    def compared(lists: DataFrame) -> DataFrame:
+        return _link(lists.select("value", "node").join(whole, "node"), "value", _by_estimate).select("a", "b")
+
+    frequent = slots.where("hot")
+    early = settled(_similar_pairs(slots, short).unionByName(compared(frequent.where(F.col("nth") < EARLY))))
+    rest = compared(_open_lists(frequent, connected(early)))
+    candidates = settled(connected(early.unionByName(rest)).join(classes.select("node", "rep", "n", *same), "node"))
+    texts = _full_texts(docs, candidates, id_col, text_col)
+    rows = candidates.select("root", "node", F.col("n").alias("weight"), *same).join(texts, same).select("root", "node", "weight", "s")
     links = settled(_link(rows, "root", _by_sets))
     roots = links.where("alone").select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(connected(links.where("not alone").select("a", "b")))
-    labelled = classes.select("node", "rep", *same).join(roots.where("node <> root"), "node", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "node"))
-    names = labelled.groupBy("root").agg(F.min("rep.id").alias("component_id"))
-    named = labelled.join(names, "root").select(*same, "component_id")
-    out = made.select("id", *same).join(named, same, "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    labelled = classes.select("node", "rep", *same).join(roots.where("node <> root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = labelled.groupBy("root").agg(F.min("rep").alias("first"))
+    named = settled(labelled.join(names, "root").select(*same, "first"))
+    for done in (slots, early, candidates, links, classes):
+        discard(done)
+    return made.select("id", "text_key", "n", *same).join(named, same, "left").select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("first")).alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; kept is the row whose id names its component."""
+    component = F.when(F.col("n") > 0, F.col("rep.id")).otherwise(F.col("id"))
+    out = _components(docs, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, whole: the first by id, nulls last, then by a hash of the text; rows without words all stay."""
+    made = _components(docs, id_col, text_col)
+    first = made.where((F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("text_key") == F.col("rep.text_key"))))
+    keys = [F.xxhash64("id", "text_key").alias("_k1"), F.xxhash64("text_key", "id", F.lit(1)).alias("_k2")]
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")
+    wide = docs.select(row, F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text_key")).select("_row", *keys)
+    kept = wide.join(first.select(*keys, (F.col("n") == 0).alias("_empty")).distinct(), ["_k1", "_k2"])
+    # rows equal in id and text are told apart by nothing but their number
+    numbered = kept.withColumn("_nth", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_k1")))
+    return numbered.where("_empty or _nth = 1").select("_row.*")

@@ -71,8 +71,64 @@ def test_large_ids_join_by_shuffle(spark, monkeypatch):
     assert Counter(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == Counter(plain(rows))
 
 
+def morse(n, flip):
+    """Two such words differ at every place, but a polynomial hash modulo a power of two can't tell them apart."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_fool_a_polynomial_hash(spark):
+    rows = [(2 * n + f, " ".join(morse(size, f) for _ in range(6))) for n, size in enumerate((1024, 2048, 4096)) for f in (0, 1)]
+    assert Counter(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == Counter(plain(rows))
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """With a hash that takes all words of one length for the same, only the words themselves can tell."""
+    monkeypatch.setattr(N.T, "word_hashes", lambda data, starts, ends: N.T.mix((ends - starts).astype(np.uint64)))
+    rng = random.Random(11)
+    group = [bytes(" ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(12)), "ascii") for _ in range(8)]
+    group[3], group[6] = group[1], group[1] + b" aa"
+    table = N.pa.table({"s": N.pa.array(group, N.pa.binary())})
+    linked, sure = N._by_sets(table)
+    a, b = N._forest(linked, np.arange(8), sure)
+    want = {(r, c) for i, (r, _, c, _) in enumerate(plain([(n, t.decode()) for n, t in enumerate(group)])) if r != c}
+    assert linked[0].sum() > 1 and set(zip(a.tolist(), b.tolist(), strict=True)) == want and want
+
+
+def test_frequent_values_beyond_the_early_ones(spark, monkeypatch):
+    """Texts that share what is frequent with many others, and only later values with their own copies."""
+    for name, value in (("EARLY", 1), ("COLD", 1), ("BLOCK", 5)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    parts = [[word() for _ in range(60)] for _ in range(6)]
+    rows = []
+    for n in range(160):
+        base = sum(rng.sample(parts, 2), [])
+        for _ in range(rng.choice([0, 1, 3, 30])):
+            base[rng.randrange(120)] = word()
+        rows.append((n, " ".join(base)))
+    assert Counter(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == Counter(plain(rows))
+
+
+def test_one_row_of_each_component_stays(spark, awkward):
+    rows = corpus(4, 8)
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (None, "no other text has these six words"), (None, "no other text has these six words"), (rows[5][0], rows[5][1]), (9, ""), (9, ""), (10, None)]
+    table = spark.createDataFrame(rows, "id long, text string").selectExpr("id as doc_id", "text", "1 as n", "2 as `_k1`", "3 as `a b`")
+    got = N.keep_first(table)
+    assert got.columns == table.columns
+    kept, seen = [], set()
+    roots = list(plain(rows))
+    for (i, n, c, k), (_, t) in sorted(zip(roots, rows, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        if not n:
+            kept.append((i, t))
+        elif k and (key := (c, "" if c is not None else t)) not in seen:
+            seen.add(key)
+            kept.append((i, t))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(kept)
+
+
 def test_empty_table(nothing):
-    assert N.near_duplicates(nothing).count() == 0
+    assert N.near_duplicates(nothing).count() == 0 and N.keep_first(nothing).count() == 0
 
 
 def test_overlaps():
