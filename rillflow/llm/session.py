@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import discard, settled, shared_folder
 
-__all__ = ["batch", "discard", "settled", "shared_folder", "table"]
+__all__ = ["batch", "discard", "quoted", "settled", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference that holds whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)

@@ -9,8 +9,8 @@ corpus. Two steps keep the sort small without losing a single such string:
    suffix in thirty is named. Leading bytes that occur once in the corpus are dropped.
 2. The others are range-partitioned by their bytes, with splitters that Spark samples;
    the bytes before them, and then document order, spread a very frequent passage over tasks.
-   Each task sorts its suffixes by multikey quicksort, eight bytes at a time, and sorts
-   the bytes before them likewise. Common prefixes of neighbours in both orders then
+   Each task takes the suffixes of its range a few leads at a time, sorts them by multikey
+   quicksort, eight bytes at a time, and sorts the bytes before them likewise. Common prefixes of neighbours in both orders then
    tell which strings are equal, whatever their place around the suffix, and the first
    in document order stays. A string can only go on in another range if its bytes from
    the suffix on are those of the first or last suffix of its own range; such strings
@@ -32,9 +32,11 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import text as T
 from .near_dedup import groups
+from .session import quoted
 
 LENGTH = 100
 LEAD = 32
@@ -42,9 +44,10 @@ LEAD = 32
 PLACES = LENGTH - LEAD + 1
 #: Bytes before a suffix that place it among equal ones.
 NEXT = 16
+#: Leads, and sorted suffixes, that a task works on at a time.
+HELD, CHUNK = 1 << 20, 1 << 15
 #: Windows of a long text that are looked at together.
 STEP = (1 << 20) - 256
-_SHUFFLED = "row {}, id {}, text_key long, doc_key long, packed binary"
 
 
 def named_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,60 +101,73 @@ def _numbers(b: bytes) -> np.ndarray:
 def _leads(n_buckets: int):
     """Leads by range of their hash: packed hashes, document keys, and suffixes as place, nearest and farthest start.
 
-    Of a lead that a batch holds more than once, one goes to its bucket; all go, marked by a
+    Of a lead that is held more than once at a time, one goes to its bucket; all go, marked by a
     null hash, to buckets chosen by document, as it is already known that they repeat.
     """
 
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        lead, key, suffix = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, which, times = np.unique(lead, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(times[which] > 1)
+        shift = np.uint64(32)
+        bucket = np.concatenate([((lead[first] >> shift) * np.uint64(n_buckets)) >> shift, (T.mix(key[again].view(np.uint64)) >> shift) % np.uint64(n_buckets)]).astype(np.int32)
+        # a repeated lead's own entry says only that it is there
+        entry = np.concatenate([np.where(times > 1, -1, suffix[first]), suffix[again]])
+        plain = np.concatenate([np.ones(len(first), bool), np.zeros(len(again), bool)])
+        lead = np.concatenate([lead[first], np.zeros(len(again), np.uint64)])
+        key = np.concatenate([key[first], key[again]])
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        rows: list[tuple[int, bytes, bytes, bytes]] = []
+        for k in np.flatnonzero(np.diff(cuts)):
+            o = np.sort(order[cuts[k] : cuts[k + 1]])
+            o = o[np.lexsort((entry[o], key[o], ~plain[o]))]
+            # six bytes beside the bucket's range: leads that agree in them by chance only cost a comparison
+            six = lead[o[plain[o]]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            rows.append((k, six.tobytes(), _planes(key[o]), _planes(entry[o])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "leads", "keys", "suffixes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
             keys = b.column(0).to_numpy()
-            parts = []
             for lo, data, at, start in _pieces(b.column(1)):
                 lead, text, place, near, far = named_suffixes(data, at)
                 parts.append((lead, keys[lo + text], ((place + start) << 16) | (near << 8) | far))
-            lead, key, suffix = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            _, first, which, times = np.unique(lead, return_index=True, return_inverse=True, return_counts=True)
-            again = np.flatnonzero(times[which] > 1)
-            shift = np.uint64(32)
-            bucket = np.concatenate([((lead[first] >> shift) * np.uint64(n_buckets)) >> shift, (T.mix(key[again].view(np.uint64)) >> shift) % np.uint64(n_buckets)]).astype(np.int32)
-            # a repeated lead's own entry says only that it is there
-            entry = np.concatenate([np.where(times > 1, -1, suffix[first]), suffix[again]])
-            lead = np.concatenate([lead[first], np.zeros(len(again), np.uint64)])
-            key = np.concatenate([key[first], key[again]])
-            plain = np.concatenate([np.ones(len(first), bool), np.zeros(len(again), bool)])
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            rows: list[tuple[int, bytes, bytes, bytes]] = []
-            for k in np.flatnonzero(np.diff(cuts)):
-                o = np.sort(order[cuts[k] : cuts[k + 1]])
-                o = o[np.lexsort((entry[o], key[o], ~plain[o]))]
-                # six bytes beside the bucket's range: leads that agree in them by chance only cost a comparison
-                packed = lead[o[plain[o]]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((k, packed.tobytes(), _planes(key[o]), _planes(entry[o])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "leads", "keys", "suffixes"])
+                held += len(lead)
+                if held >= HELD:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if held:
+            yield packed(parts)
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, suffix) of leads that occur more than once."""
+    """(key, suffix) of leads that occur more than once; a large bucket is looked at in parts of its leads' range."""
+    names = ["key", "suffix"]
     for group in groups(batches, 1):
-        leads, keys, suffixes = [], [], []
-        for packed, k, s in zip(*(group[c].to_pylist() for c in ("leads", "keys", "suffixes")), strict=True):
-            six = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-            own, k, s = np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel(), _numbers(k), _numbers(s)
-            yield pa.RecordBatch.from_arrays([pa.array(k[len(own) :]), pa.array(s[len(own) :])], names=["key", "suffix"])
-            leads.append(own)
-            keys.append(k[: len(own)])
-            suffixes.append(s[: len(own)])
-        lead, key, suffix = np.concatenate(leads), np.concatenate(keys), np.concatenate(suffixes)
-        order = np.argsort(lead)
-        same = lead[order[1:]] == lead[order[:-1]]
-        twice = np.zeros(len(lead), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        twice &= suffix >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(key[twice]), pa.array(suffix[twice])], names=["key", "suffix"])
+        packed = list(zip(*(group[c].to_pylist() for c in ("leads", "keys", "suffixes")), strict=True))
+        n_parts = 1 + sum(len(six) for six, _, _ in packed) // (6 * HELD)
+        for part in range(n_parts):
+            leads, keys, suffixes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for six, k, s in packed:
+                own = np.pad(np.frombuffer(six, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
+                k, s = _numbers(k), _numbers(s)
+                if not part and len(own) < len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[len(own) :]), pa.array(s[len(own) :])], names=names)
+                here = np.flatnonzero(own % np.uint64(n_parts) == part)
+                leads.append(own[here])
+                keys.append(k[here])
+                suffixes.append(s[here])
+            lead, key, suffix = np.concatenate(leads), np.concatenate(keys), np.concatenate(suffixes)
+            order = np.argsort(lead)
+            same = lead[order[1:]] == lead[order[:-1]]
+            twice = np.zeros(len(lead), bool)
+            twice[order[1:][same]] = twice[order[:-1][same]] = True
+            twice &= suffix >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(key[twice]), pa.array(suffix[twice])], names=names)
 
 
 def _packer(n_kept: int):
@@ -288,39 +304,67 @@ def _spans(found: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, place[row] - last + 1, place[row] - first + LENGTH
 
 
-class _Range:
-    """What one task holds of the sorted suffixes."""
-
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        held = list(batches)
-        self.rows = pa.Table.from_batches(held).combine_chunks() if held else None
-        if self.rows is None or not self.rows.num_rows:
-            self.rows = None
-
-    def reach(self) -> np.ndarray:
-        """How many leading bytes each suffix has in common with this range's first or last one.
-
-        A suffix of another range has no more in common with it than the nearer of those two.
-        """
-        bytes_ = _padded(self.rows["suffix"].combine_chunks(), LENGTH)
-        words = bytes_.view(">u8")
-        common = np.zeros(len(words), np.int64)
-        for pick in (np.min, np.max):
-            same = np.arange(len(words))
-            for d in range(words.shape[1]):
-                same = same[words[same, d] == pick(words[same, d])]
-            differ = bytes_[:, :LENGTH] != bytes_[same[0], :LENGTH]
-            common = np.maximum(common, np.where(differ.any(1), differ.argmax(1), LENGTH))
-        return common
+def _lead_bytes(suffix: pa.Array) -> np.ndarray:
+    data, at = T.flat(suffix)
+    return data[at[:-1, None] + np.arange(LEAD)]
 
-    def part(self) -> None:
-        """Puts the rows in document order, each once."""
-        ids = self.rows["id"].combine_chunks()
-        keys = [self.rows["place"].to_numpy(), self.rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
-        order = np.lexsort(keys)
-        new = np.ones(len(order), bool)  # rows equal in id and text bring the same suffixes
-        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-        self.rows = self.rows.take(pa.array(order[new])).combine_chunks()
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """(rows, whether they open the range, whether they close it): about ``CHUNK`` rows at a time of a range sorted by suffix.
+
+    Cuts lie between different leads, so no string occurs in two chunks of a range.
+    """
+    held: list[pa.RecordBatch] = []
+    n, enough, done = 0, CHUNK, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < enough:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lead = _lead_bytes(rows["suffix"].combine_chunks())
+        new = np.flatnonzero((lead[1:] != lead[:-1]).any(1))
+        held, enough = rows.to_batches(), 2 * n
+        if len(new):
+            if done is not None:
+                yield *done, False
+            cut = int(new[-1]) + 1
+            done = rows.slice(0, cut).combine_chunks(), done is None
+            held = rows.slice(cut).combine_chunks().to_batches()
+            n, enough = n - cut, max(CHUNK, 2 * (n - cut))
+    if held:
+        if done is not None:
+            yield *done, False
+        done = pa.Table.from_batches(held).combine_chunks(), done is None
+    if done is not None:
+        yield *done, True
+
+
+def _reach(rows: pa.Table, opens: bool, closes: bool) -> np.ndarray:
+    """How many leading bytes each suffix has in common with its range's first or last one.
+
+    A suffix of another range has no more in common with it than the nearer of those two.
+    """
+    common = np.zeros(rows.num_rows, np.int64)
+    if not (opens or closes):
+        return common
+    bytes_ = _padded(rows["suffix"].combine_chunks(), LENGTH)[:, :LENGTH]
+    for edge in ([0] if opens else []) + ([rows.num_rows - 1] if closes else []):
+        differ = bytes_ != bytes_[edge]
+        common = np.maximum(common, np.where(differ.any(1), differ.argmax(1), LENGTH))
+    return common
+
+
+def _in_document_order(rows: pa.Table) -> pa.Table:
+    """Each row once, as rows equal in id and text bring the same suffixes."""
+    ids = rows["id"].combine_chunks()
+    keys = [rows["place"].to_numpy(), rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    return rows.take(pa.array(order[new])).combine_chunks()
 
 
 def _found(rows: pa.Table) -> np.ndarray:
@@ -340,12 +384,8 @@ def _within(n_buckets: int):
     shift = np.uint64(32)
     names = ["bucket", "ids", "text_keys", "starts", "ends", "strings"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Range(batches)
-        if own.rows is None:
-            return
-        own.part()
-        found, place, keys, ids = _found(own.rows), own.rows["place"].to_numpy(), own.rows["text_key"].to_numpy(), own.rows["id"].combine_chunks()
+    def spans(rows: pa.Table, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place, keys, ids = rows["place"].to_numpy(), rows["text_key"].to_numpy(), rows["id"].combine_chunks()
         row, start, end = _spans(found, place)
         for lo in range(0, len(row), 5_000):
             r = row[lo : lo + 5_000]
@@ -353,25 +393,34 @@ def _within(n_buckets: int):
             cuts = pa.array([0, len(r)], pa.int32())
             lists = (pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pa.array(r)), pa.array(keys[r]), pa.array(start[lo : lo + 5_000]), pa.array(end[lo : lo + 5_000])))
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *lists, pa.nulls(1, pa.binary())], names=names)
-        reach = own.reach()
-        chosen = np.flatnonzero(reach >= LEAD)
-        rows, reach, found, place, keys, ids = own.rows.take(pa.array(chosen)), reach[chosen], found[chosen], place[chosen], keys[chosen], ids.take(pa.array(chosen))
+
+    def strings(rows: pa.Table, found: np.ndarray, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place, keys, ids = rows["place"].to_numpy(), rows["text_key"].to_numpy(), rows["id"].combine_chunks()
         suffix, before = _padded(rows["suffix"].combine_chunks(), LENGTH), _padded(rows["before"].combine_chunks(), PLACES - 1, True)
         around = np.concatenate([before[:, : PLACES - 1][:, ::-1], suffix[:, :LENGTH]], axis=1)
         row, back = np.nonzero((found == 1) & (np.arange(PLACES) >= LENGTH - reach[:, None]))
-        for lo in range(0, len(row), 100_000):
-            r, k = row[lo : lo + 100_000], back[lo : lo + 100_000]
-            strings = np.zeros((len(r), 8 * len(spread)), np.uint8)
-            strings[:, :LENGTH] = around[r[:, None], (PLACES - 1 - k)[:, None] + np.arange(LENGTH)]
-            bucket = (((T.mix((strings.view("<u8") * spread).sum(1)) >> shift) * np.uint64(n_buckets)) >> shift).astype(np.int32)
+        for lo in range(0, len(row), 50_000):
+            r, k = row[lo : lo + 50_000], back[lo : lo + 50_000]
+            made = np.zeros((len(r), 8 * len(spread)), np.uint8)
+            made[:, :LENGTH] = around[r[:, None], (PLACES - 1 - k)[:, None] + np.arange(LENGTH)]
+            bucket = (((T.mix((made.view("<u8") * spread).sum(1)) >> shift) * np.uint64(n_buckets)) >> shift).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             cuts = pa.array(np.append(first, len(order)).astype(np.int32))
             r, k = r[order], k[order]
             lists = (pa.ListArray.from_arrays(cuts, x) for x in (ids.take(pa.array(r)), pa.array(keys[r]), pa.array(place[r] - k)))
-            packed = [zstandard.compress(x.tobytes(), 1) for x in np.split(strings[order], first[1:])]
+            packed = [zstandard.compress(x.tobytes(), 1) for x in np.split(made[order], first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), *lists, pa.nulls(len(first), pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, opens, closes in _chunks(batches):
+            rows = rows.append_column("reach", pa.array(_reach(rows, opens, closes)))
+            rows = _in_document_order(rows)
+            found, reach = _found(rows), rows["reach"].to_numpy()
+            yield from spans(rows, found)
+            chosen = np.flatnonzero(reach >= LEAD)
+            yield from strings(rows.take(pa.array(chosen)), found[chosen], reach[chosen])
+
     return run
 
 
@@ -400,19 +449,19 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(id_col, F.xxhash64(text))
-    blobs = docs.where(F.octet_length(text_col) >= LENGTH).select(key, text).mapInArrow(_leads(n_buckets), "bucket int, leads binary, keys binary, suffixes binary")
+    id_, text = F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    key = F.xxhash64(id_, F.xxhash64(text))
+    blobs = docs.where(F.octet_length(text) >= LENGTH).select(key, text).mapInArrow(_leads(n_buckets), "bucket int, leads binary, keys binary, suffixes binary")
     dealt = blobs.repartition("bucket").sortWithinPartitions("bucket")
     marked = dealt.mapInArrow(_repeated, "key long, suffix long").groupBy("key").agg(F.collect_set("suffix").alias("suffixes"))
     # both joins below take all of these columns, so that Spark shuffles the texts once
-    others = F.struct(F.col(text_col).isNull().alias("no_text"), *(c for c in docs.columns if c != text_col))
-    wide = docs.select(others.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), key.alias("doc_key"), text.alias("text"))
-    row_type = wide.schema["row"].dataType.simpleString()
-    wide = wide.mapInArrow(_packer(4), _SHUFFLED.format(row_type, id_type)).repartition("doc_key")
+    others = F.struct(F.col(quoted(text_col)).isNull().alias("no_text"), *(F.col(quoted(c)) for c in docs.columns if c != text_col))
+    wide = docs.select(others.alias("row"), id_.alias("id"), F.xxhash64(text).alias("text_key"), key.alias("doc_key"), text.alias("text"))
+    packed = StructType([*wide.schema.fields[:4], StructField("packed", BinaryType())])
+    wide = wide.mapInArrow(_packer(4), packed).repartition("doc_key")
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, suffix binary, before binary")
-    ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place")
+    ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place").sortWithinPartitions("suffix")
     found = ranged.mapInArrow(_within(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, ends array<long>, strings binary")
     spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, f"id {id_type}, text_key long, start long, end long")
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
@@ -459,8 +508,8 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = _with_spans(docs.select(id_col, text_col), id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = _with_spans(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col)
+    return rows.mapInArrow(run, f"{quoted(id_col)} {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

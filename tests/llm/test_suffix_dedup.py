@@ -53,7 +53,7 @@ def corpus(seed):
 def test_against_every_string(spark, awkward, seed):
     rows = corpus(seed) + list(awkward)
     learn_hashes(spark, rows)
-    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as text_key", "3 as place", "4 as `row`").repartition(5)
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as text_key", "3 as place", "4 as `row`", "5 as `a b`", "6 as `c.d``e`").repartition(5)
     got = Counter((*r[:4], bytes(r[4])) for r in S.measure_repeats(table).collect())
     assert got == Counter(plain(rows))
     cut = Counter((r.doc_id, r.text, r.id, r.row) for r in S.cut_repeats(table).collect())
@@ -117,6 +117,20 @@ def test_passages_at_the_parts_of_long_texts(spark, monkeypatch):
     assert got == Counter(plain(rows))
 
 
+@pytest.mark.parametrize("chunk", [1, 50])
+def test_ranges_and_buckets_a_few_leads_at_a_time(spark, monkeypatch, chunk):
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    monkeypatch.setattr(S, "HELD", 100)
+    rows = corpus(9)
+    learn_hashes(spark, rows)
+    cloudpickle.register_pickle_by_value(S)
+    try:
+        got = Counter((*r[:4], bytes(r[4])) for r in S.measure_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(S)
+    assert got == Counter(plain(rows))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     rows = rng.integers(0, 2, (300, 24)).astype(np.uint8)
