@@ -6,50 +6,69 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of d
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import bpe, decontaminate, near_dedup, quality_rules, suffix_dedup
 from rillflow.llm.queries import PATTERN, TOKENIZER
-from rillflow.llm.session import settled, table
+from rillflow.llm.session import discard, settled, table
+from rillflow.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    """The stage on a session that has the package's code on its executors."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+@_shipped
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
+@_shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; rows equal in id are one document."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near duplicates: the one with the smallest id, null the largest."""
+    return near_dedup.keep_first(docs.select(*COLUMNS))
 
 
+@_shipped
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand earlier in the corpus; one that is all repeated stays, with an empty text."""
     cut = suffix_dedup.cut_repeats(docs.select(*COLUMNS))
     return _sized(cut)
 
 
+@_shipped
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     checked = decontaminate.find_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return checked.where("n_hit = 0").select(*COLUMNS)
 
 
+@_shipped
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     return bpe.encode(docs, TOKENIZER, PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", drop_low_quality),
     ("near_dedup", drop_near_duplicates),
     ("suffix_dedup", cut_repeated_passages),
@@ -65,7 +84,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents; what one stage keeps is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = settled(docs)
+            discard(before)
     return docs
