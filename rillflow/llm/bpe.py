@@ -1,25 +1,32 @@
 """BPE encoding and decoding with tree concatenation of long texts.
 
-A text of up to ``SEGMENT`` characters is encoded where it lies. A longer one is split
-into its pre-tokens; runs of them become segments that encode alone, since merges never
-cross pre-tokens. A pre-token that is itself longer than ``SEGMENT`` is unsplit text: it
-is cut anywhere, its pieces are encoded in parallel, and pairs of neighbours are joined
-as in a tree. At each join a window around the cut is encoded anew and grows until its
-first token equals the left side's token at that place and its last token the right
-side's. Then every pair of neighbouring tokens has been seen in some true encoding,
-which makes the whole the true encoding.
-
-Segments of long texts are the only thing shuffled. Ids are those of the ``tokenizers``
-library for the same vocabulary; its special strings become special tokens wherever
-they stand. Null texts count as empty, an empty text has no tokens. Repeated rows are
-encoded each on its own, and an empty table gives no rows.
+A text of up to ``SEGMENT`` characters is encoded where it lies. A longer one is cut into
+pieces of so many characters, anywhere. The pieces are encoded in parallel, each as if it
+stood alone, and neighbours are joined as in a tree whose levels are Spark stages: a task
+joins up to ``FAN`` neighbours pair by pair.
+
+At a join, a window around the cut is split into pre-tokens anew. It starts at the last
+place where the left side surely splits, whatever follows, and grows to the right until
+one of its splits is also a split of the right side. From there on the right side's ids
+stand, since a split depends only on what follows it; before the window the left side's
+ids stand. Where the cut lies inside one long pre-token, ids inside it are joined by a
+window that grows until its first token equals the left side's token at that place and
+its last token the right side's. Then every pair of neighbouring tokens has been seen in
+some true encoding, which makes the whole the true encoding.
+
+Pieces of long texts and their ids are the only thing shuffled. Ids are those of the
+``tokenizers`` library for the same vocabulary; its special strings become special tokens
+wherever they stand. Null texts count as empty, an empty text has no tokens. Repeated rows
+are encoded each on its own, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,11 +35,17 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import discard, lean, quoted, settled
 
-#: Characters of a text, or of a piece of one pre-token, that one task encodes at once.
-SEGMENT = 32_768
+#: Characters of a text, or of a piece of one, that are encoded at once.
+SEGMENT = 8_192
+#: Neighbours that one task joins.
+FAN = 8
 #: Tokens on each side of a join in the first window.
 WINDOW = 16
+#: Characters after a split that can have a say in it, beside a special string that begins among them: the longest
+#: of the pattern's suffixes, and one to look ahead.
+AHEAD = 4
 
 
 def _byte_chars() -> dict[str, int]:
@@ -55,6 +68,9 @@ class Codec:
         self.whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.path = path
+        self.sizes = {i: len(b) for b, i in ranks.items()} | {i: len(t.encode()) for t, i in special.items()}
+        self.margin = AHEAD + max(map(len, special), default=0)
+        self._special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
 
     @property
     def splitter(self):
@@ -70,15 +86,22 @@ class Codec:
     def decode(self, ids: Sequence[int]) -> str:
         return self.whole.decode_bytes(ids).decode("utf-8", "replace")
 
-    def pre_tokens(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(is special, string) of the parts that the merges never cross."""
-        while text:
-            at, name = min(((text.find(s), s) for s in self.special if s in text), default=(len(text), ""))
-            for _, (a, b) in self.splitter.pre_tokenize_str(text[:at]):
-                yield False, text[a:b]
-            if name:
-                yield True, name
-            text = text[at + len(name) :]
+    def pre_tokens(self, text: str) -> Iterator[tuple[int, int, bool]]:
+        """(start, end, whether special) of the parts that the merges never cross."""
+        at = 0
+        for found in [*self._special.finditer(text), None]:
+            upto = found.start() if found else len(text)
+            for _, (a, b) in self.splitter.pre_tokenize_str(text[at:upto]) if upto > at else ():
+                yield at + a, at + b, False
+            if found:
+                yield found.start(), found.end(), True
+                at = found.end()
+
+    def part(self, text: str, special: bool) -> list[int]:
+        return [self.special[text]] if special else self.piece._encode_single_piece(text.encode())
+
+    def spell(self, ids: Sequence[int]) -> bytes:
+        return self.whole.decode_bytes(ids)
 
 
 @lru_cache(maxsize=4)
@@ -86,40 +109,87 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def segments(parts: Iterator[tuple[bool, str]], most: int = SEGMENT) -> Iterator[tuple[int, str]]:
-    """(run, text): run 0 holds whole pre-tokens; equal runs over 0 are pieces of one unsplit pre-token.
+@dataclass
+class Node:
+    """Encoding of a stretch of text as if it stood alone.
 
-    A run-0 segment never ends in white space, which could be split otherwise there than
-    inside the whole text; such pre-tokens become unsplit text of their own.
+    ``tail`` counts the ids after its last sure split: its start, or a place where it splits whatever follows it.
     """
-    held: list[str] = []
-    size = run = 0
-
-    def flush() -> Iterator[tuple[int, str]]:
-        nonlocal run, size
-        tail: list[str] = []
-        while held and held[-1][-1].isspace():
-            tail.insert(0, held.pop())
-        if held:
-            yield 0, "".join(held)
-        for piece in tail:
-            run += 1
-            yield run, piece
-        held.clear()
-        size = 0
-
-    for special, part in parts:
-        if len(part) > most:
-            yield from flush()
-            run += 1
-            for i in range(0, len(part), most):
-                yield run, part[i : i + most]
-            continue
-        if size + len(part) > most:
-            yield from flush()
-        held.append(part)
-        size += len(part)
-    yield from flush()
+
+    ids: list[int]
+    tail: int
+
+
+def leaf(text: str, c: Codec) -> Node:
+    ids: list[int] = []
+    sure = 0
+    for a, b, special in c.pre_tokens(text):
+        if a + c.margin <= len(text):
+            sure = len(ids)
+        ids += c.part(text[a:b], special)
+    return Node(ids, len(ids) - sure)
+
+
+def concatenate(left: Node, right: Node, c: Codec, window: int = WINDOW) -> Node:
+    """Encoding of two neighbouring stretches of text."""
+    if not left.ids or not right.ids:
+        return right if not left.ids else left
+    tail = left.ids[len(left.ids) - left.tail :]
+    before = c.spell(tail).decode()
+    cut, n = len(before), window
+    while True:
+        n = min(n, len(right.ids))
+        whole = n == len(right.ids)
+        after = c.spell(right.ids[:n]).decode("utf-8", "ignore")  # at most the last character is in part
+        text = before + after
+        parts = list(c.pre_tokens(text))
+        own = {cut + a for a, _, _ in c.pre_tokens(after)}
+        # the first place at which both sides split; the end is one if nothing follows it
+        meet = next((a for a, _, _ in parts if a in own and (whole or a + c.margin <= len(text))), len(text) if whole else None)
+        if meet is not None:
+            break
+        n *= 2
+    made: list[int] = []
+    sure = 0
+    last = [(a, b) for a, b, _ in c.pre_tokens(before)][-1:]
+    first = next(((cut + a, cut + b) for a, b, _ in c.pre_tokens(after)), None)
+    for a, b, special in parts:
+        if a >= meet:
+            break
+        if a + c.margin <= len(text):
+            sure = len(made)
+        if not special and last == [(a, cut)] and first == (cut, b):
+            # one pre-token of which each side holds a part
+            one, two = _back(tail, len(text[a:cut].encode()), c), _ahead(right.ids, len(text[cut:b].encode()), c)
+            made += join(tail[len(tail) - one :], right.ids[:two], c.piece._encode_single_piece, c.spell, window)
+        else:
+            made += c.part(text[a:b], special)
+    kept = right.ids[_ahead(right.ids, len(text[cut:meet].encode()), c) :]
+    ids = left.ids[: len(left.ids) - left.tail] + made + kept
+    # the right side's last sure split is one of the whole if it comes after the two have met;
+    # its start is one only if enough text follows
+    far = right.tail < len(right.ids) or len(c.spell(right.ids[: 4 * c.margin]).decode("utf-8", "ignore")) >= c.margin
+    return Node(ids, right.tail if far and right.tail <= len(kept) else len(made) - sure + len(kept))
+
+
+def _ahead(ids: Sequence[int], size: int, c: Codec) -> int:
+    """How many of the first ids spell ``size`` bytes."""
+    n = 0
+    while size > 0:
+        size -= c.sizes[ids[n]]
+        n += 1
+    return n
+
+
+def _back(ids: Sequence[int], size: int, c: Codec) -> int:
+    return _ahead(ids[::-1], size, c)
+
+
+def tree(nodes: list[Node], c: Codec, window: int = WINDOW) -> Node:
+    """Joins neighbours pair by pair, level by level."""
+    while len(nodes) > 1:
+        nodes = [concatenate(nodes[i], nodes[i + 1], c, window) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+    return nodes[0]
 
 
 def join(left: list[int], right: list[int], encode: Callable[[bytes], list[int]], spell: Callable[[Sequence[int]], bytes], window: int = WINDOW) -> list[int]:
@@ -137,17 +207,6 @@ def join(left: list[int], right: list[int], encode: Callable[[bytes], list[int]]
         i, j = (i if good_left else 2 * i), (j if good_right else 2 * j)
 
 
-def concatenate(pieces: list[list[int]], c: Codec) -> list[int]:
-    """Joins the pieces of one unsplit pre-token pair by pair, level by level."""
-
-    def encode(b: bytes) -> list[int]:
-        return c.piece._encode_single_piece(b)
-
-    while len(pieces) > 1:
-        pieces = [join(pieces[i], pieces[i + 1], encode, c.piece.decode_bytes) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-    return pieces[0] if pieces else []
-
-
 def encode(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(*keep, ids) of every row, ``ids`` an array of ints."""
     return _encoded(docs, tokenizer, pattern, keep, text_col, segment, [("ids", "array<int>", pa.list_(pa.int32()))], lambda ids: (ids,))
@@ -163,8 +222,8 @@ def decode(encoded: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str]
             texts = [c.decode(ids or []) for ids in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    types = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return encoded.select(*names, ids_col).mapInArrow(run, f"{types}, text string")
+    types = ", ".join(f"{quoted(c)} {encoded.schema[c].dataType.simpleString()}" for c in names)
+    return encoded.select(*(F.col(quoted(c)) for c in (*names, ids_col))).mapInArrow(lean(run), f"{types}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
@@ -178,63 +237,83 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str
     return _encoded(docs, tokenizer, pattern, keep, text_col, segment, columns, digests)
 
 
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """(row, nth, n, *keep as a struct, ids, tail): the encoded pieces of each text of more than ``segment`` characters."""
+    kept, text = F.struct(F.lit(0).alias("_"), *(F.col(quoted(c)) for c in keep)).alias("kept"), F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    wide = docs.select(kept, text.alias("text")).where(F.length("text") > segment).withColumn("row", F.monotonically_increasing_id())
+    n = F.ceil(F.length("text") / segment).cast("int")
+    cut = wide.select("kept", "row", n.alias("n"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("nth"))
+    cut = cut.select("row", "nth", "n", "kept", F.substring("text", F.col("nth") * segment + 1, F.lit(segment)).alias("piece"))
+
+    def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer, pattern)
+        for b in batches:
+            nodes = [leaf(t, c) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([_packed(x.ids) for x in nodes], pa.binary()), pa.array([x.tail for x in nodes], pa.int32())], names=_NODE)
+
+    return cut.repartition("row", "nth").mapInArrow(lean(encode_pieces), f"{_struct(cut)}, ids binary, tail int")
+
+
+_NODE = ["row", "nth", "n", "kept", "ids", "tail"]
+
+
+def _struct(df: DataFrame) -> str:
+    return f"row long, nth int, n int, kept {df.schema['kept'].dataType.simpleString()}"
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def join_level(nodes: DataFrame, tokenizer: str, pattern: str, fan: int = FAN) -> DataFrame:
+    """Each ``fan`` neighbouring nodes of a text joined to one; ``n`` is how many the text has left."""
+
+    def run(group: pa.Table) -> pa.Table:
+        c = codec(tokenizer, pattern)
+        group = group.sort_by("nth").combine_chunks()
+        parts = zip(group["ids"].to_pylist(), group["tail"].to_pylist(), strict=True)
+        made = tree([Node(np.frombuffer(ids, "<u4").tolist(), tail) for ids, tail in parts], c)
+        one = group.slice(0, 1)
+        n = -(-group["n"][0].as_py() // fan)
+        nth = group["nth"][0].as_py() // fan
+        return pa.Table.from_arrays([one["row"], pa.array([nth], pa.int32()), pa.array([n], pa.int32()), one["kept"], pa.array([_packed(made.ids)], pa.binary()), pa.array([made.tail], pa.int32())], names=_NODE)
+
+    dealt = nodes.withColumn("place", F.floor(F.col("nth") / fan))
+    return dealt.groupBy("row", "place").applyInArrow(lambda key, group: run(group.drop(["place"])), f"{_struct(nodes)}, ids binary, tail int")
+
+
 def _encoded(docs, tokenizer, pattern, keep, text_col, segment, columns, finish) -> DataFrame:
-    """Short texts in one pass over the scan; long ones by their segments."""
+    """Short texts in one pass over the scan; long ones by their pieces."""
     names = list(keep)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    types = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in names)
     made = ", ".join(f"{n} {t}" for n, t, _ in columns)
 
-    def rows(held: pa.RecordBatch | pa.Table, ids: list[list[int]]) -> pa.RecordBatch:
+    def rows(held: list[pa.Array], ids: list[list[int]]) -> pa.RecordBatch:
         arrays = list(zip(*(finish(x) for x in ids), strict=True)) or [[] for _ in columns]
-        return pa.RecordBatch.from_arrays([*held.columns[: len(names)], *(pa.array(a, t) for a, (_, _, t) in zip(arrays, columns, strict=True))], names=[*names, *(n for n, _, _ in columns)])
+        return pa.RecordBatch.from_arrays([*held, *(pa.array(a, t) for a, (_, _, t) in zip(arrays, columns, strict=True))], names=[*names, *(n for n, _, _ in columns)])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, pattern)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield rows(part, [c.encode(t) for t in part.column(len(names)).to_pylist()])
+                yield rows(part.columns[: len(names)], [c.encode(t) for t in part.column(len(names)).to_pylist()])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer, pattern)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                found = list(segments(c.pre_tokens(b.column(len(names))[i].as_py()), segment))
-                held = b.slice(i, 1).take(pa.array([0] * len(found), pa.int64())).columns
-                yield pa.RecordBatch.from_arrays(
-                    [*held[: len(names)], held[-1], pa.array(range(len(found)), pa.int32()), pa.array([r for r, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())],
-                    names=[*names, "_row", "_nth", "_run", "_piece"],
-                )
-
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(tokenizer, pattern)
-        for b in batches:
-            n = len(names)
-            ids = [c.piece._encode_single_piece(t.encode()) if r else c.encode(t) for r, t in zip(b.column(n + 2).to_pylist(), b.column(n + 3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: n + 3], pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], names=[*names, "_row", "_nth", "_run", "_ids"])
-
-    def whole(group: pa.Table) -> pa.Table:
-        c = codec(tokenizer, pattern)
-        group = group.sort_by("_nth").combine_chunks()
-        out: list[int] = []
-        pieces: list[list[int]] = []
-        runs = group["_run"].to_pylist()
-        for k, (r, packed) in enumerate(zip(runs, group["_ids"].to_pylist(), strict=True)):
-            ids = np.frombuffer(packed, "<u4").tolist()
-            if not r:
-                out += ids
-                continue
-            pieces.append(ids)
-            if k + 1 == len(runs) or runs[k + 1] != r:
-                out += concatenate(pieces, c)
-                pieces = []
-        return pa.Table.from_batches([rows(group.slice(0, 1).to_batches()[0], [out])])
-
-    wide = docs.select(*names, text.alias("_text"))
-    is_short = F.length("_text") <= segment
-    near = wide.where(is_short).mapInArrow(short, f"{types}, {made}")
-    cut = wide.where(~is_short).withColumn("_row", F.monotonically_increasing_id())
-    cut = cut.mapInArrow(split, f"{types}, _row long, _nth int, _run int, _piece string")
-    far = cut.repartition(F.col("_row"), F.col("_nth")).mapInArrow(ids_of, f"{types}, _row long, _nth int, _run int, _ids binary")
-    return near.unionByName(far.groupBy("_row").applyInArrow(whole, f"{types}, {made}"))
+                kept = b.column(0).slice(i, 1).flatten()[1:]
+                yield rows(kept, [np.frombuffer(b.column(1)[i].as_py(), "<u4").tolist()])
+
+    near = docs.select(*(F.col(quoted(c)) for c in names), text.alias("_text")).where(F.length("_text") <= segment).mapInArrow(lean(short), f"{types}, {made}")
+    nodes = settled(pieces(docs, tokenizer, pattern, keep, text_col, segment))
+    done = []
+    while nodes.where("n > 1").limit(1).count():
+        before, nodes = nodes, settled(join_level(nodes.where("n > 1"), tokenizer, pattern))
+        if not done:  # a long text has two pieces at least, so no piece is a whole text
+            discard(before)
+        done.append(nodes.where("n = 1").select("kept", "ids"))
+    for part in done:
+        near = near.unionByName(part.mapInArrow(lean(whole), f"{types}, {made}"))
+    return near

@@ -3,6 +3,7 @@ import random
 import struct
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -38,18 +39,61 @@ def test_encode_and_decode(docs, awkward, library):
     assert bpe.decode(ids.withColumn("ids", F.lit(None).cast("array<int>")), PATH, PATTERN, keep=("source",)).where("text != ''").count() == 0
 
 
-def test_unsplit_text_cut_anywhere(library):
+KINDS = ("abc", "theing", "=-", "aé", "0123456789", " \n", "etaoinshrdlu", "a b", " a", "it's we'll 're ", "a 1 .\n ", "東京🙂 é")
+
+
+def test_texts_cut_anywhere(library):
     rng, c = random.Random(3), bpe.codec(PATH, PATTERN)
-    for kind in ("abc", "theing", "=-", "aé", "0123456789", " \n", "etaoinshrdlu"):
+    for kind in KINDS:
         for n in (5, 40, 700):
             text = "".join(rng.choice(kind) for _ in range(n))
+            want = library.encode(text, add_special_tokens=False).ids
             for most in (1, 3, 17, 100):
-                pieces = [c.piece._encode_single_piece(text[i : i + most].encode()) for i in range(0, n, most)]
                 for window in (1, 2, 16):
-                    left = pieces[:]
-                    while len(left) > 1:
-                        left = [bpe.join(left[i], left[i + 1], c.piece._encode_single_piece, c.piece.decode_bytes, window) if i + 1 < len(left) else left[i] for i in range(0, len(left), 2)]
-                    assert left[0] == c.piece._encode_single_piece(text.encode())
+                    nodes = [bpe.leaf(text[i : i + most], c) for i in range(0, n, most)]
+                    assert bpe.tree(nodes, c, window).ids == want
+
+
+def test_special_strings_across_cuts(library):
+    c = bpe.codec(PATH, PATTERN)
+    for text in ("<|endoftext|>" * 3, "a<|endoftext|> b", "x <|endoftext|><|endoftext|", "  <|endoftext|>\n\n<|endoftext|>'s", "<|endof<|endoftext|>text|>"):
+        want = library.encode(text, add_special_tokens=False).ids
+        for a in range(len(text) + 1):
+            for b in range(a, len(text) + 1):
+                nodes = [bpe.leaf(x, c) for x in (text[:a], text[a:b], text[b:])]
+                assert bpe.tree(nodes, c, 1).ids == want
+
+
+def test_ids_stay_outside_the_window():
+    c = bpe.codec(PATH, PATTERN)
+    encoded = []
+    c_part, c.part = c.part, lambda text, special: encoded.append(text) or c_part(text, special)
+    try:
+        sides = [bpe.leaf("some words of text and more of them " * 200, c) for _ in range(2)]
+        del encoded[:]
+        assert len(bpe.concatenate(*sides, c).ids) > 3000 and len(encoded) < 10
+        sides = [bpe.leaf("xyz" * 3000, c) for _ in range(2)]
+        del encoded[:]
+        bpe.concatenate(*sides, c)
+        assert encoded == []  # one pre-token, joined inside
+    finally:
+        del c.part
+
+
+def test_long_documents_are_joined_level_by_level(spark, library):
+    """A table like ``documents``: each text of more than a segment makes one join less than it has pieces."""
+    rows = [(n, " ".join(f"word{k * n % 97}" for k in range(n * 300))) for n in range(12)] + [(12, "z" * 20_000), (None, "q " * 9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = bpe.pieces(docs, PATH, PATTERN, segment=1024)
+    long = [t for _, t in rows if len(t) > 1024]
+    assert nodes.count() == sum(-(-len(t) // 1024) for t in long)
+    levels = [nodes.count() - len(long)]
+    while nodes.where("n > 1").count():
+        nodes = bpe.settled(bpe.join_level(nodes, PATH, PATTERN))
+        levels.append(nodes.count() - len(long))
+    assert levels[0] > 100 and len(levels) == 3 and levels[-1] == 0
+    got = Counter((r.kept.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in nodes.collect())
+    assert got == Counter((i, tuple(library.encode(t, add_special_tokens=False).ids)) for i, t in rows if len(t) > 1024)
 
 
 def test_same_ids_for_every_character(library):
