@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .session import batch
+from .session import batch, lean
 
 WIDTH = 10
 #: Words of a shingle; a shorter window is one shingle.
@@ -127,7 +127,7 @@ def _count_shingles(docs: DataFrame, text_col: str, block: Block) -> dict[int, n
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"width": np.full(len(used), k, np.int32), "shingle": used, "n": n[used]})
 
-    found = docs.select(text_col).mapInArrow(run, "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
+    found = docs.select(text_col).mapInArrow(lean(run), "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
     counts = {k: np.zeros(len(v), np.int64) for k, v in block.shingles.items()}
     for row in found.toLocalIterator():  # at most one row for each shingle of the block
         counts[row.width][row.shingle] = row.n
@@ -174,10 +174,10 @@ def find_leaks(
     for found in _windows(((r[0], r[1]) for r in rows), width, block_windows):
         block = _block(found, SHINGLE)
         shared = spark.sparkContext.broadcast(_choose(block, _count_shingles(docs, text_col, block), SHINGLE))
-        state = state.mapInArrow(_marker(shared, names.index(text_col)), state.schema)
+        state = state.mapInArrow(lean(_marker(shared, names.index(text_col))), state.schema)
     out = [c for c in names if c != text_col or text_col in keep]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
-    return state.mapInArrow(_closer([names.index(c) for c in out], names.index(text_col), out), f"{types}, n_words long, n_hit long, hit_spans array<int>, items array<string>")
+    return state.mapInArrow(lean(_closer([names.index(c) for c in out], names.index(text_col), out)), f"{types}, n_words long, n_hit long, hit_spans array<int>, items array<string>")
 
 
 def _marker(shared, place: int):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import text as T
 from .decontaminate import _Docs, _hash_words, _item_words
-from .session import batch
+from .session import batch, lean
 
 #: The usual wording of notices, by SPDX id.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -170,4 +170,4 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     found[t] += [{"license": name, "start": base + s, "end": base + e, "differences": n} for s, e, n, name in scanner.notices(words)]
                 yield batch(schema, b.column(0).slice(lo, hi - lo), found)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, notices array<struct<license: string, start: long, `end`: long, differences: long>>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, notices array<struct<license: string, start: long, `end`: long, differences: long>>")

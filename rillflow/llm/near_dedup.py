@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import connected
-from .session import batch, discard, quoted, settled
+from .session import batch, discard, lean, quoted, settled
 
 WIDTH = 5
 #: A link needs LEAST / 100 as Jaccard similarity.
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
                 yield batch(schema, b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), [len(s) for s in sets], digests[:, 0], digests[:, 1], lists)
 
-    return _wide(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, text_key long, n long, d1 long, d2 long, sketch array<long>")
+    return _wide(docs, id_col, text_col).mapInArrow(lean(run), f"id {id_type}, text_key long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _slots(classes: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], tuple]) -> Data
     """(a, b, alone): forests of the links within each group; ``alone`` if the group was one block."""
     keys = [key, "lo", "hi"]
     dealt = _in_blocks(rows, key).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(_linker(links), "a long, b long, alone boolean")
+    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(lean(_linker(links)), "a long, b long, alone boolean")
 
 
 def _full_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -318,7 +318,7 @@ def _full_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
     wide = _wide(docs, id_col, text_col)
     found = wide.join(keys, wide["id"].eqNullSafe(keys["want_id"]) & (wide["text_key"] == keys["want_key"]), "left_semi")
-    return found.select("text").mapInArrow(run, "d1 long, d2 long, s binary").dropDuplicates(["d1", "d2"])
+    return found.select("text").mapInArrow(lean(run), "d1 long, d2 long, s binary").dropDuplicates(["d1", "d2"])
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

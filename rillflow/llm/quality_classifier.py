@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .session import batch
+from .session import batch, lean
 
 SAMPLE_ROWS = 4096
 #: log2 of the number of buckets.
@@ -149,4 +149,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = shared.value.scores(data, at)
                 yield batch(schema, b.column(0).slice(lo, hi - lo), s, (s >= threshold).astype(np.int32))
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {id_type}, score double, predicted int")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .session import batch, quoted
+from .session import batch, lean, quoted
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -214,7 +214,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text",
             yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "seconds": seconds, "rejected": rejected, "n": n})
 
     for rows in (texts.sample(0.01, seed=5), texts):
-        tried = rows.limit(sample_rows).mapInArrow(run, "rule long, seconds double, rejected long, n long")
+        tried = rows.limit(sample_rows).mapInArrow(lean(run), "rule long, seconds double, rejected long, n long")
         found = {r.rule: (r.seconds, r.rejected, r.n) for r in tried.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "n"))).collect()}
         if found:
             return ranked(rules, [found[k] for k in range(len(rules))])
@@ -232,7 +232,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES,
                 kept = passes(Texts(data, at), rules)
                 yield b.slice(lo, hi - lo).take(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: Sequence[Rule] = BASE_RULES, more: Sequence[Rule] = MORE_RULES) -> DataFrame:
@@ -258,5 +258,5 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield batch(schema, b.column(0).slice(lo, hi - lo), *measures, failed, kept)
 
     return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(
-        run, f"{quoted(id_col)} {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
+        lean(run), f"{quoted(id_col)} {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
     )

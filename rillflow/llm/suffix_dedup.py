@@ -36,7 +36,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import text as T
 from .near_dedup import groups
-from .session import quoted
+from .session import lean, quoted
 
 LENGTH = 100
 LEAD = 32
@@ -451,19 +451,19 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
     id_, text = F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit(""))
     key = F.xxhash64(id_, F.xxhash64(text))
-    blobs = docs.where(F.octet_length(text) >= LENGTH).select(key, text).mapInArrow(_leads(n_buckets), "bucket int, leads binary, keys binary, suffixes binary")
+    blobs = docs.where(F.octet_length(text) >= LENGTH).select(key, text).mapInArrow(lean(_leads(n_buckets)), "bucket int, leads binary, keys binary, suffixes binary")
     dealt = blobs.repartition("bucket").sortWithinPartitions("bucket")
-    marked = dealt.mapInArrow(_repeated, "key long, suffix long").groupBy("key").agg(F.collect_set("suffix").alias("suffixes"))
+    marked = dealt.mapInArrow(lean(_repeated), "key long, suffix long").groupBy("key").agg(F.collect_set("suffix").alias("suffixes"))
     # both joins below take all of these columns, so that Spark shuffles the texts once
     others = F.struct(F.col(quoted(text_col)).isNull().alias("no_text"), *(F.col(quoted(c)) for c in docs.columns if c != text_col))
     wide = docs.select(others.alias("row"), id_.alias("id"), F.xxhash64(text).alias("text_key"), key.alias("doc_key"), text.alias("text"))
     packed = StructType([*wide.schema.fields[:4], StructField("packed", BinaryType())])
-    wide = wide.mapInArrow(_packer(4), packed).repartition("doc_key")
+    wide = wide.mapInArrow(lean(_packer(4)), packed).repartition("doc_key")
     met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
-    cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(_cutter(), f"id {id_type}, text_key long, place long, suffix binary, before binary")
+    cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(lean(_cutter()), f"id {id_type}, text_key long, place long, suffix binary, before binary")
     ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place").sortWithinPartitions("suffix")
-    found = ranged.mapInArrow(_within(n_buckets), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, ends array<long>, strings binary")
-    spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_again, f"id {id_type}, text_key long, start long, end long")
+    found = ranged.mapInArrow(lean(_within(n_buckets)), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, ends array<long>, strings binary")
+    spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_met_again), f"id {id_type}, text_key long, start long, end long")
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
     spans = spans.groupBy(F.xxhash64("id", "text_key").alias("key")).agg(F.collect_list(span).alias("spans"))
     joined = wide.join(spans.hint("shuffle_hash"), wide["doc_key"] == spans["key"], "left")
@@ -509,7 +509,7 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _with_spans(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col)
-    return rows.mapInArrow(run, f"{quoted(id_col)} {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(lean(run), f"{quoted(id_col)} {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -524,4 +524,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(fields, names=docs_names)
 
     docs_names = docs.columns
-    return _with_spans(docs, id_col, text_col).mapInArrow(run, docs.schema)
+    return _with_spans(docs, id_col, text_col).mapInArrow(lean(run), docs.schema)
