@@ -43,6 +43,8 @@ SEGMENT = 8_192
 FAN = 8
 #: Tokens on each side of a join in the first window.
 WINDOW = 16
+#: Fixed value: the usual pattern of byte-level vocabularies. It never matches across a space that follows something else.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters after a split that can have a say in it, beside a special string that begins among them: the longest
 #: of the pattern's suffixes, and one to look ahead.
 AHEAD = 4
@@ -68,6 +70,7 @@ class Codec:
         self.whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.path = path
+        self.usual = pattern == USUAL and not any(" " in s for s in special)
         self.sizes = {i: len(b) for b, i in ranks.items()} | {i: len(t.encode()) for t, i in special.items()}
         self.margin = AHEAD + max(map(len, special), default=0)
         self._special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
@@ -97,6 +100,15 @@ class Codec:
                 yield found.start(), found.end(), True
                 at = found.end()
 
+    def sure_split(self, text: str) -> int | None:
+        """The last place where the usual pattern splits whatever stands around it, if there is one; elsewhere none is known."""
+        at = len(text) - self.margin if self.usual else 0
+        while at > 0 and (at := text.rfind(" ", 1, at + 1)) > 0:
+            if not text[at - 1].isspace():
+                return at
+            at -= 1
+        return None
+
     def part(self, text: str, special: bool) -> list[int]:
         return [self.special[text]] if special else self.piece._encode_single_piece(text.encode())
 
@@ -121,7 +133,11 @@ class Node:
 
 
 def leaf(text: str, c: Codec) -> Node:
-    ids: list[int] = []
+    at = c.sure_split(text)
+    if at is not None:
+        ids = c.encode(text)
+        return Node(ids, _back(ids, len(text[at:].encode()), c))
+    ids = []
     sure = 0
     for a, b, special in c.pre_tokens(text):
         if a + c.margin <= len(text):

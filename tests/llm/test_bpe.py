@@ -54,6 +54,17 @@ def test_texts_cut_anywhere(library):
                     assert bpe.tree(nodes, c, window).ids == want
 
 
+def test_sure_splits_are_splits(library):
+    rng, c = random.Random(4), bpe.codec(PATH, PATTERN)
+    assert c.usual
+    for kind in KINDS:
+        text = "".join(rng.choice(kind) for _ in range(300))
+        at = c.sure_split(text)
+        assert at is None or at in {a for a, _, _ in c.pre_tokens(text)} and at <= 300 - c.margin
+        node = bpe.leaf(text, c)
+        assert node.ids == library.encode(text, add_special_tokens=False).ids and (at is None or c.spell(node.ids[-node.tail :]).decode() == text[at:])
+
+
 def test_special_strings_across_cuts(library):
     c = bpe.codec(PATH, PATTERN)
     for text in ("<|endoftext|>" * 3, "a<|endoftext|> b", "x <|endoftext|><|endoftext|", "  <|endoftext|>\n\n<|endoftext|>'s", "<|endof<|endoftext|>text|>"):
