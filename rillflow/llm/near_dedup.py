@@ -14,7 +14,7 @@ No list is cut short and no pair of a large list is written out:
 * Values of at most ``COLD`` classes give all their pairs. The lists of more frequent
   values are dealt out in pairs of blocks of ``BLOCK`` classes. Inside a pair of blocks,
   sketches are compared by matrix products and only a spanning forest of what is similar
-  leaves the task.
+  leaves the task, without what the blocks' own links join already.
 * The first ``EARLY`` frequent values of each class are looked up first, as they bring
   most copies together. Of all frequent values, those lists follow that still can join
   something: not lists whose classes are all in one candidate component by then, nor lists
@@ -57,7 +57,7 @@ WIDTH = 5
 LEAST = 75
 SKETCH = 64
 COLD = 16
-EARLY = 6
+EARLY = 4
 #: Classes, and values of their sets, in a block.
 BLOCK, BLOCK_VALUES = 512, 1 << 19
 #: Up to so many ids of classes to compare are broadcast to the second scan; more are joined by a shuffle.
@@ -250,6 +250,26 @@ def _forest(linked: np.ndarray, nodes: np.ndarray, sure: Callable[[int, int], bo
     return nodes[order][apart], nodes[order][root[apart]]
 
 
+def _bridges(linked: np.ndarray, own: np.ndarray, nodes: np.ndarray, sure: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) that join what two blocks' own links leave apart; a block's own links come from its own pair of blocks."""
+    inside = linked & (own[:, None] == own[None, :])
+    a, b = _forest(inside, nodes, sure)
+    place = {n: i for i, n in enumerate(nodes.tolist())}
+    label = np.arange(len(nodes))
+    label[[place[n] for n in a.tolist()]] = [place[n] for n in b.tolist()]
+    names, label = np.unique(label, return_inverse=True)
+    across = linked & (own[:, None] != own[None, :])
+    while True:
+        i, j = np.nonzero(across)
+        pair = np.full((len(names), len(names)), -1)
+        pair[label[i], label[j]] = np.arange(len(i))
+        links = [pair[x, y] for x, y in _tree(pair >= 0)]
+        wrong = [k for k in links if sure and not sure(i[k], j[k])]
+        if not wrong:
+            return nodes[i[links]], nodes[j[links]]
+        across[i[wrong], j[wrong]] = across[j[wrong], i[wrong]] = False
+
+
 def _by_estimate(group: pa.Table) -> tuple[np.ndarray, None]:
     sketch = [np.asarray(x, np.int64) for x in group["s"].to_pylist()]
     common = overlaps(sketch)
@@ -287,9 +307,8 @@ def _linker(links: Callable[[pa.Table], tuple]):
         for group in groups(batches, 3):
             own = group["own"].to_numpy()
             linked, sure = links(group)
-            if own.min() != own.max():  # within one block, the block's own pair does it
-                linked &= own[:, None] != own[None, :]
-            a, b = _forest(linked, group["node"].to_numpy(), sure)
+            nodes = group["node"].to_numpy()
+            a, b = _forest(linked, nodes, sure) if own.min() == own.max() else _bridges(linked, own, nodes, sure)
             yield batch(schema, a, b, np.full(len(a), group["blocks"][0].as_py() == 1))
 
     return run

@@ -139,6 +139,20 @@ def test_overlaps():
     assert all(got[i, j] == want[i][j] for i in range(6) for j in range(6) if i != j)
 
 
+def test_bridges_between_blocks():
+    rng = np.random.default_rng(3)
+    for chance in (0.0, 0.02, 0.05, 0.3):
+        linked = np.triu(rng.random((40, 40)) < chance, 1)
+        linked |= linked.T
+        false = np.triu(rng.random((40, 40)) < 0.2, 1)
+        sure = lambda i, j: not (false | false.T)[i, j]  # noqa: E731, B023
+        nodes, own = rng.permutation(40) + 100, np.arange(40) % 2
+        parts = [N._bridges(linked, own, nodes, sure)] + [N._forest(linked[np.ix_(own == k, own == k)], nodes[own == k], lambda i, j, k=k: sure(2 * i + k, 2 * j + k)) for k in (0, 1)]
+        got = N._forest(np.isin(np.arange(1600), [np.flatnonzero(nodes == a)[0] * 40 + np.flatnonzero(nodes == b)[0] for x in parts for p in (x, x[::-1]) for a, b in zip(*p, strict=True)]).reshape(40, 40), nodes)
+        want = N._forest(linked & ~(false | false.T), nodes)
+        assert set(zip(*got, strict=True)) == set(zip(*want, strict=True)) and sum(len(x[0]) for x in parts) <= 39
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (95, 100), (100, 90)] + [(200, i) for i in range(201, 260)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
