@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rillflow.llm import decontaminate as D
@@ -37,8 +38,10 @@ def items():
     return [*enumerate(long), (4, long[0]), (5, "Only-three Words"), (6, "one"), (7, "two words"), (8, ""), (9, None), (10, "!!"), (None, "null item has these five"), (10, long[1] + " " + long[2])]
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_against_every_window(spark, docs, awkward, items, block):
+@pytest.mark.parametrize("size", [0, 1 << 20])
+def test_against_every_window(spark, docs, awkward, items, monkeypatch, size):
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", size)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", size)
     rng = random.Random(8)
     rows = list(awkward)
     for n in range(60):
@@ -46,12 +49,15 @@ def test_against_every_window(spark, docs, awkward, items, block):
         w = a.split()
         i = rng.randrange(len(w))
         rows.append((1000 + n, f"{rng.choice(['', 'the of a '])}{', '.join(w[i : i + rng.choice([9, 10, 14])])} {rng.choice(['tail', '', 'ONE', 'null item has these five'])}"))
-    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_words", "text as hit_words")
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_words", "text as hit_words", "2 as k1", "3 as `a b`", "4 as kept", "5 as items")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = D.find_leaks(table, bench, block_windows=block)
-    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in got.collect()]
+    found = D.find_leaks(table, bench, keep=["a b", "items", "hit_words", "kept", "n_words", "text"] if size else ())
+    assert found.columns == ["doc_id", *(["a b", "hit_words", "kept", "text"] if size else []), "n_words", "n_hit", "hit_spans", "items"]
+    found = found.cache()
+    assert not size or found.where("`a b` <> 3 or kept <> 4 or not (text <=> hit_words)").count() == 0
+    got = [(r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in found.collect()]
     assert Counter(got) == Counter(plain(rows, items))
-    if block == 1000:
+    if size:
         assert Counter(map(tuple, D.leak_report(table, bench).collect())) == Counter(got)
 
 
@@ -61,6 +67,14 @@ def test_spans(spark):
     assert D.find_leaks(rows, bench).first().hit_spans == [1, 7, 8, 11]
 
 
+def test_filter_passes_what_it_holds(spark, monkeypatch):
+    monkeypatch.setattr(D, "FILTER_BITS", 1 << 13)
+    rng = np.random.default_rng(2)
+    inside, outside = (rng.integers(-(1 << 63), 1 << 63, 400) for _ in range(2))
+    look = D.Filter(spark.createDataFrame([(int(x),) for x in inside], "shingle long"))
+    assert look.n_bits == 1 << 13 and len(look.passed(inside)) == 400 and len(look.passed(outside)) < 40
+
+
 def test_empty_tables(spark, docs, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
