@@ -1,13 +1,18 @@
 """License scan by conditional compression.
 
 Words of a notice that must survive if it is to count as that notice (its longest ones,
-one more than may differ) name candidate blocks around them. Each block is compressed
-alone and with each template as a raw zstandard dictionary; templates are ranked by how
-much smaller it gets, and confirmed in that order by the exact number of words that must
-be inserted, dropped or replaced to turn the template into some part of the block, until
-none that is left can do better than the winner. A
-notice counts with at most a fifth of its words different. Of notices that overlap, the
-one with the smaller share of differences stays, then the longer, then the earlier.
+one more than may differ) name candidate blocks around them; a long run of blocks is cut
+into overlapping blocks of twice the longest notice, so that work grows in proportion to
+the text. A template of which a block lacks more words than may differ is no candidate in
+it. The block is compressed alone and with each candidate as a raw zstandard dictionary;
+candidates are ranked by how much smaller it gets. The winner, with those that come within
+``MARGIN`` bytes of it, is confirmed by the exact number of words that must be inserted,
+dropped or replaced to turn the template into some part of the block, at most a fifth of
+its words; the one with the smallest share of differences counts. Only if none of them is
+confirmed is the next in the ranking tried. What is left of the block is looked at again.
+
+Of notices that overlap, the one with the smaller share of differences stays, then the
+longer, then the earlier.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, once A-Z are lower-cased. Every text
 is read whole in one pass over the scan, without a shuffle. Null and empty texts hold no
@@ -16,6 +21,7 @@ notice; repeated rows are scanned each on its own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from functools import cached_property
 
@@ -26,33 +32,14 @@ from pyspark.sql import DataFrame
 
 from . import text as T
 from .decontaminate import _Docs, _hash_words, _item_words
-from .session import batch, lean
-
-#: The usual wording of notices, by SPDX id.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
-    ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-}
+from .license_texts import TEMPLATES
+from .session import batch, lean, quoted
+
+LEVEL = 3
+#: Bytes of size reduction by which rivals may miss the winner and still be confirmed beside it: what a
+#: compressor's framing and a few words more or less in the dictionary can make.
+MARGIN = 12
+
 
 def allowed(n_words: int) -> int:
     return n_words // 5
@@ -60,17 +47,18 @@ def allowed(n_words: int) -> int:
 
 def differences(template: Sequence, block: Sequence) -> tuple[int, int, int]:
     """(fewest word edits, start, end) of the part of the block nearest to the template; the earliest such part, then the shortest."""
-    n = len(block)
-    cost, start = [0] * (n + 1), list(range(n + 1))
-    for i, word in enumerate(template, 1):
-        new, begun = [i], [0]
-        for j in range(1, n + 1):
-            best = min((cost[j - 1] + (block[j - 1] != word), start[j - 1]), (cost[j] + 1, start[j]), (new[j - 1] + 1, begun[j - 1]))
-            new.append(best[0])
-            begun.append(best[1])
-        cost, start = new, begun
-    edits, begin, end = min((cost[j], start[j], j) for j in range(n + 1))
-    return edits, begin, end
+    numbers: dict = {}
+    words = np.array([numbers.setdefault(w, len(numbers)) for w in block], np.int64)
+    # edits << 32 | start, so that the smaller number has fewer edits, then the earlier start
+    one = np.int64(1) << 32
+    best = np.arange(len(words) + 1)
+    steps = np.arange(len(words) + 1) * one
+    for word in template:
+        new = best + one
+        np.minimum(new[1:], best[:-1] + one * (words != numbers.get(word, -1)), out=new[1:])
+        best = np.minimum.accumulate(new - steps) + steps
+    end = int(best.argmin())
+    return int(best[end] >> 32), int(best[end] & 0xFFFFFFFF), end
 
 
 class _Template:
@@ -78,6 +66,7 @@ class _Template:
         self.license_id, self.words = license_id, _item_words(wording)
         self.text = b" ".join(self.words)
         self.slack = allowed(len(self.words))
+        self.times = Counter(self.words)
         distinct = sorted(dict.fromkeys(self.words), key=lambda w: (-len(w), w))
         #: Where each word that must survive stands; words that stand at several places count for each.
         need, names = self.slack + 1, []
@@ -90,7 +79,18 @@ class _Template:
 
     @cached_property
     def compressor(self) -> zstandard.ZstdCompressor:
-        return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(self.text, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        known = zstandard.ZstdCompressionDict(self.text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
+
+    def may_fit(self, times: Mapping[bytes, int]) -> bool:
+        """Whether a block with these words has enough of the template's; each difference costs one at most."""
+        lacking = self.slack
+        for word, n in self.times.items():
+            lacking -= max(0, n - times.get(word, 0))
+            if lacking < 0:
+                return False
+        return True
 
 
 class Scanner:
@@ -101,10 +101,16 @@ class Scanner:
         order = np.argsort(hashes)
         self.table = hashes[order]
         self.places = [[(t, i) for t in self.templates for w, i in t.anchors if w == words[o]] for o in order]
-        self.plain = zstandard.ZstdCompressor(level=3)
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
+        self.longest = max((len(t.words) + t.slack for t in self.templates), default=1)
 
     def blocks(self, d: _Docs) -> Iterator[tuple[int, int]]:
-        """Word ranges of candidate blocks; those that overlap are one."""
+        """Word ranges of candidate blocks; those that overlap are one, cut to what any notice fits in whole."""
+        for a, z in self._ranges(d):
+            for lo in range(a, max(a + 1, z - self.longest), self.longest):
+                yield lo, min(z, lo + 2 * self.longest)
+
+    def _ranges(self, d: _Docs) -> Iterator[tuple[int, int]]:
         where = np.minimum(np.searchsorted(self.table, d.hashes), len(self.table) - 1)
         found = np.flatnonzero(self.table[where] == d.hashes)
         held: tuple[int, int] | None = None
@@ -123,32 +129,48 @@ class Scanner:
         if held:
             yield held
 
-    def notices(self, words: list[bytes]) -> list[tuple[int, int, int, str]]:
-        """(start, end, differences, license) of the notices in one block."""
+    def ranking(self, part: Sequence[bytes]) -> list[tuple[int, _Template]]:
+        """(bytes saved, template) of the candidates in a block, the most first."""
+        times = Counter(part)
+        fit = [t for t in self.templates if t.may_fit(times)]
+        if not fit:
+            return []
+        block = b" ".join(part)
+        alone = len(self.plain.compress(block))
+        return sorted(((alone - len(t.compressor.compress(block)), t) for t in fit), key=lambda x: -x[0])
+
+    def winner(self, part: Sequence[bytes]) -> tuple | None:
+        """(share of differences, -words, start, end, differences, license) of the notice that the ranking and the wording name."""
+        ranked = self.ranking(part)
+        while ranked:
+            rivals = [t for saved, t in ranked if saved >= ranked[0][0] - MARGIN]
+            found = [(edits / len(t.words), -len(t.words), a, z, edits, t.license_id) for t in rivals for edits, a, z in [differences(t.words, part)] if edits <= t.slack]
+            if found:
+                return min(found)
+            ranked = ranked[len(rivals) :]
+        return None
+
+    def notices(self, words: list[bytes]) -> list[tuple]:
+        """Like ``winner``, of all notices in one block."""
         out = []
         todo = [(0, len(words))]
         while todo:
             lo, hi = todo.pop()
-            part = words[lo:hi]
-            if not part:
-                continue
-            block = b" ".join(part)
-            alone = len(self.plain.compress(block))
-            ranked = sorted(((len(t.compressor.compress(block)) - alone, k) for k, t in enumerate(self.templates)))
-            best = None
-            here = set(part)
-            for _, k in ranked:
-                t = self.templates[k]
-                if not any(w in here for w, _ in t.anchors) or best and best[0] == 0 and len(t.words) < -best[1]:
-                    continue  # it can't fit, or can't fit better
-                edits, a, z = differences(t.words, part)
-                if edits <= t.slack:
-                    found = (edits / len(t.words), -len(t.words), lo + a, lo + z, edits, t.license_id)
-                    best = min(best, found) if best else found
+            best = self.winner(words[lo:hi])
             if best:
-                out.append((best[2], best[3], best[4], best[5]))
-                todo += [(lo, best[2]), (best[3], hi)]
-        return sorted(out)
+                share, size, a, z, edits, name = best
+                out.append((share, size, lo + a, lo + z, edits, name))
+                todo += [(lo, lo + a), (lo + z, hi)]
+        return out
+
+
+def apart(found: Sequence[tuple]) -> list[tuple]:
+    """The notices that stay where some overlap, in order of their place."""
+    kept: list[tuple] = []
+    for x in sorted(set(found)):
+        if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: x[2])
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
@@ -163,11 +185,14 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             schema = pa.schema([(id_col, b.schema.field(0).type), ("notices", kind)])
             for lo, hi, data, at in T.blocks(b.column(1)):
                 d = _Docs(data, at)
-                found: list[list[dict]] = [[] for _ in range(hi - lo)]
+                found: list[list[tuple]] = [[] for _ in range(hi - lo)]
                 for a, z in scanner.blocks(d):
-                    t, base = int(d.text[a]), a - int(d.first[d.text[a]])
+                    t = int(d.text[a])
+                    base = a - int(d.first[t])
                     words = [d.raw[d.starts[k] : d.ends[k]] for k in range(a, z)]
-                    found[t] += [{"license": name, "start": base + s, "end": base + e, "differences": n} for s, e, n, name in scanner.notices(words)]
-                yield batch(schema, b.column(0).slice(lo, hi - lo), found)
+                    found[t] += [(share, size, base + s, base + e, n, name) for share, size, s, e, n, name in scanner.notices(words)]
+                notices = [[{"license": name, "start": s, "end": e, "differences": n} for _, _, s, e, n, name in apart(own)] for own in found]
+                yield batch(schema, b.column(0).slice(lo, hi - lo), notices)
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {id_type}, notices array<struct<license: string, start: long, `end`: long, differences: long>>")
+    columns = f"{quoted(id_col)} {id_type}, notices array<struct<license: string, start: long, `end`: long, differences: long>>"
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(lean(run), columns)
