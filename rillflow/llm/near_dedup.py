@@ -15,9 +15,9 @@ No list is cut short and no pair of a large list is written out:
   values are dealt out in pairs of blocks of ``BLOCK`` classes. Inside a pair of blocks,
   sketches are compared by matrix products and only a spanning forest of what is similar
   leaves the task, without what the blocks' own links join already.
-* The first ``EARLY`` frequent values of each class are looked up first, as they bring
-  most copies together. Of all frequent values, those lists follow that still can join
-  something: not lists whose classes are all in one candidate component by then, nor lists
+* In the lists of the first ``EARLY`` frequent values of each class, all classes are at first
+  held against one block alone, as that brings most copies together. Then, of all frequent
+  values, those lists follow in whole that still can join something: not lists whose classes are all in one candidate component by then, nor lists
   whose classes all have one and the same frequent value just before, whose list holds
   them all.
 * Connected candidates are then compared in full, again in blocks and by matrix products
@@ -57,7 +57,7 @@ WIDTH = 5
 LEAST = 75
 SKETCH = 64
 COLD = 16
-EARLY = 4
+EARLY = 6
 #: Classes, and values of their sets, in a block.
 BLOCK, BLOCK_VALUES = 512, 1 << 19
 #: Up to so many ids of classes to compare are broadcast to the second scan; more are joined by a shuffle.
@@ -158,13 +158,17 @@ def _similar_pairs(slots: DataFrame, short: DataFrame) -> DataFrame:
     return with_b.where(both * SKETCH >= F.size(union) * _least_shared()).select("a", "b")
 
 
-def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """Each row once for every pair of blocks of its group that it belongs to: columns lo and hi name the pair, own the row's block."""
+def _in_blocks(rows: DataFrame, key: str, one_block: bool = False) -> DataFrame:
+    """Each row once for every pair of blocks of its group that it belongs to: columns lo and hi name the pair, own the row's block.
+
+    All pairs of blocks, or just those with the first block in them.
+    """
     n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("weight") / BLOCK_VALUES)).cast("int")
     # few groups are that large, and only they take part in the join
     large = rows.groupBy(key).agg(n_blocks.alias("blocks")).where("blocks > 1")
     placed = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = placed.withColumn("other", F.explode(F.when(F.col("own") == 0, others).otherwise(F.array(F.lit(0))) if one_block else others))
     return pairs.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
@@ -275,7 +279,7 @@ def _by_estimate(group: pa.Table) -> tuple[np.ndarray, None]:
     common = overlaps(sketch)
     last = np.array([s[-1] if len(s) == SKETCH else 1 << 62 for s in sketch])
     # values of either sketch up to the last value that both cover
-    upto = np.stack([np.searchsorted(s, last, "right") for s in sketch])
+    upto = np.stack([np.searchsorted(s, last, "right").astype(np.int32) for s in sketch])
     union = upto + upto.T - common
     return common * SKETCH >= union * _least_shared(), None
 
@@ -300,7 +304,7 @@ def _by_sets(group: pa.Table) -> tuple[np.ndarray, Callable[[int, int], bool]]:
     return common * 100 >= (size[:, None] + size[None, :] - common) * LEAST, lambda i, j: linked_sets(plain(int(i)), plain(int(j)))
 
 
-def _linker(links: Callable[[pa.Table], tuple]):
+def _linker(links: Callable[[pa.Table], tuple], one_block: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alone", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,17 +312,18 @@ def _linker(links: Callable[[pa.Table], tuple]):
             own = group["own"].to_numpy()
             linked, sure = links(group)
             nodes = group["node"].to_numpy()
-            a, b = _forest(linked, nodes, sure) if own.min() == own.max() else _bridges(linked, own, nodes, sure)
+            # among all pairs of blocks, a block's own pair gives what lies inside it
+            a, b = _forest(linked, nodes, sure) if one_block or own.min() == own.max() else _bridges(linked, own, nodes, sure)
             yield batch(schema, a, b, np.full(len(a), group["blocks"][0].as_py() == 1))
 
     return run
 
 
-def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], tuple]) -> DataFrame:
+def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], tuple], one_block: bool = False) -> DataFrame:
     """(a, b, alone): forests of the links within each group; ``alone`` if the group was one block."""
     keys = [key, "lo", "hi"]
-    dealt = _in_blocks(rows, key).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(lean(_linker(links)), "a long, b long, alone boolean")
+    dealt = _in_blocks(rows, key, one_block).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(lean(_linker(links, one_block)), "a long, b long, alone boolean")
 
 
 def _full_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -351,12 +356,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slots = settled(_slots(classes))
     whole = classes.select("node", F.col("sketch").alias("s"), F.lit(1).alias("weight"))
 
-    def compared(lists: DataFrame) -> DataFrame:
-        return _link(lists.select("value", "node").join(whole, "node"), "value", _by_estimate).select("a", "b")
+    def compared(lists: DataFrame, one_block: bool) -> DataFrame:
+        return _link(lists.select("value", "node").join(whole, "node"), "value", _by_estimate, one_block).select("a", "b")
 
     frequent = slots.where("hot")
-    early = settled(_similar_pairs(slots, short).unionByName(compared(frequent.where(F.col("nth") < EARLY))))
-    rest = compared(_open_lists(frequent, connected(early)))
+    early = settled(_similar_pairs(slots, short).unionByName(compared(frequent.where(F.col("nth") < EARLY), True)))
+    rest = compared(_open_lists(frequent, connected(early)), False)
     candidates = settled(connected(early.unionByName(rest)).join(classes.select("node", "rep", "n", *same), "node"))
     texts = _full_texts(docs, candidates, id_col, text_col)
     rows = candidates.select("root", "node", F.col("n").alias("weight"), *same).join(texts, same).select("root", "node", "weight", "s")
