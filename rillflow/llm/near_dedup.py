@@ -17,9 +17,10 @@ No list is cut short and no pair of a large list is written out:
   leaves the task, without what the blocks' own links join already.
 * In the lists of the first ``EARLY`` frequent values of each class, all classes are at first
   held against one block alone, as that brings most copies together. Then, of all frequent
-  values, those lists follow in whole that still can join something: not lists whose classes are all in one candidate component by then, nor lists
-  whose classes all have one and the same frequent value just before, whose list holds
-  them all.
+  values, those lists follow in whole that still can join something: not lists whose
+  classes are all in one candidate component by then, nor lists whose classes all have one
+  and the same frequent value just before, whose list holds them all. In a list that
+  follows, the classes of its largest component are held against the others only.
 * Connected candidates are then compared in full, again in blocks and by matrix products
   of membership, and again only spanning forests leave a task. Each link of such a forest
   is held against the words of its two texts before it counts.
@@ -44,7 +45,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -136,12 +137,13 @@ def _slots(classes: DataFrame) -> DataFrame:
 
 
 def _open_lists(frequent: DataFrame, roots: DataFrame) -> DataFrame:
-    """(value, node) of the frequent values whose lists can still join something."""
+    """(value, node, most) of the frequent values whose lists can still join something; ``most`` marks a list's largest component."""
     placed = frequent.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lists = placed.groupBy("value").agg(F.count("*").alias("n"), F.count("before").alias("n_before"), *(f(c).alias(f"{name}_{c}") for c in ("root", "before") for name, f in (("min", F.min), ("max", F.max))))
-    inside = (F.col("n_before") == F.col("n")) & (F.col("min_before") == F.col("max_before"))
-    wanted = lists.where((F.col("min_root") < F.col("max_root")) & ~inside).select("value")
-    return placed.join(wanted, "value", "left_semi").select("value", "node")
+    parts = placed.groupBy("value", "root").agg(F.count("*").alias("n"), F.count("before").alias("n_before"), F.min("before").alias("low"), F.max("before").alias("high"))
+    lists = parts.groupBy("value").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.sum("n_before").alias("n_before"), F.min("low").alias("low"), F.max("high").alias("high"))
+    inside = (F.col("n_before") == F.col("n")) & (F.col("low") == F.col("high"))
+    wanted = lists.where((F.col("roots") > 1) & ~inside).select("value", "largest")
+    return placed.join(wanted, "value").select("value", "node", (F.col("root") == F.col("largest")).alias("most"))
 
 
 def _similar_pairs(slots: DataFrame, short: DataFrame) -> DataFrame:
@@ -158,18 +160,41 @@ def _similar_pairs(slots: DataFrame, short: DataFrame) -> DataFrame:
     return with_b.where(both * SKETCH >= F.size(union) * _least_shared()).select("a", "b")
 
 
-def _in_blocks(rows: DataFrame, key: str, one_block: bool = False) -> DataFrame:
-    """Each row once for every pair of blocks of its group that it belongs to: columns lo and hi name the pair, own the row's block.
+def _blocked(rows: DataFrame, key: str, blocks: list, own: Column, others: Column) -> DataFrame:
+    """Each row once for every pair of blocks that it takes part in: columns lo and hi name the pair, own the row's block.
 
-    All pairs of blocks, or just those with the first block in them.
+    ``blocks`` gives aggregates of large groups, the first of them the number of blocks,
+    from which ``own`` and ``others`` tell the row's block and those that it meets.
     """
-    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("weight") / BLOCK_VALUES)).cast("int")
     # few groups are that large, and only they take part in the join
-    large = rows.groupBy(key).agg(n_blocks.alias("blocks")).where("blocks > 1")
-    placed = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = placed.withColumn("other", F.explode(F.when(F.col("own") == 0, others).otherwise(F.array(F.lit(0))) if one_block else others))
-    return pairs.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+    large = rows.groupBy(key).agg(*blocks).where("blocks > 1")
+    placed = rows.join(large, key, "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(own).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)))
+    return pairs.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0), (n - 1).cast("int"))
+
+
+def _every_pair(rows: DataFrame, key: str) -> DataFrame:
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("weight") / BLOCK_VALUES)).cast("int").alias("blocks")
+    return _blocked(rows, key, [n_blocks], F.pmod(F.xxhash64("node"), F.col("blocks")), _upto(F.col("blocks")))
+
+
+def _with_the_first(rows: DataFrame, key: str) -> DataFrame:
+    """All blocks with the first one only."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    return _blocked(rows, key, [F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")], own, F.when(own == 0, _upto(F.col("blocks"))).otherwise(F.array(F.lit(0))))
+
+
+def _with_the_others(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks of the rows marked ``most`` with those of the others, which come first in number, and these with one another."""
+    others = F.greatest(F.ceil(F.count_if(~F.col("most")) / BLOCK), F.lit(1))
+    most = F.greatest(F.ceil(F.count_if("most") / BLOCK), F.lit(1))
+    n_blocks = F.when(F.count("*") > BLOCK, others + most).otherwise(1).cast("int").alias("blocks")
+    spread = F.when(F.col("most"), F.col("n_others") + F.pmod(F.xxhash64("node"), F.col("blocks") - F.col("n_others"))).otherwise(F.pmod(F.xxhash64("node"), F.col("n_others")))
+    return _blocked(rows, key, [n_blocks, others.cast("int").alias("n_others")], spread, _upto(F.when(F.col("most"), F.col("n_others")).otherwise(F.col("blocks"))))
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -304,7 +329,7 @@ def _by_sets(group: pa.Table) -> tuple[np.ndarray, Callable[[int, int], bool]]:
     return common * 100 >= (size[:, None] + size[None, :] - common) * LEAST, lambda i, j: linked_sets(plain(int(i)), plain(int(j)))
 
 
-def _linker(links: Callable[[pa.Table], tuple], one_block: bool):
+def _linker(links: Callable[[pa.Table], tuple], own_pairs: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alone", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,18 +337,18 @@ def _linker(links: Callable[[pa.Table], tuple], one_block: bool):
             own = group["own"].to_numpy()
             linked, sure = links(group)
             nodes = group["node"].to_numpy()
-            # among all pairs of blocks, a block's own pair gives what lies inside it
-            a, b = _forest(linked, nodes, sure) if one_block or own.min() == own.max() else _bridges(linked, own, nodes, sure)
+            # what lies inside a block is known or comes from its own pair, where there are own pairs
+            a, b = _bridges(linked, own, nodes, sure) if own_pairs and own.min() != own.max() else _forest(linked, nodes, sure)
             yield batch(schema, a, b, np.full(len(a), group["blocks"][0].as_py() == 1))
 
     return run
 
 
-def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], tuple], one_block: bool = False) -> DataFrame:
+def _link(rows: DataFrame, key: str, links: Callable[[pa.Table], tuple], deal: Callable[[DataFrame, str], DataFrame] = _every_pair) -> DataFrame:
     """(a, b, alone): forests of the links within each group; ``alone`` if the group was one block."""
     keys = [key, "lo", "hi"]
-    dealt = _in_blocks(rows, key, one_block).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(lean(_linker(links, one_block)), "a long, b long, alone boolean")
+    dealt = deal(rows, key).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "own", "blocks", "node", "s").mapInArrow(lean(_linker(links, deal is not _with_the_first)), "a long, b long, alone boolean")
 
 
 def _full_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -354,14 +379,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the upper half of a value keeps the order and is distinct enough for an estimate
     short = classes.select("node", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("s"))
     slots = settled(_slots(classes))
-    whole = classes.select("node", F.col("sketch").alias("s"), F.lit(1).alias("weight"))
+    whole = classes.select("node", F.col("sketch").alias("s"))
 
-    def compared(lists: DataFrame, one_block: bool) -> DataFrame:
-        return _link(lists.select("value", "node").join(whole, "node"), "value", _by_estimate, one_block).select("a", "b")
+    def compared(lists: DataFrame, deal: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        return _link(lists.join(whole, "node"), "value", _by_estimate, deal).select("a", "b")
 
     frequent = slots.where("hot")
-    early = settled(_similar_pairs(slots, short).unionByName(compared(frequent.where(F.col("nth") < EARLY), True)))
-    rest = compared(_open_lists(frequent, connected(early)), False)
+    early = settled(_similar_pairs(slots, short).unionByName(compared(frequent.where(F.col("nth") < EARLY).select("value", "node"), _with_the_first)))
+    rest = compared(_open_lists(frequent, connected(early)), _with_the_others)
     candidates = settled(connected(early.unionByName(rest)).join(classes.select("node", "rep", "n", *same), "node"))
     texts = _full_texts(docs, candidates, id_col, text_col)
     rows = candidates.select("root", "node", F.col("n").alias("weight"), *same).join(texts, same).select("root", "node", "weight", "s")
