@@ -29,11 +29,11 @@ class LocalFrame:
 
     @property
     def metres_per_lon(self) -> float:
-        return settings.projection.metres_per_degree_lon_equator * math.cos(math.radians(self.lat0))
+        return settings.earth.lon_m * math.cos(math.radians(self.lat0))
 
     @property
     def metres_per_lat(self) -> float:
-        return settings.projection.metres_per_degree_lat
+        return settings.earth.lat_m
 
     def x(self, lon: Column) -> Column:
         return (lon - F.lit(self.lon0)) * F.lit(self.metres_per_lon)
@@ -131,9 +131,9 @@ def tile_resolution(zoom: Column | int, lat: Column) -> Column:
 
 def zoom_for(resolution_m: Column, lat: Column) -> Column:
     """Coarsest zoom whose pixels are no larger than asked for, within the source's range."""
-    e = settings.elevation
+    e = settings.area
     need = F.ceil(F.log2(tile_resolution(0, lat) / resolution_m) - 1e-9)
-    return F.least(F.greatest(need, F.lit(e.min_zoom)), F.lit(e.max_zoom)).cast("int")
+    return F.least(F.greatest(need, F.lit(e.coarsest_zoom)), F.lit(e.finest_zoom)).cast("int")
 
 
 def tile_pixel(f: Column, zoom: int) -> Column:
@@ -143,8 +143,8 @@ def tile_pixel(f: Column, zoom: int) -> Column:
 
 def buffered(bbox: tuple[float, float, float, float], fraction: float | None = None, min_buffer_m: float | None = None) -> tuple[float, float, float, float]:
     """A box grown on each side by a share of its span, at least by so many metres."""
-    fraction = settings.elevation.aoi_buffer if fraction is None else fraction
-    least = settings.elevation.min_buffer_m if min_buffer_m is None else min_buffer_m
+    fraction = settings.area.margin_share if fraction is None else fraction
+    least = settings.area.margin_m if min_buffer_m is None else min_buffer_m
     west, south, east, north = bbox
     frame = LocalFrame((west + east) / 2, (south + north) / 2)
     dx = max((east - west) * fraction, least / frame.metres_per_lon)

@@ -10,7 +10,7 @@ from ..errors import AnalysisError
 
 def sheet_resolution(spacing_m: float, area_m2: float, requested: float | None = None) -> tuple[float, str, list[str]]:
     """(metres, where it comes from, warnings) for a contour sheet with so many metres between its lines."""
-    s, warnings = settings.surface, []
+    s, warnings = settings.sheet, []
     if requested is not None:
         if not requested > 0 or not math.isfinite(requested):
             raise AnalysisError("invalid_resolution", "A resolution is a positive number of metres.")
@@ -18,31 +18,31 @@ def sheet_resolution(spacing_m: float, area_m2: float, requested: float | None =
         if resolution > spacing_m:
             warnings.append(f"{resolution:g} m is coarser than the {spacing_m:.1f} m between contours.")
     else:
-        wished = spacing_m / s.resolution_divisor
-        resolution, source = min(max(wished, s.min_resolution_m), s.max_resolution_m), "derived"
+        wished = spacing_m / s.cells_per_spacing
+        resolution, source = min(max(wished, s.finest_m), s.coarsest_m), "derived"
         if resolution != wished:
             source = "clamped"
     for _ in range(8):
         cells = area_m2 / resolution**2
-        if cells <= s.max_grid_cells:
+        if cells <= s.most_cells:
             break
-        resolution *= math.sqrt(cells / s.max_grid_cells) * 1.001
+        resolution *= math.sqrt(cells / s.most_cells) * 1.001
         source = "coarsened"
     else:
         raise AnalysisError("sheet_too_large", "The sheet needs more cells than allowed.", status=413)
     if source == "coarsened":
-        warnings.append(f"The grid was coarsened to {resolution:.2f} m to stay within {s.max_grid_cells} cells.")
+        warnings.append(f"The grid was coarsened to {resolution:.2f} m to stay within {s.most_cells} cells.")
     return resolution, source, warnings
 
 
 def area_resolution(native_m: float, area_m2: float, requested: float | None = None) -> tuple[float, str, list[str]]:
     """The same for an area over an elevation raster with pixels of ``native_m``."""
-    e, warnings = settings.elevation, []
-    floor = max(native_m, math.sqrt(area_m2 / e.cell_budget), e.min_resolution_m)
+    e, warnings = settings.area, []
+    floor = max(native_m, math.sqrt(area_m2 / e.wished_cells), e.finest_m)
     if requested is None:
-        return min(floor, e.max_resolution_m), "derived", warnings
-    if not e.min_resolution_m <= requested <= e.max_resolution_m:
-        raise AnalysisError("invalid_resolution", f"A resolution lies between {e.min_resolution_m:g} and {e.max_resolution_m:g} m.")
+        return min(floor, e.coarsest_m), "derived", warnings
+    if not e.finest_m <= requested <= e.coarsest_m:
+        raise AnalysisError("invalid_resolution", f"A resolution lies between {e.finest_m:g} and {e.coarsest_m:g} m.")
     if requested < floor:
         warnings.append(f"{requested:g} m is finer than the source; {floor:.1f} m is used.")
         return floor, "coarsened", warnings
@@ -51,7 +51,7 @@ def area_resolution(native_m: float, area_m2: float, requested: float | None = N
 
 def ensemble_resolutions(resolution_m: float, area_m2: float) -> list[float]:
     """Resolutions around the one in use, none with more cells than an ensemble may have."""
-    e = settings.elevation
-    least = math.sqrt(area_m2 / e.ensemble_max_cells)
-    made = [min(max(resolution_m * f, least, e.min_resolution_m), e.max_resolution_m) for f in e.ensemble_factors]
+    e = settings.area
+    least = math.sqrt(area_m2 / e.ensemble_cells)
+    made = [min(max(resolution_m * f, least, e.finest_m), e.coarsest_m) for f in e.ensemble_steps]
     return list(dict.fromkeys(round(m, 3) for m in made))

@@ -7,7 +7,6 @@ are told apart first by connected components on the joints, so no task needs a w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import Any
 
 import pandas as pd
@@ -23,18 +22,6 @@ from ..functions.scalars import level_multiples, round_interval
 from . import graph
 from .focal import along_col, along_row
 
-#: Sides of a square of four cells: 0 south, 1 east, 2 north, 3 west. the
-#: sides that a line joins for each set of corners at or above the level, bits from the
-#: south-west corner counter-clockwise.
-_CASES = {1: [(3, 0)], 2: [(0, 1)], 3: [(3, 1)], 4: [(1, 2)], 6: [(0, 2)], 7: [(3, 2)], 8: [(2, 3)], 9: [(0, 2)], 11: [(1, 2)], 12: [(1, 3)], 13: [(0, 1)], 14: [(3, 0)]}
-#: Two opposite corners: sides joined if the centre is at or above the level, and if not.
-_SADDLES = {5: ([(0, 1), (2, 3)], [(3, 0), (1, 2)]), 10: ([(3, 0), (1, 2)], [(0, 1), (2, 3)])}
-
-
-def _pairs(pairs: Sequence[tuple[int, int]]):
-    return F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
-
-
 def crossings(lattice: DataFrame, levels: DataFrame, n_cols: int, value: str = "z") -> DataFrame:
     """(grid_id, level, id_a, ax, ay, id_b, bx, by): segments of level lines in columns and rows of the lattice.
 
@@ -44,29 +31,34 @@ def crossings(lattice: DataFrame, levels: DataFrame, n_cols: int, value: str = "
     """
     east, north = F.lead(value).over(along_row()), F.lead(F.struct(value, "_east")).over(along_col())
     square = lattice.withColumn("_east", east).withColumn("_north", north)
-    corners = square.select("grid_id", "row", "col", F.col(value).alias("v0"), F.col("_east").alias("v1"), F.col("_north._east").alias("v2"), F.col(f"_north.{value}").alias("v3")).where("v0 is not null and v1 is not null and v2 is not null and v3 is not null")
-    low, high = F.least("v0", "v1", "v2", "v3"), F.greatest("v0", "v1", "v2", "v3")
-    met = corners.join(F.broadcast(levels), "grid_id").withColumn("level", F.explode(F.filter("levels", lambda x: (x > low) & (x <= high))))
-    bits = sum((F.when(F.col(f"v{k}") >= F.col("level"), 1 << k).otherwise(0) for k in range(4)), F.lit(0))
-    case, above = F.col("case"), (F.col("v0") + F.col("v1") + F.col("v2") + F.col("v3")) / 4.0 >= F.col("level")
-    lines = F.lit(None)
-    for k, pairs in _CASES.items():
-        lines = F.when(case == k, _pairs(pairs)).otherwise(lines)
-    for k, (if_above, if_not) in _SADDLES.items():
-        lines = F.when(case == k, F.when(above, _pairs(if_above)).otherwise(_pairs(if_not))).otherwise(lines)
-    segments = met.withColumn("case", bits).withColumn("s", F.explode(lines))
-
-    def end(side):
-        ra, ca = F.col("row") + F.when(side == 2, 1).otherwise(0), F.col("col") + F.when(side == 1, 1).otherwise(0)
-        za = F.when(side == 2, F.col("v3")).when(side == 1, F.col("v1")).otherwise(F.col("v0"))
-        zb = F.when(side == 0, F.col("v1")).when(side == 3, F.col("v3")).otherwise(F.col("v2"))
-        flat = side.isin(0, 2)
-        t = F.when(zb == za, 0.5).otherwise(F.least(F.greatest((F.col("level") - za) / F.when(zb == za, 1.0).otherwise(zb - za), F.lit(0.0)), F.lit(1.0)))
-        name = 2 * (ra.cast("long") * n_cols + ca) + F.when(flat, 0).otherwise(1)
-        return name, ca + F.when(flat, t).otherwise(0.0), ra + F.when(flat, 0.0).otherwise(t)
-
-    a, b = end(F.col("s.a")), end(F.col("s.b"))
-    return segments.select("grid_id", "level", a[0].alias("id_a"), a[1].alias("ax"), a[2].alias("ay"), b[0].alias("id_b"), b[1].alias("bx"), b[2].alias("by"))
+    corners = square.select("grid_id", "row", "col", F.col(value).alias("sw"), F.col("_east").alias("se"), F.col("_north._east").alias("ne"), F.col(f"_north.{value}").alias("nw")).where("sw + se + ne + nw is not null")
+    low, high = F.least("sw", "se", "ne", "nw"), F.greatest("sw", "se", "ne", "nw")
+    met = corners.join(levels, "grid_id").withColumn("level", F.explode(F.filter("levels", lambda x: (x > low) & (x <= high))))
+    level, row, col = F.col("level"), F.col("row"), F.col("col")
+
+    def side(start: str, end: str, up: int, right: int, along: str):
+        """Where the line crosses a side of the square, if its two corners lie on either side of the level."""
+        zs, ze = F.col(start), F.col(end)
+        share = (level - zs) / (ze - zs)
+        number = 2 * ((row + up).cast("long") * n_cols + col + right) + int(along == "north")
+        point = F.struct(
+            number.alias("id"), (col + right + (share if along == "east" else 0.0)).alias("x"), (row + up + (share if along == "north" else 0.0)).alias("y")
+        )
+        return F.when((zs >= level) != (ze >= level), point)
+
+    south, north_, west, east_ = side("sw", "se", 0, 0, "east"), side("nw", "ne", 1, 0, "east"), side("sw", "nw", 0, 0, "north"), side("se", "ne", 0, 1, "north")
+    crossed = met.select("grid_id", "level", (F.col("sw") >= level).alias("sw_above"), ((F.col("sw") + F.col("se") + F.col("ne") + F.col("nw")) / 4.0 >= level).alias("centre_above"), south.alias("s"), east_.alias("e"), north_.alias("n"), west.alias("w"))
+    around = F.array_compact(F.array("s", "e", "n", "w"))
+
+    def pair(a, b):
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    s, e, n, w = (F.col(c) for c in "senw")
+    # a line joins the two sides that it crosses; it crosses all four where opposite corners agree, and
+    # then keeps the centre on the side of those two corners that are like it
+    lines = F.when(F.size(around) == 2, F.array(pair(F.get(around, F.lit(0)), F.get(around, F.lit(1))))).when(F.col("centre_above") == F.col("sw_above"), F.array(pair(s, e), pair(n, w))).otherwise(F.array(pair(w, s), pair(e, n)))
+    segments = crossed.select("grid_id", "level", F.explode(lines).alias("k"))
+    return segments.select("grid_id", "level", *(F.col(f"k.{k}.{f}").alias(name.format(k)) for k in "ab" for f, name in (("id", "id_{}"), ("x", "{}x"), ("y", "{}y"))))
 
 
 def _walk(segments: pd.DataFrame) -> list[tuple[float, float]]:
@@ -181,16 +173,26 @@ def hole_owners(ringed: DataFrame) -> DataFrame:
     return met.groupBy("grid_id", "site", "ring").agg(F.min_by("owner", "area2").alias("owner"))
 
 
+def within_budget(ringed: DataFrame, tolerance: float, most: int, doublings: int = 5) -> DataFrame:
+    """``ringed`` with ``thin``: each ring thinned, with a tolerance that doubles for a mask until its rings have at most ``most`` corners in all."""
+    thinned = ringed.withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(tolerance)))
+    mask = W.partitionBy("grid_id", "site")
+    for k in range(1, doublings + 1):
+        coarser = geometry.thin_ring(F.col("points"), F.lit(tolerance * 2**k))
+        thinned = thinned.withColumn("_n", F.sum(F.size("thin")).over(mask)).withColumn("thin", F.when(F.col("_n") > most, coarser).otherwise(F.col("thin"))).drop("_n")
+    return thinned
+
+
 def mask_geojson(members: DataFrame, grid: Grid) -> DataFrame:
     """(grid_id, site, geometry): each mask as GeoJSON, thinned and in degrees, holes with their exteriors."""
-    o = settings.output
+    o = settings.layers
     ringed = rings(members, grid.n_cols)
-    thinned = ringed.withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(o.simplify_tolerance_cells)))
+    thinned = within_budget(ringed, o.thin_cells, o.most_corners)
 
     def degrees(p):
         lon = grid.frame.lon(grid.x(p["x"] - 0.5))
         lat = grid.frame.lat(grid.y(p["y"] - 0.5))
-        return F.array(F.bround(lon, o.coordinate_precision), F.bround(lat, o.coordinate_precision))
+        return F.array(F.bround(lon, o.decimals), F.bround(lat, o.decimals))
 
     placed = thinned.select("grid_id", "site", "ring", "area2", F.transform("thin", degrees).alias("path"))
     owners = hole_owners(ringed)

@@ -55,7 +55,7 @@ def steepest_descent(lattice: DataFrame, n_cols: int, resolution_m: float, value
     cell = F.col("row").cast("long") * n_cols + F.col("col")
     options = []
     for rank, (d_row, d_col) in enumerate(NEIGHBOURS):
-        distance = resolution_m * (settings.terrain.diagonal_distance_factor if d_row and d_col else 1.0)
+        distance = resolution_m * (settings.flow.diagonal if d_row and d_col else 1.0)
         drop = (F.col(value) - at(F.col("near"), d_row, d_col)) / distance
         options.append(F.when(drop > 0, F.struct(drop.alias("gradient"), F.lit(-rank).alias("rank"), (cell + d_row * n_cols + d_col).alias("receiver"))))
     best = F.array_max(F.array(*options))
@@ -139,7 +139,7 @@ def smooth(lattice: DataFrame, sigma_cells: float, value: str = "z", name: str =
     weights = gaussian_weights(sigma_cells)
     prepared = lattice.withColumn("num", F.coalesce(F.col(value), F.lit(0.0))).withColumn("den", F.col(value).isNotNull().cast("double"))
     made = convolve(prepared, ["num", "den"], weights, len(weights) // 2, mode)
-    mean = F.when(F.col(value).isNotNull() & (F.col("den") > settings.surface.nodata_weight_floor), F.col("num") / F.col("den"))
+    mean = F.when(F.col(value).isNotNull() & (F.col("den") > settings.sheet.least_weight), F.col("num") / F.col("den"))
     return made.withColumn(name, mean).drop("num", "den")
 
 
@@ -150,7 +150,7 @@ def box_weights(size: int) -> tuple[list[float], int]:
 
 def relative_elevation(lattice: DataFrame, resolution_m: float, spacing_m: float, value: str = "z") -> DataFrame:
     """Adds the height above the mean of the cells with data in a box around each cell."""
-    radius = spacing_m * settings.siting.relative_elevation_radius_spacing_multiple
+    radius = spacing_m * settings.sites.relief_spacings
     size = max(3, round(2 * radius / resolution_m) | 1)
     weights, before = box_weights(size)
     prepared = lattice.withColumn("num", F.coalesce(F.col(value), F.lit(0.0))).withColumn("den", F.col(value).isNotNull().cast("double"))

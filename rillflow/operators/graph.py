@@ -197,7 +197,7 @@ def fill_depressions(lattice: DataFrame, epsilon: float | None = None, tile: int
 
     wide = with_neighbours(lattice, "z").where(F.col("z").isNotNull())
     cells = wide.select("grid_id", "row", "col", "z", F.exists("near", lambda v: v.isNull()).alias("seed"))
-    return flood(cells, settings.terrain.fill_epsilon_m if epsilon is None else epsilon, tile).withColumnRenamed("level", "filled")
+    return flood(cells, settings.flow.fill_step_m if epsilon is None else epsilon, tile).withColumnRenamed("level", "filled")
 
 
 def reaches(flow: DataFrame, stream: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .focal import with_neighbours
 
 def wet_days(rain: DataFrame) -> DataFrame:
     """Days with enough rain to count; a day without a figure is dry."""
-    return rain.where(F.coalesce("mm", F.lit(0.0)) >= settings.rainfall.wet_day_threshold_mm)
+    return rain.where(F.coalesce("mm", F.lit(0.0)) >= settings.rain.wet_mm)
 
 
 def rainfall_measures(rain: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def runoff(rain: DataFrame, curve_number: float | None = None) -> DataFrame:
 
     Beside it stands the runoff of the same rain taken as one storm, which overstates it.
     """
-    cn = settings.hydrology.default_curve_number if curve_number is None else float(curve_number)
-    low, high = settings.hydrology.curve_number_range
+    cn = settings.water.curve_number if curve_number is None else float(curve_number)
+    low, high = settings.water.curve_numbers
     if not low <= cn <= high:
         raise AnalysisError("curve_number_out_of_range", f"A curve number lies between {low:g} and {high:g}.")
     retention = F.lit(25400.0 / cn - 254.0)
@@ -60,11 +60,11 @@ def runoff(rain: DataFrame, curve_number: float | None = None) -> DataFrame:
 
 
 def stages(target_depth_m: float | None = None) -> list[float]:
-    h = settings.hydrology
-    depth = h.default_target_depth_m if target_depth_m is None else float(target_depth_m)
+    h = settings.water
+    depth = h.depth_m if target_depth_m is None else float(target_depth_m)
     if depth <= 0:
         raise AnalysisError("bad_target_depth", "The target depth must be greater than zero.")
-    return [depth * k / h.stage_storage_steps for k in range(h.stage_storage_steps + 1)]
+    return [depth * k / h.n_stages for k in range(h.n_stages + 1)]
 
 
 def stage_storage(members: DataFrame, filled: DataFrame, grid: Grid, target_depth_m: float | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def spill(curve: DataFrame, spacing_m: float) -> DataFrame:
     """One row for each outlet: the step at which water first tops a divide, and area and volume usable below it."""
     order = W.partitionBy("grid_id", "outlet").orderBy("step")
     before = F.lag("area_m2").over(order)
-    jumped = (F.col("area_m2") > settings.hydrology.spill_area_jump_factor * before) & (before >= spacing_m**2)
+    jumped = (F.col("area_m2") > settings.water.spill_jump * before) & (before >= spacing_m**2)
     marked = curve.withColumn("spill", F.when(jumped, F.col("step") - 1))
     found = marked.groupBy("grid_id", "outlet").agg(F.min("spill").alias("spill_step"), F.max("step").alias("last_step"))
     usable = curve.join(found, ["grid_id", "outlet"]).where(F.col("step") == F.coalesce("spill_step", "last_step"))

@@ -26,23 +26,23 @@ def upstream_area(grid: Grid) -> Column:
 def stream_cells(cells: DataFrame, areas: DataFrame, grid: Grid) -> DataFrame:
     """Cells that carry at least the stream's share of the mapped area; ``areas`` has one row for each grid."""
     joined = cells.join(F.broadcast(areas), "grid_id")
-    return joined.where(upstream_area(grid) >= F.col("mapped_m2") * settings.siting.stream_threshold_fraction).drop("mapped_m2")
+    return joined.where(upstream_area(grid) >= F.col("mapped_m2") * settings.sites.stream_share).drop("mapped_m2")
 
 
 def buildable_cells(cells: DataFrame) -> DataFrame:
     """Cells with a gentle slope, far enough from the edge of the data."""
-    s = settings.siting
-    return cells.where((F.nanvl("slope", F.lit(float("inf"))) < s.max_slope_fraction) & (F.col("edge_m") >= s.edge_buffer_m))
+    s = settings.sites
+    return cells.where((F.nanvl("slope", F.lit(float("inf"))) < s.steepest) & (F.col("edge_m") >= s.from_edge_m))
 
 
 def trunk_cells(cells: DataFrame, grid: Grid) -> DataFrame:
     """Cells of watercourses, by absolute area."""
-    return cells.where(upstream_area(grid) >= settings.siting.trunk_drainage_area_ha * 1e4)
+    return cells.where(upstream_area(grid) >= settings.sites.trunk_ha * 1e4)
 
 
 def clear_cells(cells: DataFrame) -> DataFrame:
     """Cells high enough above the watercourse that they drain to."""
-    return cells.where(F.col("above") >= settings.siting.min_height_above_trunk_m)
+    return cells.where(F.col("above") >= settings.sites.above_trunk_m)
 
 
 def available_cells(cells: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ def available_cells(cells: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def top_n(n: int | None) -> int:
-    s = settings.siting
-    return max(1, min(s.max_top_n, s.default_top_n if n is None else n))
+    s = settings.sites
+    return max(1, min(s.most_sites, s.n_sites if n is None else n))
 
 
 def choose_sites(flow: DataFrame, candidates: DataFrame, n: int | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def snap(cells: DataFrame, points: DataFrame, grid: Grid, radius_m: float | None
     The square is looked up by blocks of its own size, an equi-join; of equals the first in
     row-major order wins.
     """
-    reach = grid.spacing_m * settings.catchment.snap_radius_spacing_multiple if radius_m is None else radius_m
+    reach = grid.spacing_m * settings.flow.snap_spacings if radius_m is None else radius_m
     k = max(1, round(reach / grid.resolution_m))
     size = 2 * k + 1
     block = lambda c: F.floor(F.col(c) / size)
@@ -134,7 +134,7 @@ def catchment_summary(members: DataFrame, lattice: DataFrame, grid: Grid, value:
     joined = sums.join(paths, ["grid_id", "outlet"]).join(at("outlet_z", "outlet"), ["grid_id", "outlet"]).join(at("remote_z", "remote_cell"), ["grid_id", "remote_cell"]).join(contact, ["grid_id", "outlet"])
     return joined.select(
         "grid_id", "outlet", "cells", "area_m2", (F.col("top") - F.col("outlet_z")).alias("relief_m"), "length_m", "remote_cell",
-        (F.col("remote_z") - F.col("outlet_z")).alias("path_relief_m"), "edge_contact", (F.col("edge_contact") > settings.catchment.edge_contact_warn_fraction).alias("lower_bound"),
+        (F.col("remote_z") - F.col("outlet_z")).alias("path_relief_m"), "edge_contact", (F.col("edge_contact") > settings.flow.open_edge_share).alias("lower_bound"),
     )
 
 

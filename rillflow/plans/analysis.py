@@ -43,7 +43,7 @@ def sheet_surface(vertices: DataFrame, resolution_m: float | None = None) -> tup
     spots = cells.select("cell", grid.x(F.col("col")).alias("x"), grid.y(F.col("row")).alias("y"))
     heights = triangulated(spots, placed.select("x", "y", "z"), max(50 * res, 4 * spacing))
     raw = settled(cells.join(heights, "cell"))
-    smooth = focal.smooth(raw, spacing / settings.surface.smoothing_sigma_divisor / res)
+    smooth = focal.smooth(raw, spacing / settings.sheet.smoothing_divisor / res)
     return grid, settled(smooth.select("grid_id", "row", "col", "cell", F.col("z").alias("raw"), F.col("smoothed").alias("z"))), warnings
 
 
@@ -53,7 +53,7 @@ def pixel_surface(pixels: DataFrame, zoom: int, ring: selection.Ring, native_m:
     The lattice reaches beyond the area, as water comes from outside it; cells outside are
     excluded as sites only.
     """
-    spark, e = pixels.sparkSession, settings.elevation
+    spark, e = pixels.sparkSession, settings.area
     west, south, east, north = buffered_box(ring)
     frame = LocalFrame((west + east) / 2, (south + north) / 2)
     width, height = (east - west) * frame.metres_per_lon, (north - south) * frame.metres_per_lat
@@ -66,9 +66,9 @@ def pixel_surface(pixels: DataFrame, zoom: int, ring: selection.Ring, native_m:
     heights = rasters.bilinear(places, pixels)
     raw = settled(cells.join(heights.select(F.col("point_id").alias("cell"), F.col("height").cast("double").alias("z")), "cell"))
     gaps = raw.agg(F.avg(F.col("z").isNull().cast("double"))).first()[0]
-    if gaps > e.max_nodata_fraction:
+    if gaps > e.most_gaps:
         raise AnalysisError("elevation_unavailable", f"{gaps:.0%} of the area has no heights.", status=503)
-    smooth = focal.smooth(raw, e.smoothing_sigma_m / res)
+    smooth = focal.smooth(raw, e.sigma_m / res)
     lattice = settled(smooth.select("grid_id", "row", "col", "cell", F.col("z").alias("raw"), F.col("smoothed").alias("z")))
     corners = [((lon_ - frame.lon0) * frame.metres_per_lon, (lat_ - frame.lat0) * frame.metres_per_lat) for lon_, lat_ in ring]
     inside = rasters.polygon_mask(lattice.select("grid_id", "row", "col", "cell"), [((x - grid.x0) / res, (y - grid.y0) / res) for x, y in corners])

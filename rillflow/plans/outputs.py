@@ -14,7 +14,7 @@ from ..operators import graph
 
 def _degrees(grid: Grid, points: Column) -> Column:
     """Fractional (col, row) places as GeoJSON coordinates."""
-    d = settings.output.coordinate_precision
+    d = settings.layers.decimals
     return F.transform(points, lambda p: F.array(F.bround(grid.lon(p["x"]), d), F.bround(grid.lat(p["y"]), d)))
 
 
@@ -50,12 +50,12 @@ def contour_layer(lines: DataFrame, grid: Grid, interval_m: float) -> DataFrame:
 
     The tolerance doubles until the vertices fit; each try is one aggregate.
     """
-    o = settings.output
+    o = settings.layers
     span = lines.agg(F.min("level").alias("low"), F.max("level").alias("high"))
-    tolerance = o.contour_simplify_tolerance_m / grid.resolution_m
+    tolerance = o.thin_m / grid.resolution_m
     for _ in range(12):
         thin = lines.withColumn("thin", geometry.simplify(F.col("points"), F.lit(tolerance))).where(F.size("thin") > 1)
-        if (thin.agg(F.sum(F.size("thin"))).first()[0] or 0) <= o.contour_max_vertices:
+        if (thin.agg(F.sum(F.size("thin"))).first()[0] or 0) <= o.most_vertices:
             break
         tolerance *= 2
     wide = thin.crossJoin(F.broadcast(span))  # one row

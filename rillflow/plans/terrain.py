@@ -29,11 +29,11 @@ class Drainage:
 
 def route(lattice: DataFrame, grid: Grid, fill: bool = True, weight: str | None = None) -> Drainage:
     """Fills pits, finds receivers, accumulates, and measures slopes and distances to the edge of the data."""
-    s = settings.siting
+    s = settings.sites
     filled = settled(graph.fill_depressions(lattice)) if fill else lattice.where("z is not null").select("grid_id", "row", "col", "z", F.col("z").alias("filled"))
     dense = lattice.select("grid_id", "row", "col").join(filled.select("grid_id", "row", "col", "filled"), ["grid_id", "row", "col"], "left")
     flow = focal.steepest_descent(dense, grid.n_cols, grid.resolution_m, "filled").select("grid_id", "row", "col", "cell", "filled", "receiver")
-    ground = focal.distance_to_edge(focal.horn_slope(lattice, grid.resolution_m), grid.resolution_m, max(s.edge_buffer_m, grid.resolution_m)).where("z is not null")
+    ground = focal.distance_to_edge(focal.horn_slope(lattice, grid.resolution_m), grid.resolution_m, max(s.from_edge_m, grid.resolution_m)).where("z is not null")
     flow = settled(flow.join(ground.select("grid_id", "row", "col", "z", "slope", "edge_m"), ["grid_id", "row", "col"]))
     weighted = flow if weight is None else flow.join(lattice.select("grid_id", "row", "col", weight), ["grid_id", "row", "col"])
     accumulation = graph.accumulate(weighted, weight)
@@ -72,7 +72,7 @@ def balances(found: dict[str, DataFrame], rain: DataFrame, curve_number: float |
 
 def feature_collection(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
     """One GeoJSON text for each grid: catchments before outlets, by rank."""
-    o = settings.output
+    o = settings.layers
     ranked = found["sites"].select("grid_id", F.col("cell").alias("outlet"), "rank")
     area = found["catchments"].join(ranked, ["grid_id", "outlet"]).join(found["outlines"].withColumnRenamed("site", "outlet"), ["grid_id", "outlet"])
     props = F.struct(F.lit("catchment").alias("role"), "rank", F.round(F.col("area_m2") / 1e4, 2).alias("area_ha"), F.round(F.col("edge_contact") * 100, 2).alias("edge_contact_pct"), F.round("relief_m", 2).alias("relief_m"))
@@ -81,7 +81,7 @@ def feature_collection(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
     first = area.select("grid_id", F.lit(0).alias("kind"), "rank", shape.alias("feature"))
     place = d.cells.select("grid_id", F.col("cell").alias("outlet"), "row", "col")
     at = ranked.join(place, ["grid_id", "outlet"])
-    lon, lat = F.bround(d.grid.lon(F.col("col")), o.coordinate_precision), F.bround(d.grid.lat(F.col("row")), o.coordinate_precision)
+    lon, lat = F.bround(d.grid.lon(F.col("col")), o.decimals), F.bround(d.grid.lat(F.col("row")), o.decimals)
     point = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry"), F.struct(F.lit("outlet").alias("role"), "rank").alias("properties"))
     second = at.select("grid_id", F.lit(2).alias("kind"), "rank", F.to_json(point).alias("feature"))
     rows = first.unionByName(second).groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "feature"))).alias("f"))

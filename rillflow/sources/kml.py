@@ -52,7 +52,7 @@ def coordinates(text: str) -> list[dict[str, float]]:
 
 def kml_of(data: bytes) -> bytes:
     """The sheet itself: the file, or the first KML of an archive, ``doc.kml`` before others, shallow before deep."""
-    if len(data) > settings.parser.max_upload_bytes:
+    if len(data) > settings.sheet.largest_file:
         raise AnalysisError("file_too_large", "The sheet is larger than allowed.", status=413)
     if data[:4] != b"PK\x03\x04":
         return data
@@ -72,7 +72,7 @@ def placemarks_of(data: bytes) -> Iterator[dict]:
         root = ElementTree.fromstring(kml_of(data).lstrip())
     except ElementTree.ParseError as e:
         raise AnalysisError("unparseable_xml", f"The sheet is no XML: {e}", status=400) from None
-    labels = re.compile(settings.parser.ignore_folder_pattern, re.IGNORECASE)
+    labels = re.compile(settings.sheet.skipped_folders, re.IGNORECASE)
     title = next((t for e in root.iter() if _local(e.tag) == "Document" and (t := _child_text(e, "name")) is not None), None)
     todo = [(root, (), False)]
     while todo:
@@ -125,14 +125,14 @@ def heights(placemarks: DataFrame) -> DataFrame:
         "placemark_name": scalars.labelled_number(F.col("name"))["value"],
         "folder_name": scalars.height_from_folders(F.col("folders")),
     }
-    order = settings.parser.elevation_strategies
+    order = settings.sheet.height_sources
     drawn = placemarks.where(F.col("error").isNull() & ~F.col("ignored") & (F.size("lines") > 0))
     wide = drawn.select("path", "nth", "lines", *(ways[w].alias(w) for w in order))
     coverage = wide.groupBy("path").agg(
         *(F.avg(F.col(w).isNotNull().cast("double")).alias(f"{w}_share") for w in order),
         *(F.count_distinct(F.round(w, 6)).alias(f"{w}_levels") for w in order),
     )
-    fits = [F.when((F.col(f"{w}_share") >= settings.parser.strategy_min_coverage) & (F.col(f"{w}_levels") >= settings.parser.min_elevation_levels), w) for w in order]
+    fits = [F.when((F.col(f"{w}_share") >= settings.sheet.source_coverage) & (F.col(f"{w}_levels") >= settings.sheet.least_levels), w) for w in order]
     chosen = coverage.select("path", F.coalesce(*fits).alias("strategy"))
     value = F.coalesce(*(F.when(F.col("strategy") == w, F.col(w)) for w in order))
     return wide.join(chosen, "path").where("strategy is not null").select("path", "nth", "lines", "strategy", value.alias("height")).where("height is not null")
@@ -140,13 +140,13 @@ def heights(placemarks: DataFrame) -> DataFrame:
 
 def problems(placemarks: DataFrame) -> DataFrame:
     """(path, code) of sheets that give no contours, and why."""
-    p = settings.parser
+    p = settings.sheet
     usable = heights(placemarks).groupBy("path").agg(F.count("*").alias("n_usable"))
     flat = F.max(F.coalesce(scalars.height_from_z(F.flatten(F.transform("lines", lambda line: F.transform(line, lambda q: q["z"])))), scalars.labelled_number(F.col("name"))["value"], scalars.height_from_folders(F.col("folders"))).isNotNull())
     drawn = F.coalesce(~F.col("ignored"), F.lit(False)) & (F.coalesce(F.size("lines"), F.lit(0)) > 0)
     sums = placemarks.groupBy("path").agg(F.max("error").alias("error"), F.sum(F.when(drawn, F.size("lines")).otherwise(0)).alias("n_lines"), flat.alias("flat"))
     joined = sums.join(usable, "path", "left")
-    code = F.coalesce("error", F.when(F.col("n_lines") < p.min_contour_lines, "no_contours").when(F.col("n_usable").isNull() & F.col("flat"), "too_few_levels").when(F.col("n_usable").isNull(), "no_elevations"))
+    code = F.coalesce("error", F.when(F.col("n_lines") < p.least_lines, "no_contours").when(F.col("n_usable").isNull() & F.col("flat"), "too_few_levels").when(F.col("n_usable").isNull(), "no_elevations"))
     return joined.select("path", code.alias("code")).where("code is not null")
 
 
@@ -164,7 +164,7 @@ def sheet_summary(placemarks: DataFrame) -> DataFrame:
     levels = v.select("path", F.round("z", 6).alias("level")).distinct()
     steps = levels.withColumn("step", F.col("level") - F.lag("level").over(W.partitionBy("path").orderBy("level")))
     per_sheet = steps.groupBy("path").agg(F.array_sort(F.collect_list("level")).alias("levels"), F.median("step").alias("interval"))
-    low, high = settings.parser.feet_interval_range
+    low, high = settings.sheet.feet_steps
     return sums.join(per_sheet, "path").withColumn("maybe_feet", F.col("interval").between(low, high))
 
 

@@ -15,7 +15,7 @@ PAYLOAD = "latitude double, longitude double, daily struct<time: array<string>,
 
 def read_rain(spark: SparkSession, path: str) -> DataFrame:
     """(place, day, mm) of JSON answers with parallel arrays of days and depths; a null depth is a dry day."""
-    p = settings.rainfall.coordinate_precision
+    p = settings.rain.decimals
     answers = spark.read.schema(PAYLOAD).option("multiLine", True).json(path)
     place = F.concat_ws(",", F.format_number(F.round("latitude", p), p), F.format_number(F.round("longitude", p), p))
     days = answers.select(place.alias("place"), F.inline(F.arrays_zip(F.col("daily.time").alias("time"), F.col("daily.precipitation_sum").alias("mm"))))
@@ -24,7 +24,7 @@ def read_rain(spark: SparkSession, path: str) -> DataFrame:
 
 def record_window(today: date | None = None, years: int | None = None) -> tuple[date, date]:
     """First and last day of the last complete calendar years."""
-    n = settings.rainfall.years if years is None else years
+    n = settings.rain.years if years is None else years
     last = (today or date.today()).year - 1
     return date(last - n + 1, 1, 1), date(last, 12, 31)
 
@@ -36,10 +36,10 @@ def in_window(day: Column, today: date | None = None) -> Column:
 
 def climatology(spark: SparkSession, place: str = "climatology", annual_mm: float | None = None, rain_days: int | None = None, year: int = 2024) -> DataFrame:
     """(place, day, mm): one year of wet days drawn from a gamma distribution and scaled to an exact yearly total."""
-    h = settings.hydrology
-    n = h.default_rain_days if rain_days is None else rain_days
-    total = h.default_annual_rainfall_mm if annual_mm is None else annual_mm
-    drawn = np.random.default_rng(h.rainfall_seed).gamma(h.rainfall_gamma_shape, 1.0, n)
+    h = settings.water
+    n = h.year_days if rain_days is None else rain_days
+    total = h.year_mm if annual_mm is None else annual_mm
+    drawn = np.random.default_rng(h.day_seed).gamma(h.day_shape, 1.0, n)
     depths = drawn * (total / drawn.sum())
     rows = [(place, float(mm), k) for k, mm in enumerate(depths)]  # one row for each of at most 366 days
     return spark.createDataFrame(rows, "place string, mm double, k int").select("place", F.date_add(F.lit(date(year, 1, 1)), F.col("k")).alias("day"), "mm")

@@ -24,7 +24,7 @@ def wanted_tiles(spark: SparkSession, bbox: tuple[float, float, float, float], z
         projection.tile_index(projection.mercator_y(north), zoom).alias("y0"), projection.tile_index(projection.mercator_y(south), zoom).alias("y1"),
     )
     row = span.first()
-    if (row.x1 - row.x0 + 1) * (row.y1 - row.y0 + 1) > settings.elevation.max_tiles:
+    if (row.x1 - row.x0 + 1) * (row.y1 - row.y0 + 1) > settings.area.most_tiles:
         raise AnalysisError("aoi_too_large", "The area needs more tiles than allowed at this zoom.")
     xs = span.select("y0", "y1", F.explode(F.sequence("x0", "x1")).alias("x"))
     return xs.select(F.lit(zoom).alias("zoom"), "x", F.explode(F.sequence("y0", "y1")).alias("y"))

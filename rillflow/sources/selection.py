@@ -74,15 +74,15 @@ def area_m2(ring: Ring, signed: bool = False) -> float:
 
 
 def check_size(ring: Ring) -> Ring:
-    e = settings.elevation
+    e = settings.area
     area = area_m2(ring)
-    if area > e.max_aoi_area_km2 * 1e6:
-        raise AnalysisError("aoi_too_large", f"The area is {area / 1e6:.1f} square kilometres; at most {e.max_aoi_area_km2:g} are analysed.")
-    if area < e.min_aoi_area_ha * 1e4:
-        raise AnalysisError("aoi_too_small", f"The area is {area / 1e4:.2f} hectares; at least {e.min_aoi_area_ha:g} are needed.")
+    if area > e.largest_km2 * 1e6:
+        raise AnalysisError("aoi_too_large", f"The area is {area / 1e6:.1f} square kilometres; at most {e.largest_km2:g} are analysed.")
+    if area < e.smallest_ha * 1e4:
+        raise AnalysisError("aoi_too_small", f"The area is {area / 1e4:.2f} hectares; at least {e.smallest_ha:g} are needed.")
     return ring
 
 
 def to_geojson(ring: Ring) -> dict:
-    digits = settings.output.coordinate_precision
+    digits = settings.layers.decimals
     return {"type": "Polygon", "coordinates": [[[round(x, digits), round(y, digits)] for x, y in [*ring, ring[0]]]]}

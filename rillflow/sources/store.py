@@ -19,7 +19,7 @@ SCHEMA = "id string, name string, notes string, created double, summary string,
 def save(spark: SparkSession, folder: str, name: str, body: str, summary: str = "{}", notes: str = "", created: float | None = None) -> str:
     """Appends one analysis and returns its id."""
     key = uuid.uuid4().hex[:12]
-    row = (key, (name.strip() or "Untitled")[: settings.output.max_name_length], notes[:2000], time.time() if created is None else created, summary, body, False)
+    row = (key, (name.strip() or "Untitled")[: settings.layers.longest_name], notes[:2000], time.time() if created is None else created, summary, body, False)
     spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     return key
 
@@ -36,7 +36,7 @@ def saved(spark: SparkSession, folder: str) -> DataFrame:
     """Analyses that are neither deleted nor pushed out by newer ones."""
     rows = spark.read.schema(SCHEMA).parquet(folder)
     alive = rows.where("not deleted").join(rows.where("deleted").select("id"), "id", "left_anti")
-    newest = alive.orderBy(F.desc("created"), "id").limit(settings.output.max_saved)
+    newest = alive.orderBy(F.desc("created"), "id").limit(settings.layers.most_saved)
     return newest.drop("deleted")
 
 

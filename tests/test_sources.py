@@ -155,13 +155,13 @@ def test_store(spark, tmp_path, monkeypatch):
     keys = [store.save(spark, folder, f" site {k} ", "{}", created=float(k)) for k in range(4)]
     assert [r.id for r in store.listing(spark, folder, 2, 1).collect()] == [keys[2], keys[1]]
     assert store.delete(spark, folder, keys[3]) and not store.delete(spark, folder, keys[3])
-    monkeypatch.setattr(store, "settings", config.Settings(output=config.Output(max_saved=2)))
+    monkeypatch.setattr(store, "settings", config.made({}, layers={"most_saved": 2}))
     assert [r.name for r in store.listing(spark, folder).collect()] == ["site 2", "site 1"]
 
 
 def test_settings_from_the_environment():
-    made = config.from_environment({"RILL_SITING_DEFAULT_TOP_N": "5", "RILL_CATCHMENT_ENSEMBLE_RESOLUTIONS_M": "8, 4"})
-    assert made.siting.default_top_n == 5 and made.catchment.ensemble_resolutions_m == (8.0, 4.0)
+    made = config.made({"RILL_SITES_N_SITES": "5", "RILL_AREA_ENSEMBLE_STEPS": "8, 4"}, flow={"diagonal": 1.5})
+    assert made.sites.n_sites == 5 and made.area.ensemble_steps == (8.0, 4.0) and made.flow.diagonal == 1.5 and made.sites.most_sites == 10
 
 
 def test_scalar_rules(spark):
