@@ -2,6 +2,29 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 by bytes: the remainder of each byte, and the running remainder over the text's bytes.
+OP2 = r"""
+WITH RECURSIVE steps(b, c, n) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8
+), remainders AS (
+  SELECT list(c ORDER BY b) AS r FROM steps WHERE n = 8
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT rid, doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size,
+    xor(list_reduce([CAST(CAST('0x' || h[2 * k - 1:2 * k] AS INTEGER) AS BIGINT) FOR k IN range(1, CAST(length(h) // 2 AS BIGINT) + 1)],
+      lambda a, b: xor(a >> 8, r[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM d, remainders
+), o AS (
+  SELECT doc_id, size, text_crc32, row_number() OVER w AS nth, sum(size) OVER w - size AS before, sum(size) OVER () AS total
+  FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)
+), s AS (
+  SELECT *, CAST(((2 * before + size) * 24) // (2 * total) AS INTEGER) AS shard FROM o
+)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
 OP5 = rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -89,4 +112,4 @@ WITH rules(rule_host, rule_path, rule_verdict) AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)
 """
 
-ORACLE_SQL = {"op5_near_dedup": OP5, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_url_filters": OP10}
+ORACLE_SQL = {"op2_sharding": OP2, "op5_near_dedup": OP5, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_url_filters": OP10}
