@@ -72,6 +72,8 @@ class Codec:
         self.path = path
         self.usual = pattern == USUAL and not any(" " in s for s in special)
         self.sizes = {i: len(b) for b, i in ranks.items()} | {i: len(t.encode()) for t, i in special.items()}
+        #: Ids between stages take two bytes where they fit.
+        self.kind = "<u2" if max(self.sizes) < 1 << 16 else "<u4"
         self.margin = AHEAD + max(map(len, special), default=0)
         self._special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
 
@@ -265,7 +267,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] =
         c = codec(tokenizer, pattern)
         for b in batches:
             nodes = [leaf(t, c) for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([_packed(x.ids) for x in nodes], pa.binary()), pa.array([x.tail for x in nodes], pa.int32())], names=_NODE)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([_packed(x.ids, c) for x in nodes], pa.binary()), pa.array([x.tail for x in nodes], pa.int32())], names=_NODE)
 
     return cut.repartition("row", "nth").mapInArrow(lean(encode_pieces), f"{_struct(cut)}, ids binary, tail int")
 
@@ -277,8 +279,12 @@ def _struct(df: DataFrame) -> str:
     return f"row long, nth int, n int, kept {df.schema['kept'].dataType.simpleString()}"
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _packed(ids: list[int], c: Codec) -> bytes:
+    return np.array(ids, c.kind).tobytes()
+
+
+def unpacked(ids: bytes, c: Codec) -> list[int]:
+    return np.frombuffer(ids, c.kind).tolist()
 
 
 def join_level(nodes: DataFrame, tokenizer: str, pattern: str, fan: int = FAN) -> DataFrame:
@@ -288,11 +294,11 @@ def join_level(nodes: DataFrame, tokenizer: str, pattern: str, fan: int = FAN) -
         c = codec(tokenizer, pattern)
         group = group.sort_by("nth").combine_chunks()
         parts = zip(group["ids"].to_pylist(), group["tail"].to_pylist(), strict=True)
-        made = tree([Node(np.frombuffer(ids, "<u4").tolist(), tail) for ids, tail in parts], c)
+        made = tree([Node(unpacked(ids, c), tail) for ids, tail in parts], c)
         one = group.slice(0, 1)
         n = -(-group["n"][0].as_py() // fan)
         nth = group["nth"][0].as_py() // fan
-        return pa.Table.from_arrays([one["row"], pa.array([nth], pa.int32()), pa.array([n], pa.int32()), one["kept"], pa.array([_packed(made.ids)], pa.binary()), pa.array([made.tail], pa.int32())], names=_NODE)
+        return pa.Table.from_arrays([one["row"], pa.array([nth], pa.int32()), pa.array([n], pa.int32()), one["kept"], pa.array([_packed(made.ids, c)], pa.binary()), pa.array([made.tail], pa.int32())], names=_NODE)
 
     dealt = nodes.withColumn("place", F.floor(F.col("nth") / fan))
     return dealt.groupBy("row", "place").applyInArrow(lambda key, group: run(group.drop(["place"])), f"{_struct(nodes)}, ids binary, tail int")
@@ -317,10 +323,11 @@ def _encoded(docs, tokenizer, pattern, keep, text_col, segment, columns, finish)
                 yield rows(part.columns[: len(names)], [c.encode(t) for t in part.column(len(names)).to_pylist()])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer, pattern)
         for b in batches:
             for i in range(b.num_rows):
                 kept = b.column(0).slice(i, 1).flatten()[1:]
-                yield rows(kept, [np.frombuffer(b.column(1)[i].as_py(), "<u4").tolist()])
+                yield rows(kept, [unpacked(b.column(1)[i].as_py(), c)])
 
     near = docs.select(*(F.col(quoted(c)) for c in names), text.alias("_text")).where(F.length("_text") <= segment).mapInArrow(lean(short), f"{types}, {made}")
     nodes = settled(pieces(docs, tokenizer, pattern, keep, text_col, segment))
