@@ -152,6 +152,11 @@ def buffered(bbox: tuple[float, float, float, float], fraction: float | None = N
     return west - dx, south - dy, east + dx, north + dy
 
 
+def ground_span(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Metres from west to east of a box, along its middle latitude."""
+    return F.abs(east - west) * settings.earth.lon_m * F.cos(F.radians((south + north) / 2))
+
+
 def fit_view(bbox: tuple[float, float, float, float], width: int, height: int, padding: int = 40, max_zoom: float = 18.0) -> tuple[float, float, float]:
     """(zoom, left, top): fractional zoom at which the box fills the padded canvas, and the canvas corner in world pixels."""
 

@@ -33,7 +33,7 @@ def along_col(grid: str = "grid_id"):
 def with_extremes(lattice: DataFrame, **extremes: Column) -> DataFrame:
     """Adds aggregates of each grid to its cells; they are combined before they are shuffled, so no task needs a whole grid."""
     per_grid = lattice.groupBy(F.col("grid_id").alias("_grid")).agg(*(c.alias(n) for n, c in extremes.items()))
-    return lattice.join(F.broadcast(per_grid), F.col("grid_id").eqNullSafe(F.col("_grid"))).drop("_grid")
+    return lattice.join(per_grid, F.col("grid_id").eqNullSafe(F.col("_grid"))).drop("_grid")
 
 
 def with_neighbours(lattice: DataFrame, value: str, name: str = "near") -> DataFrame:

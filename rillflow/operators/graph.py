@@ -82,6 +82,21 @@ def longest_path(members: DataFrame, resolution_m: float) -> DataFrame:
     return members.groupBy("grid_id", "outlet").agg(best.alias("best")).select("grid_id", "outlet", F.col("best.length_m").alias("length_m"), (-F.col("best.minus")).alias("remote_cell"))
 
 
+def flow_paths(flow: DataFrame, members: DataFrame, starts: DataFrame) -> DataFrame:
+    """(grid_id, outlet, step, cell): the way of the water from each start (grid_id, cell) to its outlet, both included.
+
+    ``members`` is what ``upstream`` returns with steps counted. A drop put on every start
+    passes just the cells of the ways; starts of one catchment must not share a way.
+    """
+    drops = starts.select(*KEY, F.lit(1.0).alias("drop")).distinct()
+    inside = flow.select(*KEY, "receiver").join(members.select(*KEY, "outlet"), KEY).join(drops, KEY, "left")
+    stopped = inside.select(*KEY, F.when(F.col("cell") != F.col("outlet"), F.col("receiver")).alias("receiver"), F.coalesce("drop", F.lit(0.0)).alias("drop"))
+    passed = accumulate(stopped, "drop").where("accumulation > 0").select(*KEY)
+    own = members.join(passed, KEY).withColumn("left", F.col("straight") + F.col("diagonal"))
+    far = own.groupBy("grid_id", "outlet").agg(F.max("left").alias("steps"))
+    return own.join(far, ["grid_id", "outlet"]).select("grid_id", "outlet", (F.col("steps") - F.col("left")).alias("step"), "cell")
+
+
 def height_above(flow: DataFrame, trunk: DataFrame, value: str = "z") -> DataFrame:
     """(grid_id, cell, above): height above the first trunk cell downstream.
 

@@ -30,7 +30,7 @@ def monthly_means(rain: DataFrame) -> DataFrame:
     """(place, month, mm): rain of every day, drizzle too, by month of the year and per year of the record."""
     spans = rain.groupBy("place").agg(F.count_distinct(F.year("day")).alias("years"))
     sums = rain.groupBy("place", F.month("day").alias("month")).agg(F.sum("mm").alias("mm"))
-    return sums.join(F.broadcast(spans), "place").select("place", "month", F.round(F.col("mm") / F.col("years"), 1).alias("mm"))
+    return sums.join(spans, "place").select("place", "month", F.round(F.col("mm") / F.col("years"), 1).alias("mm"))
 
 
 def annual_totals(rain: DataFrame) -> DataFrame:
@@ -67,12 +67,11 @@ def stages(target_depth_m: float | None = None) -> list[float]:
     return [depth * k / h.n_stages for k in range(h.n_stages + 1)]
 
 
-def stage_storage(members: DataFrame, filled: DataFrame, grid: Grid, target_depth_m: float | None = None) -> DataFrame:
-    """(grid_id, outlet, step, stage_m, area_m2, volume_m3): what the ground around each outlet holds at each stage.
+def wet_levels(members: DataFrame, filled: DataFrame, grid: Grid) -> DataFrame:
+    """(grid_id, outlet, row, col, z, level, datum): the lowest level at which water of each outlet's pool reaches each cell of its catchment.
 
-    ``members`` is (grid_id, outlet, cell), ``filled`` (grid_id, row, col, z, filled). Stages
-    count from the filled level at the outlet. One flood from the outlet gives every cell
-    the lowest stage at which water reaches it, which serves all stages at once.
+    ``members`` is (grid_id, outlet, cell), ``filled`` (grid_id, row, col, z, filled); the datum
+    is the filled level at the outlet.
     """
     ground = filled.withColumn("cell", grid.cell(F.col("row"), F.col("col")))
     own = members.select("grid_id", "outlet", "cell").join(ground, ["grid_id", "cell"])
@@ -82,7 +81,16 @@ def stage_storage(members: DataFrame, filled: DataFrame, grid: Grid, target_dept
     apart = apart.withColumn("grid_id", F.concat_ws(":", "pair.grid_id", "pair.outlet"))
     reached = graph.flood(apart.select("grid_id", "row", "col", "z", "seed"), 0.0)
     names = apart.select("grid_id", "pair").distinct()
-    wet = reached.join(names, "grid_id").select("pair.grid_id", "pair.outlet", "row", "z", "level").join(datum, ["grid_id", "outlet"])
+    return reached.join(names, "grid_id").select("pair.grid_id", "pair.outlet", "row", "col", "z", "level").join(datum, ["grid_id", "outlet"])
+
+
+def stage_storage(members: DataFrame, filled: DataFrame, grid: Grid, target_depth_m: float | None = None) -> DataFrame:
+    """(grid_id, outlet, step, stage_m, area_m2, volume_m3): what the ground around each outlet holds at each stage."""
+    return storage_curve(wet_levels(members, filled, grid), grid, target_depth_m)
+
+
+def storage_curve(wet: DataFrame, grid: Grid, target_depth_m: float | None = None) -> DataFrame:
+    """``stage_storage`` from the levels that ``wet_levels`` gives; one flood serves all stages."""
     steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(s).alias("stage_m")) for k, s in enumerate(stages(target_depth_m))))
     at = wet.withColumn("s", F.explode(steps)).withColumn("surface", F.col("datum") + F.col("s.stage_m"))
     covered = F.col("level") <= F.col("surface")
@@ -104,6 +112,12 @@ def spill(curve: DataFrame, spacing_m: float) -> DataFrame:
     return own.join(ends, ["grid_id", "outlet"]).withColumn("frustum_m3", scalars.frustum_m3(F.col("depth_m"), F.col("surface_m2"), F.col("natural_m2")))
 
 
+def pond_cells(wet: DataFrame, usable: DataFrame) -> DataFrame:
+    """(grid_id, outlet, row, col): the water surface of each outlet at the deepest stage that it can use."""
+    full = wet.join(usable.select("grid_id", "outlet", "usable_depth_m"), ["grid_id", "outlet"])
+    return full.where(F.col("level") <= F.col("datum") + F.col("usable_depth_m")).select("grid_id", "outlet", "row", "col")
+
+
 def hollows(filled: DataFrame, grid: Grid) -> DataFrame:
     """(grid_id, cell, hollow, hollow_m2, hollow_m3): the connected ground that had to be raised, with its size, for each of its cells."""
     low = filled.where(F.col("filled") > F.col("z"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import settings
@@ -25,7 +26,7 @@ def upstream_area(grid: Grid) -> Column:
 
 def stream_cells(cells: DataFrame, areas: DataFrame, grid: Grid) -> DataFrame:
     """Cells that carry at least the stream's share of the mapped area; ``areas`` has one row for each grid."""
-    joined = cells.join(F.broadcast(areas), "grid_id")
+    joined = cells.join(areas, "grid_id")
     return joined.where(upstream_area(grid) >= F.col("mapped_m2") * settings.sites.stream_share).drop("mapped_m2")
 
 
@@ -66,10 +67,26 @@ def choose_sites(flow: DataFrame, candidates: DataFrame, n: int | None = None) -
     marks = candidates.select("grid_id", F.col("cell").alias("below"), F.lit(True).alias("taken")).distinct()
     own = candidates.select(*KEY, "accumulation").join(flow.select(*KEY, "receiver"), KEY)
     free = own.join(first, ["grid_id", "receiver"], "left").join(marks, ["grid_id", "below"], "left").where("taken is null")
-    # a few picks of each grid, so one small aggregate ranks them without a window over all candidates
-    kept = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("accumulation")).alias("minus"), "cell"))), 1, top_n(n))
-    best = free.groupBy("grid_id").agg(kept.alias("best"))
-    return best.select("grid_id", F.posexplode("best").alias("rank", "b")).select("grid_id", F.col("b.cell").alias("cell"), (-F.col("b.minus")).alias("accumulation"), (F.col("rank") + 1).alias("rank"))
+    # the bound on the rank lets Spark drop all but a few rows of a grid before the shuffle
+    rank = F.row_number().over(W.partitionBy("grid_id").orderBy(F.desc("accumulation"), "cell"))
+    return free.select("grid_id", "cell", "accumulation", rank.alias("rank")).where(F.col("rank") <= top_n(n))
+
+
+def recommended(sites: DataFrame) -> DataFrame:
+    """Sites (grid_id, rank, confidence) that their grids don't contradict; ``best`` marks the first of each grid.
+
+    A site without a confidence was not held against other grids and stays.
+    """
+    kept = sites.where(F.coalesce("confidence", F.lit("")) != "low")
+    return kept.withColumn("best", F.col("rank") == F.min("rank").over(W.partitionBy("grid_id")))
+
+
+def placed_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points (grid_id, lon, lat) with ``code``: null inside their grid's box (west, south, east, north), else why they can't be used."""
+    within = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    code = F.when(F.coalesce(within, F.lit(False)), F.lit(None).cast("string")).otherwise("pour_point_outside_map")
+    own = boxes.select("grid_id", "west", "south", "east", "north")
+    return points.join(own, "grid_id", "left").withColumn("code", code).drop("west", "south", "east", "north")
 
 
 def why_none(cells: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def sheet_surface(vertices: DataFrame, resolution_m: float | None = None) -> tup
     box = (around.x1 - around.x0) * (around.y1 - around.y0)
     res, _, warnings = resolution.sheet_resolution(spacing, box, resolution_m)
     levels = placed.select(F.round("z", 6).alias("level")).distinct().orderBy("level")
-    steps = levels.agg(F.sort_array(F.collect_list("level")).alias("l")).select(F.expr("array_min(transform(sequence(2, size(l)), i -> l[i - 1] - l[i - 2]))")).first()[0]
+    steps = levels.agg(F.sort_array(F.collect_list("level")).alias("l")).select(F.explode(F.expr("zip_with(slice(l, 2, size(l)), l, (b, a) -> b - a)")).alias("step")).agg(F.median("step")).first()[0]
     n_cols, n_rows = int((around.x1 - around.x0) // res) + 1, int((around.y1 - around.y0) // res) + 1
     grid = Grid(frame, res, n_cols, around.x0, around.y0, spacing, steps or 1.0)
     cells = empty_lattice(spark, n_rows, n_cols)
@@ -86,7 +86,7 @@ def analyse(grid: Grid, lattice: DataFrame, rain: DataFrame, top_n: int | None =
     drained = terrain.route(lattice, grid)
     found = terrain.sites(drained, top_n, excluded)
     if not found["sites"].limit(1).count():
-        raise AnalysisError("no_site_found", "No cell passes every rule.")
+        raise AnalysisError(terrain.why_no_site(drained, excluded), "No cell passes every rule.")
     ranks = found["sites"].select("grid_id", F.col("cell").alias("outlet"), "rank")
     found["balances"] = terrain.balances(found, rain, curve_number).join(ranks, ["grid_id", "outlet"])
     found["geojson"] = terrain.feature_collection(found, drained)
@@ -103,6 +103,13 @@ def analyse_sheet(spark: SparkSession, path: str, rain: DataFrame, resolution_m:
     return analyse(grid, lattice, rain, **options)
 
 
+def check_pour_point(lon: float, lat: float, box: tuple[float, float, float, float]) -> None:
+    """Refuses a point outside a sheet's box before a surface is made."""
+    west, south, east, north = box
+    if not (west <= lon <= east and south <= lat <= north):
+        raise AnalysisError("pour_point_outside_map", f"({lon:g}, {lat:g}) lies outside {west:.6f}..{east:.6f} E and {south:.6f}..{north:.6f} N.")
+
+
 def two_surfaces(a: tuple[Grid, DataFrame], b: tuple[Grid, DataFrame]) -> DataFrame:
     """How well two surfaces agree, the second sampled at the cells of the first."""
     (ga, la), (gb, lb) = a, b

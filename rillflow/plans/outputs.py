@@ -83,6 +83,18 @@ def site_response(sites: DataFrame) -> DataFrame:
     return rows.select("grid_id", F.to_json(F.struct(F.lit("ok").alias("status"), "sites")).alias("response"))
 
 
+def summary(responses: DataFrame) -> DataFrame:
+    """(grid_id, cell, area_ha, runoff_m3, usable_m3, fill_ratio, verdict, sites): what a list of saved analyses shows of each response."""
+    best = F.from_json(F.get_json_object("response", "$.sites[0]"), "cell long, area_ha double, runoff_m3 double, usable_m3 double, fill_ratio double, verdict string")
+    n = F.coalesce(F.json_array_length(F.get_json_object("response", "$.sites")), F.lit(0))
+    return responses.select("grid_id", best.alias("b"), n.cast("long").alias("sites")).select("grid_id", "b.*", "sites")
+
+
+def surface_name(drawn: Column) -> Column:
+    """What heights a catchment rests on: pixels where an area was drawn, else the sheet's contours."""
+    return F.when(drawn.isNotNull(), "elevation pixels").otherwise("contour sheet")
+
+
 def why(lower_bound: Column, verdict: Column) -> Column:
     """Sentences about a site, those that apply."""
     return F.array_compact(

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, projection, scalars
 from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting
+from ..sources import kml
 from . import lattice as L
+from . import outputs
 from .lattice import AREA_SQL, COLS, D8_SQL, GAPPY_SQL, GRID, LATTICE_SQL, RAIN_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +61,12 @@ def annual_runoff(spark, sf_dir):
     return rounded(hydrology.runoff(L.rain(spark, sf_dir)))
 
 
+@query(ORACLE_SQL["annual_runoff"].partition("SELECT place, round(rain, 6)")[0] + "SELECT place, round(CASE WHEN depth > 0 THEN one / depth ELSE 'inf'::DOUBLE END, 6) AS factor FROM q")
+def overestimates(spark, sf_dir):
+    made = hydrology.runoff(L.rain(spark, sf_dir))
+    return rounded(made.select("place", scalars.overestimate(F.col("single_event_mm"), F.col("runoff_mm")).alias("factor")))
+
+
 @query(f"""WITH {RAIN_SQL}, y AS (SELECT place, count(DISTINCT year(day)) AS years FROM rain GROUP BY place)
 SELECT place, CAST(month(day) AS INTEGER) AS month, round(sum(mm) / any_value(years), 1) AS mm FROM rain JOIN y USING (place) GROUP BY place, month(day)""")
 def monthly_climatology(spark, sf_dir):
@@ -101,6 +110,29 @@ def projected_cells(spark, sf_dir):
     return rounded(wide, 9)
 
 
+@query("""WITH b AS (SELECT c_custkey, 80 + c_custkey * 0.001 AS west, 80 + c_custkey * 0.001 + c_acctbal / 1e5 AS east, 20.0 + c_nationkey AS south, 20.5 + c_nationkey AS north FROM customer)
+SELECT c_custkey, round(abs(east - west) * 111320.0 * cos(radians((south + north) / 2)), 4) AS span_m FROM b""")
+def ground_spans(spark, sf_dir):
+    west, south = 80 + F.col("c_custkey") * 0.001, 20.0 + F.col("c_nationkey")
+    span = projection.ground_span(west, south, west + F.col("c_acctbal") / 1e5, south + 0.5)
+    return rounded(L.table(spark, sf_dir, "customer").select("c_custkey", span.alias("span_m")), 4)
+
+
+@query("""WITH u AS (SELECT c_custkey, CAST(round_even((c_acctbal + 32768) * 256, 0) AS BIGINT) AS u FROM customer)
+SELECT c_custkey, CAST(u // 65536 AS INTEGER) AS r, CAST(u // 256 % 256 AS INTEGER) AS g, CAST(u % 256 AS INTEGER) AS b, u / 256.0::DOUBLE - 32768 AS height FROM u""")
+def tile_codec(spark, sf_dir):
+    coded = L.table(spark, sf_dir, "customer").select("c_custkey", scalars.terrarium_bytes(F.col("c_acctbal")).alias("p")).select("c_custkey", "p.*")
+    return coded.withColumn("height", scalars.terrarium_height(F.col("r"), F.col("g"), F.col("b")).cast("double"))
+
+
+@query("""WITH box AS (SELECT s_nationkey AS grid_id, min(s_acctbal) AS west, max(s_acctbal) AS east, min(s_suppkey) AS south, max(s_suppkey) AS north FROM supplier GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_acctbal BETWEEN west AND east AND c_custkey / 20.0 BETWEEN south AND north THEN NULL ELSE 'pour_point_outside_map' END AS code FROM customer LEFT JOIN box ON grid_id = c_nationkey""")
+def pour_points(spark, sf_dir):
+    boxes = L.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("grid_id")).agg(F.min("s_acctbal").alias("west"), F.max("s_acctbal").alias("east"), F.min("s_suppkey").alias("south"), F.max("s_suppkey").alias("north"))
+    points = L.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("grid_id"), F.col("c_acctbal").alias("lon"), (F.col("c_custkey") / 20).alias("lat"))
+    return siting.placed_points(points, boxes).select("c_custkey", "code")
+
+
 @query(f"WITH {GAPPY_SQL} SELECT grid_id, round(sum({AREA_SQL}), 4) AS mapped_m2 FROM lat WHERE z IS NOT NULL GROUP BY grid_id")
 def mask_area(spark, sf_dir):
     return rounded(siting.mapped_area(L.lattice(spark, sf_dir, True), GRID), 4)
@@ -234,6 +266,16 @@ def longest_flow_path(spark, sf_dir):
     return rounded(graph.longest_path(graph.upstream(flow, outlets, COLS), GRID.resolution_m).select("outlet", "length_m", "remote_cell"))
 
 
+@query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_CATCH},
+far AS (SELECT loc, cell, straight + diagonal AS steps FROM firsts QUALIFY row_number() OVER (PARTITION BY loc ORDER BY round((straight + diagonal * sqrt(2.0)) * 10, 9) DESC, cell) = 1)
+SELECT far.loc AS outlet, CAST(w.straight + w.diagonal AS BIGINT) AS step, w.loc AS cell FROM far JOIN walk w ON w.cell = far.cell WHERE w.straight + w.diagonal <= far.steps""")
+def flow_paths(spark, sf_dir):
+    flow, outlets = _outlets(spark, sf_dir)
+    members = graph.upstream(flow, outlets, COLS)
+    starts = graph.longest_path(members, GRID.resolution_m).select("grid_id", F.col("remote_cell").alias("cell"))
+    return graph.flow_paths(flow, members, starts).select("outlet", "step", "cell")
+
+
 @query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_CATCH} SELECT lat.cell, round(lat.z - o.z, 6) AS above, f.loc IS NULL AS leaves_map
 FROM lat LEFT JOIN firsts f USING (cell) LEFT JOIN lat o ON o.cell = f.loc""")
 def height_above_trunk(spark, sf_dir):
@@ -325,14 +367,14 @@ def hollows(spark, sf_dir):
 
 
 @query(f"""WITH {GAPPY_SQL}, m AS (SELECT max(row) AS last FROM lat),
-p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, l_quantity * 0.83 - 0.4 AS r, l_discount * 380 + 0.37 AS c, last FROM lineitem, m WHERE l_linenumber < 3),
+p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, l_quantity * 0.83 - 0.4 AS r, l_discount * 380 + 0.37 AS c, last FROM lineitem, m),
 q AS (SELECT DISTINCT point_id, r < -0.5 OR r > last + 0.5 OR c < -0.5 OR c > 39.5 AS outside, least(greatest(r, 0), last) AS r, least(greatest(c, 0), 39) AS c FROM p),
 k AS (SELECT point_id, outside, floor(r) + a AS row, floor(c) + b AS col, (CASE WHEN a = 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) * (CASE WHEN b = 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) AS w
   FROM q, (VALUES (0), (1)) AS x(a), (VALUES (0), (1)) AS y(b))
 SELECT point_id, round(CASE WHEN NOT bool_or(outside) AND sum(CASE WHEN z IS NULL THEN w ELSE 0 END) <= 1e-6 THEN sum(w * coalesce(z, 0)) END, 6) AS height
 FROM k LEFT JOIN lat ON lat.row = k.row AND lat.col = k.col WHERE w > 0 OR outside GROUP BY point_id""")
 def bilinear_sample(spark, sf_dir):
-    points = L.table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_quantity") * 0.83 - 0.4).alias("prow"), (F.col("l_discount") * 380 + 0.37).alias("pcol")).distinct()
+    points = L.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_quantity") * 0.83 - 0.4).alias("prow"), (F.col("l_discount") * 380 + 0.37).alias("pcol")).distinct()
     pixels = L.lattice(spark, sf_dir, True).select(F.col("row").alias("prow"), F.col("col").alias("pcol"), "z")
     return rounded(rasters.bilinear(points, pixels))
 
@@ -363,13 +405,13 @@ def class_majority(spark, sf_dir):
     return made.select(GRID.cell(F.col("row"), F.col("col")).alias("cell"), "excluded")
 
 
-@query(f"""WITH {LATTICE_SQL}, a AS (SELECT CAST(z AS INTEGER) % 7 AS site, row, col FROM lat WHERE cell % 3 < 2), b AS (SELECT CAST(z AS INTEGER) % 5 AS site, row, col FROM lat WHERE cell % 2 = 0),
+@query(f"""WITH {LATTICE_SQL}, a AS (SELECT CAST(z AS INTEGER) % 7 AS site, row, col FROM lat), b AS (SELECT CAST(z AS INTEGER) % 5 AS site, row, col FROM lat),
 n AS (SELECT a.site AS site_a, b.site AS site_b, count(*) AS shared FROM a JOIN b USING (row, col) GROUP BY ALL)
 SELECT CAST(site_a AS INTEGER) AS site_a, CAST(site_b AS INTEGER) AS site_b, shared, round(shared / ((SELECT count(*) FROM a WHERE site = site_a) + (SELECT count(*) FROM b WHERE site = site_b) - shared), 6) AS iou FROM n""")
 def catchment_overlap(spark, sf_dir):
     cells = L.lattice(spark, sf_dir)
-    a = cells.where("cell % 3 < 2").select(F.expr("cast(rint(z) as int) % 7").alias("site"), "row", "col")
-    b = cells.where("cell % 2 = 0").select(F.expr("cast(rint(z) as int) % 5").alias("site"), "row", "col")
+    a = cells.select(F.expr("cast(rint(z) as int) % 7").alias("site"), "row", "col")
+    b = cells.select(F.expr("cast(rint(z) as int) % 5").alias("site"), "row", "col")
     return rounded(rasters.overlap(a, b))
 
 
@@ -388,6 +430,39 @@ def ensemble_statistics(spark, sf_dir):
     return rounded(siting.ensemble(c))
 
 
+@query("""WITH a AS (SELECT c_custkey % 100 AS point_id, 20000 + c_acctbal * (c_custkey % 100 / 25.0) AS area_m2 FROM customer),
+s AS (SELECT CAST(point_id % 5 AS INTEGER) AS grid_id, CAST(point_id AS INTEGER) AS rank, avg(area_m2) AS mean, stddev_pop(area_m2) AS std FROM a GROUP BY point_id),
+k AS (SELECT *, CASE WHEN mean <= 0 THEN 'low' WHEN std / mean <= 0.1 THEN 'high' WHEN std / mean <= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM s)
+SELECT grid_id, rank, confidence, rank = min(rank) OVER (PARTITION BY grid_id) AS best FROM k WHERE confidence <> 'low'""")
+def recommended_sites(spark, sf_dir):
+    areas = L.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("point_id"), (20000 + F.col("c_acctbal") * (F.col("c_custkey") % 100 / 25.0)).alias("area_m2"))
+    sites = siting.ensemble(areas).select(F.expr("cast(point_id % 5 as int)").alias("grid_id"), F.col("point_id").cast("int").alias("rank"), "confidence")
+    return siting.recommended(sites)
+
+
+@query("""WITH s AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank, count(*) OVER (PARTITION BY c_nationkey) AS sites FROM customer)
+SELECT CAST(c_nationkey AS INTEGER) AS grid_id, CAST(c_custkey AS BIGINT) AS cell, CAST(c_custkey / 4.0 AS DOUBLE) AS area_ha, CAST(c_custkey * 3 AS DOUBLE) AS runoff_m3, CASE WHEN c_acctbal > 0 THEN CAST(c_custkey AS DOUBLE) END AS usable_m3,
+CASE WHEN c_acctbal > 0 THEN CAST(c_custkey // 2 AS DOUBLE) ELSE -1.0 END AS fill_ratio, CASE WHEN c_acctbal > 0 THEN 'fills' ELSE 'overflows' END AS verdict, CAST(sites AS BIGINT) AS sites FROM s WHERE rank = 1""")
+def saved_summaries(spark, sf_dir):
+    c, gains = F.col("c_custkey").cast("double"), F.col("c_acctbal") > 0
+    infinite = F.lit(float("inf"))
+    sites = L.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("int").alias("grid_id"), F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("rank"), F.col("c_custkey").cast("long").alias("outlet"), (c * 2500).alias("area_m2"), c.alias("relief_m"), c.alias("length_m"),
+        F.lit(0.25).alias("edge_contact"), (c * 3).alias("runoff_m3"), F.when(gains, c).otherwise(infinite).alias("usable_m3"), F.when(gains, F.floor(c / 2).cast("double")).otherwise(infinite).alias("fill_ratio"), F.when(gains, "fills").otherwise("overflows").alias("verdict"),
+        c.alias("concentration_min"), F.lit(True).alias("lower_bound"),
+    )
+    return outputs.summary(outputs.site_response(sites))
+
+
+@query("""WITH named AS (SELECT c_nationkey AS path, c_custkey % 3 AS level FROM customer WHERE c_acctbal > 0), known AS (SELECT DISTINCT p_size % 25 AS path, p_partkey % 4 AS level FROM part WHERE p_size % 25 > 4)
+SELECT CAST(n.path AS BIGINT) AS path, bool_and(k.level IS NOT NULL) AS consistent FROM named n LEFT JOIN known k USING (path, level) GROUP BY n.path""")
+def label_levels(spark, sf_dir):
+    name = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("Level: "), F.col("c_custkey") % 3, F.lit(" m"))).otherwise(F.col("c_name"))
+    labels = L.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("path"), name.alias("name"))
+    levels = L.table(spark, sf_dir, "part").where("p_size % 25 > 4").select(F.expr("cast(p_size % 25 as bigint)").alias("path"), F.expr("cast(p_partkey % 4 as double)").alias("level"))
+    return kml.label_check(labels, levels)
+
+
 @query()
 def contour_lines(spark, sf_dir):
     lines = contours.contours(L.lattice(spark, sf_dir, True), GRID, 5.0)

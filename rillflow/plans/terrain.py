@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import settings
@@ -12,6 +12,7 @@ from ..errors import AnalysisError
 from ..functions.projection import Grid
 from ..operators import contours, focal, graph, hydrology, siting
 from ..session import settled
+from .outputs import collection
 
 KEY = ["grid_id", "cell"]
 
@@ -49,16 +50,31 @@ def candidates(d: Drainage, excluded: DataFrame | None = None) -> DataFrame:
     return found if excluded is None else siting.available_cells(found, excluded)
 
 
+def why_no_site(d: Drainage, excluded: DataFrame | None = None) -> str:
+    """Which rule left no candidate on a surface of one grid."""
+    stream = siting.stream_cells(d.cells, siting.mapped_area(d.lattice, d.grid), d.grid)
+    clear = siting.clear_cells(graph.height_above(d.flow, siting.trunk_cells(d.cells, d.grid)))
+    cells = d.cells.select(*KEY)
+    for name, kept in (("stream", stream), ("buildable", siting.buildable_cells(d.cells)), ("clear", clear)):
+        cells = cells.join(kept.select(*KEY, F.lit(True).alias(name)), KEY, "left")
+    ruled_out = cells.select(*KEY, F.lit(True).alias("out")).limit(0) if excluded is None else excluded.select(*KEY, F.lit(True).alias("out")).distinct()
+    flags = cells.join(ruled_out, KEY, "left").withColumn("available", F.col("out").isNull()).fillna(False, ["stream", "buildable", "clear"])
+    found = siting.why_none(flags).where("code is not null").first()
+    return found.code if found is not None else "no_site_found"
+
+
 def sites(d: Drainage, n: int | None = None, excluded: DataFrame | None = None, target_depth_m: float | None = None) -> dict[str, DataFrame]:
     """Chosen sites with their catchments, storage curves and outlines, as DataFrames by name."""
     chosen = settled(siting.choose_sites(d.flow, candidates(d, excluded), n))
     members = settled(graph.upstream(d.flow, chosen, d.grid.n_cols))
     summary = siting.catchment_summary(members, d.lattice, d.grid)
-    curve = settled(hydrology.stage_storage(members, d.filled, d.grid, target_depth_m))
+    wet = settled(hydrology.wet_levels(members, d.filled, d.grid))
+    curve = settled(hydrology.storage_curve(wet, d.grid, target_depth_m))
     usable = hydrology.spill(curve, d.grid.spacing_m)
     place = d.cells.select("grid_id", "cell", "row", "col")
     outline = contours.mask_geojson(members.join(place, KEY).select("grid_id", F.col("outlet").alias("site"), "row", "col"), d.grid)
-    return {"sites": chosen, "members": members, "catchments": summary, "storage": curve, "usable": usable, "outlines": outline}
+    ponds = hydrology.pond_cells(wet, usable)
+    return {"sites": chosen, "members": members, "catchments": summary, "storage": curve, "usable": usable, "outlines": outline, "ponds": ponds}
 
 
 def balances(found: dict[str, DataFrame], rain: DataFrame, curve_number: float | None = None) -> DataFrame:
@@ -70,20 +86,56 @@ def balances(found: dict[str, DataFrame], rain: DataFrame, curve_number: float |
     return hydrology.water_balance(catchments, found["usable"], F.col("runoff_mm"))
 
 
-def feature_collection(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
-    """One GeoJSON text for each grid: catchments before outlets, by rank."""
+def _feature(geometry: Column, properties: Column) -> Column:
+    """A feature around a geometry that is JSON text already."""
+    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+
+
+def pond_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """(grid_id, rank, feature): the water surface of every site; a pond of a single cell is left out."""
+    key = ["grid_id", "outlet"]
+    large = found["ponds"].groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    shape = contours.mask_geojson(found["ponds"].join(large, key, "left_semi").withColumnRenamed("outlet", "site"), d.grid).withColumnRenamed("site", "outlet")
+    made = shape.join(found["usable"], key).join(found["sites"].select("grid_id", F.col("cell").alias("outlet"), "rank"), key)
+    first = F.col("rank") == 1
+    # the paints are fixed values
+    paint = lambda a, b: F.when(first, a).otherwise(b)
+    props = F.struct(
+        F.lit("pond").alias("role"), "rank", F.rint("usable_m3").cast("long").alias("capacity_m3"), F.rint("usable_m2").cast("long").alias("surface_area_m2"), F.bround("usable_depth_m", 2).alias("depth_m"),
+        paint("#08519c", "#3182bd").alias("stroke"), paint("#3182bd", "#9ecae1").alias("fill"), paint(0.6, 0.45).alias("fill-opacity"),
+    )
+    return made.select("grid_id", "rank", _feature(F.col("geometry"), props).alias("feature"))
+
+
+def path_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """(grid_id, rank, feature): the longest way of the water to the first site of each grid."""
+    o = settings.layers
+    first = found["sites"].where("rank = 1").select("grid_id", F.col("cell").alias("outlet"), "rank")
+    known = found["catchments"].join(first, ["grid_id", "outlet"])
+    members = found["members"].join(first.select("grid_id", "outlet"), ["grid_id", "outlet"], "left_semi")
+    steps = graph.flow_paths(d.flow, members, known.select("grid_id", F.col("remote_cell").alias("cell"))).join(d.cells.select(*KEY, "row", "col"), KEY)
+    point = F.struct("step", F.array(F.bround(d.grid.lon(F.col("col")), o.decimals), F.bround(d.grid.lat(F.col("row")), o.decimals)).alias("at"))
+    lines = steps.groupBy("grid_id", "outlet").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: p["at"]).alias("coordinates"))
+    shape = F.to_json(F.struct(F.lit("LineString").alias("type"), "coordinates"))
+    props = F.struct(F.lit("flow_path").alias("role"), "rank", F.bround("length_m", 1).alias("length_m"), F.bround("path_relief_m", 2).alias("relief_m"), F.lit("#e31a1c").alias("stroke"), F.lit(2).alias("stroke-width"))
+    return lines.where(F.size("coordinates") > 1).join(known, ["grid_id", "outlet"]).select("grid_id", "rank", _feature(shape, props).alias("feature"))
+
+
+def features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """(grid_id, layer, rank, part, feature): one row for each feature; areas are layer 0, lines 1, points 2."""
     o = settings.layers
     ranked = found["sites"].select("grid_id", F.col("cell").alias("outlet"), "rank")
     area = found["catchments"].join(ranked, ["grid_id", "outlet"]).join(found["outlines"].withColumnRenamed("site", "outlet"), ["grid_id", "outlet"])
     props = F.struct(F.lit("catchment").alias("role"), "rank", F.round(F.col("area_m2") / 1e4, 2).alias("area_ha"), F.round(F.col("edge_contact") * 100, 2).alias("edge_contact_pct"), F.round("relief_m", 2).alias("relief_m"))
-    # geometry comes as JSON text of its own and is set into the feature as it is
-    shape = F.concat(F.lit('{"type":"Feature","geometry":'), F.col("geometry"), F.lit(',"properties":'), F.to_json(props), F.lit("}"))
-    first = area.select("grid_id", F.lit(0).alias("kind"), "rank", shape.alias("feature"))
-    place = d.cells.select("grid_id", F.col("cell").alias("outlet"), "row", "col")
-    at = ranked.join(place, ["grid_id", "outlet"])
+    grounds = area.select("grid_id", "rank", _feature(F.col("geometry"), props).alias("feature"))
+    at = ranked.join(d.cells.select("grid_id", F.col("cell").alias("outlet"), "row", "col"), ["grid_id", "outlet"])
     lon, lat = F.bround(d.grid.lon(F.col("col")), o.decimals), F.bround(d.grid.lat(F.col("row")), o.decimals)
-    point = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry"), F.struct(F.lit("outlet").alias("role"), "rank").alias("properties"))
-    second = at.select("grid_id", F.lit(2).alias("kind"), "rank", F.to_json(point).alias("feature"))
-    rows = first.unionByName(second).groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "feature"))).alias("f"))
-    features = F.array_join(F.transform("f", lambda x: x["feature"]), ",")
-    return rows.select("grid_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}")).alias("geojson"))
+    spot = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
+    outlets = at.select("grid_id", "rank", _feature(spot, F.struct(F.lit("outlet").alias("role"), "rank")).alias("feature"))
+    placed = lambda df, layer, part: df.select("grid_id", F.lit(layer).alias("layer"), "rank", F.lit(part).alias("part"), "feature")
+    return placed(grounds, 0, 0).unionByName(placed(pond_features(found, d), 0, 1)).unionByName(placed(path_features(found, d), 1, 0)).unionByName(placed(outlets, 2, 0))
+
+
+def feature_collection(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """One GeoJSON text for each grid: areas before lines before points, each by rank, a site's catchment before its pond."""
+    return collection(features(found, d), ["layer", "rank", "part"])

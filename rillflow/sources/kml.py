@@ -168,6 +168,22 @@ def sheet_summary(placemarks: DataFrame) -> DataFrame:
     return sums.join(per_sheet, "path").withColumn("maybe_feet", F.col("interval").between(low, high))
 
 
+def label_check(labels: DataFrame, levels: DataFrame) -> DataFrame:
+    """(path, consistent) of sheets with labels (path, name): whether every height that a label gives is a level (path, level).
+
+    Heights are compared at six decimals; labels without a number say nothing.
+    """
+    said = labels.select("path", F.round(scalars.labelled_number(F.col("name"))["value"], 6).alias("level")).where("level is not null").distinct()
+    known = levels.select("path", F.round("level", 6).alias("level")).distinct().withColumn("known", F.lit(True))
+    return said.join(known, ["path", "level"], "left").groupBy("path").agg(F.every(F.col("known").isNotNull()).alias("consistent"))
+
+
+def sheet_labels(placemarks: DataFrame) -> DataFrame:
+    """(path, consistent) of whole sheets: their placemarks without lines against the levels of their contours."""
+    spots = placemarks.where(F.col("error").isNull() & (F.coalesce(F.size("lines"), F.lit(0)) <= 0)).select("path", "name")
+    return label_check(spots, heights(placemarks).select("path", F.col("height").alias("level")))
+
+
 def contour_lengths(points: DataFrame) -> DataFrame:
     """(path, length_m) of vertices (path, line_id, seq, x, y); jumps between lines don't count."""
     order = W.partitionBy("path", "line_id").orderBy("seq")

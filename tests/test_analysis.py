@@ -70,7 +70,18 @@ def test_analysis_gives_sites_and_balances(spark, surface):
     for r in rows:
         assert r.runoff_m3 == pytest.approx(r.area_m2 * 0.1915, rel=0.01)
     made = json.loads(found["geojson"].first().geojson)
-    assert [f["properties"]["role"] for f in made["features"]] == ["catchment"] * len(rows) + ["outlet"] * len(rows)
+    roles = [f["properties"]["role"] for f in made["features"]]
+    wet = {r.outlet: r.n for r in found["ponds"].groupBy("outlet").agg(F.count("*").alias("n")).collect()}
+    want = [role for r in sorted(rows, key=lambda r: r.rank) for role in ["catchment", "pond"][: 1 + (wet[r.outlet] >= 2)]]
+    assert roles == want + ["flow_path"] + ["outlet"] * len(rows)
+    surface_m2 = {r.outlet: r.m2 for r in found["ponds"].groupBy("outlet").agg(F.sum(grid.cell_area(F.col("row"))).alias("m2")).collect()}
+    for r in rows:
+        assert surface_m2[r.outlet] == pytest.approx(r.usable_m2)
+    path = next(f for f in made["features"] if f["properties"]["role"] == "flow_path")["geometry"]["coordinates"]
+    first = next(f for f in made["features"] if f["properties"]["role"] == "outlet")["geometry"]["coordinates"]
+    kx, ky = 111320 * math.cos(math.radians(LAT)), 110540
+    length = sum(math.hypot((a[0] - b[0]) * kx, (a[1] - b[1]) * ky) for a, b in zip(path, path[1:]))
+    assert path[-1] == first and length == pytest.approx(next(r.length_m for r in rows if r.rank == 1), rel=0.01)
     response = json.loads(outputs.site_response(found["balances"]).first().response)
     assert [s["rank"] for s in response["sites"]] == sorted(r.rank for r in rows)
     assert analysis.two_surfaces((grid, lattice), (grid, lattice)).first().rmse == pytest.approx(0, abs=1e-9)
@@ -116,3 +127,49 @@ def test_texts(spark):
     saved = spark.createDataFrame(rows, "id string, name string, notes string, created double, summary string, body string")
     made = json.loads(outputs.saved_layer(saved).first().geojson)
     assert [f["properties"]["id"] for f in made["features"]] == ["k2", "k1"]
+
+
+def test_no_site_has_a_reason(spark, surface):
+    grid, lattice, _ = surface
+    everywhere = lattice.select("grid_id", "cell")
+    with pytest.raises(AnalysisError) as e:
+        analysis.analyse(grid, lattice.withColumn("z", F.col("z") * 0.4), rainfall.climatology(spark), 2, excluded=everywhere)
+    assert e.value.code == "no_available_ground"
+    with pytest.raises(AnalysisError) as e:
+        analysis.analyse(grid, lattice.withColumn("z", F.col("z") * 40), rainfall.climatology(spark), 2)
+    assert e.value.code == "no_buildable_ground"
+
+
+def test_pour_point_lies_on_the_sheet():
+    box = (81.0, 21.0, 81.5, 21.5)
+    analysis.check_pour_point(81.5, 21.0, box)
+    with pytest.raises(AnalysisError) as e:
+        analysis.check_pour_point(81.6, 21.0, box)
+    assert e.value.code == "pour_point_outside_map"
+
+
+def test_labels_of_a_sheet(spark, tmp_path):
+    mark = "<Placemark><name>{0}</name><LineString><coordinates>81,21 81.1,21 81.1,21.1</coordinates></LineString></Placemark>"
+    spot = "<Placemark><name>{0}</name><Point><coordinates>81,21</coordinates></Point></Placemark>"
+    for stem, labels in (("good", ["10 m", "20", "well"]), ("bad", ["10 m", "15"])):
+        (tmp_path / f"{stem}.kml").write_text("<kml><Document>" + "".join(mark.format(v) for v in (10, 20, 30)) + "".join(spot.format(v) for v in labels) + "</Document></kml>")
+    made = {r.path.rsplit("/", 1)[1]: r.consistent for r in kml.sheet_labels(kml.read_placemarks(spark, str(tmp_path))).collect()}
+    assert made == {"good.kml": True, "bad.kml": False}
+
+
+def test_codes_of_heights_round_trip(spark):
+    from rillflow.functions import scalars
+
+    heights = [0.0, -32768.0, 8848.86, 254.999, 255.9999, 511.9999, -0.001, 1e6]
+    coded = spark.createDataFrame([(h,) for h in heights], "z double").select("z", scalars.terrarium_bytes(F.col("z")).alias("p"))
+    for r in coded.select("z", "p.*", scalars.terrarium_height(F.col("p.r"), F.col("p.g"), F.col("p.b")).alias("back")).collect():
+        assert all(0 <= v <= 255 for v in (r.r, r.g, r.b))
+        assert r.back == pytest.approx(min(r.z, 32768 - 1 / 256), abs=1 / 512)
+
+
+def test_sites_that_grids_contradict(spark):
+    from rillflow.operators import siting
+
+    rows = [(0, 1, "low"), (0, 2, "high"), (0, 3, None), (1, 1, "low")]
+    made = siting.recommended(spark.createDataFrame(rows, "grid_id int, rank int, confidence string"))
+    assert {(r.grid_id, r.rank, r.best) for r in made.collect()} == {(0, 2, True), (0, 3, False)}
