@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_dedup, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filters
+from . import alignment, bpe, decontaminate, licenses, near_dedup, packing, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, token_counts, url_filters
 from .session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+#: Closes each packed document.
+END_ID = 2
 URL_RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -73,6 +77,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, PIECES)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORDS, END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality_classifier, op4_suffix_dedup, op5_near_dedup, op6_decontamination, op7_licenses, op8_quality_rules, op9_token_counts, op10_url_filters)
+    f.__name__: f for f in (op1_bpe, op2_sharding, op3_quality_classifier, op4_suffix_dedup, op5_near_dedup, op6_decontamination, op7_licenses, op8_quality_rules, op9_token_counts, op10_url_filters, op11_alignment, op12_packing, op13_spelling)
 }
