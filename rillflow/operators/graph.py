@@ -14,7 +14,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import settings
@@ -39,28 +40,30 @@ def accumulate(flow: DataFrame, weight: str | None = None) -> DataFrame:
     return state.select(*KEY, F.col("total").alias("accumulation"))
 
 
-def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | None = None) -> DataFrame:
+def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | Column | None = None, along: str | None = None) -> DataFrame:
     """(grid_id, cell, root, straight, diagonal): where each cell's water ends, and the steps on the way.
 
     Cells of ``stops`` (grid_id, cell) drain nowhere further. Steps are counted only if
-    ``n_cols`` tells rows from columns.
+    ``n_cols`` tells rows from columns; as a column it may differ from grid to grid. The
+    column ``along``, if there is one, is added up over the cells on the way and returned too.
     """
-    ends = flow.select(*KEY, "receiver")
+    width = n_cols if isinstance(n_cols, Column) else F.lit(n_cols)
+    ends = flow.select(*KEY, "receiver", (F.col(along) if along else F.lit(0)).cast("long").alias("along"), width.cast("long").alias("width"))
     if stops is not None:
-        ends = ends.join(stops.select(*KEY, F.lit(True).alias("stop")).distinct(), KEY, "left").select(*KEY, F.when(F.col("stop").isNull(), F.col("receiver")).alias("receiver"))
+        ends = ends.join(stops.select(*KEY, F.lit(True).alias("stop")).distinct(), KEY, "left").select(*KEY, F.when(F.col("stop").isNull(), F.col("receiver")).alias("receiver"), "along", "width")
     moved = F.col("receiver").isNotNull()
-    if n_cols:
-        across = (F.floor(F.col("cell") / n_cols) != F.floor(F.col("receiver") / n_cols)) & (F.col("cell") % n_cols != F.col("receiver") % n_cols)
+    if n_cols is not None:
+        across = (F.floor(F.col("cell") / F.col("width")) != F.floor(F.col("receiver") / F.col("width"))) & (F.col("cell") % F.col("width") != F.col("receiver") % F.col("width"))
         straight, diagonal = F.when(moved & ~across, 1).otherwise(0), F.when(moved & across, 1).otherwise(0)
     else:
         straight = diagonal = F.lit(0)
-    state = last = settled(ends.select(*KEY, F.coalesce("receiver", "cell").alias("root"), straight.cast("long").alias("straight"), diagonal.cast("long").alias("diagonal")))
+    # what a cell adds counts up to the next cell; that of a root counts nowhere
+    counted = {"straight": straight, "diagonal": diagonal} | ({"along": F.when(moved, F.col("along")).otherwise(0)} if along else {})
+    state = last = settled(ends.select(*KEY, F.coalesce("receiver", "cell").alias("root"), *(c.cast("long").alias(n) for n, c in counted.items())))
     while True:
-        after = state.select("grid_id", F.col("cell").alias("root"), F.col("root").alias("_root"), F.col("straight").alias("_s"), F.col("diagonal").alias("_d"))
+        after = state.select("grid_id", F.col("cell").alias("root"), F.col("root").alias("_root"), *(F.col(n).alias(f"_{n}") for n in counted))
         new = settled(
-            state.join(after, ["grid_id", "root"]).select(
-                *KEY, F.col("_root").alias("root"), (F.col("straight") + F.col("_s")).alias("straight"), (F.col("diagonal") + F.col("_d")).alias("diagonal"), (F.col("root") != F.col("_root")).alias("moved")
-            )
+            state.join(after, ["grid_id", "root"]).select(*KEY, F.col("_root").alias("root"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in counted), (F.col("root") != F.col("_root")).alias("moved"))
         )
         discard(last)
         last, state = new, new.drop("moved")
@@ -68,11 +71,58 @@ def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | None =
             return state
 
 
-def upstream(flow: DataFrame, outlets: DataFrame, n_cols: int | None = None) -> DataFrame:
-    """(grid_id, cell, outlet, straight, diagonal): the cells that drain through an outlet with no other outlet between."""
-    reached = drain(flow, outlets, n_cols)
-    wanted = outlets.select("grid_id", F.col("cell").alias("root")).distinct()
-    return reached.join(wanted, ["grid_id", "root"], "left_semi").withColumnRenamed("root", "outlet")
+def tour(flow: DataFrame, n_cols: int | Column | None = None) -> DataFrame:
+    """(grid_id, cell, root, pre, size, straight, diagonal): the order in which a walk against the flow meets the cells of each root.
+
+    All that drains through a cell has the numbers ``pre`` to ``pre + size - 1``. ``size``
+    comes from one doubling; a cell's number is its receiver's plus one and the sizes of the
+    donors before it, so a second doubling adds those up along the flow.
+    """
+    sizes = accumulate(flow).select(*KEY, F.col("accumulation").cast("long").alias("size"))
+    sized = settled(flow.select(*KEY, "receiver", *([n_cols.alias("_width")] if isinstance(n_cols, Column) else [])).join(sizes, KEY))
+    donors = W.partitionBy("grid_id", "receiver").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    # roots have no receiver in common: they must not meet in one window
+    below = sized.where("receiver IS NOT NULL").withColumn("before", F.coalesce(F.sum("size").over(donors), F.lit(0)) + 1)
+    ordered = below.unionByName(sized.where("receiver IS NULL").withColumn("before", F.lit(0).cast("long")))
+    width = F.col("_width") if isinstance(n_cols, Column) else n_cols
+    return settled(drain(ordered, n_cols=width, along="before").withColumnRenamed("along", "pre").join(sizes, KEY))
+
+
+#: Widths of the blocks by which numbers of a tour meet ranges of them, as a power of two.
+_STEP_BITS = 4
+
+
+def within(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each of ``points`` (grid_id, root, pre, ...) beside each of ``ranges`` (grid_id, root, lo, size, ...) that holds its number.
+
+    A range is looked up in blocks of the largest power of 16 up to its size: at most 17 of
+    them, of which the two at its ends hold other numbers too. So the join is on equal
+    blocks, and meets at most three times as many pairs as it returns.
+    """
+    sized = ranges.withColumn("bits", F.expr(f"cast((length(bin(size)) - 1) div {_STEP_BITS} * {_STEP_BITS} as int)"))
+    used = sorted(r.bits for r in sized.select("bits").distinct().collect())  # at most 16 numbers
+    cut = lambda c: F.expr(f"shiftright({c}, bits)")
+    blocks = sized.withColumn("block", F.explode(F.sequence(cut("lo"), cut("lo + size - 1"))))
+    dealt = points.withColumn("bits", F.explode(F.lit(used).cast("array<int>"))).withColumn("block", cut("pre"))
+    held = dealt.join(blocks, ["grid_id", "root", "bits", "block"]).where("pre >= lo AND pre < lo + size")
+    return held.drop("bits", "block")
+
+
+def members_of(toured: DataFrame, outlets: DataFrame) -> DataFrame:
+    """(grid_id, cell, outlet, straight, diagonal): all cells that drain through each outlet, and the steps on the way to it.
+
+    Outlets may lie above one another: a cell belongs to each that its water passes.
+    """
+    wanted = toured.join(outlets.select(*KEY).distinct(), KEY, "left_semi")
+    ranges = wanted.select("grid_id", "root", F.col("cell").alias("outlet"), F.col("pre").alias("lo"), "size", F.col("straight").alias("_straight"), F.col("diagonal").alias("_diagonal"))
+    points = toured.select("grid_id", "root", "cell", "pre", "straight", "diagonal")
+    steps = ((F.col(c) - F.col(f"_{c}")).alias(c) for c in ("straight", "diagonal"))
+    return within(points, ranges).select("grid_id", "cell", "outlet", *steps)
+
+
+def upstream(flow: DataFrame, outlets: DataFrame, n_cols: int | Column | None = None) -> DataFrame:
+    """``members_of`` the tour of a flow graph."""
+    return members_of(tour(flow, n_cols), outlets)
 
 
 def longest_path(members: DataFrame, resolution_m: float) -> DataFrame:
@@ -82,19 +132,19 @@ def longest_path(members: DataFrame, resolution_m: float) -> DataFrame:
     return members.groupBy("grid_id", "outlet").agg(best.alias("best")).select("grid_id", "outlet", F.col("best.length_m").alias("length_m"), (-F.col("best.minus")).alias("remote_cell"))
 
 
-def flow_paths(flow: DataFrame, members: DataFrame, starts: DataFrame) -> DataFrame:
-    """(grid_id, outlet, step, cell): the way of the water from each start (grid_id, cell) to its outlet, both included.
+def flow_paths(toured: DataFrame, starts: DataFrame) -> DataFrame:
+    """(grid_id, outlet, step, cell): the way of the water from each start (grid_id, outlet, cell) to its outlet, both included.
 
-    ``members`` is what ``upstream`` returns with steps counted. A drop put on every start
-    passes just the cells of the ways; starts of one catchment must not share a way.
+    A start's water passes the cells whose range of a tour holds the start's number; on the
+    way to an outlet are those of them that lie no further down than it. Outlets may lie
+    above one another, and starts may share their ways. Each outlet has one start.
     """
-    drops = starts.select(*KEY, F.lit(1.0).alias("drop")).distinct()
-    inside = flow.select(*KEY, "receiver").join(members.select(*KEY, "outlet"), KEY).join(drops, KEY, "left")
-    stopped = inside.select(*KEY, F.when(F.col("cell") != F.col("outlet"), F.col("receiver")).alias("receiver"), F.coalesce("drop", F.lit(0.0)).alias("drop"))
-    passed = accumulate(stopped, "drop").where("accumulation > 0").select(*KEY)
-    own = members.join(passed, KEY).withColumn("left", F.col("straight") + F.col("diagonal"))
-    far = own.groupBy("grid_id", "outlet").agg(F.max("left").alias("steps"))
-    return own.join(far, ["grid_id", "outlet"]).select("grid_id", "outlet", (F.col("steps") - F.col("left")).alias("step"), "cell")
+    depth = F.col("straight") + F.col("diagonal")
+    own = toured.select(*KEY, "root", "pre", depth.alias("depth"))
+    ends = own.select("grid_id", F.col("cell").alias("outlet"), F.col("depth").alias("end"))
+    points = own.join(starts.select("grid_id", "outlet", "cell").distinct(), KEY).join(ends, ["grid_id", "outlet"]).select("grid_id", "root", "pre", "outlet", F.col("depth").alias("start"), "end")
+    passed = toured.select("grid_id", "root", "cell", F.col("pre").alias("lo"), "size", depth.alias("depth"))
+    return within(points, passed).where("depth >= end").select("grid_id", "outlet", (F.col("start") - F.col("depth")).alias("step"), "cell")
 
 
 def height_above(flow: DataFrame, trunk: DataFrame, value: str = "z") -> DataFrame:

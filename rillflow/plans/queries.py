@@ -245,7 +245,10 @@ def basin_mass_balance(spark, sf_dir):
 
 
 _OUTLETS = "outlets AS (SELECT cell FROM acc WHERE n >= 12)"
-_CATCH = f"""{_OUTLETS}, firsts AS (SELECT w.cell, w.loc, straight, diagonal FROM walk w JOIN outlets o ON o.cell = w.loc QUALIFY row_number() OVER (PARTITION BY w.cell ORDER BY straight + diagonal) = 1)"""
+#: Each outlet alone: all cells whose walk passes it, whatever other outlets lie between.
+_CATCH = f"{_OUTLETS}, firsts AS (SELECT w.cell, w.loc, straight, diagonal FROM walk w JOIN outlets o ON o.cell = w.loc)"
+#: The first outlet on each cell's walk.
+_FIRST = f"{_OUTLETS}, firsts AS (SELECT w.cell, w.loc FROM walk w JOIN outlets o ON o.cell = w.loc QUALIFY row_number() OVER (PARTITION BY w.cell ORDER BY straight + diagonal) = 1)"
 
 
 def _outlets(spark, sf_dir):
@@ -266,17 +269,26 @@ def longest_flow_path(spark, sf_dir):
     return rounded(graph.longest_path(graph.upstream(flow, outlets, COLS), GRID.resolution_m).select("outlet", "length_m", "remote_cell"))
 
 
+@query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_CATCH}, sizes AS (SELECT loc, count(*) AS members FROM firsts GROUP BY loc)
+SELECT loc AS outlet, members, CAST(n AS DOUBLE) AS accumulation FROM sizes JOIN acc ON acc.cell = loc""")
+def nested_catchments(spark, sf_dir):
+    """Outlets that lie above one another: each has as many members as water passes it."""
+    flow, outlets = _outlets(spark, sf_dir)
+    sizes = graph.upstream(flow, outlets).groupBy("grid_id", "outlet").agg(F.count("*").alias("members"))
+    return sizes.join(outlets.withColumnRenamed("cell", "outlet"), ["grid_id", "outlet"]).select("outlet", "members", "accumulation")
+
+
 @query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_CATCH},
 far AS (SELECT loc, cell, straight + diagonal AS steps FROM firsts QUALIFY row_number() OVER (PARTITION BY loc ORDER BY round((straight + diagonal * sqrt(2.0)) * 10, 9) DESC, cell) = 1)
 SELECT far.loc AS outlet, CAST(w.straight + w.diagonal AS BIGINT) AS step, w.loc AS cell FROM far JOIN walk w ON w.cell = far.cell WHERE w.straight + w.diagonal <= far.steps""")
 def flow_paths(spark, sf_dir):
     flow, outlets = _outlets(spark, sf_dir)
-    members = graph.upstream(flow, outlets, COLS)
-    starts = graph.longest_path(members, GRID.resolution_m).select("grid_id", F.col("remote_cell").alias("cell"))
-    return graph.flow_paths(flow, members, starts).select("outlet", "step", "cell")
+    toured = graph.tour(flow, COLS)
+    starts = graph.longest_path(graph.members_of(toured, outlets), GRID.resolution_m).select("grid_id", "outlet", F.col("remote_cell").alias("cell"))
+    return graph.flow_paths(toured, starts).select("outlet", "step", "cell")
 
 
-@query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_CATCH} SELECT lat.cell, round(lat.z - o.z, 6) AS above, f.loc IS NULL AS leaves_map
+@query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_FIRST} SELECT lat.cell, round(lat.z - o.z, 6) AS above, f.loc IS NULL AS leaves_map
 FROM lat LEFT JOIN firsts f USING (cell) LEFT JOIN lat o ON o.cell = f.loc""")
 def height_above_trunk(spark, sf_dir):
     flow, outlets = _outlets(spark, sf_dir)

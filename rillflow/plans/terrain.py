@@ -66,7 +66,8 @@ def why_no_site(d: Drainage, excluded: DataFrame | None = None) -> str:
 def sites(d: Drainage, n: int | None = None, excluded: DataFrame | None = None, target_depth_m: float | None = None) -> dict[str, DataFrame]:
     """Chosen sites with their catchments, storage curves and outlines, as DataFrames by name."""
     chosen = settled(siting.choose_sites(d.flow, candidates(d, excluded), n))
-    members = settled(graph.upstream(d.flow, chosen, d.grid.n_cols))
+    toured = graph.tour(d.flow, d.grid.n_cols)
+    members = settled(graph.members_of(toured, chosen))
     summary = siting.catchment_summary(members, d.lattice, d.grid)
     wet = settled(hydrology.wet_levels(members, d.filled, d.grid))
     curve = settled(hydrology.storage_curve(wet, d.grid, target_depth_m))
@@ -74,7 +75,7 @@ def sites(d: Drainage, n: int | None = None, excluded: DataFrame | None = None,
     place = d.cells.select("grid_id", "cell", "row", "col")
     outline = contours.mask_geojson(members.join(place, KEY).select("grid_id", F.col("outlet").alias("site"), "row", "col"), d.grid)
     ponds = hydrology.pond_cells(wet, usable)
-    return {"sites": chosen, "members": members, "catchments": summary, "storage": curve, "usable": usable, "outlines": outline, "ponds": ponds}
+    return {"sites": chosen, "tour": toured, "members": members, "catchments": summary, "storage": curve, "usable": usable, "outlines": outline, "ponds": ponds}
 
 
 def balances(found: dict[str, DataFrame], rain: DataFrame, curve_number: float | None = None) -> DataFrame:
@@ -112,8 +113,7 @@ def path_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
     o = settings.layers
     first = found["sites"].where("rank = 1").select("grid_id", F.col("cell").alias("outlet"), "rank")
     known = found["catchments"].join(first, ["grid_id", "outlet"])
-    members = found["members"].join(first.select("grid_id", "outlet"), ["grid_id", "outlet"], "left_semi")
-    steps = graph.flow_paths(d.flow, members, known.select("grid_id", F.col("remote_cell").alias("cell"))).join(d.cells.select(*KEY, "row", "col"), KEY)
+    steps = graph.flow_paths(found["tour"], known.select("grid_id", "outlet", F.col("remote_cell").alias("cell"))).join(d.cells.select(*KEY, "row", "col"), KEY)
     point = F.struct("step", F.array(F.bround(d.grid.lon(F.col("col")), o.decimals), F.bround(d.grid.lat(F.col("row")), o.decimals)).alias("at"))
     lines = steps.groupBy("grid_id", "outlet").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: p["at"]).alias("coordinates"))
     shape = F.to_json(F.struct(F.lit("LineString").alias("type"), "coordinates"))

@@ -99,6 +99,41 @@ def test_valley_catchment(spark):
     assert summary.length_m == pytest.approx(max((r.straight + r.diagonal * math.sqrt(2)) * 10 for r in members.collect()))
 
 
+def test_nested_outlets_each_have_all_that_drains_through_them(spark):
+    """Two flow graphs side by side; every cell is an outlet, so all but the sources lie below others."""
+    rng, n_cols = np.random.default_rng(4), 20
+    links = {(g, c): (None if c < 3 else int(rng.integers(max(0, c - 40), c))) for g in (0, 7) for c in range(900 if g else 300)}
+    flow = spark.createDataFrame([(g, c, r) for (g, c), r in links.items()], "grid_id int, cell long, receiver long")
+    want = set()
+    for (g, c), _ in links.items():
+        at, straight, diagonal = c, 0, 0
+        while True:
+            want.add((g, c, at, straight, diagonal))
+            below = links[g, at]
+            if below is None:
+                break
+            across = at // n_cols != below // n_cols and at % n_cols != below % n_cols
+            straight, diagonal, at = straight + (not across), diagonal + across, below
+    toured = graph.tour(flow, n_cols)
+    got = graph.members_of(toured, flow.select("grid_id", "cell"))
+    assert {tuple(r) for r in got.select("grid_id", "cell", "outlet", "straight", "diagonal").collect()} == want and got.count() == len(want)
+    # the ways of the water are the same walks, whichever outlets lie between
+    starts = [(g, c, o) for g, c, o, *_ in sorted(want) if (c * 7 + o) % 11 == 0]
+    chosen = {}
+    for g, c, o in starts:
+        chosen.setdefault((g, o), c)
+    ways = graph.flow_paths(toured, spark.createDataFrame([(g, o, c) for (g, o), c in chosen.items()], "grid_id int, outlet long, cell long"))
+    expected = set()
+    for (g, o), c in chosen.items():
+        at, step = c, 0
+        while True:
+            expected.add((g, o, step, at))
+            if at == o:
+                break
+            at, step = links[g, at], step + 1
+    assert {(r.grid_id, r.outlet, r.step, r.cell) for r in ways.collect()} == expected and len(expected) > 500
+
+
 def test_reaches_end_at_confluences(spark):
     links = {1: 2, 2: 3, 3: 7, 4: 5, 5: 3, 7: 8, 8: 9, 9: None, 20: 21, 21: None, 30: None}
     flow = spark.createDataFrame([(0, c, r) for c, r in links.items()], "grid_id int, cell long, receiver long")
