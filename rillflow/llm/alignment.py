@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,14 @@ from pyspark.sql import functions as F
 
 from .bpe import SEGMENT, codec, join
 from .session import lean, quoted, settled
+from .word_codec import Numbers
 
 #: Characters of the documents of a block.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 8 << 20
 #: Characters that are encoded and merged at once.
 CHUNK = 1 << 20
 #: Stretches of a side that are remembered at once in a worker.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 
 class _Side:
@@ -54,29 +56,22 @@ class _Side:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[bytes | str, int] = {}
-        self.new: list = []
+        self.numbers = Numbers()
         self.first, self.size, self.good = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def number(self, stretch: str) -> int:
-        n = self.numbers.get(stretch)
-        if n is None:
-            n = self.numbers[stretch] = len(self.numbers)
-            self.new.append(stretch)
-        return n
-
     def learn(self) -> None:
-        new, self.new = self.new, []
+        new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        made = self.encode(new)
-        size = np.array([len(ids) for ids, _, _ in made], np.int64)
+        made, good = self.encode(new)
+        size = np.array(list(map(len, made)), np.int64)
+        ids = np.array([i for x in made for i in x], np.int64)
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.good = np.concatenate([self.good, [good for _, _, good in made]])
-        self.ids = np.concatenate([self.ids, np.array([i for ids, _, _ in made for i in ids], np.int64)])
-        self.bytes = np.concatenate([self.bytes, np.array([n for _, sizes, _ in made for n in sizes], np.int64)])
+        self.good = np.concatenate([self.good, good])
+        self.ids = np.concatenate([self.ids, ids])
+        self.bytes = np.concatenate([self.bytes, self.sizes[ids]])
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(stretches of all texts, how many each text has, their tokens' places, how many tokens each text has)."""
@@ -84,8 +79,7 @@ class _Side:
             self.forget()
         found = [self.split(t) for t in texts]
         each = np.array([len(x) for x in found], np.int64)
-        number = self.number
-        words = np.fromiter((number(w) for x in found for w in x), np.int64, int(each.sum()))
+        words = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, int(each.sum()))
         self.learn()
         size = self.size[words]
         ends = np.cumsum(size)
@@ -100,6 +94,8 @@ class _Bytes(_Side):
     def __init__(self, tokenizer: str, pattern: str):
         self.codec = codec(tokenizer, pattern)
         self.split = regex.compile(pattern).findall
+        self.sizes = np.zeros(max(self.codec.sizes) + 1, np.int64)
+        self.sizes[list(self.codec.sizes)] = list(self.codec.sizes.values())
         super().__init__()
 
     def _whole(self, piece: bytes) -> list[int]:
@@ -112,14 +108,24 @@ class _Bytes(_Side):
             parts = [join(parts[i], parts[i + 1], one, c.spell) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        sizes = self.codec.sizes
-        made = [self._whole(s.encode()) for s in stretches]
-        return [(ids, [sizes[i] for i in ids], True) for ids in made]
+    def encode(self, stretches: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """The ids of each stretch, and whether they spell it."""
+        one = self.codec.piece._encode_single_piece
+        pieces = [s.encode() for s in stretches]
+        return [one(p) if len(p) <= SEGMENT else self._whole(p) for p in pieces], np.ones(len(pieces), bool)
 
 
 class _Pieces(_Side):
-    """B: the merges never cross from another character to a space, which every stretch begins with."""
+    """B: the merges never cross from another character to a space, nor between ASCII signs and other characters.
+
+    That is so if no piece of the vocabulary holds two such neighbours. Characters that do stand beside a sign in
+    some piece are ``odd``, and a text with one of them is split at spaces alone.
+    """
+
+    #: ASCII characters that are no letters and no space.
+    SIGNS = r"\x00-\x1f!-@\[-`{-\x7f"
+    #: Pieces for what does not begin with a space are made behind this; no piece of a vocabulary may hold it.
+    GUARD = "\n"
 
     def __init__(self, model: str):
         import sentencepiece
@@ -127,19 +133,29 @@ class _Pieces(_Side):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         m, n = self.model, self.model.get_piece_size()
         self.spelled = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-        self.by_stretch = not any("▁" in m.id_to_piece(i).lstrip("▁") for i in range(n))
-        self.split = re.compile(" *[^ ]+| +").findall if self.by_stretch else lambda text: [text]
+        self.sizes = np.array([len(x) for x in self.spelled], np.int64)
+        pieces = [m.id_to_piece(i) for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        odd = {c for p in pieces for pair in re.findall(f"(?=([{self.SIGNS}][^{self.SIGNS}▁]|[^{self.SIGNS}▁][{self.SIGNS}]))", p) for c in pair if not re.match(f"[{self.SIGNS}]", c)}
+        self.odd = re.compile("[" + re.escape("".join(sorted(odd))) + "]" if odd else "(?!)")
+        self.fine = re.compile(f" *(?:[{self.SIGNS}]+|[^ {self.SIGNS}]+)| +").findall
+        self.coarse = re.compile(" *[^ ]+| +").findall
         self.space = m.piece_to_id("▁")
+        self.guard = m.encode(self.GUARD)
+        if any("▁" in p.lstrip("▁") for p in pieces) or any(self.GUARD in p for p in pieces) or len(self.guard) != 2:
+            self.fine = self.coarse = lambda text: [text]
         super().__init__()
 
-    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        made = self.model.encode([s[1:] for s in stretches], num_threads=1)
-        out = []
-        for s, ids in zip(stretches, made, strict=True):
-            ids = [self.space] if s == " " else ids  # nothing has no pieces, but a last space has one
-            spelled = [self.spelled[i] for i in ids]
-            out.append((ids, [len(x) for x in spelled], b"".join(spelled) == s.encode()))
-        return out
+    def split(self, text: str) -> list[str]:
+        return (self.coarse if self.odd.search(text) else self.fine)(text)
+
+    def encode(self, stretches: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        # a space comes before whatever the library is given, so what has one gives it up, and what has none is put behind the guard
+        opens = [s[0] == " " for s in stretches]
+        made = self.model.encode([s[1:] if o else self.GUARD + s for s, o in zip(stretches, opens, strict=True)], num_threads=1)
+        # nothing has no pieces, but a last space has one
+        made = [(ids if s != " " else [self.space]) if o else ids[2:] for s, ids, o in zip(stretches, made, opens, strict=True)]
+        spelled = self.spelled
+        return made, np.array([b"".join([spelled[i] for i in ids]) == s.encode() for s, ids in zip(stretches, made, strict=True)], bool)
 
 
 class Aligner:

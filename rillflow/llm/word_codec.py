@@ -31,7 +31,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Gives each new key the next number and keeps it in ``new``."""
 
     def __init__(self):
@@ -65,7 +65,7 @@ class WordCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers = Numbers()
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
