@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import discard, lean, quoted, settled
@@ -241,7 +241,7 @@ def decode(encoded: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
 
     types = ", ".join(f"{quoted(c)} {encoded.schema[c].dataType.simpleString()}" for c in names)
-    return encoded.select(*(F.col(quoted(c)) for c in (*names, ids_col))).mapInArrow(lean(run), f"{types}, text string")
+    return encoded.select(*_aliased([*names, ids_col])).mapInArrow(lean(run), f"{types}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
@@ -258,10 +258,19 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(row, nth, n, *keep as a struct, ids, tail): the encoded pieces of each text of more than ``segment`` characters."""
     kept, text = F.struct(F.lit(0).alias("_"), *(F.col(quoted(c)) for c in keep)).alias("kept"), F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    wide = docs.select(kept, text.alias("text")).where(F.length("text") > segment).withColumn("row", F.monotonically_increasing_id())
-    n = F.ceil(F.length("text") / segment).cast("int")
-    cut = wide.select("kept", "row", n.alias("n"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("nth"))
-    cut = cut.select("row", "nth", "n", "kept", F.substring("text", F.col("nth") * segment + 1, F.lit(segment)).alias("piece"))
+    wide = docs.select(kept, text.alias("text")).where(F.length("text") > segment).select(F.monotonically_increasing_id().alias("row"), "kept", "text")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column(2)[i].as_py()
+                parts = [text[lo : lo + segment] for lo in range(0, len(text), segment)]
+                for lo in range(0, len(parts), 256):
+                    few = parts[lo : lo + 256]
+                    same = pa.array([i] * len(few))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(same), pa.array(range(lo, lo + len(few)), pa.int32()), pa.array([len(parts)] * len(few), pa.int32()), b.column(1).take(same), pa.array(few, pa.string())], names=["row", "nth", "n", "kept", "piece"])
+
+    cut = wide.mapInArrow(lean(cut_up), f"{_struct(wide)}, piece string")
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer, pattern)
@@ -272,11 +281,17 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, keep: Sequence[str] =
     return cut.repartition("row", "nth").mapInArrow(lean(encode_pieces), f"{_struct(cut)}, ids binary, tail int")
 
 
+def _aliased(names: Sequence[str]) -> list[Column]:
+    """Columns under names that ``mapInArrow`` can look up, whatever theirs are."""
+    return [F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(names)]
+
+
 _NODE = ["row", "nth", "n", "kept", "ids", "tail"]
 
 
 def _struct(df: DataFrame) -> str:
-    return f"row long, nth int, n int, kept {df.schema['kept'].dataType.simpleString()}"
+    inside = ", ".join(f"{quoted(f.name)}: {f.dataType.simpleString()}" for f in df.schema["kept"].dataType.fields)
+    return f"row long, nth int, n int, kept struct<{inside}>"
 
 
 def _packed(ids: list[int], c: Codec) -> bytes:
@@ -306,7 +321,7 @@ def join_level(nodes: DataFrame, tokenizer: str, pattern: str, fan: int = FAN) -
 
 def _encoded(docs, tokenizer, pattern, keep, text_col, segment, columns, finish) -> DataFrame:
     """Short texts in one pass over the scan; long ones by their pieces."""
-    names = list(keep)
+    keep = names = [c for c in keep if c not in {n for n, _, _ in columns}]  # a made column stands for one of its name
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     types = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in names)
     made = ", ".join(f"{n} {t}" for n, t, _ in columns)
@@ -329,7 +344,7 @@ def _encoded(docs, tokenizer, pattern, keep, text_col, segment, columns, finish)
                 kept = b.column(0).slice(i, 1).flatten()[1:]
                 yield rows(kept, [unpacked(b.column(1)[i].as_py(), c)])
 
-    near = docs.select(*(F.col(quoted(c)) for c in names), text.alias("_text")).where(F.length("_text") <= segment).mapInArrow(lean(short), f"{types}, {made}")
+    near = docs.select(*_aliased(names), text.alias("_text")).where(F.length("_text") <= segment).mapInArrow(lean(short), f"{types}, {made}")
     nodes = settled(pieces(docs, tokenizer, pattern, keep, text_col, segment))
     done = []
     while nodes.where("n > 1").limit(1).count():

@@ -123,7 +123,7 @@ def _slots(classes: DataFrame) -> DataFrame:
     """
     values = classes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     held = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
-    shared = values.join(held.hint("shuffle_hash"), "value")
+    shared = values.join(held, "value")
     ranked = F.struct((F.col("held") > COLD).alias("hot"), F.when(F.col("held") > COLD, 0).otherwise(F.col("held")).alias("rank"), "value")
     per_class = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sort_array(F.collect_list(ranked)).alias("v"))
     exact = math.floor(SKETCH * LEAST / 100)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .session import batch, lean
+from .session import batch, lean, quoted
 
 SAMPLE_ROWS = 4096
 #: log2 of the number of buckets.
@@ -130,10 +130,12 @@ def held_out(id_column: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Trains on at most ``sample_rows`` labelled rows that are not held out."""
-    usable = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col(id_col)))
-    chosen = usable.orderBy(F.xxhash64(id_col), id_col, "label").limit(sample_rows)
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
-    rows = sorted(texts.select(id_col, "text", "label").limit(sample_rows).collect(), key=lambda r: (r[0], r.label, r.text))
+    usable = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    # of rows that share their id, the same ones are taken whatever the order of tasks
+    taken = texts.orderBy(F.xxhash64("id"), "id", "label", "text").limit(sample_rows)
+    rows = sorted(taken.select("id", "text", "label").collect(), key=lambda r: (r[0], r.label, r.text))
     return train([r.text for r in rows], np.array([r.label for r in rows], np.int64))
 
 
@@ -149,4 +151,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = shared.value.scores(data, at)
                 yield batch(schema, b.column(0).slice(lo, hi - lo), s, (s >= threshold).astype(np.int32))
 
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {id_type}, score double, predicted int")
+    return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text")).mapInArrow(lean(run), f"{quoted(id_col)} {id_type}, score double, predicted int")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .session import settled
+from .session import quoted, settled
 
 #: Bytes added to the size of each text.
 ROW_BYTES = 8
@@ -30,11 +30,11 @@ def byte_size(text: Column) -> Column:
 def contiguous_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, shard, slot): slot counts the rows of a shard from 0, in order of id."""
     rows = docs.select(
-        F.col(id_col),
-        byte_size(F.col(text_col)).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.col(quoted(id_col)).alias("_id"),
+        byte_size(F.col(quoted(text_col))).alias("size"),
+        F.crc32(F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    order = [id_col, "text_crc32", "size"]
+    order = ["_id", "text_crc32", "size"]
     placed = settled(
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -64,4 +64,4 @@ def contiguous_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", te
         )
     )
     firsts = lined.groupBy("shard").agg(F.min("row").alias("first_row"))
-    return lined.join(F.broadcast(firsts), "shard").select(*order, "shard", (F.col("row") - F.col("first_row")).alias("slot"))
+    return lined.join(F.broadcast(firsts), "shard").select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("row") - F.col("first_row")).alias("slot"))

@@ -357,10 +357,17 @@ def _reach(rows: pa.Table, opens: bool, closes: bool) -> np.ndarray:
     return common
 
 
+def _places(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of ids of any type; those of nulls mean nothing."""
+    if pa.types.is_integer(ids.type):
+        return ids.fill_null(0).to_numpy(zero_copy_only=False)
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
 def _in_document_order(rows: pa.Table) -> pa.Table:
     """Each row once, as rows equal in id and text bring the same suffixes."""
     ids = rows["id"].combine_chunks()
-    keys = [rows["place"].to_numpy(), rows["text_key"].to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)]
+    keys = [rows["place"].to_numpy(), rows["text_key"].to_numpy(), _places(ids), ids.is_valid().to_numpy(zero_copy_only=False)]
     order = np.lexsort(keys)
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
@@ -436,7 +443,7 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ids, keys, starts = (group[c].combine_chunks().flatten() for c in ("ids", "text_keys", "starts"))
         strings = np.frombuffer(b"".join(map(zstandard.decompress, group["strings"].to_pylist())), np.uint8).reshape(len(ids), -1)
-        in_order = np.lexsort([starts.to_numpy(), keys.to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)])
+        in_order = np.lexsort([starts.to_numpy(), keys.to_numpy(), _places(ids), ids.is_valid().to_numpy(zero_copy_only=False)])
         order = in_order[multikey_order(strings[in_order])]
         again = pa.array(order[1:][(strings[order[1:]] == strings[order[:-1]]).all(1)])
         start = starts.take(again)
@@ -459,14 +466,14 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wide = docs.select(others.alias("row"), id_.alias("id"), F.xxhash64(text).alias("text_key"), key.alias("doc_key"), text.alias("text"))
     packed = StructType([*wide.schema.fields[:4], StructField("packed", BinaryType())])
     wide = wide.mapInArrow(lean(_packer(4)), packed).repartition("doc_key")
-    met = wide.join(marked.hint("shuffle_hash"), wide["doc_key"] == marked["key"])
+    met = wide.join(marked, wide["doc_key"] == marked["key"])
     cut = met.select("row", "id", "text_key", "doc_key", "packed", "suffixes").mapInArrow(lean(_cutter()), f"id {id_type}, text_key long, place long, suffix binary, before binary")
     ranged = cut.repartitionByRange("suffix", F.substring("before", -NEXT, NEXT), "id", "text_key", "place").sortWithinPartitions("suffix")
     found = ranged.mapInArrow(lean(_within(n_buckets)), f"bucket int, ids array<{id_type}>, text_keys array<long>, starts array<long>, ends array<long>, strings binary")
     spans = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_met_again), f"id {id_type}, text_key long, start long, end long")
     span = F.struct("text_key", (F.shiftleft("start", 32) + F.col("end") - F.col("start")).alias("span"))
     spans = spans.groupBy(F.xxhash64("id", "text_key").alias("key")).agg(F.collect_list(span).alias("spans"))
-    joined = wide.join(spans.hint("shuffle_hash"), wide["doc_key"] == spans["key"], "left")
+    joined = wide.join(spans, wide["doc_key"] == spans["key"], "left")
     return joined.select("row", "id", "text_key", "doc_key", "packed", "spans")
 
 

@@ -22,7 +22,7 @@ _INV = pow(_MUL, -1, 1 << 64)
 _SEED = 0x2545F4914F6CDD1D
 _FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 #: Words of more bytes are hashed one by one.
-LONG = 64
+SHORT = 7
 
 #: Words end at space and at 0x09 to 0x0D.
 SPACES = np.ones(256, bool)
@@ -107,21 +107,20 @@ def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes: eight at a time are mixed in, words of over ``LONG`` bytes are hashed one by one."""
+    """64-bit hash of each word's bytes.
+
+    Words of up to ``SHORT`` bytes never collide with one another: their bytes and their number fit into 64 bits, which a
+    bijection mixes. Longer ones are hashed one by one by a keyed hash that can't be run backwards.
+    """
     size = ends - starts
-    out = mix(size.astype(np.uint64) * np.uint64(_MUL) + np.uint64(_SEED))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    rows = np.flatnonzero((size > 0) & (size <= LONG))
-    for k in range(0, LONG, 8):
-        rows = rows[size[rows] > k]
-        if not len(rows):
-            break
-        out[rows] = mix(out[rows] ^ (eight[starts[rows] + k] & _FIRST_BYTES[np.minimum(size[rows] - k, 8)]))
-    far = np.flatnonzero(size > LONG)
+    few = np.minimum(size, SHORT)
+    out = mix(((eight[starts] & _FIRST_BYTES[few]) | few.astype(np.uint64) << np.uint64(56)) + np.uint64(_SEED))
+    far = np.flatnonzero(size > SHORT)
     if len(far):
-        raw = memoryview(np.ascontiguousarray(data))
-        out[far] = np.array([xxhash.xxh3_64_intdigest(raw[a:z], seed=_SEED) for a, z in zip(starts[far].tolist(), ends[far].tolist(), strict=True)], np.uint64)
+        raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        out[far] = np.array([digest(raw[a:z], _SEED) for a, z in zip(starts[far].tolist(), ends[far].tolist(), strict=True)], np.uint64)
     return out
 
 

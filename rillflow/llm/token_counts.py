@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .session import lean, settled
+from .session import lean, quoted, settled
 
 BLOCK_CHARS = 24 << 20
 #: Characters whose pre-tokens are numbered together.
@@ -164,11 +164,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
             out.append(pa.table({id_col: pa.array(b["ids"], blocks.schema.field("ids").type.value_type), "n_bytes": np.frombuffer(b["n_bytes"], np.int64), "n_tokens": (made[ends] - made[ends - sizes]).astype(np.int64)}))
         return pa.concat_tables(out) if out else pa.table({id_col: pa.array([], blocks.schema.field("ids").type.value_type), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64())})
 
-    rows = docs.select(id_col, text_col).mapInArrow(
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(
         lean(number), f"block long, ids array<{id_type}>, n_bytes binary, sizes binary, steps binary, counts binary, lengths binary, pieces binary"
     )
     blocks = settled(rows)
     listed = blocks.select("block", "lengths", "pieces").mapInArrow(lean(lists), "block long, nth int, piece binary")
     counts = listed.repartition("piece").sortWithinPartitions("piece").mapInArrow(lean(pieces_of), "block long, nth int, n int")
     kept = blocks.drop("lengths", "pieces")
-    return counts.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(add_up, f"{id_col} {id_type}, n_bytes long, n_tokens long")
+    return counts.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(add_up, f"{quoted(id_col)} {id_type}, n_bytes long, n_tokens long")

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import quoted
+
 #: Hexadecimal digits of a digest that the join compares first.
 SHORT = 8
 #: Rules up to this number are broadcast; more are joined by a shuffle.
@@ -70,7 +72,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
         _digest(F.col("rule_host"), F.col("rule_path")).alias("rule_digest"),
     )
     table = table.withColumn("short", F.substring("rule_digest", 1, SHORT))
-    urls = pages.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()
+    urls = pages.select(F.col(quoted(url_col)).alias("url")).where(F.col("url").isNotNull()).distinct()
     parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where(F.col("host") != "")
     exprs = parts.select("url", F.explode(_expressions(F.col("host"), F.col("path"), lengths)).alias("e"))
     exprs = exprs.select("url", _digest(F.col("e.host"), F.col("e.path")).alias("digest"))
@@ -81,7 +83,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
         F.max(F.struct(F.length("rule").alias("n"), "rule_n_host", "rule", "rule_verdict")).alias("best")
     )
     judged = best.select(F.col("url").alias("judged_url"), F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
-    page = pages.select(F.col(id_col), F.col(url_col).alias("url"))
+    page = pages.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(url_col)).alias("url"))
     return page.join(judged, page["url"] == judged["judged_url"], "left").select(
-        id_col, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict")
+        F.col("_id").alias(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict")
     )

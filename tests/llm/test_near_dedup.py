@@ -158,3 +158,10 @@ def test_connected_components(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 90 for i in (90, 95, 100)} | {i: 200 for i in range(200, 260)}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_made_to_collide_count_apart(spark):
+    """Two words of 16 bytes that a hash by steps of eight bytes took for one."""
+    texts = [f"one two three four {w} one two three four {v}" for w, v in (("aaaaaaaabbbbbbbb", "f6x30bmo<bj04uc3"), ("aaaaaaaabbbbbbbb", "aaaaaaaabbbbbbbb"))]
+    got = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_shingles for r in got} == {0: 6, 1: 5}
