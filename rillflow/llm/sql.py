@@ -112,4 +112,40 @@ WITH rules(rule_host, rule_path, rule_verdict) AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)
 """
 
-ORACLE_SQL = {"op2_sharding": OP2, "op5_near_dedup": OP5, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_url_filters": OP10}
+#: Only words that share what is left of them without a code point are compared; CRC-32 as for op2.
+OP13 = r"""
+WITH RECURSIVE steps(b, c, n) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8
+), remainders AS (
+  SELECT list(c ORDER BY b) AS r FROM steps WHERE n = 8
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), each AS (
+  SELECT run, n, hex(encode(id || ':' || run)) AS h FROM (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY id, run)
+), hashed AS (
+  SELECT run, n, xor(list_reduce([CAST(CAST('0x' || h[2 * k - 1:2 * k] AS INTEGER) AS BIGINT) FOR k IN range(1, CAST(length(h) // 2 AS BIGINT) + 1)],
+    lambda a, b: xor(a >> 8, r[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS c FROM each, remainders
+), counted AS (
+  SELECT CASE WHEN c % 31 = 0 THEN run[:c % length(run)] || run[c % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counted WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, length(word) AS size, k, word[:k - 1] || word[k + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)
+), followed(word, upto) AS (
+  SELECT word, word FROM formed UNION ALL SELECT f.word, x.form FROM followed f JOIN formed x ON x.word = f.upto WHERE x.form IS NOT NULL
+), roots AS (
+  SELECT f.word, f.upto AS root FROM followed f JOIN formed x ON x.word = f.upto WHERE x.form IS NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+ORACLE_SQL = {"op2_sharding": OP2, "op5_near_dedup": OP5, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_url_filters": OP10, "op13_spelling": OP13}
