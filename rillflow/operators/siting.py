@@ -107,21 +107,22 @@ def snap(cells: DataFrame, points: DataFrame, grid: Grid, radius_m: float | None
     """Each point (point_id, row, col) moved to the cell with most accumulation in a square around it.
 
     The square is looked up by blocks of its own size, an equi-join; of equals the first in
-    row-major order wins.
+    row-major order wins. Where the grid's numbers are columns, cells and points have them,
+    and each grid has a square of its own.
     """
-    reach = grid.spacing_m * settings.flow.snap_spacings if radius_m is None else radius_m
-    k = max(1, round(reach / grid.resolution_m))
-    size = 2 * k + 1
-    block = lambda c: F.floor(F.col(c) / size)
+    reach = F.lit(grid.spacing_m * settings.flow.snap_spacings if radius_m is None else radius_m)
+    k = F.greatest(F.lit(1), F.rint(reach / F.lit(grid.resolution_m)).cast("int"))
+    block = lambda c: F.floor(F.col(c) / (2 * F.col("_k") + 1))
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    wanted = points.select("grid_id", "point_id", F.col("row").alias("p_row"), F.col("col").alias("p_col")).withColumn("o", F.explode(around))
-    wanted = wanted.withColumn("b_row", F.floor(F.col("p_row") / size) + F.col("o.a")).withColumn("b_col", F.floor(F.col("p_col") / size) + F.col("o.b"))
-    found = cells.withColumn("b_row", block("row")).withColumn("b_col", block("col")).join(wanted, ["grid_id", "b_row", "b_col"])
-    near = found.where((F.abs(F.col("row") - F.col("p_row")) <= k) & (F.abs(F.col("col") - F.col("p_col")) <= k))
+    wanted = points.select("grid_id", "point_id", F.col("row").alias("p_row"), F.col("col").alias("p_col"), k.alias("_k"), F.lit(grid.resolution_m).alias("p_resolution")).withColumn("o", F.explode(around))
+    wanted = wanted.withColumn("b_row", block("p_row") + F.col("o.a")).withColumn("b_col", block("p_col") + F.col("o.b"))
+    dealt = cells.select("grid_id", "row", "col", "accumulation", k.alias("_k")).withColumn("b_row", block("row")).withColumn("b_col", block("col"))
+    found = dealt.drop("_k").join(wanted, ["grid_id", "b_row", "b_col"])
+    near = found.where((F.abs(F.col("row") - F.col("p_row")) <= F.col("_k")) & (F.abs(F.col("col") - F.col("p_col")) <= F.col("_k")))
     best = F.max(F.struct("accumulation", (-F.col("row")).alias("minus_row"), (-F.col("col")).alias("minus_col"))).alias("best")
-    snapped = near.groupBy("grid_id", "point_id", "p_row", "p_col").agg(best)
+    snapped = near.groupBy("grid_id", "point_id", "p_row", "p_col", "p_resolution").agg(best)
     row, col = -F.col("best.minus_row"), -F.col("best.minus_col")
-    moved = F.hypot((row - F.col("p_row")).cast("double"), (col - F.col("p_col")).cast("double")) * grid.resolution_m
+    moved = F.hypot((row - F.col("p_row")).cast("double"), (col - F.col("p_col")).cast("double")) * F.col("p_resolution")
     return snapped.select("grid_id", "point_id", row.alias("row"), col.alias("col"), F.col("best.accumulation").alias("accumulation"), moved.alias("moved_m"))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry, projection, scalars
 from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting
 from ..sources import kml
+from . import ensemble, outputs
 from . import lattice as L
-from . import outputs
 from .lattice import AREA_SQL, COLS, D8_SQL, GAPPY_SQL, GRID, LATTICE_SQL, RAIN_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +343,58 @@ def snap_outlets(spark, sf_dir):
     return rounded(siting.snap(cells, points, GRID).select("point_id", "row", "col", "accumulation", "moved_m"))
 
 
+_SPACINGS = (10.0, 12.5, 14.0)
+_ENSEMBLE = f"""{LATTICE_SQL}, gr AS (
+  SELECT g, res, CAST(floor((SELECT max(row) FROM lat) * 10.0 / res + 1e-9) AS INTEGER) + 1 AS n_rows, CAST(floor(39 * 10.0 / res + 1e-9) AS INTEGER) + 1 AS n_cols
+  FROM (VALUES {", ".join(f"({g}, {r}::DOUBLE)" for g, r in enumerate(_SPACINGS))}) AS s(g, res)
+),
+pos AS (SELECT g, res, n_cols, row, unnest(range(n_cols)) AS col FROM (SELECT *, unnest(range(n_rows)) AS row FROM gr)),
+k AS (SELECT g, res, n_cols, row, col, floor(pr) + a AS kr, floor(pc) + b AS kc, (CASE WHEN a = 1 THEN pr - floor(pr) ELSE 1 - (pr - floor(pr)) END) * (CASE WHEN b = 1 THEN pc - floor(pc) ELSE 1 - (pc - floor(pc)) END) AS w
+  FROM (SELECT *, row * res / 10.0::DOUBLE AS pr, col * res / 10.0::DOUBLE AS pc FROM pos), (VALUES (0), (1)) AS x(a), (VALUES (0), (1)) AS y(b)),
+surf AS (SELECT g, any_value(res) AS res, any_value(n_cols) AS n_cols, k.row, k.col, round(sum(w * z), 6) AS z FROM k JOIN lat ON lat.row = kr AND lat.col = kc WHERE w > 0 GROUP BY g, k.row, k.col),
+offs(dr, dc, rank) AS (VALUES (-1, -1, 0), (-1, 0, 1), (-1, 1, 2), (0, -1, 3), (0, 1, 4), (1, -1, 5), (1, 0, 6), (1, 1, 7)),
+drops AS (
+  SELECT a.g, a.row, a.col, b.row AS nr, b.col AS nc, rank, (a.z - b.z) / (a.res * CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0) ELSE 1.0 END) AS s
+  FROM surf a, offs, surf b WHERE b.g = a.g AND b.row = a.row + dr AND b.col = a.col + dc
+),
+best AS (SELECT g, row, col, nr, nc FROM drops WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY g, row, col ORDER BY s DESC, rank) = 1),
+walk(g, row, col, at_row, at_col) AS (
+  SELECT g, row, col, row, col FROM surf UNION ALL SELECT w.g, w.row, w.col, nr, nc FROM walk w JOIN best b ON b.g = w.g AND b.row = w.at_row AND b.col = w.at_col
+),
+acc AS (
+  SELECT w.g, at_row AS row, at_col AS col, count(*) AS n, sum(res * res * cos(radians(21.25 + w.row * res / 110540.0)) / cos(radians(21.25))) AS area FROM walk w JOIN gr USING (g) GROUP BY w.g, at_row, at_col
+),
+p AS (SELECT c_custkey AS point_id, CAST(c_custkey % (SELECT max(row) + 1 FROM lat) AS INTEGER) * 10.0 AS y, CAST(c_custkey * 7 % 40 AS INTEGER) * 10.0 AS x FROM customer),
+q AS (SELECT g, res, point_id, round_even(y / res, 0) AS row, round_even(x / res, 0) AS col, greatest(1, round_even(120 / res, 0)) AS reach FROM p, gr),
+snapped AS (
+  SELECT q.point_id, q.g, acc.area, acc.n, sqrt(pow(acc.row - q.row, 2) + pow(acc.col - q.col, 2)) * res AS moved FROM q JOIN acc ON acc.g = q.g AND abs(acc.row - q.row) <= reach AND abs(acc.col - q.col) <= reach
+  QUALIFY row_number() OVER (PARTITION BY q.point_id, q.g ORDER BY n DESC, acc.row, acc.col) = 1
+)"""
+
+
+def _ensemble(spark, sf_dir):
+    surface = L.lattice(spark, sf_dir)
+    n_rows = surface.agg(F.max("row")).first()[0] + 1
+    routed = ensemble.route(surface, GRID, ensemble.spacings(GRID, n_rows, _SPACINGS), fill=False, decimals=6)
+    at = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), F.expr(f"cast(c_custkey % {n_rows} as int)").alias("row"), F.expr("cast(c_custkey * 7 % 40 as int)").alias("col"))
+    return routed, ensemble.delineate(routed, at.select("point_id", GRID.lon(F.col("col")).alias("lon"), GRID.lat(F.col("row")).alias("lat")))
+
+
+@query(f"WITH RECURSIVE {_ENSEMBLE} SELECT point_id, g AS grid_id, CAST(n AS DOUBLE) AS accumulation, round(area, 4) AS area_m2, round(moved, 6) AS moved_m FROM snapped")
+def grids_of_points(spark, sf_dir):
+    """Every point on every grid: where it snaps to, and what drains through there."""
+    _, found = _ensemble(spark, sf_dir)
+    return rounded(found.withColumn("area_m2", F.round("area_m2", 4)).drop("outlet"))
+
+
+@query(f"""WITH RECURSIVE {_ENSEMBLE}, m AS (SELECT point_id, count(*) AS n_grids, arg_min(area, g) AS area, avg(area) AS mean, stddev_pop(area) AS std FROM snapped GROUP BY point_id)
+SELECT point_id, n_grids, round(area, 3) AS area_m2, round(mean, 3) AS mean_m2, round(std, 3) AS std_m2, round(std / mean, 6) AS cv, CASE WHEN std / mean <= 0.1 THEN 'high' WHEN std / mean <= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM m""")
+def resolution_ensemble(spark, sf_dir):
+    _, found = _ensemble(spark, sf_dir)
+    made = ensemble.summarise(found)
+    return made.select("point_id", "n_grids", *(F.round(c, 3).alias(c) for c in ("area_m2", "mean_m2", "std_m2")), F.round("cv", 6).alias("cv"), "confidence")
+
+
 @query()
 def fill_depressions(spark, sf_dir):
     return rounded(graph.fill_depressions(L.lattice(spark, sf_dir, True)).select("row", "col", "z", "filled"))

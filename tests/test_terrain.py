@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rillflow.errors import AnalysisError
 from rillflow.functions.projection import Grid, LocalFrame
 from rillflow.operators import contours, focal, graph, hydrology, imagery, siting
+from rillflow.plans import ensemble, terrain
 
 FRAME = LocalFrame(81.3, 21.25)
 EPS = 1e-4
@@ -278,3 +279,33 @@ def test_extremes_of_a_grid_need_no_single_task(spark):
     ring = lattice(spark, z).withColumn("m", (F.col("row") != 1) | (F.col("col") != 1))
     closed = imagery.fill_holes(ring, 3, "m")
     assert "Window" not in closed._jdf.queryExecution().optimizedPlan().toString() and closed.where("m").count() == 9
+
+
+def test_an_ensemble_is_its_grids_one_by_one(spark):
+    """Grids of three spacings in one pass give what each gives alone, pits filled."""
+    z = rough(8, 22, 19, gaps=False)
+    z[5, 6] = np.nan
+    base, surface = grid(19), lattice(spark, z).drop("grid_id")
+    grids = ensemble.spacings(base, 22, (10.0, 12.5, 17.0))
+    assert [(g.n_rows, g.n_cols) for g in grids] == [(22, 19), (17, 15), (13, 11)]
+    points = [(i, 81.3 + x / FRAME.metres_per_lon, 21.25 + y / FRAME.metres_per_lat) for i, (x, y) in enumerate(((5, 5), (90, 100), (175, 12), (60, 205)))]
+    pts = spark.createDataFrame(points, "point_id int, lon double, lat double")
+    routed = ensemble.route(surface, base, grids)
+    got = {(r.point_id, r.grid_id): r for r in ensemble.delineate(routed, pts, 40.0).collect()}
+    inside = {(r.grid_id, r.outlet): r.n for r in ensemble.members(routed, ensemble.delineate(routed, pts, 40.0)).groupBy("grid_id", "outlet").agg(F.count("*").alias("n")).collect()}
+    for g in grids:
+        alone = Grid(FRAME, g.resolution_m, g.n_cols)
+        d = terrain.route(ensemble.sample(surface, base, [g]), alone)
+        at = pts.select(F.lit(g.grid_id).alias("grid_id"), "point_id", alone.row(FRAME.y(F.col("lat"))).alias("row"), alone.col(FRAME.x(F.col("lon"))).alias("col"))
+        for r in siting.snap(d.cells, at, alone, 40.0).collect():
+            mine = got[r.point_id, g.grid_id]
+            assert (mine.outlet, mine.accumulation) == (r.row * g.n_cols + r.col, r.accumulation) and mine.moved_m == pytest.approx(r.moved_m)
+            assert inside[g.grid_id, mine.outlet] == r.accumulation
+    areas = {p: [got[p, g.grid_id].area_m2 for g in grids] for p, *_ in points}
+    for r in ensemble.summarise(ensemble.delineate(routed, pts, 40.0)).collect():
+        assert r.n_grids == 3 and r.area_m2 == areas[r.point_id][0] and r.mean_m2 == pytest.approx(np.mean(areas[r.point_id])) and r.std_m2 == pytest.approx(np.std(areas[r.point_id]))
+
+
+def test_an_ensemble_needs_spacings():
+    with pytest.raises(AnalysisError):
+        ensemble.spacings(grid(5), 5, (10.0, 0.0))
