@@ -1,16 +1,14 @@
 """Level lines and polygons of a lattice.
 
-Crossings and boundary sides are found cell by cell with window passes and joins. Only
-the linking of segments to lines runs in Python, for one connected line at a time: lines
-are told apart first by connected components on the joints, so no task needs a whole level.
+Crossings and boundary sides are found cell by cell with window passes and joins. Both are
+directed, high ground or the mask on their left, so that every joint has one way in and one
+way out. The order along a line is then list ranking: cells of a chain look ahead twice as
+far in each round, whatever the number of lines, and one sort puts them in order.
 """
 
 from __future__ import annotations
 
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,22 +16,26 @@ from ..config import settings
 from ..errors import AnalysisError
 from ..functions import geometry
 from ..functions.projection import Grid
-from ..functions.scalars import level_multiples, round_interval
+from ..functions.scalars import round_interval
+from ..session import settled
 from . import graph
 from .focal import along_col, along_row
 
-def crossings(lattice: DataFrame, levels: DataFrame, n_cols: int, value: str = "z") -> DataFrame:
-    """(grid_id, level, id_a, ax, ay, id_b, bx, by): segments of level lines in columns and rows of the lattice.
 
-    ``levels`` (grid_id, levels) lists each grid's levels. A square looks only at the
-    levels between its lowest and highest corner. Ids name lattice sides, so segments that
-    meet share an id.
-    """
+#: Bits of a joint's number within its level.
+_JOINT_BITS = 40
+
+
+def _squares(lattice: DataFrame, value: str) -> DataFrame:
+    """(grid_id, row, col, sw, se, ne, nw, low, high) of every square with four known corners."""
     east, north = F.lead(value).over(along_row()), F.lead(F.struct(value, "_east")).over(along_col())
     square = lattice.withColumn("_east", east).withColumn("_north", north)
     corners = square.select("grid_id", "row", "col", F.col(value).alias("sw"), F.col("_east").alias("se"), F.col("_north._east").alias("ne"), F.col(f"_north.{value}").alias("nw")).where("sw + se + ne + nw is not null")
-    low, high = F.least("sw", "se", "ne", "nw"), F.greatest("sw", "se", "ne", "nw")
-    met = corners.join(levels, "grid_id").withColumn("level", F.explode(F.filter("levels", lambda x: (x > low) & (x <= high))))
+    return corners.select("*", F.least("sw", "se", "ne", "nw").alias("low"), F.greatest("sw", "se", "ne", "nw").alias("high"))
+
+
+def _segments(met: DataFrame, n_cols: int | Column) -> DataFrame:
+    """Directed segments of squares with ``level`` and its number ``nth``: from the side where a walk around the square goes down to that where it goes up."""
     level, row, col = F.col("level"), F.col("row"), F.col("col")
 
     def side(start: str, end: str, up: int, right: int, along: str):
@@ -47,67 +49,79 @@ def crossings(lattice: DataFrame, levels: DataFrame, n_cols: int, value: str = "
         return F.when((zs >= level) != (ze >= level), point)
 
     south, north_, west, east_ = side("sw", "se", 0, 0, "east"), side("nw", "ne", 1, 0, "east"), side("sw", "nw", 0, 0, "north"), side("se", "ne", 0, 1, "north")
-    crossed = met.select("grid_id", "level", (F.col("sw") >= level).alias("sw_above"), ((F.col("sw") + F.col("se") + F.col("ne") + F.col("nw")) / 4.0 >= level).alias("centre_above"), south.alias("s"), east_.alias("e"), north_.alias("n"), west.alias("w"))
+    crossed = met.select(
+        "grid_id", "level", "nth", *((F.col(c) >= level).alias(f"{c}_above") for c in ("sw", "se", "nw")), ((F.col("sw") + F.col("se") + F.col("ne") + F.col("nw")) / 4.0 >= level).alias("centre_above"),
+        south.alias("s"), east_.alias("e"), north_.alias("n"), west.alias("w"),
+    )
     around = F.array_compact(F.array("s", "e", "n", "w"))
+    s, e, n, w = (F.col(c) for c in "senw")
+    sw, se, nw = (F.col(f"{c}_above") for c in ("sw", "se", "nw"))
 
     def pair(a, b):
         return F.struct(a.alias("a"), b.alias("b"))
 
-    s, e, n, w = (F.col(c) for c in "senw")
+    one, two = F.get(around, F.lit(0)), F.get(around, F.lit(1))
+    # counter-clockwise from the south side; the first side met goes down if the corner before it is above
+    falls = F.when(s.isNotNull(), sw).when(e.isNotNull(), se).otherwise(~nw)
     # a line joins the two sides that it crosses; it crosses all four where opposite corners agree, and
     # then keeps the centre on the side of those two corners that are like it
-    lines = F.when(F.size(around) == 2, F.array(pair(F.get(around, F.lit(0)), F.get(around, F.lit(1))))).when(F.col("centre_above") == F.col("sw_above"), F.array(pair(s, e), pair(n, w))).otherwise(F.array(pair(w, s), pair(e, n)))
-    segments = crossed.select("grid_id", "level", F.explode(lines).alias("k"))
-    return segments.select("grid_id", "level", *(F.col(f"k.{k}.{f}").alias(name.format(k)) for k in "ab" for f, name in (("id", "id_{}"), ("x", "{}x"), ("y", "{}y"))))
-
-
-def _walk(segments: pd.DataFrame) -> list[tuple[float, float]]:
-    """The points of one connected line, from an open end if it has one, else around."""
-    place, links = {}, {}
-    for a, ax, ay, b, bx, by in segments[["id_a", "ax", "ay", "id_b", "bx", "by"]].itertuples(index=False):
-        place[a], place[b] = (ax, ay), (bx, by)
-        links.setdefault(a, []).append(b)
-        links.setdefault(b, []).append(a)
-    ends = [k for k, v in links.items() if len(v) == 1]
-    here = min(ends) if ends else min(links)
-    chain = [here]
-    while links[here]:
-        there = links[here].pop()
-        links[there].remove(here)
-        chain.append(there)
-        here = there
-    return [place[k] for k in chain]
+    saddle = F.when(F.col("centre_above") == sw, F.when(sw, F.array(pair(s, e), pair(n, w))).otherwise(F.array(pair(e, s), pair(w, n)))).otherwise(F.when(sw, F.array(pair(s, w), pair(n, e))).otherwise(F.array(pair(w, s), pair(e, n))))
+    lines = F.when(F.size(around) == 4, saddle).when(falls, F.array(pair(one, two))).otherwise(F.array(pair(two, one)))
+    segments = crossed.select("grid_id", "level", "nth", F.explode(lines).alias("k"))
+    return segments.select("grid_id", "level", "nth", *(F.col(f"k.{k}.{f}").alias(name.format(k)) for k in "ab" for f, name in (("id", "id_{}"), ("x", "{}x"), ("y", "{}y"))))
 
 
-def level_lines(segments: DataFrame) -> DataFrame:
-    """(grid_id, level, line, points, closed): segments joined to polylines."""
-    level = F.struct("grid_id", "level")
-    roots = graph.connected(segments.select(level.alias("grid_id"), F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    named = segments.join(roots.select("grid_id.grid_id", "grid_id.level", F.col("node").alias("id_a"), F.col("root").alias("line")), ["grid_id", "level", "id_a"])
-    grid_type = segments.schema["grid_id"].dataType.simpleString()
+def crossings(lattice: DataFrame, levels: DataFrame, n_cols: int, value: str = "z") -> DataFrame:
+    """(grid_id, level, nth, id_a, ax, ay, id_b, bx, by): segments of level lines in columns and rows of the lattice, high ground on their left.
+
+    ``levels`` (grid_id, levels) lists each grid's levels; ``nth`` is a level's place there. A
+    square looks only at the levels between its lowest and highest corner. Ids name
+    lattice sides, so a segment ends at the id where the next one begins.
+    """
+    listed = levels.select("grid_id", F.transform("levels", lambda x, i: F.struct(x.alias("level"), i.alias("nth"))).alias("levels"))
+    met = _squares(lattice, value).join(listed, "grid_id").withColumn("l", F.explode(F.filter("levels", lambda x: (x["level"] > F.col("low")) & (x["level"] <= F.col("high")))))
+    return _segments(met.withColumn("level", F.col("l.level")).withColumn("nth", F.col("l.nth")), n_cols)
+
 
-    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        points = _walk(pdf)
-        return pd.DataFrame([{"grid_id": key[0], "level": key[1], "line": key[2], "points": [{"x": x, "y": y} for x, y in points], "closed": points[0] == points[-1]}])
+def level_lines(segments: DataFrame) -> DataFrame:
+    """(grid_id, level, line, points, closed): directed segments joined to polylines; ``line`` is the smallest joint's id.
 
-    return named.groupBy("grid_id", "level", "line").applyInPandas(run, f"grid_id {grid_type}, level double, line long, points {geometry.POINTS}, closed boolean")
+    A closed line begins and ends at its smallest joint, an open one begins where it enters.
+    """
+    joint = lambda c: F.shiftleft(F.col("nth").cast("long"), _JOINT_BITS) + F.col(c)
+    segments = settled(segments)
+    starts = segments.select("grid_id", "level", joint("id_a").alias("cell"), joint("id_b").alias("receiver"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    ends = segments.select("grid_id", "level", joint("id_b").alias("cell"), F.lit(None).cast("long").alias("receiver"), F.col("bx").alias("x"), F.col("by").alias("y"))
+    # most ends are starts too; which of the two rows is kept does not matter but for the receiver
+    joints = settled(starts.unionByName(ends).groupBy("grid_id", "cell").agg(F.max("receiver").alias("receiver"), F.first("level").alias("level"), F.first("x").alias("x"), F.first("y").alias("y")))
+    ordered = graph.chains(joints.select("grid_id", "cell", "receiver")).join(joints.drop("receiver"), ["grid_id", "cell"])
+    point = F.struct("step", F.struct("x", "y").alias("p"))
+    lines = ordered.groupBy("grid_id", "level", "chain").agg(F.transform(F.array_sort(F.collect_list(point)), lambda q: q["p"]).alias("points"), F.first("closed").alias("closed"))
+    points = F.when(F.col("closed"), F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
+    return lines.select("grid_id", "level", F.col("chain").bitwiseAND(F.lit((1 << _JOINT_BITS) - 1)).alias("line"), points.alias("points"), "closed")
 
 
 def contours(lattice: DataFrame, grid: Grid, interval_m: float | None = None, value: str = "z", max_levels: int = 400) -> DataFrame:
     """Level lines at multiples of an interval, of a round one if none is given; more than ``max_levels`` in a grid are refused."""
-    span = lattice.groupBy("grid_id").agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    relief = F.col("high") - F.col("low")
+    span = lattice.groupBy("grid_id").agg(F.min(value).alias("bottom"), F.max(value).alias("top"))
+    relief = F.col("top") - F.col("bottom")
     step = F.lit(float(interval_m)) if interval_m else round_interval(relief)
-    n_levels = F.ceil(F.col("high") / step) - 1 - F.floor(F.col("low") / step)
-    over = span.select(n_levels.alias("n"), relief.alias("relief"), step.alias("step"), round_interval(relief, max_levels // 2).alias("round")).where(F.col("n") > max_levels).orderBy(F.desc("n")).first()
+    first = (F.floor(F.col("bottom") / step) + 1).cast("long")
+    n_levels = F.ceil(F.col("top") / step) - first
+    spans = settled(span.select("grid_id", "top", step.alias("step"), first.alias("first"), n_levels.alias("n"), relief.alias("relief"), round_interval(relief, max_levels // 2).alias("round")))
+    over = spans.where(F.col("n") > max_levels).orderBy(F.desc("n")).first()
     if over:
         raise AnalysisError(
             "invalid_interval",
             f"A {over.step:g} m interval over {over.relief:.0f} m of relief is {over.n} lines; the limit is {max_levels}.",
             f"Ask for {over.round:g} m or more, or omit it.",
         )
-    levels = span.select("grid_id", level_multiples(F.col("low"), F.col("high"), step).alias("levels"))
-    return level_lines(crossings(lattice, levels, grid.n_cols, value))
+    # the multiples from a square's lowest to its highest corner, one too many at either end against rounding
+    squares = _squares(lattice, value).join(spans.select("grid_id", "top", "step", "first", "n"), "grid_id")
+    numbers = F.expr("sequence(greatest(cast(floor(low / step) as long) - 1, first), least(cast(ceil(high / step) as long) + 1, first + n - 1))")
+    some = F.expr("greatest(cast(floor(low / step) as long) - 1, first) <= least(cast(ceil(high / step) as long) + 1, first + n - 1)")
+    met = squares.where(some).withColumn("k", F.explode(numbers)).withColumn("level", F.col("k") * F.col("step")).where("level > low AND level <= high")
+    return level_lines(_segments(met.withColumn("nth", F.col("k") - F.col("first")), grid.n_cols))
 
 
 #: Sides of a cell: the step to the cell beyond, and the corners (row, col) at start and end, the cell on the left.
@@ -146,22 +160,12 @@ def rings(members: DataFrame, n_cols: int) -> DataFrame:
     sides = boundary(members).withColumn("side", 4 * (F.col("row").cast("long") * n_cols + F.col("col")) + four)
     follow = _next_sides(sides)
     whose = F.struct("grid_id", "site")
-    roots = graph.connected(follow.select(whose.alias("grid_id"), F.col("side").alias("a"), F.col("follows").alias("b")))
-    named = sides.join(follow, ["grid_id", "site", "side"]).join(roots.select("grid_id.grid_id", "grid_id.site", F.col("node").alias("side"), F.col("root").alias("ring")), ["grid_id", "site", "side"])
-    kinds = [members.schema[c].dataType.simpleString() for c in ("grid_id", "site")]
-
-    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        follows = dict(zip(pdf["side"], pdf["follows"], strict=True))
-        start = dict(zip(pdf["side"], zip(pdf["c0"], pdf["r0"], strict=True), strict=True))
-        side, points = key[2], []
-        for _ in range(len(pdf)):
-            points.append(start[side])
-            side = follows[side]
-        points.append(points[0])
-        area2 = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points[:-1], points[1:], strict=True))
-        return pd.DataFrame([{"grid_id": key[0], "site": key[1], "ring": key[2], "points": [{"x": float(x), "y": float(y)} for x, y in points], "area2": float(area2)}])
-
-    return named.groupBy("grid_id", "site", "ring").applyInPandas(run, f"grid_id {kinds[0]}, site {kinds[1]}, ring long, points {geometry.POINTS}, area2 double")
+    ordered = graph.chains(follow.select(whose.alias("grid_id"), F.col("side").alias("cell"), F.col("follows").alias("receiver")))
+    placed = sides.join(ordered.select("grid_id.grid_id", "grid_id.site", F.col("cell").alias("side"), F.col("chain").alias("ring"), "step"), ["grid_id", "site", "side"])
+    point = F.struct("step", F.struct(F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y")).alias("p"))
+    lines = placed.groupBy("grid_id", "site", "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda q: q["p"]).alias("points"))
+    closed = lines.select("grid_id", "site", "ring", F.concat("points", F.slice("points", 1, 1)).alias("points"))
+    return closed.withColumn("area2", geometry.twice_area(F.col("points")))
 
 
 def hole_owners(ringed: DataFrame) -> DataFrame:

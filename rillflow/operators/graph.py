@@ -185,6 +185,37 @@ def connected(edges: DataFrame) -> DataFrame:
     return hung.unionByName(hung.select("grid_id", F.col("root").alias("node"), "root").distinct())
 
 
+def chains(links: DataFrame, at_once: int = 2) -> DataFrame:
+    """(grid_id, cell, chain, step, closed): the order of cells along chains (grid_id, cell, receiver) in which no two share a receiver.
+
+    ``chain`` is the chain's smallest cell, ``step`` counts from its first cell, or from the
+    smallest where it is closed. Every cell looks twice as far ahead in each round, and
+    keeps the smallest cell it has seen and how far away that is: an open chain then knows
+    its distance from the end, a closed one that from its smallest cell. ``at_once`` rounds
+    are made before a table is written.
+    """
+    end = F.col("receiver").isNull()
+    state = last = settled(links.select(*KEY, F.coalesce("receiver", "cell").alias("far"), F.when(end, 0).otherwise(1).cast("long").alias("steps"), end.alias("done"), F.col("cell").alias("low"), F.lit(0).cast("long").alias("to_low"), F.lit(False).alias("moved")))
+    while True:
+        for _ in range(at_once):
+            ahead = state.select("grid_id", F.col("cell").alias("far"), *(F.col(c).alias(f"_{c}") for c in ("far", "steps", "done", "low", "to_low")))
+            lower = F.col("_low") < F.col("low")
+            state = state.join(ahead, ["grid_id", "far"]).select(
+                *KEY, F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"),
+                F.when(lower, F.col("steps") + F.col("_to_low")).otherwise(F.col("to_low")).alias("to_low"), (lower | (F.col("_done") & ~F.col("done"))).alias("moved"),
+            )
+        before, state = last, settled(state)
+        last = state
+        discard(before)
+        # as long as some cell is not through, the nearest to an end or to the smallest cell gets there in each round
+        if not state.where("moved").limit(1).count():
+            break
+    whose = state.withColumn("whose", F.when(F.col("done"), F.col("far")).otherwise(F.col("low")))
+    each = whose.groupBy("grid_id", "whose").agg(F.min("low").alias("chain"), F.max("steps").alias("most"), F.count("*").alias("n"))
+    step = F.when(F.col("done"), F.col("most") - F.col("steps")).otherwise(F.pmod(F.col("n") - F.col("to_low"), F.col("n")))
+    return whose.join(each, ["grid_id", "whose"]).select(*KEY, "chain", step.alias("step"), (~F.col("done")).alias("closed"))
+
+
 def patches(cells: DataFrame, n_cols: int, diagonal: bool = False) -> DataFrame:
     """(grid_id, row, col, cell, patch): connected patches of the given cells, named by their smallest cell."""
     cells = cells.select("grid_id", "row", "col", (F.col("row").cast("long") * n_cols + F.col("col")).alias("cell"))

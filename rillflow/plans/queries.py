@@ -533,6 +533,29 @@ def contour_lines(spark, sf_dir):
     return rounded(lines.select("level", "line", F.size("points").alias("n_points"), "closed", geometry.length(F.col("points")).alias("length")))
 
 
+_LEVELS = f"""{GAPPY_SQL}, b AS (SELECT min(z) AS bottom, max(z) AS top FROM lat),
+sq AS (SELECT a.row, a.col, a.z AS sw, e.z AS se, n.z AS nw, d.z AS ne FROM lat a JOIN lat e ON e.row = a.row AND e.col = a.col + 1 JOIN lat n ON n.row = a.row + 1 AND n.col = a.col JOIN lat d ON d.row = a.row + 1 AND d.col = a.col + 1
+  WHERE a.z + e.z + n.z + d.z IS NOT NULL),
+met AS (SELECT sq.*, k * 5.0::DOUBLE AS level FROM sq, (SELECT unnest(range(CAST(floor(bottom / 5) AS BIGINT) + 1, CAST(ceil(top / 5) AS BIGINT))) AS k FROM b)
+  WHERE k * 5.0::DOUBLE > least(sw, se, nw, ne) AND k * 5.0::DOUBLE <= greatest(sw, se, nw, ne)),
+ends AS (SELECT *, (sw + se + ne + nw) / 4.0 >= level AS mid, sw >= level AS asw, se >= level AS ase, nw >= level AS anw, ne >= level AS ane,
+  (level - sw) / (se - sw) AS s, (level - nw) / (ne - nw) AS n, (level - sw) / (nw - sw) AS w, (level - se) / (ne - se) AS e FROM met),
+joined AS (
+  SELECT level, list_filter([CASE WHEN asw <> ase THEN {{'x': s, 'y': 0.0::DOUBLE}} END, CASE WHEN ase <> ane THEN {{'x': 1.0::DOUBLE, 'y': e}} END, CASE WHEN anw <> ane THEN {{'x': n, 'y': 1.0::DOUBLE}} END, CASE WHEN asw <> anw THEN {{'x': 0.0::DOUBLE, 'y': w}} END], lambda p: p IS NOT NULL) AS p, mid = asw AS near FROM ends
+),
+parts AS (
+  SELECT level, p[1] AS a, CASE WHEN len(p) = 2 OR near THEN p[2] ELSE p[4] END AS b FROM joined UNION ALL SELECT level, CASE WHEN near THEN p[3] ELSE p[2] END, CASE WHEN near THEN p[4] ELSE p[3] END FROM joined WHERE len(p) = 4
+)"""
+
+
+@query(f"WITH {_LEVELS} SELECT level, count(*) AS segments, round(sum(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 4) AS length FROM parts GROUP BY level")
+def contour_levels(spark, sf_dir):
+    """What the lines of each level hold: every segment of every square once."""
+    lines = contours.contours(L.lattice(spark, sf_dir, True), GRID, 5.0)
+    made = lines.groupBy("level").agg(F.sum(F.size("points") - 1).cast("long").alias("segments"), F.sum(geometry.length(F.col("points"))).alias("length"))
+    return rounded(made, 4)
+
+
 @query()
 def mask_polygons(spark, sf_dir):
     flow, outlets = _outlets(spark, sf_dir)

@@ -234,6 +234,60 @@ def test_cone_gives_one_closed_circle_per_level(spark):
         assert max(abs(x - r.level) for x in radii) < 0.1
 
 
+def test_chains_are_ordered_from_their_ends_or_smallest_cells(spark):
+    rng = np.random.default_rng(12)
+    links, want = [], set()
+    for g, sizes in ((0, (1, 2, 3, 50, 300, 7)), (5, (1, 1, 64, 65, 2, 9))):
+        names = rng.permutation(int(sum(sizes)) * 2)
+        at = 0
+        for n, closed in zip(sizes, (False, True, True, False, True, False), strict=True):
+            cells = [int(c) for c in names[at : at + n]]
+            at += n
+            low = cells.index(min(cells))
+            for i, c in enumerate(cells):
+                links.append((g, c, cells[(i + 1) % n] if closed or i + 1 < n else None))
+                want.add((g, c, min(cells), (i - low) % n if closed else i, closed))
+    for at_once in (1, 2, 3):
+        got = graph.chains(spark.createDataFrame(links, "grid_id int, cell long, receiver long"), at_once)
+        assert {(r.grid_id, r.cell, r.chain, r.step, r.closed) for r in got.collect()} == want
+
+
+def test_lines_are_walks_with_high_ground_on_their_left(spark):
+    z = rough(9)
+    both = lattice(spark, z).union(lattice(spark, z[::-1].copy()).withColumn("grid_id", F.lit(3)))
+    levels = both.groupBy("grid_id").agg(F.array(F.lit(3.3), F.lit(6.6), F.lit(9.9)).alias("levels"))
+    segments = contours.crossings(both, levels, 27).collect()
+    after, before, place = {}, {}, {}
+    for s in segments:
+        assert after.setdefault((s.grid_id, s.level, s.id_a), s.id_b) == s.id_b and before.setdefault((s.grid_id, s.level, s.id_b), s.id_a) == s.id_a
+        place[s.grid_id, s.level, s.id_a], place[s.grid_id, s.level, s.id_b] = (s.ax, s.ay), (s.bx, s.by)
+        # the corner just left of the middle of a segment that joins two neighbouring sides
+        surface = z if s.grid_id == 0 else z[::-1]
+        mx, my, dx, dy = (s.ax + s.bx) / 2, (s.ay + s.by) / 2, s.bx - s.ax, s.by - s.ay
+        corners = [(c, r) for c in (math.floor(min(mx, 25.999)), math.floor(min(mx, 25.999)) + 1) for r in (math.floor(min(my, 22.999)), math.floor(min(my, 22.999)) + 1)]
+        sides = {(c, r): dx * (r - s.ay) - dy * (c - s.ax) for c, r in corners}
+        left, right = [surface[r, c] for (c, r), k in sides.items() if k > 1e-9], [surface[r, c] for (c, r), k in sides.items() if k < -1e-9]
+        assert not left or not right or max(left) >= s.level or min(right) < s.level
+    want = set()
+    for key in place:
+        g, level, joint = key
+        if key in before:
+            ring = [joint]
+            while (g, level, ring[-1]) in after and after[g, level, ring[-1]] != joint:
+                ring.append(after[g, level, ring[-1]])
+            if (g, level, ring[-1]) in after and joint == min(ring):
+                want.add((g, level, joint, True, tuple(place[g, level, j] for j in [*ring, joint])))
+            continue
+        line = [joint]
+        while (g, level, line[-1]) in after:
+            line.append(after[g, level, line[-1]])
+        want.add((g, level, min(line), False, tuple(place[g, level, j] for j in line)))
+    got = contours.level_lines(contours.crossings(both, levels, 27)).collect()
+    assert len(got) == len(want) and {(r.grid_id, r.level, r.line, r.closed, tuple((p.x, p.y) for p in r.points)) for r in got} == want
+    again = contours.contours(both, grid(27), 3.3).where("level < 10").collect()
+    assert sorted(sum(math.dist(a, b) for a, b in zip(r.points[:-1], r.points[1:], strict=True)) for r in again) == pytest.approx(sorted(sum(math.dist(a, b) for a, b in zip(r.points[:-1], r.points[1:], strict=True)) for r in got))
+
+
 def test_every_crossing_is_in_one_line(spark):
     z = rough(6)
     g = grid(27)
