@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.projection import Grid, LocalFrame
 
 COLS = 40
-GRID = Grid(LocalFrame(81.3, 21.25), 10.0, COLS)
+GRID = Grid(LocalFrame(8.3, 46.25), 10.0, COLS)
 
 #: A dense lattice with a trend, ridges and pits; cells whose size is 13 are gaps where asked for.
 LATTICE_SQL = """lat AS (
@@ -17,7 +17,7 @@ LATTICE_SQL = """lat AS (
 )"""
 GAPPY_SQL = LATTICE_SQL.replace("(p_retailprice - 900) + 0.1 * p_size AS z", "CASE WHEN p_size = 13 THEN NULL ELSE (p_retailprice - 900) + 0.1 * p_size END AS z")
 RAIN_SQL = "rain AS (SELECT o_orderpriority AS place, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice) / 20000, 3) AS mm FROM orders GROUP BY 1, 2)"
-AREA_SQL = "(100.0 * cos(radians(21.25 + row * 10.0 / 110540.0)) / cos(radians(21.25)))"
+AREA_SQL = "(100.0 * cos(radians(46.25 + row * 10.0 / 110540.0)) / cos(radians(46.25)))"
 D8_SQL = """offs(dr, dc, rank) AS (VALUES (-1, -1, 0), (-1, 0, 1), (-1, 1, 2), (0, -1, 3), (0, 1, 4), (1, -1, 5), (1, 0, 6), (1, 1, 7)),
 drops AS (
   SELECT a.cell, b.cell AS receiver, rank, (a.z - b.z) / (10.0 * CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0) ELSE 1.0 END) AS g

@@ -96,7 +96,7 @@ def concentration_times(spark, sf_dir):
 # projections and lattices
 
 
-@query(f"""WITH {LATTICE_SQL}, p AS (SELECT cell, row, col, 81.3 + col * 10.0 / (111320.0 * cos(radians(21.25))) AS lon, 21.25 + row * 10.0 / 110540.0 AS lat FROM lat)
+@query(f"""WITH {LATTICE_SQL}, p AS (SELECT cell, row, col, 8.3 + col * 10.0 / (111320.0 * cos(radians(46.25))) AS lon, 46.25 + row * 10.0 / 110540.0 AS lat FROM lat)
 SELECT cell, round(lon, 9) AS lon, round(lat, 9) AS lat, round((lon + 180) / 360, 9) AS fx, round(0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi()), 9) AS fy,
 CAST(floor((lon + 180) / 360 * 8192) AS BIGINT) AS tile_x, CAST(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 8192) AS BIGINT) AS tile_y,
 round(2 * pi() * 6378137.0 * cos(radians(lat)) / (256 * 8192), 6) AS tile_m, row AS back_row, col AS back_col FROM p""")
@@ -362,7 +362,7 @@ walk(g, row, col, at_row, at_col) AS (
   SELECT g, row, col, row, col FROM surf UNION ALL SELECT w.g, w.row, w.col, nr, nc FROM walk w JOIN best b ON b.g = w.g AND b.row = w.at_row AND b.col = w.at_col
 ),
 acc AS (
-  SELECT w.g, at_row AS row, at_col AS col, count(*) AS n, sum(res * res * cos(radians(21.25 + w.row * res / 110540.0)) / cos(radians(21.25))) AS area FROM walk w JOIN gr USING (g) GROUP BY w.g, at_row, at_col
+  SELECT w.g, at_row AS row, at_col AS col, count(*) AS n, sum(res * res * cos(radians(46.25 + w.row * res / 110540.0)) / cos(radians(46.25))) AS area FROM walk w JOIN gr USING (g) GROUP BY w.g, at_row, at_col
 ),
 p AS (SELECT c_custkey AS point_id, CAST(c_custkey % (SELECT max(row) + 1 FROM lat) AS INTEGER) * 10.0 AS y, CAST(c_custkey * 7 % 40 AS INTEGER) * 10.0 AS x FROM customer),
 q AS (SELECT g, res, point_id, round_even(y / res, 0) AS row, round_even(x / res, 0) AS col, greatest(1, round_even(120 / res, 0)) AS reach FROM p, gr),
@@ -597,12 +597,15 @@ def land_availability(spark, sf_dir):
 # labels, sorting, paging and sets
 
 
-_NUM = r"^(?:[^\d+\-]*[\s:=])?([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*(m|meter|meters|metre|metres|ft|foot|feet|'')?\s*$"
+_UNITS_SQL = ", ".join("('{}', '{}')".format(word.replace("'", "''"), unit) for word, unit in scalars.UNITS.items())
 
 
 @query(f"""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Elevation: ' || c_nationkey || ' m' WHEN 1 THEN c_name WHEN 2 THEN CAST(c_acctbal AS VARCHAR) || 'ft' WHEN 3 THEN 'contour-' || c_nationkey WHEN 4 THEN '+' || c_nationkey || 'e1 Feet' ELSE c_nationkey || '.5' END AS label FROM customer),
-n AS (SELECT *, regexp_extract(trim(label), '(?i){_NUM}', 1) AS v, lower(regexp_extract(trim(label), '(?i){_NUM}', 2)) AS u FROM t)
-SELECT c_custkey, label, TRY_CAST(NULLIF(v, '') AS DOUBLE) AS value, CASE WHEN v = '' THEN NULL WHEN u LIKE 'm%' THEN 'm' WHEN u <> '' THEN 'ft' END AS unit FROM n""")
+u AS (SELECT c_custkey, label, lower(trim(label)) AS l, arg_max(word, length(word)) AS word, arg_max(unit, length(word)) AS unit FROM t LEFT JOIN (VALUES {_UNITS_SQL}) AS units(word, unit) ON ends_with(lower(trim(label)), word) GROUP BY c_custkey, label),
+b AS (SELECT *, rtrim(l[:length(l) - length(coalesce(word, ''))]) AS body FROM u),
+n AS (SELECT *, string_split_regex(body, '[ :=]')[-1] AS number FROM b),
+v AS (SELECT *, CASE WHEN NOT regexp_matches(body[:length(body) - length(number)], '[0-9+-]') AND regexp_matches(number, '^[+-]?[0-9]') AND NOT regexp_matches(number, '[^0-9.e+-]|[.]([^0-9]|$)|e.*[.]') THEN TRY_CAST(number AS DOUBLE) END AS value FROM n)
+SELECT c_custkey, label, value, CASE WHEN value IS NOT NULL THEN unit END AS unit FROM v""")
 def labelled_numbers(spark, sf_dir):
     label = F.expr("""case c_custkey % 6 when 0 then 'Elevation: ' || c_nationkey || ' m' when 1 then c_name when 2 then cast(c_acctbal as string) || 'ft'
         when 3 then 'contour-' || c_nationkey when 4 then '+' || c_nationkey || 'e1 Feet' else c_nationkey || '.5' end""")

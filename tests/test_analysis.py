@@ -13,7 +13,7 @@ from rillflow.operators import hull
 from rillflow.plans import analysis, outputs, terrain
 from rillflow.sources import kml, rainfall
 
-LON, LAT = 81.3, 21.25
+LON, LAT = 8.3, 46.25
 
 
 def valley_kml():
@@ -123,7 +123,7 @@ def test_texts(spark):
     assert one == "a | b?"
     long = spark.range(1).select(outputs.warning_header(F.array(F.lit("x" * 2000))).alias("v")).first().v
     assert len(long) == 900 and long.endswith("...")
-    rows = [("k1", "one", "", 2.0, '{"lon": 81.3, "lat": 21.25}', "{}"), ("k2", "two", "", 3.0, '{"lon": 81.4, "lat": 21.2}', "{}")]
+    rows = [("k1", "one", "", 2.0, '{"lon": 8.3, "lat": 46.25}', "{}"), ("k2", "two", "", 3.0, '{"lon": 8.4, "lat": 46.2}', "{}")]
     saved = spark.createDataFrame(rows, "id string, name string, notes string, created double, summary string, body string")
     made = json.loads(outputs.saved_layer(saved).first().geojson)
     assert [f["properties"]["id"] for f in made["features"]] == ["k2", "k1"]
@@ -141,15 +141,15 @@ def test_no_site_has_a_reason(spark, surface):
 
 
 def test_pour_point_lies_on_the_sheet():
-    box = (81.0, 21.0, 81.5, 21.5)
-    analysis.check_pour_point(81.5, 21.0, box)
+    box = (8.0, 46.0, 8.5, 46.5)
+    analysis.check_pour_point(8.5, 46.0, box)
     with pytest.raises(AnalysisError) as e:
-        analysis.check_pour_point(81.6, 21.0, box)
+        analysis.check_pour_point(8.6, 46.0, box)
     assert e.value.code == "pour_point_outside_map"
 
 
 def test_labels_of_a_sheet(spark, tmp_path):
-    mark = "<Placemark><name>{0}</name><LineString><coordinates>81,21 81.1,21 81.1,21.1</coordinates></LineString></Placemark>"
+    mark = "<Placemark><name>{0}</name><LineString><coordinates>8,46 8.1,46 8.1,46.1</coordinates></LineString></Placemark>"
     spot = "<Placemark><name>{0}</name><Point><coordinates>81,21</coordinates></Point></Placemark>"
     for stem, labels in (("good", ["10 m", "20", "well"]), ("bad", ["10 m", "15"])):
         (tmp_path / f"{stem}.kml").write_text("<kml><Document>" + "".join(mark.format(v) for v in (10, 20, 30)) + "".join(spot.format(v) for v in labels) + "</Document></kml>")

@@ -23,7 +23,7 @@ from rillflow.streaming.rain import daily_runoff
 
 def square(level, z=False):
     k = 0.004 * (1 - level / 100)
-    points = [(81.3 + a * k, 21.25 + b * k) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+    points = [(8.3 + a * k, 46.25 + b * k) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
     return " ".join(f"{x:.6f},{y:.6f}" + (f",{level}" if z else "") for x, y in points)
 
 
@@ -105,8 +105,8 @@ def test_tiles_give_heights(spark, tmp_path):
     assert {r.source: r.n for r in raster_files.source_counts(tiles, wanted).collect()} == {0: 1, 1: 1, None: 2}
     assert raster_files.tile_colours(tiles).where("r < 0 or g > 1").count() == 0
     with pytest.raises(AnalysisError, match="more tiles"):
-        raster_files.wanted_tiles(spark, (80, 20, 82, 22), 13)
-    assert raster_files.wanted_tiles(spark, (81.2814, 21.2398, 81.3126, 21.2636), 13).count() in (1, 2, 4)
+        raster_files.wanted_tiles(spark, (7, 45, 9, 47), 13)
+    assert raster_files.wanted_tiles(spark, (8.2814, 46.2398, 8.3126, 46.2636), 13).count() in (1, 2, 4)
 
 
 def test_bilinear_next_to_holes(spark):
@@ -117,19 +117,19 @@ def test_bilinear_next_to_holes(spark):
 
 
 def test_ascii_grid(spark, tmp_path):
-    text = "ncols 3\nnrows 2\nxllcorner 81\nyllcorner 21\ncellsize 0.5\nNODATA_value -9\n1 2 3\n4 -9 6\n"
+    text = "ncols 3\nnrows 2\nxllcorner 8\nyllcorner 46\ncellsize 0.5\nNODATA_value -9\n1 2 3\n4 -9 6\n"
     (tmp_path / "g.asc").write_text(text)
     rows = {(r.lon, r.lat): r.z for r in raster_files.read_ascii_grids(spark, str(tmp_path)).collect()}
-    assert rows[81.25, 21.75] == 1 and rows[81.75, 21.25] is None and rows[82.25, 21.25] == 6
+    assert rows[8.25, 46.75] == 1 and rows[8.75, 46.25] is None and rows[9.25, 46.25] == 6
     with pytest.raises(AnalysisError):
         raster_files.parse_ascii_grid(text.replace("nrows 2", "nrows 3"))
 
 
 def test_rain_archive_and_stand_in(spark, tmp_path):
-    body = {"latitude": 21.25, "longitude": 81.3, "daily": {"time": ["2014-01-01", "2014-01-02", "2015-03-01"], "precipitation_sum": [12.0, None, 0.4]}}
+    body = {"latitude": 46.25, "longitude": 8.3, "daily": {"time": ["2014-01-01", "2014-01-02", "2015-03-01"], "precipitation_sum": [12.0, None, 0.4]}}
     (tmp_path / "rain.json").write_text(json.dumps(body, indent=1))
     rain = rainfall.read_rain(spark, str(tmp_path))
-    assert [(r.place, str(r.day), r.mm) for r in rain.orderBy("day").collect()] == [("21.25,81.30", "2014-01-01", 12.0), ("21.25,81.30", "2014-01-02", 0.0), ("21.25,81.30", "2015-03-01", 0.4)]
+    assert [(r.place, str(r.day), r.mm) for r in rain.orderBy("day").collect()] == [("46.25,8.30", "2014-01-01", 12.0), ("46.25,8.30", "2014-01-02", 0.0), ("46.25,8.30", "2015-03-01", 0.4)]
     made = rainfall.climatology(spark)
     assert made.count() == 55 and made.agg(F.sum("mm")).first()[0] == pytest.approx(1200)
     assert rainfall.record_window(date(2024, 5, 1)) == (date(2014, 1, 1), date(2023, 12, 31))
@@ -137,7 +137,7 @@ def test_rain_archive_and_stand_in(spark, tmp_path):
 
 
 def test_selections():
-    ring = selection.from_bbox("81.2814,21.2398,81.3126,21.2636")
+    ring = selection.from_bbox("8.2814,46.2398,8.3126,46.2636")
     assert selection.area_m2(ring, signed=True) > 0 and selection.check_size(ring) is ring
     assert selection.from_polygon([(0, 0), (0, 1), (1, 1), (1, 1), (0, 0)])[0] == (1, 1)
     assert selection.from_geojson({"type": "Feature", "geometry": selection.to_geojson(ring)}) == [(round(x, 6), round(y, 6)) for x, y in ring]
@@ -145,9 +145,9 @@ def test_selections():
         with pytest.raises(AnalysisError):
             selection.from_bbox(bad)
     with pytest.raises(AnalysisError):
-        selection.check_size(selection.from_bbox([81, 21, 82, 22]))
-    west, south, east, north = projection.buffered((81.28, 21.24, 81.31, 21.26))
-    assert west < 81.28 - 0.0074 and north > 21.26
+        selection.check_size(selection.from_bbox([8, 46, 9, 47]))
+    west, south, east, north = projection.buffered((8.28, 46.24, 8.31, 46.26))
+    assert west < 8.28 - 0.0074 and north > 46.26
 
 
 def test_store(spark, tmp_path, monkeypatch):
@@ -182,17 +182,17 @@ def test_scalar_rules(spark):
     assert value(geometry.inside(F.lit(1.0), F.lit(1.0), ring)) and not value(geometry.inside(F.lit(5.0), F.lit(1.0), ring))
     line = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0.0), (1, 0.1), (2, 0.0), (3, 2.0), (4, 0.0))))
     assert [p.x for p in value(geometry.simplify(line, F.lit(0.5)))] == [0, 2, 3, 4]
-    zoom, left, top = projection.fit_view((81.28, 21.24, 81.31, 21.26), 1200, 900)
+    zoom, left, top = projection.fit_view((8.28, 46.24, 8.31, 46.26), 1200, 900)
     world = 256 * 2**zoom
-    assert 0 < zoom <= 18 and left / world < (81.28 + 180) / 360
+    assert 0 < zoom <= 18 and left / world < (8.28 + 180) / 360
 
 
 def test_projection_round_trip(spark):
-    frame = projection.LocalFrame(81.3, 21.25)
-    rows = spark.range(50).select((F.col("id") * 0.01 + 81).alias("lon"), (F.col("id") * 0.01 + 21).alias("lat"))
+    frame = projection.LocalFrame(8.3, 46.25)
+    rows = spark.range(50).select((F.col("id") * 0.01 + 8).alias("lon"), (F.col("id") * 0.01 + 46).alias("lat"))
     back = rows.select((frame.lon(frame.x(F.col("lon"))) - F.col("lon")).alias("a"), (projection.mercator_lat(projection.mercator_y(F.col("lat"))) - F.col("lat")).alias("b"))
     assert back.where("abs(a) > 1e-12 or abs(b) > 1e-10").count() == 0
-    assert projection.fit_frame(rows).lon0 == pytest.approx(81.245)
+    assert projection.fit_frame(rows).lon0 == pytest.approx(8.245)
     with pytest.raises(AnalysisError):
         projection.LocalFrame(0, 86)
 

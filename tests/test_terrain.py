@@ -13,7 +13,7 @@ from rillflow.functions.projection import Grid, LocalFrame
 from rillflow.operators import contours, focal, graph, hydrology, imagery, siting
 from rillflow.plans import ensemble, terrain
 
-FRAME = LocalFrame(81.3, 21.25)
+FRAME = LocalFrame(8.3, 46.25)
 EPS = 1e-4
 
 
@@ -162,7 +162,7 @@ def test_stage_storage_equals_one_flood_per_stage(spark):
     members = spark.createDataFrame(cells, "grid_id int, outlet long, cell long")
     filled = lattice(spark, z).withColumn("filled", F.col("z"))
     got = {r.step: r for r in hydrology.stage_storage(members, filled, g, 6.0).collect()}
-    area = [100 * math.cos(math.radians(21.25 + r * 10 / 110540)) / math.cos(math.radians(21.25)) for r in range(12)]
+    area = [100 * math.cos(math.radians(46.25 + r * 10 / 110540)) / math.cos(math.radians(46.25)) for r in range(12)]
     start = (45 // 13, 45 % 13)
     for k, stage in enumerate(hydrology.stages(6.0)):
         wet = pool(z, start, z[start] + stage)
@@ -342,7 +342,7 @@ def test_an_ensemble_is_its_grids_one_by_one(spark):
     base, surface = grid(19), lattice(spark, z).drop("grid_id")
     grids = ensemble.spacings(base, 22, (10.0, 12.5, 17.0))
     assert [(g.n_rows, g.n_cols) for g in grids] == [(22, 19), (17, 15), (13, 11)]
-    points = [(i, 81.3 + x / FRAME.metres_per_lon, 21.25 + y / FRAME.metres_per_lat) for i, (x, y) in enumerate(((5, 5), (90, 100), (175, 12), (60, 205)))]
+    points = [(i, 8.3 + x / FRAME.metres_per_lon, 46.25 + y / FRAME.metres_per_lat) for i, (x, y) in enumerate(((5, 5), (90, 100), (175, 12), (60, 205)))]
     pts = spark.createDataFrame(points, "point_id int, lon double, lat double")
     routed = ensemble.route(surface, base, grids)
     got = {(r.point_id, r.grid_id): r for r in ensemble.delineate(routed, pts, 40.0).collect()}
@@ -363,3 +363,38 @@ def test_an_ensemble_is_its_grids_one_by_one(spark):
 def test_an_ensemble_needs_spacings():
     with pytest.raises(AnalysisError):
         ensemble.spacings(grid(5), 5, (10.0, 0.0))
+
+
+def painted():
+    """A pond and a village on bare ground, 5 m to a cell, and one unseen cell."""
+    rng = np.random.default_rng(3)
+    rgb = np.empty((70, 60, 3))
+    rgb[:] = (0.50, 0.42, 0.25)
+    rgb[5:25, 5:25] = (0.10, 0.20, 0.30)
+    rgb[5:25, 35:55] = rng.choice([0.2, 0.95], (20, 20, 1)) * np.ones(3)
+    rgb[65, 50] = np.nan
+    return rgb
+
+
+def test_classes_of_a_painted_map(spark):
+    rgb = painted()
+    rows = [(g, r, c, *(None if np.isnan(v) else float(v) for v in rgb[r, c])) for g in (0, 4) for r in range(70) for c in range(60)]
+    land = imagery.classify(spark.createDataFrame(rows, "grid_id int, row int, col int, r double, g double, b double"), 60, 5.0).collect()
+    assert len(land) == 2 * 70 * 60
+    kind = {(r.grid_id, r.row, r.col): r["class"] for r in land}
+    assert all(kind[0, r, c] == kind[4, r, c] for r in range(70) for c in range(60)) and kind[0, 65, 50] is None
+    for (r0, c0), want in (((9, 9), imagery.WATER), ((9, 39), imagery.BUILT), ((45, 38), imagery.AVAILABLE)):
+        assert {kind[0, r, c] for r in range(r0, r0 + 12) for c in range(c0, c0 + 12)} == {want}, want
+    areas = {r["class"]: (r.area_m2, r.share) for r in imagery.land_availability(spark.createDataFrame([r for r in land if r.grid_id == 0], "grid_id int, row int, col int, class int"), 5.0).collect()}
+    assert 0.8 * 400 * 25 < areas[imagery.WATER][0] < 1.2 * 400 * 25 and abs(sum(s for _, s in areas.values()) - 1) < 1e-3
+
+
+def test_leaves_are_green_rough_and_dark(spark):
+    rows = [(0, 0.5, 0.1, 0.2), (1, 0.5, 0.1, 0.31), (2, 0.5, 0.04, 0.2), (3, 0.29, 0.1, 0.2)]
+    got = spark.createDataFrame(rows, "id int, exg double, texture double, brightness double").where(imagery.has("leafy")).collect()
+    assert [r.id for r in got] == [0]
+
+
+@pytest.mark.parametrize(("metres", "cells"), [(15.4, 3), (2.2, 7), (0.5, 31), (1.1, 15), (1.28, 13)])
+def test_the_window_of_texture_has_a_middle(metres, cells):
+    assert imagery.odd_window(metres) == cells
