@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.projection import Grid
+from .quantiles import quantiles
 
 
 def bilinear(points: DataFrame, pixels: DataFrame, key: str = "point_id") -> DataFrame:
@@ -78,14 +79,19 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """(cells, rmse, bias, p95, correlation) of two surfaces (row, col, z) where both have data."""
     met = a.select("row", "col", F.col("z").alias("za")).join(b.select("row", "col", F.col("z").alias("zb")), ["row", "col"]).where("za is not null and zb is not null")
     d = F.col("za") - F.col("zb")
-    return met.agg(F.count("*").alias("cells"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.percentile(F.abs(d), 0.95).alias("p95"), F.corr("za", "zb").alias("correlation"))
+    means = met.agg(F.count("*").alias("cells"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.corr("za", "zb").alias("correlation"))
+    far = quantiles(met.withColumn("all", F.lit(0)), ["all"], F.abs(d), [0.95])
+    return means.withColumn("all", F.lit(0)).join(far, "all", "left").select("cells", "rmse", "bias", F.col("q0").alias("p95"), "correlation")
 
 
 def surface_summary(lattice: DataFrame, grid: Grid, value: str = "z", raw: str | None = None) -> DataFrame:
     """One row for each grid: mapped area, share of gaps, range, and how far smoothing moved the heights."""
     shift = F.abs(F.col(value) - F.col(raw or value))
-    return lattice.groupBy("grid_id").agg(
+    sums = lattice.groupBy("grid_id").agg(
         F.sum(F.when(F.col(value).isNotNull(), grid.cell_area(F.col("row"))).otherwise(0.0)).alias("mapped_m2"),
         F.avg(F.col(value).isNull().cast("double")).alias("gap_fraction"),
-        F.min(value).alias("low"), F.max(value).alias("high"), F.max(shift).alias("max_shift"), F.percentile(shift, 0.999).alias("p999_shift"), F.count_if(shift > grid.interval_m).alias("over_interval"),
+        F.min(value).alias("low"), F.max(value).alias("high"), F.max(shift).alias("max_shift"), F.count_if(shift > grid.interval_m).alias("over_interval"),
     )
+    far = quantiles(lattice, ["grid_id"], shift, [0.999]).select(F.col("grid_id").alias("_grid"), F.col("q0").alias("p999_shift"))
+    joined = sums.join(far, F.col("grid_id").eqNullSafe(F.col("_grid")), "left")
+    return joined.select("grid_id", "mapped_m2", "gap_fraction", "low", "high", "max_shift", "p999_shift", "over_interval")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, projection, scalars
 from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting
+from ..operators.quantiles import quantiles
 from ..sources import kml
 from . import ensemble, outputs
 from . import lattice as L
@@ -647,8 +648,9 @@ def excluded_cells(spark, sf_dir):
 round(avg(value), 6) AS mean, round(avg(value) FILTER (value > 50), 6) AS mean_large FROM events GROUP BY event_type""")
 def latency_summary(spark, sf_dir):
     e = L.table(spark, sf_dir, "events")
-    quantile = lambda q: F.percentile("value", q)
-    return rounded(e.groupBy("event_type").agg(F.count("*").alias("n"), quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), quantile(0.99).alias("p99"), F.avg("value").alias("mean"), F.avg(F.when(F.col("value") > 50, F.col("value"))).alias("mean_large")))
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(F.when(F.col("value") > 50, F.col("value"))).alias("mean_large"))
+    far = quantiles(e, ["event_type"], F.col("value"), [0.5, 0.95, 0.99])
+    return rounded(means.join(far, "event_type", "left").select("event_type", "n", *(F.col(f"q{i}").alias(c) for i, c in enumerate(("p50", "p95", "p99"))), "mean", "mean_large"))
 
 
 @query("""SELECT event_id, substr(sha256('{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}'), 1, 32) AS request_key FROM events""")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rillflow.errors import AnalysisError
 from rillflow.functions.projection import Grid, LocalFrame
 from rillflow.operators import contours, focal, graph, hydrology, imagery, siting
+from rillflow.operators.quantiles import quantiles
 from rillflow.plans import ensemble, terrain
 
 FRAME = LocalFrame(8.3, 46.25)
@@ -398,3 +399,17 @@ def test_leaves_are_green_rough_and_dark(spark):
 @pytest.mark.parametrize(("metres", "cells"), [(15.4, 3), (2.2, 7), (0.5, 31), (1.1, 15), (1.28, 13)])
 def test_the_window_of_texture_has_a_middle(metres, cells):
     assert imagery.odd_window(metres) == cells
+
+
+@pytest.mark.parametrize(("few", "buckets"), [(20_000, 1024), (5, 4), (1, 2)])
+def test_quantiles_are_exact(spark, few, buckets):
+    """Ties, one value, one far away, numbers of all sizes, nulls and a group without values."""
+    rng = np.random.default_rng(6)
+    groups = {0: rng.normal(size=801), 1: np.full(300, 2.5), 2: np.array([7.0]), 3: np.concatenate([np.zeros(200), [1e300, -1e300]]), 4: np.exp(rng.normal(0, 30, 400)), None: rng.integers(0, 4, 90).astype(float), 6: np.array([])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (6, None), (4, float("nan"))]
+    at = [0.0, 0.5, 0.95, 0.999, 1.0]
+    got = quantiles(spark.createDataFrame(rows, "g int, v double").repartition(3), ["g"], F.col("v"), at, few, buckets).collect()
+    assert {r.g for r in got} == {0, 1, 2, 3, 4, None}
+    for r in got:
+        assert [r[f"q{i}"] for i in range(len(at))] == pytest.approx(np.quantile(groups[r.g], at).tolist(), rel=1e-12)
+    assert quantiles(spark.createDataFrame([], "g int, v double"), ["g"], F.col("v"), at).count() == 0
