@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from ..config import settings
 from ..errors import AnalysisError
 from ..functions import resolution
-from ..functions.projection import Grid, LocalFrame, fit_frame, mercator_x, mercator_y, tile_pixel
-from ..operators import focal, hull, rasters
+from ..functions.projection import TILE_PX, Grid, LocalFrame, fit_frame
+from ..operators import focal, graph, hull, rasters, siting
 from ..operators.triangulate import triangulated
 from ..session import settled
 from ..sources import kml, selection
+from ..sources import rasters as raster_files
 from . import terrain
 
 
@@ -61,9 +63,7 @@ def pixel_surface(pixels: DataFrame, zoom: int, ring: selection.Ring, native_m:
     n_cols, n_rows = int(width // res) + 1, int(height // res) + 1
     grid = Grid(frame, res, n_cols, -width / 2, -height / 2, max(30.0, res), 0.0)
     cells = empty_lattice(spark, n_rows, n_cols)
-    lon, lat = grid.lon(F.col("col")), grid.lat(F.col("row"))
-    places = cells.select(F.col("cell").alias("point_id"), tile_pixel(mercator_y(lat), zoom).alias("prow"), tile_pixel(mercator_x(lon), zoom).alias("pcol"))
-    heights = rasters.bilinear(places, pixels)
+    heights = rasters.bilinear(raster_files.lattice_places(cells, grid, zoom), pixels)
     raw = settled(cells.join(heights.select(F.col("point_id").alias("cell"), F.col("height").cast("double").alias("z")), "cell"))
     gaps = raw.agg(F.avg(F.col("z").isNull().cast("double"))).first()[0]
     if gaps > e.most_gaps:
@@ -93,14 +93,55 @@ def analyse(grid: Grid, lattice: DataFrame, rain: DataFrame, top_n: int | None =
     return found
 
 
-def analyse_sheet(spark: SparkSession, path: str, rain: DataFrame, resolution_m: float | None = None, **options) -> dict[str, DataFrame]:
-    """Sites of the contour sheet at a path."""
+def analyse_area(spark: SparkSession, roots: Sequence[str], ring: selection.Ring, rain: DataFrame, resolution_m: float | None = None, land: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Sites within an area, over elevation tiles in folders; of equal tiles that of the first folder counts.
+
+    The zoom is the finest at which the buffered area keeps within the tiles allowed. A
+    missing tile is answered by a coarser one. ``land`` (lon, lat, class), if given, rules out what is not
+    available. Beside the parts of ``analyse``, ``origins`` counts the wanted tiles by folder and by zooms between, null for those that none answers.
+    """
+    box = buffered_box(ring)
+    zoom = raster_files.budget_zoom(box, settings.area.most_tiles)
+    wanted = settled(raster_files.wanted_tiles(spark, box, zoom))
+    tiles = settled(raster_files.answered(wanted, raster_files.read_tiles(spark, *roots)))
+    if not tiles.limit(1).count():
+        raise AnalysisError("elevation_unavailable", "No folder has a tile of the area.", status=503)
+    pixels = settled(raster_files.tile_heights(tiles))
+    native_m = settings.earth.lon_m * 360 * math.cos(math.radians((box[1] + box[3]) / 2)) / (TILE_PX * 2**zoom)
+    grid, lattice, excluded, _ = pixel_surface(pixels, zoom, ring, native_m, resolution_m)
+    if land is not None:
+        taken = land.where("class <> 0").select(F.lit(0).alias("grid_id"), grid.cell(grid.row(grid.frame.y(F.col("lat"))), grid.col(grid.frame.x(F.col("lon")))).alias("cell"))
+        excluded = excluded.unionByName(taken).distinct()
+    found = analyse(grid, lattice, rain, excluded=excluded, **options)
+    found["origins"] = wanted.join(tiles.select("zoom", "x", "y", "source", "up"), ["zoom", "x", "y"], "left").groupBy("source", "up").agg(F.count("*").alias("n"))
+    return found
+
+
+def analyse_sheet(spark: SparkSession, path: str, rain: DataFrame, resolution_m: float | None = None, pour_point: tuple[float, float] | None = None, **options) -> dict[str, DataFrame]:
+    """Sites of the contour sheet at a path; with a ``pour_point`` (lon, lat) also what drains through it, as ``pour_point``."""
     marks = settled(kml.read_placemarks(spark, path))
     bad = kml.problems(marks).first()
     if bad is not None:
         raise AnalysisError(bad.code, f"{bad.path} gives no contours.", status=400)
-    grid, lattice, _ = sheet_surface(kml.vertices(marks), resolution_m)
-    return analyse(grid, lattice, rain, **options)
+    vertices = kml.vertices(marks)
+    if pour_point is not None:
+        box = vertices.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+        check_pour_point(*pour_point, tuple(box))
+    grid, lattice, _ = sheet_surface(vertices, resolution_m)
+    found = analyse(grid, lattice, rain, **options)
+    if pour_point is not None:
+        found["pour_point"] = drained_through(found, grid, lattice, *pour_point)
+    return found
+
+
+def drained_through(found: dict[str, DataFrame], grid: Grid, lattice: DataFrame, lon: float, lat: float) -> DataFrame:
+    """The summary of the catchment of the cell with most water near a point."""
+    spark = lattice.sparkSession
+    row, col = grid.row(grid.frame.y(F.lit(lat))), grid.col(grid.frame.x(F.lit(lon)))
+    at = spark.range(1).select(F.lit(0).alias("grid_id"), F.lit(0).alias("point_id"), row.alias("row"), col.alias("col"))
+    sized = found["tour"].select("grid_id", F.expr(f"cast(cell div {grid.n_cols} as int)").alias("row"), F.expr(f"cast(cell % {grid.n_cols} as int)").alias("col"), F.col("size").cast("double").alias("accumulation"))
+    outlet = siting.snap(sized, at, grid).select("grid_id", grid.cell(F.col("row"), F.col("col")).alias("cell"))
+    return siting.catchment_summary(graph.members_of(found["tour"], outlet), lattice, grid)
 
 
 def check_pour_point(lon: float, lat: float, box: tuple[float, float, float, float]) -> None:

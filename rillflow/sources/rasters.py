@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,37 @@ from ..functions import projection
 TILE = projection.TILE_PX
 
 
+def budget_zoom(bbox: tuple[float, float, float, float], most_tiles: int, finest: int | None = None, coarsest: int | None = None) -> int:
+    """The finest zoom at which a box needs at most so many tiles, or the coarsest allowed."""
+    finest = settings.area.finest_zoom if finest is None else finest
+    coarsest = settings.area.coarsest_zoom if coarsest is None else coarsest
+    west, south, east, north = bbox
+    down = lambda lat: 0.5 - math.asinh(math.tan(math.radians(lat))) / (2 * math.pi)
+    for zoom in range(finest, coarsest, -1):
+        n = 2**zoom
+        across = math.floor((east + 180) / 360 * n) - math.floor((west + 180) / 360 * n) + 1
+        if across * (math.floor(down(south) * n) - math.floor(down(north) * n) + 1) <= most_tiles:
+            return zoom
+    return coarsest
+
+
+def answered(wanted: DataFrame, tiles: DataFrame, coarsest: int | None = None) -> DataFrame:
+    """(zoom, x, y, source, channels, data, up) of the wanted tiles (zoom, x, y): the tile itself, or the nearest of those that hold it at coarser zooms.
+
+    ``up`` counts the zooms between. A tile of which no coarser one is there either has no row.
+    Candidates meet the tiles by an equi-join on their own addresses; the bytes are joined
+    only to the one that is chosen.
+    """
+    coarsest = settings.area.coarsest_zoom if coarsest is None else coarsest
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("zoom") - coarsest))
+    tried = wanted.select("zoom", "x", "y", F.explode(steps).alias("up")).select("zoom", "x", "y", "up", (F.col("zoom") - F.col("up")).alias("at_zoom"), F.expr("shiftright(x, up)").alias("at_x"), F.expr("shiftright(y, up)").alias("at_y"))
+    there = tiles.select(F.col("zoom").alias("at_zoom"), F.col("x").alias("at_x"), F.col("y").alias("at_y"))
+    near = tried.join(there, ["at_zoom", "at_x", "at_y"], "left_semi").groupBy("zoom", "x", "y").agg(F.min("up").alias("up"))
+    held = tiles.select(F.col("zoom").alias("at_zoom"), F.col("x").alias("at_x"), F.col("y").alias("at_y"), "source", "channels", "data")
+    chosen = near.withColumn("at_zoom", F.col("zoom") - F.col("up")).withColumn("at_x", F.expr("shiftright(x, up)")).withColumn("at_y", F.expr("shiftright(y, up)"))
+    return chosen.join(held, ["at_zoom", "at_x", "at_y"]).select("zoom", "x", "y", "source", "channels", "data", "up")
+
+
 def wanted_tiles(spark: SparkSession, bbox: tuple[float, float, float, float], zoom: int) -> DataFrame:
     """(zoom, x, y) of the tiles that cover a box; refuses a box that needs more than allowed."""
     west, south, east, north = (F.lit(float(v)) for v in bbox)
@@ -50,17 +82,23 @@ def read_tiles(spark: SparkSession, *roots: str) -> DataFrame:
 
 
 def _pixels(tiles: DataFrame, columns: list[tuple[str, str]], of) -> DataFrame:
-    """Explodes tiles to pixels addressed on the whole map; the source's bytes are in blue, green, red order."""
+    """Explodes tiles to pixels addressed on the whole map; the source's bytes are in blue, green, red order.
+
+    A tile that a coarser one answers (``up`` above 0) gets that one's part, each pixel as often as it covers pixels of the tile.
+    """
+    up = F.col("up") if "up" in tiles.columns else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.arange(TILE * TILE)
         for b in batches:
-            for zoom, x, y, channels, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                bgr = np.frombuffer(data, np.uint8).reshape(-1, channels)[:, :3].astype(np.float32)
+            for zoom, x, y, channels, data, n_up in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                row = ((y * TILE + inside // TILE) >> n_up) - (y >> n_up) * TILE
+                col = ((x * TILE + inside % TILE) >> n_up) - (x >> n_up) * TILE
+                bgr = np.frombuffer(data, np.uint8).reshape(-1, channels)[row * TILE + col, :3].astype(np.float32)
                 made = of(bgr[:, 2], bgr[:, 1], bgr[:, 0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(TILE * TILE, zoom, np.int32)), pa.array(y * TILE + inside // TILE), pa.array(x * TILE + inside % TILE), *(pa.array(m) for m in made)], names=["zoom", "prow", "pcol", *(c for c, _ in columns)])
 
-    return tiles.select("zoom", "x", "y", "channels", "data").mapInArrow(run, "zoom int, prow long, pcol long, " + ", ".join(f"{c} {t}" for c, t in columns))
+    return tiles.select("zoom", "x", "y", "channels", "data", up.cast("int").alias("up")).mapInArrow(run, "zoom int, prow long, pcol long, " + ", ".join(f"{c} {t}" for c, t in columns))
 
 
 def tile_heights(tiles: DataFrame) -> DataFrame:

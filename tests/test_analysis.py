@@ -12,6 +12,7 @@ from rillflow.functions import resolution
 from rillflow.operators import hull
 from rillflow.plans import analysis, outputs, terrain
 from rillflow.sources import kml, rainfall
+from rillflow.sources import rasters as raster_files
 
 LON, LAT = 8.3, 46.25
 
@@ -173,3 +174,43 @@ def test_sites_that_grids_contradict(spark):
     rows = [(0, 1, "low"), (0, 2, "high"), (0, 3, None), (1, 1, "low")]
     made = siting.recommended(spark.createDataFrame(rows, "grid_id int, rank int, confidence string"))
     assert {(r.grid_id, r.rank, r.best) for r in made.collect()} == {(0, 2, True), (0, 3, False)}
+
+
+def test_area_from_tiles_to_sites(spark, tmp_path):
+    """A valley in elevation tiles, one of which is there only at a coarser zoom, from files to sites inside the area."""
+    from test_sources import png
+
+    from rillflow.functions import projection
+
+    zoom = 13
+    kx, ky = 111320 * math.cos(math.radians(LAT)), 110540
+    half = 0.0065
+    ring = [(LON - half, LAT - half), (LON + half, LAT - half), (LON + half, LAT + half), (LON - half, LAT + half), (LON - half, LAT - half)]
+    box = projection.buffered((LON - half, LAT - half, LON + half, LAT + half))
+    wanted = [(r.x, r.y) for r in raster_files.wanted_tiles(spark, box, zoom).collect()]
+
+    def write(z, x, y):
+        px, py = np.meshgrid(np.arange(256), np.arange(256))
+        n = 2**z
+        lon = (x * 256 + px + 0.5) / (256 * n) * 360 - 180
+        lat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (y * 256 + py + 0.5) / (256 * n)))))
+        height = 500 + 0.02 * np.abs((lon - LON) * kx) + 0.004 * (lat - LAT) * ky + 32768
+        whole = np.floor(height)
+        path = tmp_path / f"{z}/{x}/{y}.png"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(png(np.stack([whole // 256, whole % 256, np.floor((height - whole) * 256)], -1).astype(np.uint8)))
+
+    for x, y in wanted[1:]:
+        write(zoom, x, y)
+    write(zoom - 1, wanted[0][0] // 2, wanted[0][1] // 2)
+    found = analysis.analyse_area(spark, [str(tmp_path)], ring, rainfall.climatology(spark), top_n=2)
+    rows = found["balances"].collect()
+    assert rows and {r.rank for r in rows} <= {1, 2}
+    assert sum(r.n for r in found["origins"].collect()) == len(wanted) and {r.up for r in found["origins"].collect()} <= {0, 1}
+    for feature in json.loads(found["geojson"].first().geojson)["features"]:
+        if feature["properties"]["role"] == "outlet":
+            lon, lat = feature["geometry"]["coordinates"]
+            assert abs(lon - LON) <= half and abs(lat - LAT) <= half and abs(lon - LON) * kx < 120
+    with pytest.raises(AnalysisError) as refused:
+        analysis.analyse_area(spark, [str(tmp_path)], [(x + 3, y) for x, y in ring], rainfall.climatology(spark))
+    assert refused.value.code == "elevation_unavailable"

@@ -109,6 +109,31 @@ def test_tiles_give_heights(spark, tmp_path):
     assert raster_files.wanted_tiles(spark, (8.2814, 46.2398, 8.3126, 46.2636), 13).count() in (1, 2, 4)
 
 
+def test_a_missing_tile_is_answered_by_a_coarser_one(spark, tmp_path):
+    z = np.fromfunction(lambda r, c: 300 + c + 2 * r, (256, 256))
+    rgb = np.stack([(z + 32768) // 256, (z + 32768) % 256, z * 0], -1).astype(np.uint8)
+    for tile in ("13/5950/3580", "12/2975/1790", "10/743/447"):
+        path = tmp_path / f"{tile}.png"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(png(rgb))
+    tiles = raster_files.read_tiles(spark, str(tmp_path))
+    wanted = spark.createDataFrame([(13, 5950, 3580), (13, 5951, 3581), (13, 5948, 3583), (13, 100, 100)], "zoom int, x long, y long")
+    got = raster_files.answered(wanted, tiles)
+    assert {(r.x, r.y): r.up for r in got.collect()} == {(5950, 3580): 0, (5951, 3581): 1, (5948, 3583): 3}
+    heights = {(r.prow, r.pcol): r.z for r in raster_files.tile_heights(got).where("prow % 61 = 3 and pcol % 67 = 5").collect()}
+    assert len(heights) > 20
+    for (row, col), v in heights.items():
+        up = {(5950, 3580): 0, (5951, 3581): 1, (5948, 3583): 3}[col // 256, row // 256]
+        assert v == z[(row >> up) % 256, (col >> up) % 256]
+
+
+def test_the_zoom_falls_until_the_tiles_are_few():
+    box = (8.28, 46.24, 8.31, 46.26)
+    assert raster_files.budget_zoom(box, 144) == 13 and raster_files.budget_zoom((7, 45, 9, 47), 144) < 13
+    counts = [raster_files.budget_zoom((7, 45, 9, 47), n) for n in (1, 10, 100, 1000, 10**6)]
+    assert counts == sorted(counts) and counts[0] == 8 and counts[-1] == 13
+
+
 def test_bilinear_next_to_holes(spark):
     pixels = spark.createDataFrame([(r, c, None if (r, c) == (0, 0) else float(10 * r + c)) for r in range(4) for c in range(4)], "prow long, pcol long, z double")
     points = spark.createDataFrame([(0, 1.5, 2.25), (1, 0.5, 0.5), (2, 3.4, 3.0), (3, 3.6, 3.0), (4, 0.0, 1.0), (5, -0.4, 2.0)], "point_id int, prow double, pcol double")
