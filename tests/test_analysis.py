@@ -214,3 +214,21 @@ def test_area_from_tiles_to_sites(spark, tmp_path):
     with pytest.raises(AnalysisError) as refused:
         analysis.analyse_area(spark, [str(tmp_path)], [(x + 3, y) for x, y in ring], rainfall.climatology(spark))
     assert refused.value.code == "elevation_unavailable"
+
+
+def test_what_drains_through_a_point(spark):
+    """The point snaps to the channel of a small valley and gets all that drains through there."""
+    from rillflow.functions.projection import Grid, LocalFrame
+    from rillflow.operators import focal, graph
+
+    row, col = np.mgrid[0:30, 0:21]
+    z = 0.05 * abs(col - 10) * 10 + 0.01 * row * 10
+    grid = Grid(LocalFrame(LON, LAT), 10.0, 21, spacing_m=10.0)
+    lattice = spark.createDataFrame([(0, r, c, float(z[r, c])) for r in range(30) for c in range(21)], "grid_id int, row int, col int, z double")
+    toured = graph.tour(focal.steepest_descent(lattice, 21, 10.0), 21)
+    lon, lat = LON + 115 / grid.frame.metres_per_lon, LAT + 110 / grid.frame.metres_per_lat
+    got = analysis.drained_through({"tour": toured}, grid, lattice, lon, lat).collect()
+    sizes = {r.cell: r["size"] for r in toured.collect()}
+    near = [r * 21 + c for r in range(8, 15) for c in range(21) if abs(c - 11.5) <= 3.5]
+    assert len(got) == 1 and got[0].cells == sizes[got[0].outlet] == max(sizes[c] for c in near) and got[0].relief_m > 0
+    analysis.check_pour_point(lon, lat, (LON, LAT, LON + 1, LAT + 1))
