@@ -177,20 +177,28 @@ def hole_owners(ringed: DataFrame) -> DataFrame:
     return met.groupBy("grid_id", "site", "ring").agg(F.min_by("owner", "area2").alias("owner"))
 
 
-def within_budget(ringed: DataFrame, tolerance: float, most: int, doublings: int = 5) -> DataFrame:
-    """``ringed`` with ``thin``: each ring thinned, with a tolerance that doubles for a mask until its rings have at most ``most`` corners in all."""
-    thinned = ringed.withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(tolerance)))
-    mask = W.partitionBy("grid_id", "site")
-    for k in range(1, doublings + 1):
-        coarser = geometry.thin_ring(F.col("points"), F.lit(tolerance * 2**k))
-        thinned = thinned.withColumn("_n", F.sum(F.size("thin")).over(mask)).withColumn("thin", F.when(F.col("_n") > most, coarser).otherwise(F.col("thin"))).drop("_n")
-    return thinned
+def within_budget(ringed: DataFrame, tolerance: float, most: int, doublings: int = 12) -> DataFrame:
+    """``ringed`` with ``thin`` and ``over``: each ring thinned, with a tolerance that doubles for a mask until its rings have at most ``most`` corners in all.
+
+    Only masks over the budget are thinned again; ``over`` marks those that still are after the last doubling.
+    """
+    mask = ["grid_id", "site"]
+    todo, done = settled(ringed.withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(tolerance)))), None
+    for k in range(1, doublings + 2):
+        heavy = todo.groupBy(*mask).agg(F.sum(F.size("thin")).alias("_n")).where(F.col("_n") > most).select(*mask)
+        if k > doublings or not heavy.limit(1).count():
+            break
+        light = todo.join(heavy, mask, "left_anti")
+        done = light if done is None else done.unionByName(light)
+        todo = settled(todo.join(heavy, mask, "left_semi").withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(tolerance * 2**k))))
+    last = todo.join(heavy.withColumn("over", F.lit(True)), mask, "left").withColumn("over", F.coalesce("over", F.lit(False)))
+    return last if done is None else last.unionByName(done.withColumn("over", F.lit(False)))
 
 
 def mask_geojson(members: DataFrame, grid: Grid) -> DataFrame:
     """(grid_id, site, geometry): each mask as GeoJSON, thinned and in degrees, holes with their exteriors."""
     o = settings.layers
-    ringed = rings(members, grid.n_cols)
+    ringed = settled(rings(members, grid.n_cols))
     thinned = within_budget(ringed, o.thin_cells, o.most_corners)
 
     def degrees(p):

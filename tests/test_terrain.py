@@ -313,6 +313,20 @@ def test_mask_outline_keeps_area_and_winding(spark):
     assert all(ring[0] == ring[-1] for polygon in made["coordinates"] for ring in polygon)
 
 
+def test_only_masks_over_budget_are_thinned_again(spark):
+    def jagged(n, height):
+        return [(float(k), height * (k % 2)) for k in range(n)] + [(float(n), -50.0), (0.0, -50.0), (0.0, 0.0)]
+
+    rows = [(0, 1, 1, jagged(6, 1.0)), (0, 2, 1, jagged(60, 30.0)), (0, 2, 2, jagged(40, 30.0)), (0, 3, 1, jagged(90, 0.1))]
+    ringed = spark.createDataFrame(rows, "grid_id int, site int, ring long, points array<struct<x: double, y: double>>")
+    got = {(r.site, r.ring): (len(r.thin), r.over) for r in contours.within_budget(ringed, 0.75, 30).collect()}
+    assert set(got) == {(1, 1), (2, 1), (2, 2), (3, 1)} and not any(over for _, over in got.values())
+    assert got[1, 1][0] == 7 and got[2, 1][0] + got[2, 2][0] <= 30 and got[3, 1][0] <= 10
+    few = {(r.site, r.ring): (len(r.thin), r.over) for r in contours.within_budget(ringed, 0.75, 30, 2).collect()}
+    assert few[1, 1] == got[1, 1] and few[3, 1] == got[3, 1]
+    assert few[2, 1][1] and few[2, 2][1] and few[2, 1][0] + few[2, 2][0] > 30
+
+
 def test_more_levels_than_the_limit_are_refused(spark):
     z = np.array([[0.0, 401.5], [0.0, 401.5]])
     with pytest.raises(AnalysisError) as refused:
