@@ -169,12 +169,24 @@ def rings(members: DataFrame, n_cols: int) -> DataFrame:
 
 
 def hole_owners(ringed: DataFrame) -> DataFrame:
-    """(grid_id, site, ring, owner): the smallest exterior of the same mask that contains each hole; holes without one are dropped."""
-    holes = ringed.where("area2 < 0").select("grid_id", "site", "ring", F.get("points", 0).alias("p"))
-    outer = ringed.where("area2 > 0").select("grid_id", "site", F.col("ring").alias("owner"), "points", "area2")
-    # half a cell inside the hole's corner decides; corners themselves lie on rings
-    met = holes.join(outer, ["grid_id", "site"]).where(geometry.inside(F.col("p.x") - 0.25, F.col("p.y") - 0.25, F.col("points")) | geometry.inside(F.col("p.x") + 0.25, F.col("p.y") + 0.25, F.col("points")))
-    return met.groupBy("grid_id", "site", "ring").agg(F.min_by("owner", "area2").alias("owner"))
+    """(grid_id, site, ring, owner): the exterior of the same mask around each hole.
+
+    Along a row, what lies just west of a hole's westmost side is mask, up to the next side
+    to the west: that side's ring bounds the same connected ground, so it is the hole's
+    exterior or another hole of it. A hole looks west from its lowest row; what it meets
+    then reaches a lower row or lies further west, so following the rings met ends at an
+    exterior. Sides are sorted by row once, and no hole meets all exteriors.
+    """
+    mask = ["grid_id", "site"]
+    sides = ringed.select(*mask, "ring", (F.col("area2") < 0).alias("hole"), F.explode(F.expr("transform(sequence(1, size(points) - 1), i -> struct(points[i - 1] AS p, points[i] AS q))")).alias("s"))
+    upright = sides.where("s.p.x = s.q.x").select(*mask, "ring", "hole", F.least("s.p.y", "s.q.y").alias("row"), F.col("s.p.x").alias("x"))
+    west = F.lag("ring").over(W.partitionBy(*mask, "row").orderBy("x"))
+    seen = upright.withColumn("west", west).where("hole").groupBy(*mask, "ring").agg(F.min_by("west", F.struct("row", "x")).alias("receiver"))
+    whose = F.struct(*mask).alias("grid_id")
+    met = settled(seen.select(whose, F.col("ring").alias("cell"), "receiver"))
+    exteriors = met.join(met.select("grid_id", F.col("cell").alias("receiver")), ["grid_id", "receiver"], "left_anti").select("grid_id", F.col("receiver").alias("cell"), F.lit(None).cast("long").alias("receiver")).distinct()
+    led = graph.drain(met.unionByName(exteriors)).join(met.select("grid_id", "cell"), ["grid_id", "cell"], "left_semi")
+    return led.select("grid_id.grid_id", "grid_id.site", F.col("cell").alias("ring"), F.col("root").alias("owner"))
 
 
 def within_budget(ringed: DataFrame, tolerance: float, most: int, doublings: int = 12) -> DataFrame:

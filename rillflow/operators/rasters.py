@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.projection import Grid
+from . import spans
 from .quantiles import quantiles
 
 
@@ -49,39 +50,40 @@ def class_majority(lattice: DataFrame, land: DataFrame, grid: Grid, land_grid: G
     return wanted.join(seen, ["l_row", "l_col"], "left").groupBy("grid_id", "row", "col").agg((F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0)) > share).alias("excluded"))
 
 
-def polygon_mask(lattice: DataFrame, ring: Sequence[tuple[float, float]]) -> DataFrame:
-    """Cells of a lattice whose centre lies in a ring of fractional (col, row) places, by scanlines.
+def polygon_spans(spark: SparkSession, ring: Sequence[tuple[float, float]], grid_id: int = 0, site: int = 0) -> DataFrame:
+    """(grid_id, site, row, first, last): the columns whose centres lie in a ring of fractional (col, row) places, by scanlines.
 
-    Only the rows that an edge spans are made, crossings are paired along each row, and the
-    columns between a pair are spelled out; the lattice is met by an equi-join.
+    Only the rows that an edge spans are made, and crossings are paired along each row.
     """
-    spark = lattice.sparkSession
     closed = [*ring, ring[0]]
     edges = spark.createDataFrame([(float(ax), float(ay), float(bx), float(by)) for (ax, ay), (bx, by) in zip(closed[:-1], closed[1:], strict=True) if ay != by], "ax double, ay double, bx double, by double")
     rows = edges.withColumn("row", F.explode(F.expr("filter(sequence(cast(floor(least(ay, by)) as int), cast(ceil(greatest(ay, by)) as int)), r -> r >= least(ay, by) and r < greatest(ay, by))")))
     crossing = rows.select("row", (F.col("ax") + (F.col("row") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))).alias("x"))
     order = W.partitionBy("row").orderBy("x")
     pairs = crossing.withColumn("n", F.row_number().over(order)).withColumn("to", F.lead("x").over(order)).where("n % 2 = 1 and to is not null")
-    spans = pairs.select("row", F.ceil("x").cast("int").alias("a"), (F.ceil("to") - 1).cast("int").alias("z")).where("z >= a")
-    cells = spans.select("row", F.explode(F.sequence("a", "z")).alias("col")).distinct()
+    found = pairs.select(F.lit(grid_id).alias("grid_id"), F.lit(site).alias("site"), "row", F.ceil("x").cast("int").alias("first"), (F.ceil("to") - 1).cast("int").alias("last"))
+    return spans.merged(found)
+
+
+def polygon_mask(lattice: DataFrame, ring: Sequence[tuple[float, float]]) -> DataFrame:
+    """Cells of a lattice whose centre lies in a ring of fractional (col, row) places; the lattice is met by an equi-join."""
+    cells = spans.to_cells(polygon_spans(lattice.sparkSession, ring)).select("row", "col")
     return lattice.join(cells, ["row", "col"], "left_semi")
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(site_a, site_b, shared, iou) of masks (site, row, col) that share cells."""
-    sizes = lambda m, s, n: m.groupBy(F.col("site").alias(s)).agg(F.count("*").alias(n))
-    both = a.select(F.col("site").alias("site_a"), "row", "col").join(b.select(F.col("site").alias("site_b"), "row", "col"), ["row", "col"]).groupBy("site_a", "site_b").agg(F.count("*").alias("shared"))
-    joined = both.join(sizes(a, "site_a", "na"), "site_a").join(sizes(b, "site_b", "nb"), "site_b")
-    return joined.select("site_a", "site_b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("iou"))
+    """(grid_id, site_a, site_b, shared, iou) of masks (grid_id, site, row, col) that share cells of one grid."""
+    return spans.overlap(spans.from_cells(a), spans.from_cells(b))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(cells, rmse, bias, p95, correlation) of two surfaces (row, col, z) where both have data."""
-    met = a.select("row", "col", F.col("z").alias("za")).join(b.select("row", "col", F.col("z").alias("zb")), ["row", "col"]).where("za is not null and zb is not null")
+    """(grid_id, cells, rmse, bias, p95, correlation): for each grid, two surfaces (grid_id, row, col, z) where both have data."""
+    place = ["grid_id", "row", "col"]
+    met = a.select(*place, F.col("z").alias("za")).join(b.select(*place, F.col("z").alias("zb")), place).where("za is not null and zb is not null")
     d = F.col("za") - F.col("zb")
-    means = met.agg(F.count("*").alias("cells"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.corr("za", "zb").alias("correlation"))
-    far = quantiles(met.withColumn("all", F.lit(0)), ["all"], F.abs(d), [0.95])
-    return means.withColumn("all", F.lit(0)).join(far, "all", "left").select("cells", "rmse", "bias", F.col("q0").alias("p95"), "correlation")
+    means = met.groupBy("grid_id").agg(F.count("*").alias("cells"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.corr("za", "zb").alias("correlation"))
+    far = quantiles(met, ["grid_id"], F.abs(d), [0.95])
+    return means.join(far, "grid_id", "left").select("grid_id", "cells", "rmse", "bias", F.col("q0").alias("p95"), "correlation")
 
 
 def surface_summary(lattice: DataFrame, grid: Grid, value: str = "z", raw: str | None = None) -> DataFrame:

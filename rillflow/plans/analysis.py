@@ -158,7 +158,7 @@ def two_surfaces(a: tuple[Grid, DataFrame], b: tuple[Grid, DataFrame]) -> DataFr
     at = la.where("z is not null").select(F.col("cell").alias("point_id"), ((gb.frame.y(lat) - gb.y0) / gb.resolution_m).alias("prow"), ((gb.frame.x(lon) - gb.x0) / gb.resolution_m).alias("pcol"))
     other = rasters.bilinear(at, lb.select(F.col("row").alias("prow"), F.col("col").alias("pcol"), "z"))
     met = la.join(other.select(F.col("point_id").alias("cell"), "height"), "cell")
-    return rasters.agreement(met.select("row", "col", "z"), met.select("row", "col", F.col("height").alias("z")))
+    return rasters.agreement(met.select("grid_id", "row", "col", "z"), met.select("grid_id", "row", "col", F.col("height").alias("z")))
 
 
 def distance_m(a: tuple[float, float], b: tuple[float, float]) -> float:

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, projection, scalars
-from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting
+from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting, spans
 from ..operators.quantiles import quantiles
+from ..session import settled
 from ..sources import kml
 from . import ensemble, outputs
 from . import lattice as L
@@ -475,16 +476,86 @@ n AS (SELECT a.site AS site_a, b.site AS site_b, count(*) AS shared FROM a JOIN
 SELECT CAST(site_a AS INTEGER) AS site_a, CAST(site_b AS INTEGER) AS site_b, shared, round(shared / ((SELECT count(*) FROM a WHERE site = site_a) + (SELECT count(*) FROM b WHERE site = site_b) - shared), 6) AS iou FROM n""")
 def catchment_overlap(spark, sf_dir):
     cells = L.lattice(spark, sf_dir)
-    a = cells.select(F.expr("cast(rint(z) as int) % 7").alias("site"), "row", "col")
-    b = cells.select(F.expr("cast(rint(z) as int) % 5").alias("site"), "row", "col")
-    return rounded(rasters.overlap(a, b))
+    a = cells.select("grid_id", F.expr("cast(rint(z) as int) % 7").alias("site"), "row", "col")
+    b = cells.select("grid_id", F.expr("cast(rint(z) as int) % 5").alias("site"), "row", "col")
+    return rounded(rasters.overlap(a, b).drop("grid_id"))
+
+
+_MASKS = f"""{LATTICE_SQL}, two AS (SELECT CAST(cell % 3 = 0 AS INTEGER) AS grid_id, CAST(p_size % 4 AS INTEGER) AS site, CAST(p_partkey // 120 AS INTEGER) AS row, CAST(p_partkey // 3 % 40 AS INTEGER) AS col, p_size, p_retailprice AS price
+  FROM part JOIN lat ON cell = p_partkey),
+a AS (SELECT DISTINCT grid_id, site, row, col FROM two WHERE p_size < 40), b AS (SELECT DISTINCT grid_id, site, row, col FROM two WHERE CAST(round(price, 2) * 100 AS BIGINT) % 5 < 3)"""
+
+
+def _masks(spark, sf_dir):
+    """Masks on two grids that lie over one another, four sites in each."""
+    part = L.table(spark, sf_dir, "part")
+    cells = part.select(
+        F.expr("cast(p_partkey % 3 = 0 as int)").alias("grid_id"), F.expr("cast(p_size % 4 as int)").alias("site"), F.expr("cast(p_partkey div 120 as int)").alias("row"), F.expr("cast(p_partkey div 3 % 40 as int)").alias("col"), "p_size", F.round("p_retailprice", 2).alias("price")
+    )
+    return spans.from_cells(cells.where("p_size < 40")), spans.from_cells(cells.where("cast(rint(price * 100) as bigint) % 5 < 3"))
+
+
+def _runs(cells: str) -> str:
+    """SQL of the spans of a table of cells."""
+    return f"(SELECT grid_id, site, row, min(col) AS first, max(col) AS last FROM (SELECT *, col - row_number() OVER (PARTITION BY grid_id, site, row ORDER BY col) AS run FROM {cells}) GROUP BY grid_id, site, row, run)"
+
+
+@query(f"""WITH {_MASKS}, u AS (SELECT * FROM a UNION SELECT * FROM b), i AS (SELECT * FROM a INTERSECT SELECT * FROM b), d AS (SELECT * FROM a EXCEPT SELECT * FROM b)
+SELECT 'union' AS op, * FROM {_runs("u")} UNION ALL SELECT 'intersection', * FROM {_runs("i")} UNION ALL SELECT 'difference', * FROM {_runs("d")}""")
+def mask_sets(spark, sf_dir):
+    """Union, intersection and difference of masks as row spans; grids that lie over one another stay apart."""
+    a, b = _masks(spark, sf_dir)
+    made = {"union": spans.union(a, b), "intersection": spans.intersection(a, b), "difference": spans.difference(a, b)}
+    named = [df.select(F.lit(op).alias("op"), "grid_id", "site", "row", "first", "last") for op, df in made.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query(f"""WITH {_MASKS}, n AS (SELECT grid_id, a.site AS site_a, b.site AS site_b, count(*) AS shared FROM a JOIN b USING (grid_id, row, col) GROUP BY ALL),
+na AS (SELECT grid_id, site AS site_a, count(*) AS na FROM a GROUP BY ALL), nb AS (SELECT grid_id, site AS site_b, count(*) AS nb FROM b GROUP BY ALL)
+SELECT grid_id, site_a, site_b, shared, round(shared / (na + nb - shared), 6) AS iou FROM n JOIN na USING (grid_id, site_a) JOIN nb USING (grid_id, site_b)""")
+def span_overlap(spark, sf_dir):
+    """Shared cells of masks on two grids, from their spans."""
+    return rounded(spans.overlap(*_masks(spark, sf_dir)))
+
+
+_PATCHES = f"""{LATTICE_SQL}, area AS (SELECT max(row) AS last FROM lat),
+pos AS (SELECT unnest(range(-1, last + 2)) AS row, c.col AS col FROM area, (SELECT unnest(range(-1, 41)) AS col) AS c),
+m AS (SELECT pos.row, pos.col, (pos.row + 2) * 100 + pos.col + 2 AS id, coalesce(CAST(z * 10 AS BIGINT) % 3 <> 0, false) AS held FROM pos LEFT JOIN lat ON lat.row = pos.row AND lat.col = pos.col),
+-- ground meets along sides, gaps along corners too
+near AS (SELECT a.id, b.id AS other FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.held = b.held AND (NOT a.held OR abs(a.row - b.row) + abs(a.col - b.col) = 1)),
+r(id, other) AS (SELECT id, id FROM m UNION SELECT r.id, near.other FROM r JOIN near ON near.id = r.other),
+part_of AS (SELECT id, min(other) AS part FROM r GROUP BY id),
+sides AS (SELECT p.part AS ground, q.part AS gap, 4 * (a.row * 40 + a.col) + k AS side FROM m a JOIN part_of p ON p.id = a.id AND a.held,
+  (VALUES (-1, 0, 0), (0, 1, 1), (1, 0, 2), (0, -1, 3)) AS s(dr, dc, k), m b JOIN part_of q ON q.id = b.id WHERE b.row = a.row + dr AND b.col = a.col + dc AND NOT b.held),
+edges AS (SELECT ground, gap, min(side) AS ring, count(*) AS n_sides FROM sides GROUP BY ground, gap),
+outer_gap AS (SELECT p.part AS ground, q.part AS gap FROM part_of p JOIN m a ON a.id = p.id AND a.held AND p.part = p.id JOIN m b ON b.row = a.row AND b.col = a.col - 1 JOIN part_of q ON q.id = b.id)"""
+
+
+@query(f"""WITH RECURSIVE {_PATCHES}
+SELECT e.ring, e.n_sides, o.ring AS owner FROM edges e JOIN outer_gap g ON g.ground = e.ground AND g.gap <> e.gap JOIN edges o ON o.ground = g.ground AND o.gap = g.gap""")
+def hole_owners(spark, sf_dir):
+    """Every hole of a mask with many: its smallest side, its length, and the smallest side of the exterior around it."""
+    ringed = _ringed(spark, sf_dir)
+    lengths = ringed.select("grid_id", "site", "ring", (F.size("points") - 1).cast("long").alias("n_sides"))
+    return contours.hole_owners(ringed).join(lengths, ["grid_id", "site", "ring"]).select("ring", "n_sides", "owner")
+
+
+def _ringed(spark, sf_dir):
+    cells = L.lattice(spark, sf_dir).where("cast(rint(z * 10) as bigint) % 3 <> 0")
+    return settled(contours.rings(cells.select("grid_id", F.lit(0).alias("site"), "row", "col"), COLS))
+
+
+@query(f"WITH RECURSIVE {_PATCHES} SELECT e.ring, e.n_sides, g.gap <> e.gap AS is_hole FROM edges e JOIN outer_gap g USING (ground)")
+def mask_rings(spark, sf_dir):
+    """The rings around a mask: exteriors and holes with their lengths."""
+    return _ringed(spark, sf_dir).select("ring", (F.size("points") - 1).cast("long").alias("n_sides"), (F.col("area2") < 0).alias("is_hole"))
 
 
 @query(f"""WITH {LATTICE_SQL}, m AS (SELECT z AS za, round(z, 0) AS zb FROM lat)
 SELECT count(*) AS cells, round(sqrt(avg(pow(za - zb, 2))), 6) AS rmse, round(avg(za - zb), 6) AS bias, round(quantile_cont(abs(za - zb), 0.95), 6) AS p95, round(corr(za, zb), 6) AS correlation FROM m""")
 def surface_agreement(spark, sf_dir):
     cells = L.lattice(spark, sf_dir)
-    return rounded(rasters.agreement(cells, cells.select("row", "col", F.round("z", 0).alias("z"))))
+    return rounded(rasters.agreement(cells, cells.withColumn("z", F.round("z", 0))).drop("grid_id"))
 
 
 @query("""WITH a AS (SELECT c_custkey % 100 AS point_id, 1000 + c_acctbal AS area_m2 FROM customer), s AS (SELECT point_id, avg(area_m2) AS mean, stddev_pop(area_m2) AS std FROM a GROUP BY point_id)
@@ -550,7 +621,7 @@ parts AS (
 
 
 @query(f"WITH {_LEVELS} SELECT level, count(*) AS segments, round(sum(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 4) AS length FROM parts GROUP BY level")
-def contour_levels(spark, sf_dir):
+def contour_lengths(spark, sf_dir):
     """What the lines of each level hold: every segment of every square once."""
     lines = contours.contours(L.lattice(spark, sf_dir, True), GRID, 5.0)
     made = lines.groupBy("level").agg(F.sum(F.size("points") - 1).cast("long").alias("segments"), F.sum(geometry.length(F.col("points"))).alias("length"))
