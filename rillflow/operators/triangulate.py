@@ -87,8 +87,9 @@ def _clear(circle: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 def _certain(circle: np.ndarray, box: tuple[float, float, float, float], outline: np.ndarray) -> np.ndarray:
     """Which circles hold no point outside a box, if all points lie in the outline."""
-    r = np.sqrt(circle[:, 2])
     sure = np.isfinite(circle).all(1)
+    circle = np.where(sure[:, None], circle, 0.0)
+    r = np.sqrt(circle[:, 2])
     for axis, at, sign in ((0, box[0], -1), (1, box[1], -1), (0, box[2], 1), (1, box[3], 1)):
         crosses = sure & (sign * (circle[:, axis] - at) + r >= 0)
         if crosses.any():

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import settings
 from ..functions import geometry, projection, scalars
 from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting, spans
 from ..operators.quantiles import quantiles
@@ -397,19 +398,56 @@ def resolution_ensemble(spark, sf_dir):
     return made.select("point_id", "n_grids", *(F.round(c, 3).alias(c) for c in ("area_m2", "mean_m2", "std_m2")), F.round("cv", 6).alias("cv"), "confidence")
 
 
-@query()
+#: The least levels at which water leaves each cell: levels only fall, from the cells that changed last to those around them.
+_FILL_SQL = f"""around(dr, dc) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)),
+ground AS (SELECT cell, row, col, z FROM lat WHERE z IS NOT NULL),
+near AS (SELECT a.cell, b.cell AS other FROM ground a, around, ground b WHERE b.row = a.row + dr AND b.col = a.col + dc),
+open_to AS (SELECT cell, count(other) < 8 AS seed FROM ground LEFT JOIN near USING (cell) GROUP BY cell),
+flood(cell, level) USING KEY (cell) AS (
+  SELECT cell, CASE WHEN seed THEN z ELSE 'inf'::DOUBLE END FROM ground JOIN open_to USING (cell)
+  UNION
+  SELECT n.cell, n.level FROM (SELECT near.cell, greatest(any_value(g.z), min(f.level) + {settings.flow.fill_step_m}::DOUBLE) AS level FROM flood f JOIN near ON near.other = f.cell JOIN ground g ON g.cell = near.cell GROUP BY near.cell) n
+    JOIN recurring.flood w ON w.cell = n.cell WHERE n.level < w.level
+),
+filled AS (SELECT cell, row, col, z, level AS filled FROM ground JOIN flood USING (cell))"""
+
+
+@query(f"WITH RECURSIVE {GAPPY_SQL}, {_FILL_SQL} SELECT row, col, round(z, 6) AS z, round(filled, 6) AS filled FROM filled")
 def fill_depressions(spark, sf_dir):
     return rounded(graph.fill_depressions(L.lattice(spark, sf_dir, True)).select("row", "col", "z", "filled"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, stream AS (SELECT cell FROM acc WHERE n >= 4),
+links AS (SELECT s.cell, t.cell AS next FROM stream s JOIN d8 USING (cell) LEFT JOIN stream t ON t.cell = d8.receiver),
+heads AS (SELECT l.cell, l.next, (SELECT count(*) FROM links m WHERE m.next = l.cell) <> 1 AS is_head FROM links l),
+way(head, step, cell, going) AS (
+  SELECT cell, 0::BIGINT, cell, true FROM heads WHERE is_head
+  UNION ALL
+  SELECT w.head, w.step + 1, h.next, NOT t.is_head FROM way w JOIN heads h ON h.cell = w.cell JOIN heads t ON t.cell = h.next WHERE w.going
+)
+SELECT head, step, cell FROM way WHERE head IN (SELECT head FROM way WHERE step = 1)""")
 def stream_reaches(spark, sf_dir):
     flow = drainage(spark, sf_dir)
     stream = graph.accumulate(flow).where("accumulation >= 4")
     return graph.reaches(flow, stream).select("head", "step", "cell")
 
 
-@query()
+#: What the ground above each outlet holds: its catchment is flooded from the outlet alone, and every stage read off.
+_STORAGE_SQL = f"""{D8_SQL}, {_CATCH}, {_FILL_SQL},
+pool(outlet, cell, level) USING KEY (outlet, cell) AS (
+  SELECT f.loc, f.cell, CASE WHEN f.cell = f.loc THEN g.z ELSE 'inf'::DOUBLE END FROM firsts f JOIN ground g ON g.cell = f.cell
+  UNION
+  SELECT n.outlet, n.cell, n.level FROM (SELECT p.outlet, near.cell, greatest(any_value(g.z), min(p.level)) AS level FROM pool p JOIN near ON near.other = p.cell JOIN ground g ON g.cell = near.cell GROUP BY p.outlet, near.cell) n
+    JOIN recurring.pool w ON w.outlet = n.outlet AND w.cell = n.cell WHERE n.level < w.level
+),
+wet AS (SELECT p.outlet, p.cell, p.level, g.z, o.filled AS datum, {AREA_SQL.replace("row", "g.row")} AS area FROM pool p JOIN ground g ON g.cell = p.cell JOIN filled o ON o.cell = p.outlet),
+curve AS (
+  SELECT outlet, step, stage_m, sum(CASE WHEN level <= datum + stage_m THEN area ELSE 0 END) AS area_m2, sum(CASE WHEN level <= datum + stage_m THEN area * greatest(datum + stage_m - z, 0) ELSE 0 END) AS volume_m3
+  FROM wet, (VALUES {", ".join(f"({k}, {s}::DOUBLE)" for k, s in enumerate(hydrology.stages()))}) AS st(step, stage_m) GROUP BY outlet, step, stage_m
+)"""
+
+
+@query(f"WITH RECURSIVE {LATTICE_SQL}, {_STORAGE_SQL} SELECT outlet, step, round(stage_m, 4) AS stage_m, round(area_m2, 4) AS area_m2, round(volume_m3, 4) AS volume_m3 FROM curve")
 def stage_storage(spark, sf_dir):
     flow, outlets = _outlets(spark, sf_dir)
     members = graph.upstream(flow, outlets)
@@ -417,14 +455,22 @@ def stage_storage(spark, sf_dir):
     return rounded(hydrology.stage_storage(members, filled, GRID).drop("grid_id"), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LATTICE_SQL}, {_STORAGE_SQL},
+jumps AS (SELECT outlet, min(step) - 1 AS spill_step FROM (SELECT *, lag(area_m2) OVER (PARTITION BY outlet ORDER BY step) AS before FROM curve) WHERE area_m2 > {settings.water.spill_jump} * before AND before >= 100 GROUP BY outlet),
+ends AS (SELECT outlet, arg_max(area_m2, step) AS s, arg_max(volume_m3, step) AS c, arg_min(area_m2, step) AS n, arg_min(volume_m3, step) AS v, max(stage_m) AS d, max(step) AS last FROM curve GROUP BY outlet)
+SELECT outlet, spill_step, round(stage_m, 4) AS usable_depth_m, round(area_m2, 4) AS usable_m2, round(volume_m3, 4) AS usable_m3, round(s, 4) AS surface_m2, round(c, 4) AS capacity_m3, round(n, 4) AS natural_m2, round(v, 4) AS natural_m3,
+  round(d, 4) AS depth_m, round(d / 3 * (s + n + sqrt(s * n)), 4) AS frustum_m3 FROM ends LEFT JOIN jumps USING (outlet) JOIN curve USING (outlet) WHERE step = coalesce(spill_step, last)""")
 def usable_storage(spark, sf_dir):
     flow, outlets = _outlets(spark, sf_dir)
     curve = hydrology.stage_storage(graph.upstream(flow, outlets), graph.fill_depressions(L.lattice(spark, sf_dir)), GRID)
     return rounded(hydrology.spill(curve, 10.0).drop("grid_id"), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LATTICE_SQL}, {_FILL_SQL}, low AS (SELECT * FROM filled WHERE filled > z),
+joined(cell, other) AS (SELECT cell, cell FROM low UNION SELECT j.cell, near.other FROM joined j JOIN near ON near.cell = j.other JOIN low ON low.cell = near.other),
+patch AS (SELECT cell, min(other) AS hollow FROM joined GROUP BY cell),
+sizes AS (SELECT hollow, sum({AREA_SQL}) AS m2, sum({AREA_SQL} * (filled - z)) AS m3 FROM patch JOIN low USING (cell) GROUP BY hollow)
+SELECT cell, hollow, round(m2, 4) AS hollow_m2, round(m3, 4) AS hollow_m3 FROM patch JOIN sizes USING (hollow)""")
 def hollows(spark, sf_dir):
     return rounded(hydrology.hollows(graph.fill_depressions(L.lattice(spark, sf_dir)), GRID).drop("grid_id"), 4)
 
