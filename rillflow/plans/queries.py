@@ -645,12 +645,6 @@ def label_levels(spark, sf_dir):
     return kml.label_check(labels, levels)
 
 
-@query()
-def contour_lines(spark, sf_dir):
-    lines = contours.contours(L.lattice(spark, sf_dir, True), GRID, 5.0)
-    return rounded(lines.select("level", "line", F.size("points").alias("n_points"), "closed", geometry.length(F.col("points")).alias("length")))
-
-
 _LEVELS = f"""{GAPPY_SQL}, b AS (SELECT min(z) AS bottom, max(z) AS top FROM lat),
 sq AS (SELECT a.row, a.col, a.z AS sw, e.z AS se, n.z AS nw, d.z AS ne FROM lat a JOIN lat e ON e.row = a.row AND e.col = a.col + 1 JOIN lat n ON n.row = a.row + 1 AND n.col = a.col JOIN lat d ON d.row = a.row + 1 AND d.col = a.col + 1
   WHERE a.z + e.z + n.z + d.z IS NOT NULL),
@@ -659,13 +653,33 @@ met AS (SELECT sq.*, k * 5.0::DOUBLE AS level FROM sq, (SELECT unnest(range(CAST
 ends AS (SELECT *, (sw + se + ne + nw) / 4.0 >= level AS mid, sw >= level AS asw, se >= level AS ase, nw >= level AS anw, ne >= level AS ane,
   (level - sw) / (se - sw) AS s, (level - nw) / (ne - nw) AS n, (level - sw) / (nw - sw) AS w, (level - se) / (ne - se) AS e FROM met),
 joined AS (
-  SELECT level, list_filter([CASE WHEN asw <> ase THEN {{'x': s, 'y': 0.0::DOUBLE}} END, CASE WHEN ase <> ane THEN {{'x': 1.0::DOUBLE, 'y': e}} END, CASE WHEN anw <> ane THEN {{'x': n, 'y': 1.0::DOUBLE}} END, CASE WHEN asw <> anw THEN {{'x': 0.0::DOUBLE, 'y': w}} END], lambda p: p IS NOT NULL) AS p, mid = asw AS near FROM ends
+  SELECT level, list_filter([CASE WHEN asw <> ase THEN {{'x': s, 'y': 0.0::DOUBLE, 'id': 2 * (row * 40 + col)}} END, CASE WHEN ase <> ane THEN {{'x': 1.0::DOUBLE, 'y': e, 'id': 2 * (row * 40 + col + 1) + 1}} END,
+    CASE WHEN anw <> ane THEN {{'x': n, 'y': 1.0::DOUBLE, 'id': 2 * (row * 40 + 40 + col)}} END, CASE WHEN asw <> anw THEN {{'x': 0.0::DOUBLE, 'y': w, 'id': 2 * (row * 40 + col) + 1}} END], lambda p: p IS NOT NULL) AS p, mid = asw AS near FROM ends
 ),
 parts AS (
   SELECT level, p[1] AS a, CASE WHEN len(p) = 2 OR near THEN p[2] ELSE p[4] END AS b FROM joined UNION ALL SELECT level, CASE WHEN near THEN p[3] ELSE p[2] END, CASE WHEN near THEN p[4] ELSE p[3] END FROM joined WHERE len(p) = 4
 )"""
 
 
+#: Joints of the same line have the same least joint: it is handed on from those that learned of a lesser one last.
+_LINES = f"""{_LEVELS}, segs AS (SELECT level, CAST(a.id AS BIGINT) AS i, CAST(b.id AS BIGINT) AS j, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS m FROM parts),
+links AS (SELECT level, i, j FROM segs UNION ALL SELECT level, j, i FROM segs),
+known(level, id, low) USING KEY (level, id) AS (
+  SELECT DISTINCT level, i, i FROM links
+  UNION
+  SELECT n.level, n.id, n.low FROM (SELECT l.level, l.j AS id, min(x.low) AS low FROM known x JOIN links l ON l.level = x.level AND l.i = x.id GROUP BY l.level, l.j) n
+    JOIN recurring.known w ON w.level = n.level AND w.id = n.id WHERE n.low < w.low
+),
+joints AS (SELECT level, low AS line, count(*) AS n FROM known GROUP BY level, low)"""
+
+
+@query(f"""WITH RECURSIVE {_LINES}, sums AS (SELECT s.level, low AS line, count(*) AS n, sum(m) AS length FROM segs s JOIN known k ON k.level = s.level AND k.id = s.i GROUP BY s.level, low)
+SELECT s.level, s.line, CAST(s.n + 1 AS INTEGER) AS n_points, s.n = j.n AS closed, round(length, 6) AS length FROM sums s JOIN joints j USING (level, line)""")
+def contour_lines(spark, sf_dir):
+    lines = contours.contours(L.lattice(spark, sf_dir, True), GRID, 5.0)
+    return rounded(lines.select("level", "line", F.size("points").alias("n_points"), "closed", geometry.length(F.col("points")).alias("length")))
+
+
 @query(f"WITH {_LEVELS} SELECT level, count(*) AS segments, round(sum(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 4) AS length FROM parts GROUP BY level")
 def contour_lengths(spark, sf_dir):
     """What the lines of each level hold: every segment of every square once."""
