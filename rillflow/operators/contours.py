@@ -208,7 +208,7 @@ def within_budget(ringed: DataFrame, tolerance: float, most: int, doublings: int
 
 
 def mask_geojson(members: DataFrame, grid: Grid) -> DataFrame:
-    """(grid_id, site, geometry): each mask as GeoJSON, thinned and in degrees, holes with their exteriors."""
+    """(grid_id, site, geometry, over): each mask as GeoJSON, thinned and in degrees, holes with their exteriors; ``over`` if it keeps more corners than allowed."""
     o = settings.layers
     ringed = settled(rings(members, grid.n_cols))
     thinned = within_budget(ringed, o.thin_cells, o.most_corners)
@@ -218,13 +218,13 @@ def mask_geojson(members: DataFrame, grid: Grid) -> DataFrame:
         lat = grid.frame.lat(grid.y(p["y"] - 0.5))
         return F.array(F.bround(lon, o.decimals), F.bround(lat, o.decimals))
 
-    placed = thinned.select("grid_id", "site", "ring", "area2", F.transform("thin", degrees).alias("path"))
+    placed = thinned.select("grid_id", "site", "ring", "area2", "over", F.transform("thin", degrees).alias("path"))
     owners = hole_owners(ringed)
     holes = placed.join(owners, ["grid_id", "site", "ring"]).groupBy("grid_id", "site", F.col("owner").alias("ring")).agg(F.array_sort(F.collect_list("path")).alias("holes"))
     outer = placed.where("area2 > 0").join(holes, ["grid_id", "site", "ring"], "left")
     polygon = F.concat(F.array("path"), F.coalesce("holes", F.array().cast("array<array<array<double>>>")))
-    whole = outer.groupBy("grid_id", "site").agg(F.sort_array(F.collect_list(F.struct((-F.col("area2")).alias("order"), polygon.alias("polygon")))).alias("p"))
+    whole = outer.groupBy("grid_id", "site").agg(F.sort_array(F.collect_list(F.struct((-F.col("area2")).alias("order"), polygon.alias("polygon")))).alias("p"), F.max("over").alias("over"))
     polygons = F.transform("p", lambda x: x["polygon"])
     single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(polygons, 0).alias("coordinates")))
     multi = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates")))
-    return whole.select("grid_id", "site", F.when(F.size("p") == 1, single).otherwise(multi).alias("geometry"))
+    return whole.select("grid_id", "site", F.when(F.size("p") == 1, single).otherwise(multi).alias("geometry"), "over")

@@ -64,11 +64,20 @@ def contour_layer(lines: DataFrame, grid: Grid, interval_m: float) -> DataFrame:
     return wide.select("grid_id", "level", "line", _feature("LineString", _degrees(grid, F.col("thin")), props).alias("feature"))
 
 
+def boxed(features: DataFrame) -> DataFrame:
+    """Features (feature, ...) with the box of their coordinates: west, south, east, north, null for one without."""
+    numbers = lambda k: F.transform(F.regexp_extract_all("feature", F.lit(r"\[([-+0-9.Ee]+),([-+0-9.Ee]+)[],]"), F.lit(k)), lambda x: x.try_cast("double"))
+    read = features.withColumn("_lon", numbers(1)).withColumn("_lat", numbers(2))
+    return read.select(*features.columns, F.array_min("_lon").alias("west"), F.array_min("_lat").alias("south"), F.array_max("_lon").alias("east"), F.array_max("_lat").alias("north"))
+
+
 def collection(features: DataFrame, order: list[str]) -> DataFrame:
-    """(grid_id, geojson): the features of each grid in one GeoJSON text."""
-    rows = features.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct(*order, "feature"))).alias("f"))
+    """(grid_id, geojson): the features of each grid in one GeoJSON text, with the box around all of their coordinates."""
+    box = [F.min("west"), F.min("south"), F.max("east"), F.max("north")]
+    rows = boxed(features).groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct(*order, "feature"))).alias("f"), F.array(*box).alias("box"))
     joined = F.array_join(F.transform("f", lambda x: x["feature"]), ",")
-    return rows.select("grid_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("geojson"))
+    around = F.when(F.exists("box", lambda v: v.isNull()), F.lit("")).otherwise(F.concat(F.lit('"bbox":'), F.to_json("box"), F.lit(",")))
+    return rows.select("grid_id", F.concat(F.lit('{"type":"FeatureCollection",'), around, F.lit('"features":['), joined, F.lit("]}")).alias("geojson"))
 
 
 def site_response(sites: DataFrame) -> DataFrame:

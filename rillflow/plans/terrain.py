@@ -65,7 +65,8 @@ def why_no_site(d: Drainage, excluded: DataFrame | None = None) -> str:
 
 def sites(d: Drainage, n: int | None = None, excluded: DataFrame | None = None, target_depth_m: float | None = None) -> dict[str, DataFrame]:
     """Chosen sites with their catchments, storage curves and outlines, as DataFrames by name."""
-    chosen = settled(siting.choose_sites(d.flow, candidates(d, excluded), n))
+    able = settled(candidates(d, excluded))
+    chosen = settled(siting.choose_sites(d.flow, able, n))
     toured = graph.tour(d.flow, d.grid.n_cols)
     members = settled(graph.members_of(toured, chosen))
     summary = siting.catchment_summary(members, d.lattice, d.grid)
@@ -75,7 +76,7 @@ def sites(d: Drainage, n: int | None = None, excluded: DataFrame | None = None,
     place = d.cells.select("grid_id", "cell", "row", "col")
     outline = contours.mask_geojson(members.join(place, KEY).select("grid_id", F.col("outlet").alias("site"), "row", "col"), d.grid)
     ponds = hydrology.pond_cells(wet, usable)
-    return {"sites": chosen, "tour": toured, "members": members, "catchments": summary, "storage": curve, "usable": usable, "outlines": outline, "ponds": ponds}
+    return {"sites": chosen, "candidates": able, "tour": toured, "members": members, "catchments": summary, "storage": curve, "usable": usable, "outlines": outline, "ponds": ponds}
 
 
 def balances(found: dict[str, DataFrame], rain: DataFrame, curve_number: float | None = None) -> DataFrame:
@@ -88,8 +89,13 @@ def balances(found: dict[str, DataFrame], rain: DataFrame, curve_number: float |
 
 
 def _feature(geometry: Column, properties: Column) -> Column:
-    """A feature around a geometry that is JSON text already."""
-    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+    """A feature around a geometry that is JSON text already; properties without a value stand there as null."""
+    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties, {"ignoreNullFields": "false"}), F.lit("}"))
+
+
+def _warnings(over: Column) -> Column:
+    """What a polygon's reader should know; null if nothing."""
+    return F.when(over, F.array(F.lit(f"The outline keeps more than {settings.layers.most_corners} corners at the coarsest tolerance."))).alias("warnings")
 
 
 def pond_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
@@ -103,7 +109,7 @@ def pond_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
     paint = lambda a, b: F.when(first, a).otherwise(b)
     props = F.struct(
         F.lit("pond").alias("role"), "rank", F.rint("usable_m3").cast("long").alias("capacity_m3"), F.rint("usable_m2").cast("long").alias("surface_area_m2"), F.bround("usable_depth_m", 2).alias("depth_m"),
-        paint("#08519c", "#3182bd").alias("stroke"), paint("#3182bd", "#9ecae1").alias("fill"), paint(0.6, 0.45).alias("fill-opacity"),
+        paint("#08519c", "#3182bd").alias("stroke"), paint("#3182bd", "#9ecae1").alias("fill"), paint(0.6, 0.45).alias("fill-opacity"), _warnings(F.col("over")),
     )
     return made.select("grid_id", "rank", _feature(F.col("geometry"), props).alias("feature"))
 
@@ -121,19 +127,53 @@ def path_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
     return lines.where(F.size("coordinates") > 1).join(known, ["grid_id", "outlet"]).select("grid_id", "rank", _feature(shape, props).alias("feature"))
 
 
-def features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
-    """(grid_id, layer, rank, part, feature): one row for each feature; areas are layer 0, lines 1, points 2."""
-    o = settings.layers
+def _trusted(found: dict[str, DataFrame]) -> DataFrame:
+    """(grid_id, outlet, rank, confidence, std_m2, recommended) of the sites; without an ``ensemble`` (grid_id, outlet, std_m2, confidence) nothing speaks against any."""
     ranked = found["sites"].select("grid_id", F.col("cell").alias("outlet"), "rank")
-    area = found["catchments"].join(ranked, ["grid_id", "outlet"]).join(found["outlines"].withColumnRenamed("site", "outlet"), ["grid_id", "outlet"])
-    props = F.struct(F.lit("catchment").alias("role"), "rank", F.round(F.col("area_m2") / 1e4, 2).alias("area_ha"), F.round(F.col("edge_contact") * 100, 2).alias("edge_contact_pct"), F.round("relief_m", 2).alias("relief_m"))
-    grounds = area.select("grid_id", "rank", _feature(F.col("geometry"), props).alias("feature"))
-    at = ranked.join(d.cells.select("grid_id", F.col("cell").alias("outlet"), "row", "col"), ["grid_id", "outlet"])
+    if "ensemble" not in found:
+        return ranked.select("*", F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("double").alias("std_m2"), F.lit(True).alias("recommended"))
+    held = ranked.join(found["ensemble"].select("grid_id", "outlet", "confidence", "std_m2"), ["grid_id", "outlet"], "left")
+    return held.withColumn("recommended", F.coalesce(F.col("confidence") != "low", F.lit(True)))
+
+
+def catchment_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """(grid_id, rank, feature): the outline of every site's catchment with the figures that speak for it."""
+    key = ["grid_id", "outlet"]
+    area = found["catchments"].join(_trusted(found), key).join(found["outlines"].withColumnRenamed("site", "outlet"), key)
+    # the paints are fixed values
+    props = F.struct(
+        F.lit("catchment").alias("role"), "rank", F.round(F.col("area_m2") / 1e4, 2).alias("area_ha"), "confidence", F.round(F.col("std_m2") / 1e4, 2).alias("area_uncertainty_ha"),
+        F.round(F.col("edge_contact") * 100, 2).alias("edge_contact_pct"), F.col("lower_bound").alias("is_lower_bound"), F.round("relief_m", 2).alias("relief_m"), F.round("length_m", 1).alias("longest_flow_path_m"),
+        F.lit(float(d.grid.resolution_m)).alias("resolution_m"), F.lit("#1f78b4").alias("stroke"), F.lit("#a6cee3").alias("fill"), F.lit(0.25).alias("fill-opacity"), _warnings(F.col("over")),
+    )
+    return area.select("grid_id", "rank", _feature(F.col("geometry"), props).alias("feature"))
+
+
+def outlet_features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """(grid_id, rank, feature): the place of every site, why it was chosen, and its water balance if ``found`` has ``balances``; what is not finite is null."""
+    o, key = settings.layers, ["grid_id", "outlet"]
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    ground = found["candidates"].select("grid_id", F.col("cell").alias("outlet"), "row", "col", "slope", "above")
+    at = _trusted(found).join(ground, key).join(found["catchments"].select(*key, "area_m2"), key)
+    figures = {"annual_runoff_m3": F.rint(finite(F.col("runoff_m3"))).cast("long"), "capacity_m3": F.rint(finite(F.col("usable_m3"))).cast("long"), "fill_ratio": F.round(finite(F.col("fill_ratio")), 2), "time_of_concentration_min": F.round(finite(F.col("concentration_min")), 1), "verdict": F.col("verdict")}
+    if "balances" in found:
+        at = at.join(found["balances"].select(*key, "runoff_m3", "usable_m3", "fill_ratio", "concentration_min", "verdict"), key, "left")
+    else:
+        figures = {}
     lon, lat = F.bround(d.grid.lon(F.col("col")), o.decimals), F.bround(d.grid.lat(F.col("row")), o.decimals)
     spot = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
-    outlets = at.select("grid_id", "rank", _feature(spot, F.struct(F.lit("outlet").alias("role"), "rank")).alias("feature"))
+    props = F.struct(
+        F.lit("outlet").alias("role"), "rank", "recommended", F.round(F.col("area_m2") / 1e4, 2).alias("catchment_area_ha"), "confidence",
+        F.round(finite(F.col("slope")) * 100, 2).alias("slope_pct"), F.round(finite(F.col("above")), 2).alias("height_above_watercourse_m"), *(c.alias(n) for n, c in figures.items()),
+        F.when(F.col("rank") == 1, "#08519c").otherwise("#6baed6").alias("marker-color"), F.lit("water").alias("marker-symbol"),
+    )
+    return at.select("grid_id", "rank", _feature(spot, props).alias("feature"))
+
+
+def features(found: dict[str, DataFrame], d: Drainage) -> DataFrame:
+    """(grid_id, layer, rank, part, feature): one row for each feature; areas are layer 0, lines 1, points 2."""
     placed = lambda df, layer, part: df.select("grid_id", F.lit(layer).alias("layer"), "rank", F.lit(part).alias("part"), "feature")
-    return placed(grounds, 0, 0).unionByName(placed(pond_features(found, d), 0, 1)).unionByName(placed(path_features(found, d), 1, 0)).unionByName(placed(outlets, 2, 0))
+    return placed(catchment_features(found, d), 0, 0).unionByName(placed(pond_features(found, d), 0, 1)).unionByName(placed(path_features(found, d), 1, 0)).unionByName(placed(outlet_features(found, d), 2, 0))
 
 
 def feature_collection(found: dict[str, DataFrame], d: Drainage) -> DataFrame:

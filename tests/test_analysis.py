@@ -232,3 +232,27 @@ def test_what_drains_through_a_point(spark):
     near = [r * 21 + c for r in range(8, 15) for c in range(21) if abs(c - 11.5) <= 3.5]
     assert len(got) == 1 and got[0].cells == sizes[got[0].outlet] == max(sizes[c] for c in near) and got[0].relief_m > 0
     analysis.check_pour_point(lon, lat, (LON, LAT, LON + 1, LAT + 1))
+
+
+def test_a_sheet_from_its_file_to_sites_and_a_pour_point(spark, tmp_path):
+    (tmp_path / "valley.kml").write_text(valley_kml())
+    found = analysis.analyse_sheet(spark, str(tmp_path / "valley.kml"), rainfall.climatology(spark), 20.0, (LON, LAT + 0.001), top_n=2)
+    sites = found["sites"].collect()
+    assert 1 <= len(sites) <= 2 and {r.rank for r in sites} == set(range(1, len(sites) + 1))
+    (through,) = found["pour_point"].collect()
+    # the valley drains south along its middle: nearly all of it passes a point near its mouth
+    assert through.cells >= 0.8 * found["tour"].count() and through.lower_bound
+    assert through.cells == found["tour"].where(F.col("cell") == through.outlet).first()["size"]
+    made = json.loads(found["geojson"].first().geojson)
+    assert [f["properties"]["role"] for f in made["features"]].count("outlet") == len(sites)
+    west, south, east, north = made["bbox"]
+    assert west < LON < east and south < LAT + 0.005 < north
+    balances = {r["rank"]: r for r in found["balances"].collect()}
+    for f in made["features"]:
+        p = f["properties"]
+        if p["role"] == "catchment":
+            assert p["longest_flow_path_m"] > 0 and p["confidence"] is None and p["resolution_m"] == 20.0
+        if p["role"] == "outlet":
+            b = balances[p["rank"]]
+            assert p["recommended"] and p["slope_pct"] >= 0 and (p["annual_runoff_m3"], p["verdict"]) == (round(b.runoff_m3), b.verdict)
+            assert west <= f["geometry"]["coordinates"][0] <= east and south <= f["geometry"]["coordinates"][1] <= north
