@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import settings
-from ..session import discard, settled
+from ..session import discard, settled, shuffled
 
 KEY = ["grid_id", "cell"]
 
@@ -32,8 +32,8 @@ def accumulate(flow: DataFrame, weight: str | None = None) -> DataFrame:
         added = state.where("jump is not null").groupBy("grid_id", F.col("jump").alias("cell")).agg(F.sum("total").alias("added"))
         further = state.select("grid_id", F.col("cell").alias("jump"), F.col("jump").alias("further"))
         before, state = state, settled(
-            state.join(added, KEY, "left")
-            .join(further, ["grid_id", "jump"], "left")
+            state.join(shuffled(added), KEY, "left")
+            .join(shuffled(further), ["grid_id", "jump"], "left")
             .select(*KEY, F.col("further").alias("jump"), (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
         )
         discard(before)
@@ -50,7 +50,7 @@ def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | Column
     width = n_cols if isinstance(n_cols, Column) else F.lit(n_cols)
     ends = flow.select(*KEY, "receiver", (F.col(along) if along else F.lit(0)).cast("long").alias("along"), width.cast("long").alias("width"))
     if stops is not None:
-        ends = ends.join(stops.select(*KEY, F.lit(True).alias("stop")).distinct(), KEY, "left").select(*KEY, F.when(F.col("stop").isNull(), F.col("receiver")).alias("receiver"), "along", "width")
+        ends = ends.join(shuffled(stops.select(*KEY, F.lit(True).alias("stop")).distinct()), KEY, "left").select(*KEY, F.when(F.col("stop").isNull(), F.col("receiver")).alias("receiver"), "along", "width")
     moved = F.col("receiver").isNotNull()
     if n_cols is not None:
         across = (F.floor(F.col("cell") / F.col("width")) != F.floor(F.col("receiver") / F.col("width"))) & (F.col("cell") % F.col("width") != F.col("receiver") % F.col("width"))
@@ -63,7 +63,7 @@ def drain(flow: DataFrame, stops: DataFrame | None = None, n_cols: int | Column
     while True:
         after = state.select("grid_id", F.col("cell").alias("root"), F.col("root").alias("_root"), *(F.col(n).alias(f"_{n}") for n in counted))
         new = settled(
-            state.join(after, ["grid_id", "root"]).select(*KEY, F.col("_root").alias("root"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in counted), (F.col("root") != F.col("_root")).alias("moved"))
+            state.join(shuffled(after), ["grid_id", "root"]).select(*KEY, F.col("_root").alias("root"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in counted), (F.col("root") != F.col("_root")).alias("moved"))
         )
         discard(last)
         last, state = new, new.drop("moved")
@@ -79,13 +79,13 @@ def tour(flow: DataFrame, n_cols: int | Column | None = None) -> DataFrame:
     donors before it, so a second doubling adds those up along the flow.
     """
     sizes = accumulate(flow).select(*KEY, F.col("accumulation").cast("long").alias("size"))
-    sized = settled(flow.select(*KEY, "receiver", *([n_cols.alias("_width")] if isinstance(n_cols, Column) else [])).join(sizes, KEY))
+    sized = settled(flow.select(*KEY, "receiver", *([n_cols.alias("_width")] if isinstance(n_cols, Column) else [])).join(shuffled(sizes), KEY))
     donors = W.partitionBy("grid_id", "receiver").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     # roots have no receiver in common: they must not meet in one window
     below = sized.where("receiver IS NOT NULL").withColumn("before", F.coalesce(F.sum("size").over(donors), F.lit(0)) + 1)
     ordered = below.unionByName(sized.where("receiver IS NULL").withColumn("before", F.lit(0).cast("long")))
     width = F.col("_width") if isinstance(n_cols, Column) else n_cols
-    return settled(drain(ordered, n_cols=width, along="before").withColumnRenamed("along", "pre").join(sizes, KEY))
+    return settled(drain(ordered, n_cols=width, along="before").withColumnRenamed("along", "pre").join(shuffled(sizes), KEY))
 
 
 #: Widths of the blocks by which numbers of a tour meet ranges of them, as a power of two.
@@ -104,7 +104,7 @@ def within(points: DataFrame, ranges: DataFrame) -> DataFrame:
     cut = lambda c: F.expr(f"shiftright({c}, bits)")
     blocks = sized.withColumn("block", F.explode(F.sequence(cut("lo"), cut("lo + size - 1"))))
     dealt = points.withColumn("bits", F.explode(F.lit(used).cast("array<int>"))).withColumn("block", cut("pre"))
-    held = dealt.join(blocks, ["grid_id", "root", "bits", "block"]).where("pre >= lo AND pre < lo + size")
+    held = dealt.join(shuffled(blocks), ["grid_id", "root", "bits", "block"]).where("pre >= lo AND pre < lo + size")
     return held.drop("bits", "block")
 
 
@@ -113,7 +113,7 @@ def members_of(toured: DataFrame, outlets: DataFrame) -> DataFrame:
 
     Outlets may lie above one another: a cell belongs to each that its water passes.
     """
-    wanted = toured.join(outlets.select(*KEY).distinct(), KEY, "left_semi")
+    wanted = toured.join(shuffled(outlets.select(*KEY).distinct()), KEY, "left_semi")
     ranges = wanted.select("grid_id", "root", F.col("cell").alias("outlet"), F.col("pre").alias("lo"), "size", F.col("straight").alias("_straight"), F.col("diagonal").alias("_diagonal"))
     points = toured.select("grid_id", "root", "cell", "pre", "straight", "diagonal")
     steps = ((F.col(c) - F.col(f"_{c}")).alias(c) for c in ("straight", "diagonal"))
@@ -142,7 +142,7 @@ def flow_paths(toured: DataFrame, starts: DataFrame) -> DataFrame:
     depth = F.col("straight") + F.col("diagonal")
     own = toured.select(*KEY, "root", "pre", depth.alias("depth"))
     ends = own.select("grid_id", F.col("cell").alias("outlet"), F.col("depth").alias("end"))
-    points = own.join(starts.select("grid_id", "outlet", "cell").distinct(), KEY).join(ends, ["grid_id", "outlet"]).select("grid_id", "root", "pre", "outlet", F.col("depth").alias("start"), "end")
+    points = own.join(shuffled(starts.select("grid_id", "outlet", "cell").distinct()), KEY).join(shuffled(ends), ["grid_id", "outlet"]).select("grid_id", "root", "pre", "outlet", F.col("depth").alias("start"), "end")
     passed = toured.select("grid_id", "root", "cell", F.col("pre").alias("lo"), "size", depth.alias("depth"))
     return within(points, passed).where("depth >= end").select("grid_id", "outlet", (F.col("start") - F.col("depth")).alias("step"), "cell")
 
@@ -156,7 +156,7 @@ def height_above(flow: DataFrame, trunk: DataFrame, value: str = "z") -> DataFra
     marks = trunk.select("grid_id", F.col("cell").alias("root"), F.lit(True).alias("is_trunk")).distinct()
     beds = flow.select("grid_id", F.col("cell").alias("root"), F.col(value).alias("bed"))
     mapped = trunk.select("grid_id", F.lit(True).alias("has_trunk")).distinct()
-    joined = reached.join(marks, ["grid_id", "root"], "left").join(beds, ["grid_id", "root"]).join(flow.select(*KEY, value), KEY).join(mapped, "grid_id", "left")
+    joined = reached.join(shuffled(marks), ["grid_id", "root"], "left").join(shuffled(beds), ["grid_id", "root"]).join(shuffled(flow.select(*KEY, value)), KEY).join(mapped, "grid_id", "left")
     above = F.when(F.col("has_trunk").isNull(), F.lit(float("inf"))).when(F.col("is_trunk"), F.col(value) - F.col("bed")).otherwise(F.lit(float("-inf")))
     return joined.select(*KEY, above.alias("above"))
 
@@ -172,9 +172,9 @@ def connected(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select("grid_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("grid_id", "a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.join(low, ["grid_id", "a"]).where("b > a").select("grid_id", F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(shuffled(low), ["grid_id", "a"]).where("b > a").select("grid_id", F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("grid_id", "a").agg(F.min("b").alias("low"))
-        small = large.join(low, ["grid_id", "a"]).where("b <> low").select("grid_id", F.col("b").alias("a"), F.col("low").alias("b"))
+        small = large.join(shuffled(low), ["grid_id", "a"]).where("b <> low").select("grid_id", F.col("b").alias("a"), F.col("low").alias("b"))
         last, edges = edges, settled(small.unionByName(low.withColumnRenamed("low", "b")).distinct())
         discard(last)
         now = state(edges)
@@ -200,7 +200,7 @@ def chains(links: DataFrame, at_once: int = 2) -> DataFrame:
         for _ in range(at_once):
             ahead = state.select("grid_id", F.col("cell").alias("far"), *(F.col(c).alias(f"_{c}") for c in ("far", "steps", "done", "low", "to_low")))
             lower = F.col("_low") < F.col("low")
-            state = state.join(ahead, ["grid_id", "far"]).select(
+            state = state.join(shuffled(ahead), ["grid_id", "far"]).select(
                 *KEY, F.col("_far").alias("far"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"),
                 F.when(lower, F.col("steps") + F.col("_to_low")).otherwise(F.col("to_low")).alias("to_low"), (lower | (F.col("_done") & ~F.col("done"))).alias("moved"),
             )
@@ -213,7 +213,7 @@ def chains(links: DataFrame, at_once: int = 2) -> DataFrame:
     whose = state.withColumn("whose", F.when(F.col("done"), F.col("far")).otherwise(F.col("low")))
     each = whose.groupBy("grid_id", "whose").agg(F.min("low").alias("chain"), F.max("steps").alias("most"), F.count("*").alias("n"))
     step = F.when(F.col("done"), F.col("most") - F.col("steps")).otherwise(F.pmod(F.col("n") - F.col("to_low"), F.col("n")))
-    return whose.join(each, ["grid_id", "whose"]).select(*KEY, "chain", step.alias("step"), (~F.col("done")).alias("closed"))
+    return whose.join(shuffled(each), ["grid_id", "whose"]).select(*KEY, "chain", step.alias("step"), (~F.col("done")).alias("closed"))
 
 
 def patches(cells: DataFrame, n_cols: int, diagonal: bool = False) -> DataFrame:
@@ -221,9 +221,9 @@ def patches(cells: DataFrame, n_cols: int, diagonal: bool = False) -> DataFrame:
     cells = cells.select("grid_id", "row", "col", (F.col("row").cast("long") * n_cols + F.col("col")).alias("cell"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     wanted = cells.select("grid_id", F.col("cell").alias("a"), F.explode(F.array(*(F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a, b in steps))).alias("n"))
-    edges = wanted.select("grid_id", "a", F.col("n.row").alias("row"), F.col("n.col").alias("col")).join(cells.withColumnRenamed("cell", "b"), ["grid_id", "row", "col"]).select("grid_id", "a", "b")
+    edges = wanted.select("grid_id", "a", F.col("n.row").alias("row"), F.col("n.col").alias("col")).join(shuffled(cells.withColumnRenamed("cell", "b")), ["grid_id", "row", "col"]).select("grid_id", "a", "b")
     roots = connected(edges)
-    return cells.join(roots.select("grid_id", F.col("node").alias("cell"), "root"), KEY, "left").select("grid_id", "row", "col", "cell", F.coalesce("root", "cell").alias("patch"))
+    return cells.join(shuffled(roots.select("grid_id", F.col("node").alias("cell"), "root")), KEY, "left").select("grid_id", "row", "col", "cell", F.coalesce("root", "cell").alias("patch"))
 
 
 def _relax(tile: pd.DataFrame, epsilon: float) -> pd.DataFrame:
@@ -299,18 +299,18 @@ def fill_depressions(lattice: DataFrame, epsilon: float | None = None, tile: int
 def reaches(flow: DataFrame, stream: DataFrame) -> DataFrame:
     """(grid_id, head, step, cell): stream cells in chains that run from a source or confluence down to the next confluence, both included."""
     on = stream.select(*KEY).distinct()
-    links = flow.select(*KEY, "receiver").join(on, KEY, "left_semi").join(on.select("grid_id", F.col("cell").alias("receiver"), F.lit(True).alias("on")), ["grid_id", "receiver"], "left")
+    links = flow.select(*KEY, "receiver").join(shuffled(on), KEY, "left_semi").join(shuffled(on.select("grid_id", F.col("cell").alias("receiver"), F.lit(True).alias("on"))), ["grid_id", "receiver"], "left")
     links = settled(links.select(*KEY, F.when(F.col("on"), F.col("receiver")).alias("next")))
     donors = links.where("next is not null").groupBy("grid_id", F.col("next").alias("cell")).agg(F.count("*").alias("donors"))
-    sized = links.join(donors, KEY, "left").select(*KEY, "next", (F.coalesce("donors", F.lit(0)) != 1).alias("is_head"))
+    sized = links.join(shuffled(donors), KEY, "left").select(*KEY, "next", (F.coalesce("donors", F.lit(0)) != 1).alias("is_head"))
     # going upstream, a cell that is no head has exactly one donor
     above = links.where("next is not null").select("grid_id", F.col("next").alias("cell"), F.col("cell").alias("up"))
-    up = sized.where("not is_head").join(above, KEY).select(*KEY, F.col("up").alias("receiver"))
+    up = sized.where("not is_head").join(shuffled(above), KEY).select(*KEY, F.col("up").alias("receiver"))
     chain = drain(up.unionByName(sized.where("is_head").select(*KEY, F.lit(None).cast("long").alias("receiver"))), n_cols=1)
     own = chain.select("grid_id", F.col("root").alias("head"), (F.col("straight") + F.col("diagonal")).alias("step"), "cell")
     # the confluence below a chain is its last cell and the head of another
-    last = own.join(sized, KEY).where("next is not null").join(sized.select("grid_id", F.col("cell").alias("next"), F.col("is_head").alias("ends")), ["grid_id", "next"]).where("ends")
+    last = own.join(shuffled(sized), KEY).where("next is not null").join(shuffled(sized.select("grid_id", F.col("cell").alias("next"), F.col("is_head").alias("ends"))), ["grid_id", "next"]).where("ends")
     tails = last.select("grid_id", "head", (F.col("step") + 1).alias("step"), F.col("next").alias("cell"))
     whole = own.unionByName(tails)
     sizes = whole.groupBy("grid_id", "head").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return whole.join(sizes, ["grid_id", "head"], "left_semi")
+    return whole.join(shuffled(sizes), ["grid_id", "head"], "left_semi")

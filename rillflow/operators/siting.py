@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import settings
 from ..functions.projection import Grid
+from ..session import shuffled
 from . import graph
 
 KEY = ["grid_id", "cell"]
@@ -48,7 +49,7 @@ def clear_cells(cells: DataFrame) -> DataFrame:
 
 def available_cells(cells: DataFrame, excluded: DataFrame) -> DataFrame:
     """Cells that nobody has ruled out."""
-    return cells.join(excluded.select(*KEY).distinct(), KEY, "left_anti")
+    return cells.join(shuffled(excluded.select(*KEY).distinct()), KEY, "left_anti")
 
 
 def top_n(n: int | None) -> int:
@@ -65,8 +66,8 @@ def choose_sites(flow: DataFrame, candidates: DataFrame, n: int | None = None) -
     """
     first = graph.drain(flow, candidates).select("grid_id", F.col("cell").alias("receiver"), F.col("root").alias("below"))
     marks = candidates.select("grid_id", F.col("cell").alias("below"), F.lit(True).alias("taken")).distinct()
-    own = candidates.select(*KEY, "accumulation").join(flow.select(*KEY, "receiver"), KEY)
-    free = own.join(first, ["grid_id", "receiver"], "left").join(marks, ["grid_id", "below"], "left").where("taken is null")
+    own = candidates.select(*KEY, "accumulation").join(shuffled(flow.select(*KEY, "receiver")), KEY)
+    free = own.join(shuffled(first), ["grid_id", "receiver"], "left").join(shuffled(marks), ["grid_id", "below"], "left").where("taken is null")
     # the bound on the rank lets Spark drop all but a few rows of a grid before the shuffle
     rank = F.row_number().over(W.partitionBy("grid_id").orderBy(F.desc("accumulation"), "cell"))
     return free.select("grid_id", "cell", "accumulation", rank.alias("rank")).where(F.col("rank") <= top_n(n))
@@ -133,9 +134,9 @@ def edge_contact(members: DataFrame, lattice: DataFrame, value: str = "z") -> Da
     """
     sides = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))
     facing = members.withColumn("o", F.explode(sides)).select("grid_id", "site", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"))
-    outward = facing.join(members, ["grid_id", "site", "row", "col"], "left_anti")
+    outward = facing.join(shuffled(members), ["grid_id", "site", "row", "col"], "left_anti")
     ground = lattice.where(F.col(value).isNotNull()).select("grid_id", "row", "col", F.lit(True).alias("mapped"))
-    return outward.join(ground, ["grid_id", "row", "col"], "left").groupBy("grid_id", "site").agg((F.count_if(F.col("mapped").isNull()) / F.count("*")).alias("edge_contact"))
+    return outward.join(shuffled(ground), ["grid_id", "row", "col"], "left").groupBy("grid_id", "site").agg((F.count_if(F.col("mapped").isNull()) / F.count("*")).alias("edge_contact"))
 
 
 def catchment_summary(members: DataFrame, lattice: DataFrame, grid: Grid, value: str = "z") -> DataFrame:
@@ -144,12 +145,12 @@ def catchment_summary(members: DataFrame, lattice: DataFrame, grid: Grid, value:
     ``members`` is what graph.upstream returns with steps counted.
     """
     z = lattice.where(F.col(value).isNotNull()).select("grid_id", "row", "col", grid.cell(F.col("row"), F.col("col")).alias("cell"), F.col(value).alias("z"))
-    own = members.join(z, KEY)
+    own = members.join(shuffled(z), KEY)
     sums = own.groupBy("grid_id", "outlet").agg(F.count("*").alias("cells"), F.sum(grid.cell_area(F.col("row"))).alias("area_m2"), F.max("z").alias("top"))
     paths = graph.longest_path(members, grid.resolution_m)
     at = lambda name, key: z.select("grid_id", F.col("cell").alias(key), F.col("z").alias(name))
     contact = edge_contact(own.select("grid_id", F.col("outlet").alias("site"), "row", "col"), lattice, value).withColumnRenamed("site", "outlet")
-    joined = sums.join(paths, ["grid_id", "outlet"]).join(at("outlet_z", "outlet"), ["grid_id", "outlet"]).join(at("remote_z", "remote_cell"), ["grid_id", "remote_cell"]).join(contact, ["grid_id", "outlet"])
+    joined = sums.join(shuffled(paths), ["grid_id", "outlet"]).join(shuffled(at("outlet_z", "outlet")), ["grid_id", "outlet"]).join(shuffled(at("remote_z", "remote_cell")), ["grid_id", "remote_cell"]).join(shuffled(contact), ["grid_id", "outlet"])
     return joined.select(
         "grid_id", "outlet", "cells", "area_m2", (F.col("top") - F.col("outlet_z")).alias("relief_m"), "length_m", "remote_cell",
         (F.col("remote_z") - F.col("outlet_z")).alias("path_relief_m"), "edge_contact", (F.col("edge_contact") > settings.flow.open_edge_share).alias("lower_bound"),

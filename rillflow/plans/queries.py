@@ -12,7 +12,7 @@ from ..config import settings
 from ..functions import geometry, projection, scalars
 from ..operators import contours, focal, graph, hydrology, imagery, rasters, siting, spans
 from ..operators.quantiles import quantiles
-from ..session import settled
+from ..session import settled, shuffled
 from ..sources import kml
 from . import ensemble, outputs
 from . import lattice as L
@@ -278,7 +278,7 @@ def nested_catchments(spark, sf_dir):
     """Outlets that lie above one another: each has as many members as water passes it."""
     flow, outlets = _outlets(spark, sf_dir)
     sizes = graph.upstream(flow, outlets).groupBy("grid_id", "outlet").agg(F.count("*").alias("members"))
-    return sizes.join(outlets.withColumnRenamed("cell", "outlet"), ["grid_id", "outlet"]).select("outlet", "members", "accumulation")
+    return sizes.join(shuffled(outlets.withColumnRenamed("cell", "outlet")), ["grid_id", "outlet"]).select("outlet", "members", "accumulation")
 
 
 @query(f"""WITH RECURSIVE {LATTICE_SQL}, {D8_SQL}, {_CATCH},

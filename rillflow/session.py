@@ -63,6 +63,15 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The same rows, to be joined by a shuffle however small their files look.
+
+    Files of numbers are a small part of the rows that they hold, so Spark would send whole
+    tables of cells through the driver to all tasks, once in each round.
+    """
+    return df.hint("merge")
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes the files of a settled table that nothing will read any more."""
     folder = getattr(df, "_settled_in", None)
