@@ -107,21 +107,33 @@ def why_none(cells: DataFrame) -> DataFrame:
 def snap(cells: DataFrame, points: DataFrame, grid: Grid, radius_m: float | None = None) -> DataFrame:
     """Each point (point_id, row, col) moved to the cell with most accumulation in a square around it.
 
-    The square is looked up by blocks of its own size, an equi-join; of equals the first in
+    The best cell of a square is the best of its rows' bests: one window along rows and one
+    along columns, each row of a table once however wide the square; of equals the first in
     row-major order wins. Where the grid's numbers are columns, cells and points have them,
     and each grid has a square of its own.
     """
     reach = F.lit(grid.spacing_m * settings.flow.snap_spacings if radius_m is None else radius_m)
     k = F.greatest(F.lit(1), F.rint(reach / F.lit(grid.resolution_m)).cast("int"))
-    block = lambda c: F.floor(F.col(c) / (2 * F.col("_k") + 1))
-    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    wanted = points.select("grid_id", "point_id", F.col("row").alias("p_row"), F.col("col").alias("p_col"), k.alias("_k"), F.lit(grid.resolution_m).alias("p_resolution")).withColumn("o", F.explode(around))
-    wanted = wanted.withColumn("b_row", block("p_row") + F.col("o.a")).withColumn("b_col", block("p_col") + F.col("o.b"))
-    dealt = cells.select("grid_id", "row", "col", "accumulation", k.alias("_k")).withColumn("b_row", block("row")).withColumn("b_col", block("col"))
-    found = dealt.drop("_k").join(wanted, ["grid_id", "b_row", "b_col"])
-    near = found.where((F.abs(F.col("row") - F.col("p_row")) <= F.col("_k")) & (F.abs(F.col("col") - F.col("p_col")) <= F.col("_k")))
-    best = F.max(F.struct("accumulation", (-F.col("row")).alias("minus_row"), (-F.col("col")).alias("minus_col"))).alias("best")
-    snapped = near.groupBy("grid_id", "point_id", "p_row", "p_col", "p_resolution").agg(best)
+    # bounds of a frame are the same for all rows: places are measured in squares, half a cell more than k to one
+    near = lambda c, *by: W.partitionBy("grid_id", *by).orderBy(F.col(c) / (F.col("_k") + 0.5)).rangeBetween(-1, 1)
+    # what isn't a cell has no best, and counts for nothing in a maximum
+    value = F.struct("accumulation", (-F.col("row")).alias("minus_row"), (-F.col("col")).alias("minus_col"))
+    known = cells.where("row IS NOT NULL AND col IS NOT NULL").select("grid_id", "row", "col", k.alias("_k"), value.alias("best"))
+    order = W.partitionBy("grid_id", "row").orderBy("col")
+    after, before = F.lead("col").over(order), F.lag("col").over(order)
+    # places without a cell but with one in reach in their row: after a cell, and before one that the last cell's reach does not meet
+    sided = known.withColumn("_after", after).withColumn("_before", before)
+    right = F.least(F.col("col") + F.col("_k"), F.coalesce(F.col("_after") - 1, F.col("col") + F.col("_k")))
+    left = F.greatest(F.col("col") - F.col("_k"), F.coalesce(F.col("_before") + F.col("_k") + 1, F.col("col") - F.col("_k")))
+    places = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    beside = F.concat(places(left, F.col("col") - 1), places(F.col("col") + 1, right))
+    bare = sided.select("grid_id", "row", F.explode(beside).alias("col"), "_k", F.lit(None).cast(known.schema["best"].dataType).alias("best"))
+    rows = known.unionByName(bare).select("grid_id", "row", "col", "_k", F.max("best").over(near("col", "row")).alias("best"))
+    wanted = points.select("grid_id", "point_id", F.col("row").alias("p_row"), F.col("col").alias("p_col"), k.alias("_k"), F.lit(grid.resolution_m).alias("p_resolution")).distinct()
+    squares = wanted.select("grid_id", F.col("p_row").alias("row"), F.col("p_col").alias("col"), "_k").distinct()
+    asked = rows.select("*", F.lit(False).alias("_asked")).unionByName(squares.select("*", F.lit(None).cast(known.schema["best"].dataType).alias("best"), F.lit(True).alias("_asked")))
+    best = asked.withColumn("best", F.max("best").over(near("row", "col"))).where("_asked AND best IS NOT NULL").select("grid_id", F.col("row").alias("p_row"), F.col("col").alias("p_col"), "best")
+    snapped = wanted.join(shuffled(best), ["grid_id", "p_row", "p_col"])
     row, col = -F.col("best.minus_row"), -F.col("best.minus_col")
     moved = F.hypot((row - F.col("p_row")).cast("double"), (col - F.col("p_col")).cast("double")) * F.col("p_resolution")
     return snapped.select("grid_id", "point_id", row.alias("row"), col.alias("col"), F.col("best.accumulation").alias("accumulation"), moved.alias("moved_m"))

@@ -339,7 +339,7 @@ near AS (SELECT point_id, p.row AS p_row, p.col AS p_col, lat.row, lat.col, n FR
 SELECT point_id, row, col, CAST(n AS DOUBLE) AS accumulation, round(sqrt(pow(row - p_row, 2) + pow(col - p_col, 2)) * 10, 6) AS moved_m FROM near""")
 def snap_outlets(spark, sf_dir):
     flow = drainage(spark, sf_dir)
-    cells = flow.select("grid_id", "row", "col", "cell").join(graph.accumulate(flow), ["grid_id", "cell"])
+    cells = flow.select("grid_id", "row", "col", "cell").join(shuffled(graph.accumulate(flow)), ["grid_id", "cell"])
     last = F.expr("max(row) + 1")
     rows = L.lattice(spark, sf_dir).agg(last.alias("rows"))
     points = L.table(spark, sf_dir, "customer").crossJoin(F.broadcast(rows)).select(F.lit(0).alias("grid_id"), F.col("c_custkey").alias("point_id"), F.expr("cast(c_custkey % rows as int)").alias("row"), F.expr("cast(c_custkey * 7 % 40 as int)").alias("col"))

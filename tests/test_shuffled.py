@@ -30,3 +30,28 @@ def test_graphs_send_no_tables_through_the_driver(spark, monkeypatch):
     assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
     assert found.count() == 40 + 10 and paths.count() == 40 + 10
     assert linked.select("root").distinct().count() == 1 and ordered.agg(F.max("step")).first()[0] == 39
+
+
+def test_points_meet_no_list_of_cells_around_them(spark):
+    import random
+
+    from rillflow.functions.projection import Grid, LocalFrame
+
+    rng = random.Random(5)
+    made = {(g, r, c): float(rng.randint(1, 9)) for g in (0, 1) for r in range(17) for c in range(14) if rng.random() < (0.8 if r < 9 else 0.04)}
+    cells = spark.createDataFrame([(g, r, c, a) for (g, r, c), a in made.items()], "grid_id int, row int, col int, accumulation double")
+    asked = [(g, 100 * g + i, rng.randint(-9, 26), rng.randint(-9, 23)) for g in (0, 1) for i in range(60)]
+    points = spark.createDataFrame([*asked, asked[0]], "grid_id int, point_id int, row int, col int")
+    # grids of two resolutions: squares of 6 and 3 cells to a side of the point
+    each = lambda df: df.withColumn("resolution_m", F.when(F.col("grid_id") == 0, 10.0).otherwise(20.0))
+    found = siting.snap(each(cells), each(points), Grid(LocalFrame(8.3, 46.25), F.col("resolution_m"), 14), 60.0)
+    assert "b_row" not in planned(found)
+    want = {}
+    for g, i, r, c in asked:
+        k = 3 if g else 6
+        near = [(-a, y, x) for (h, y, x), a in made.items() if h == g and abs(y - r) <= k and abs(x - c) <= k]
+        if near:
+            a, y, x = min(near)
+            want[g, i] = (y, x, -a, round(((y - r) ** 2 + (x - c) ** 2) ** 0.5 * (20.0 if g else 10.0), 6))
+    got = [((r.grid_id, r.point_id), (r.row, r.col, r.accumulation, round(r.moved_m, 6))) for r in found.collect()]
+    assert dict(got) == want and len(got) == len(want) > 40
