@@ -21,9 +21,8 @@ BLOCK = 64
 
 def from_cells(cells: DataFrame) -> DataFrame:
     """The spans of masks given as cells (grid_id, site, row, col); a cell given twice counts once, one without a place not at all."""
-    known = cells.select(*MASK, "row", "col").where("row IS NOT NULL AND col IS NOT NULL").distinct()
-    run = F.col("col") - F.row_number().over(W.partitionBy(*MASK, "row").orderBy("col"))
-    return known.withColumn("run", run).groupBy(*MASK, "row", "run").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("run")
+    known = cells.where("row IS NOT NULL AND col IS NOT NULL")
+    return merged(known.select(*MASK, "row", F.col("col").alias("first"), F.col("col").alias("last")))
 
 
 def to_cells(spans: DataFrame) -> DataFrame:
@@ -31,14 +30,22 @@ def to_cells(spans: DataFrame) -> DataFrame:
     return merged(spans).select(*MASK, "row", F.explode(F.sequence("first", "last")).alias("col"))
 
 
+def dealt(spans: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as shuffles have; left to itself Spark puts them into few, by packed bytes that are a small part of what a sort holds."""
+    return spans.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *MASK, "row")
+
+
 def merged(spans: DataFrame) -> DataFrame:
-    """The normal form of spans that may overlap, touch or repeat; a span that ends before it begins holds nothing."""
+    """The normal form of spans that may overlap, touch or repeat; a span that ends before it begins holds nothing.
+
+    A run ends where the spans before the next run have reached, the last one where all have:
+    one sort, and nothing is gathered.
+    """
     order = W.partitionBy(*MASK, "row").orderBy("first", "last")
-    reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     real = spans.select(*MASK, "row", "first", "last").where("last >= first")
-    marked = real.withColumn("opens", F.when(reached >= F.col("first") - 1, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(*MASK, "row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    swept = dealt(real).withColumn("reached", F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("end", F.max("last").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    opened = swept.where(F.col("reached").isNull() | (F.col("reached") < F.col("first") - 1))
+    return opened.select(*MASK, "row", "first", F.coalesce(F.lead("reached").over(order), "end").alias("last"))
 
 
 def combined(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
@@ -54,11 +61,13 @@ def combined(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
         for at, sign in ((F.col("first"), 1), (F.col("last") + 1, -1)):
             part = real.select(*MASK, "row", at.alias("at"), F.lit(sign * da).alias("da"), F.lit(sign * db).alias("db"))
             ends = part if ends is None else ends.unionByName(part)
-    steps = ends.groupBy(*MASK, "row", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    steps = dealt(ends).groupBy(*MASK, "row", "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     order = W.partitionBy(*MASK, "row").orderBy("at")
     depth = lambda c: F.sum(c).over(order.rowsBetween(W.unboundedPreceding, 0)) > 0
-    between = steps.select(*MASK, "row", F.col("at").alias("first"), (F.lead("at").over(order) - 1).alias("last"), depth("da").alias("in_a"), depth("db").alias("in_b"))
-    return merged(between.where(F.col("last").isNotNull() & keep))
+    states = steps.select(*MASK, "row", "at", depth("da").alias("in_a"), depth("db").alias("in_b")).select(*MASK, "row", "at", keep.alias("kept"))
+    # of the places where ``keep`` changes every second begins a span, and the next ends it
+    turns = states.withColumn("was", F.lag("kept", 1, False).over(order)).where("kept <> was")
+    return turns.select(*MASK, "row", F.col("at").alias("first"), (F.lead("at").over(order) - 1).alias("last"), "kept").where("kept").drop("kept")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

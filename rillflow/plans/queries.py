@@ -550,7 +550,7 @@ def _runs(cells: str) -> str:
 SELECT 'union' AS op, * FROM {_runs("u")} UNION ALL SELECT 'intersection', * FROM {_runs("i")} UNION ALL SELECT 'difference', * FROM {_runs("d")}""")
 def mask_sets(spark, sf_dir):
     """Union, intersection and difference of masks as row spans; grids that lie over one another stay apart."""
-    a, b = _masks(spark, sf_dir)
+    a, b = (settled(mask) for mask in _masks(spark, sf_dir))
     made = {"union": spans.union(a, b), "intersection": spans.intersection(a, b), "difference": spans.difference(a, b)}
     named = [df.select(F.lit(op).alias("op"), "grid_id", "site", "row", "first", "last") for op, df in made.items()]
     return named[0].unionByName(named[1]).unionByName(named[2])
