@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.projection import Grid
+from ..session import shuffled
 from . import spans
 from .quantiles import quantiles
 
@@ -27,7 +28,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, key: str = "point_id") -> Dat
     fr, fc = F.col("row") - F.floor("row"), F.col("col") - F.floor("col")
     corners = F.array(*(F.struct((F.floor("row") + a).alias("prow"), (F.floor("col") + b).alias("pcol"), ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")) for a in (0, 1) for b in (0, 1)))
     wanted = base.select(key, "outside", F.explode(corners).alias("k")).where("k.w > 0 or outside").select(key, "outside", "k.prow", "k.pcol", "k.w")
-    met = wanted.join(pixels.select(F.col("prow").cast("long").alias("prow"), F.col("pcol").cast("long").alias("pcol"), "z"), ["prow", "pcol"], "left")
+    met = wanted.join(shuffled(pixels.select(F.col("prow").cast("long").alias("prow"), F.col("pcol").cast("long").alias("pcol"), "z")), ["prow", "pcol"], "left")
     hole = F.sum(F.when(F.col("z").isNull() | F.isnan("z"), F.col("w")).otherwise(0.0))
     value = F.when(~F.max("outside") & (hole <= 1e-6), F.sum(F.col("w") * F.coalesce("z", F.lit(0.0))))
     return met.groupBy(key).agg(value.alias("height"))
@@ -36,7 +37,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, key: str = "point_id") -> Dat
 def nearest(points: DataFrame, pixels: DataFrame, key: str = "point_id") -> DataFrame:
     """(key, z) of the pixel nearest to each fractional place; ties go to the even index."""
     near = points.select(key, F.rint("prow").cast("long").alias("prow"), F.rint("pcol").cast("long").alias("pcol"))
-    return near.join(pixels.select(F.col("prow").cast("long").alias("prow"), F.col("pcol").cast("long").alias("pcol"), "z"), ["prow", "pcol"], "left").select(key, "z")
+    return near.join(shuffled(pixels.select(F.col("prow").cast("long").alias("prow"), F.col("pcol").cast("long").alias("pcol"), "z")), ["prow", "pcol"], "left").select(key, "z")
 
 
 def class_majority(lattice: DataFrame, land: DataFrame, grid: Grid, land_grid: Grid, classes: Sequence[int], share: float = 0.5) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import AnalysisError
 from ..functions.projection import Grid
 from ..operators import focal, graph, rasters, siting
-from ..session import settled
+from ..session import settled, shuffled
 
 KEY = ["grid_id", "cell"]
 GEOMETRY = ["grid_id", "resolution_m", "n_rows", "n_cols", "x0", "y0"]
@@ -98,14 +98,14 @@ def route(surface: DataFrame, base: Grid, grids: Sequence[Spacing], fill: bool =
     lattice = settled(sample(surface, base, grids, decimals))
     if fill:
         raised = graph.fill_depressions(lattice).select("grid_id", "row", "col", "filled")
-        lattice = lattice.select("grid_id", "row", "col").join(raised, ["grid_id", "row", "col"], "left").withColumnRenamed("filled", "z")
+        lattice = lattice.select("grid_id", "row", "col").join(shuffled(raised), ["grid_id", "row", "col"], "left").withColumnRenamed("filled", "z")
     wide = with_geometry(lattice, grids)
     flow = focal.steepest_descent(wide, F.col("n_cols"), F.col("resolution_m")).select("grid_id", "row", "col", "cell", "z", "receiver")
     flow = settled(with_geometry(flow, grids).withColumn("own_m2", of_columns(base).cell_area(F.col("row"))))
     toured = graph.tour(flow, F.col("n_cols"))
     areas = graph.accumulate(flow, "own_m2").select(*KEY, F.col("accumulation").alias("area_m2"))
     counts = toured.select(*KEY, F.col("size").cast("double").alias("accumulation"))
-    return Routed(base, list(grids), settled(flow.drop("own_m2").join(counts, KEY).join(areas, KEY)), toured)
+    return Routed(base, list(grids), settled(flow.drop("own_m2").join(shuffled(counts), KEY).join(shuffled(areas), KEY)), toured)
 
 
 def delineate(routed: Routed, points: DataFrame, radius_m: float | None = None) -> DataFrame:
@@ -117,7 +117,8 @@ def delineate(routed: Routed, points: DataFrame, radius_m: float | None = None)
     at = on_each(points.select("point_id", "lon", "lat"), routed.grids)
     at = at.withColumn("row", g.row(g.frame.y(F.col("lat")))).withColumn("col", g.col(g.frame.x(F.col("lon"))))
     snapped = siting.snap(routed.cells, at, g, radius_m)
-    return snapped.join(routed.cells.select("grid_id", "row", "col", F.col("cell").alias("outlet"), "area_m2"), ["grid_id", "row", "col"]).select("point_id", "grid_id", "outlet", "accumulation", "area_m2", "moved_m")
+    own = routed.cells.select("grid_id", "row", "col", F.col("cell").alias("outlet"), "area_m2")
+    return snapped.join(shuffled(own), ["grid_id", "row", "col"]).select("point_id", "grid_id", "outlet", "accumulation", "area_m2", "moved_m")
 
 
 def members(routed: Routed, delineated: DataFrame) -> DataFrame:
@@ -129,4 +130,4 @@ def summarise(delineated: DataFrame) -> DataFrame:
     """(point_id, n_grids, area_m2, mean_m2, std_m2, cv, confidence): the first grid's area, and how far the grids agree."""
     spread = siting.ensemble(delineated)
     first = delineated.groupBy("point_id").agg(F.count("*").alias("n_grids"), F.min(F.struct("grid_id", "area_m2")).alias("first"))
-    return spread.join(first.select("point_id", "n_grids", F.col("first.area_m2").alias("area_m2")), "point_id")
+    return spread.join(shuffled(first.select("point_id", "n_grids", F.col("first.area_m2").alias("area_m2"))), "point_id")

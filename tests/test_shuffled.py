@@ -55,3 +55,20 @@ def test_points_meet_no_list_of_cells_around_them(spark):
             want[g, i] = (y, x, -a, round(((y - r) ** 2 + (x - c) ** 2) ** 0.5 * (20.0 if g else 10.0), 6))
     got = [((r.grid_id, r.point_id), (r.row, r.col, r.accumulation, round(r.moved_m, 6))) for r in found.collect()]
     assert dict(got) == want and len(got) == len(want) > 40
+
+
+def test_an_ensemble_sends_no_cells_through_the_driver(spark, monkeypatch):
+    from rillflow.functions.projection import Grid, LocalFrame
+    from rillflow.plans import ensemble
+
+    plans, kept = [], ensemble.settled
+    monkeypatch.setattr(ensemble, "settled", lambda df: (plans.append(planned(df)), kept(df))[1])
+    base = Grid(LocalFrame(8.3, 46.25), 10.0, 6)
+    surface = spark.range(60).select(F.expr("cast(id div 6 as int)").alias("row"), F.expr("cast(id % 6 as int)").alias("col"), (F.col("id") * 7 % 60).cast("double").alias("z"))
+    routed = ensemble.route(surface, base, ensemble.spacings(base, 10, (10.0, 15.0)), fill=False)
+    points = spark.range(3).select(F.col("id").alias("point_id"), base.lon(F.col("id")).alias("lon"), base.lat(F.col("id") * 2).alias("lat"))
+    found = ensemble.delineate(routed, points, 20.0)
+    plans += [planned(found), planned(ensemble.summarise(found))]
+    # the only thing broadcast is one row: the extent of the surface
+    assert len(plans) == 5 and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert found.count() == 6
