@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -226,44 +226,77 @@ def patches(cells: DataFrame, n_cols: int, diagonal: bool = False) -> DataFrame:
     return cells.join(shuffled(roots.select("grid_id", F.col("node").alias("cell"), "root")), KEY, "left").select("grid_id", "row", "col", "cell", F.coalesce("root", "cell").alias("patch"))
 
 
-def _relax(tile: pd.DataFrame, epsilon: float) -> pd.DataFrame:
-    """Least flood level inside one tile, given what its own cells and the rim around it have reached so far."""
-    rows, cols = tile["row"].to_numpy(), tile["col"].to_numpy()
-    r0, c0 = rows.min() - 1, cols.min() - 1
-    shape = (rows.max() - r0 + 2, cols.max() - c0 + 2)
-    width = shape[1]
-    place = (rows - r0) * width + cols - c0
-    ground, level = np.full(shape[0] * width, np.inf), np.full(shape[0] * width, np.inf)
-    ground[place], level[place] = tile["z"], tile["level"]
-    fixed = np.ones(len(ground), bool)
-    fixed[place] = tile["rim"]
-    z, f, fixed = ground.tolist(), level.tolist(), fixed.tolist()
-    steps = (-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1)
-    heap = [(f[p], p) for p in place.tolist() if f[p] < math.inf]
-    heapq.heapify(heap)
-    while heap:
-        here, p = heapq.heappop(heap)
-        if here > f[p]:
-            continue
-        floor = here + epsilon
-        for s in steps:
-            n = p + s
-            if fixed[n]:
+#: Steps (row, col) to the cells around one.
+_AROUND = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
+
+
+def _relax(tiles: pd.DataFrame, epsilon: float, tile: int) -> pd.DataFrame:
+    """Least flood levels inside whole tiles, given what their own cells and the rims around them have reached so far.
+
+    ``tiles`` are numbered by ``_tile``. Tiles have no neighbours in common, so one heap
+    serves all; it begins with the cells that can lower one beside them.
+    """
+    n, wide = len(tiles), tile + 4
+    number, rows, cols = (tiles[c].to_numpy().astype(np.int64) for c in ("_tile", "row", "col"))
+    place = (number * wide + rows - tiles["t_row"].to_numpy() * tile + 2) * wide + cols - tiles["t_col"].to_numpy() * tile + 2
+    order = np.argsort(place, kind="stable")
+    known = place[order]
+    # one more cell, which nothing lowers, stands where there is none
+    ground, level, fixed = np.append(tiles["z"].to_numpy(), np.inf), np.append(tiles["level"].to_numpy(), np.inf), np.append(tiles["rim"].to_numpy().astype(bool), True)
+    near, starts = np.full((n, 8), n), np.zeros(n, bool)
+    for k, (a, b) in enumerate(_AROUND):
+        at = np.minimum(np.searchsorted(known, place + a * wide + b), n - 1)
+        there = known[at] == place + a * wide + b
+        near[there, k] = order[at[there]]
+        other = near[:, k]
+        starts |= ~fixed[other] & (np.maximum(ground[other], level[:n] + epsilon) < level[other])
+    f = level.tolist()
+    heap = [(f[p], p) for p in np.flatnonzero(starts).tolist()]
+    if heap:
+        heapq.heapify(heap)
+        z, held, beside = ground.tolist(), fixed.tolist(), near.tolist()
+        while heap:
+            here, p = heapq.heappop(heap)
+            if here > f[p]:
                 continue
-            new = z[n] if z[n] > floor else floor
-            if new < f[n]:
-                f[n] = new
-                heapq.heappush(heap, (new, n))
-    tile = tile.assign(new=np.array(f)[place])
-    own = tile[~tile["rim"]]
+            floor = here + epsilon
+            for q in beside[p]:
+                if held[q]:
+                    continue
+                new = z[q] if z[q] > floor else floor
+                if new < f[q]:
+                    f[q] = new
+                    heapq.heappush(heap, (new, q))
+    tiles = tiles.assign(new=np.array(f[:n]))
+    own = tiles[~tiles["rim"]]
     return own.assign(changed=own["new"] < own["level"])[["grid_id", "row", "col", "z", "new", "changed"]]
 
 
+def _whole_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by tile, cut where tiles end, with the tiles of each numbered from 0."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        both = pd.concat([*rest, batch], ignore_index=True) if rest else batch.reset_index(drop=True)
+        keys = [pd.factorize(both["grid_id"])[0], both["t_row"].to_numpy(), both["t_col"].to_numpy()]
+        new = np.zeros(len(both), np.int64)
+        for key in keys:
+            new[1:] |= key[1:] != key[:-1]
+        number = np.cumsum(new)
+        last = int(np.searchsorted(number, number[-1]))
+        rest = [both.iloc[last:]]
+        if last:
+            yield both.iloc[:last].assign(_tile=number[:last]).reset_index(drop=True)
+    if rest:
+        yield rest[0].assign(_tile=0).reset_index(drop=True)
+
+
 def flood(cells: DataFrame, epsilon: float, tile: int = 128) -> DataFrame:
     """(grid_id, row, col, z, level): the least fixpoint of level = max(z, epsilon + lowest level around).
 
     ``cells`` has z and ``seed``; a seed's level is its own z. Each round floods every tile
-    to its own fixpoint with a heap and then hands the rims to the tiles around, until no
+    to its own fixpoint with a heap for a batch of tiles and then hands the rims to the tiles around, until no
     tile changes. Rounds grow with the number of tiles that a flood path crosses.
     """
     start = F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")))
@@ -271,8 +304,9 @@ def flood(cells: DataFrame, epsilon: float, tile: int = 128) -> DataFrame:
     part, place = "grid_id int, row int, col int, z double, new double, changed boolean", ["t_row", "t_col"]
     grid_type = cells.schema["grid_id"].dataType.simpleString()
 
-    def run(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _relax(pdf, epsilon)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tiles in _whole_tiles(batches):
+            yield _relax(tiles, epsilon, tile)
 
     while True:
         t_row, t_col = F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)
@@ -280,7 +314,8 @@ def flood(cells: DataFrame, epsilon: float, tile: int = 128) -> DataFrame:
             F.flatten(F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda a: F.transform(F.array(*(F.lit(d) for d in (-1, 0, 1))), lambda b: F.struct(F.floor((F.col("row") + a) / tile).alias("t_row"), F.floor((F.col("col") + b) / tile).alias("t_col")))))
         )
         dealt = state.withColumn("t", F.explode(tiles)).select("grid_id", "row", "col", "z", "level", F.col("t.t_row").alias("t_row"), F.col("t.t_col").alias("t_col"), ((F.col("t.t_row") != t_row) | (F.col("t.t_col") != t_col)).alias("rim"))
-        made = settled(dealt.groupBy("grid_id", *place).applyInPandas(run, part.replace("grid_id int", f"grid_id {grid_type}")))
+        # many tiles to a batch: masks of a few cells are far too many for a call each
+        made = settled(dealt.repartition("grid_id", *place).sortWithinPartitions("grid_id", *place).mapInPandas(run, part.replace("grid_id int", f"grid_id {grid_type}")))
         discard(last)
         last, state = made, made.select("grid_id", "row", "col", "z", F.col("new").alias("level"))
         if not made.where("changed").limit(1).count():

@@ -10,6 +10,7 @@ from ..config import settings
 from ..errors import AnalysisError
 from ..functions import scalars
 from ..functions.projection import Grid
+from ..session import shuffled
 from . import graph
 from .focal import with_neighbours
 
@@ -74,14 +75,14 @@ def wet_levels(members: DataFrame, filled: DataFrame, grid: Grid) -> DataFrame:
     is the filled level at the outlet.
     """
     ground = filled.withColumn("cell", grid.cell(F.col("row"), F.col("col")))
-    own = members.select("grid_id", "outlet", "cell").join(ground, ["grid_id", "cell"])
+    own = members.select("grid_id", "outlet", "cell").join(shuffled(ground), ["grid_id", "cell"])
     datum = ground.select("grid_id", F.col("cell").alias("outlet"), F.col("filled").alias("datum"))
     # the masks of different outlets are flooded side by side, as grids of their own
     apart = own.select(F.struct("grid_id", "outlet").alias("pair"), "row", "col", "z", (F.col("cell") == F.col("outlet")).alias("seed"))
     apart = apart.withColumn("grid_id", F.concat_ws(":", "pair.grid_id", "pair.outlet"))
     reached = graph.flood(apart.select("grid_id", "row", "col", "z", "seed"), 0.0)
     names = apart.select("grid_id", "pair").distinct()
-    return reached.join(names, "grid_id").select("pair.grid_id", "pair.outlet", "row", "col", "z", "level").join(datum, ["grid_id", "outlet"])
+    return reached.join(shuffled(names), "grid_id").select("pair.grid_id", "pair.outlet", "row", "col", "z", "level").join(shuffled(datum), ["grid_id", "outlet"])
 
 
 def stage_storage(members: DataFrame, filled: DataFrame, grid: Grid, target_depth_m: float | None = None) -> DataFrame:
