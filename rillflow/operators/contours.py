@@ -17,7 +17,7 @@ from ..errors import AnalysisError
 from ..functions import geometry
 from ..functions.projection import Grid
 from ..functions.scalars import round_interval
-from ..session import settled
+from ..session import settled, shuffled
 from . import graph
 from .focal import along_col, along_row
 
@@ -94,7 +94,7 @@ def level_lines(segments: DataFrame) -> DataFrame:
     ends = segments.select("grid_id", "level", joint("id_b").alias("cell"), F.lit(None).cast("long").alias("receiver"), F.col("bx").alias("x"), F.col("by").alias("y"))
     # most ends are starts too; which of the two rows is kept does not matter but for the receiver
     joints = settled(starts.unionByName(ends).groupBy("grid_id", "cell").agg(F.max("receiver").alias("receiver"), F.first("level").alias("level"), F.first("x").alias("x"), F.first("y").alias("y")))
-    ordered = graph.chains(joints.select("grid_id", "cell", "receiver")).join(joints.drop("receiver"), ["grid_id", "cell"])
+    ordered = graph.chains(joints.select("grid_id", "cell", "receiver")).join(shuffled(joints.drop("receiver")), ["grid_id", "cell"])
     point = F.struct("step", F.struct("x", "y").alias("p"))
     lines = ordered.groupBy("grid_id", "level", "chain").agg(F.transform(F.array_sort(F.collect_list(point)), lambda q: q["p"]).alias("points"), F.first("closed").alias("closed"))
     points = F.when(F.col("closed"), F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
@@ -134,7 +134,7 @@ def boundary(members: DataFrame) -> DataFrame:
     sides = members.select("grid_id", "site", "row", "col").withColumn("k", F.explode(kind))
     beyond = members.select("grid_id", "site", F.col("row").alias("n_row"), F.col("col").alias("n_col"))
     faced = sides.withColumn("n_row", F.col("row") + F.col("k.dr")).withColumn("n_col", F.col("col") + F.col("k.dc"))
-    out = faced.join(beyond, ["grid_id", "site", "n_row", "n_col"], "left_anti")
+    out = faced.join(shuffled(beyond), ["grid_id", "site", "n_row", "n_col"], "left_anti")
     return out.select("grid_id", "site", "row", "col", *((F.col(c) + F.col(f"k.{k}")).alias(n) for n, c, k in (("r0", "row", "ar"), ("c0", "col", "ac"), ("r1", "row", "zr"), ("c1", "col", "zc"))))
 
 
@@ -143,7 +143,7 @@ def _next_sides(sides: DataFrame) -> DataFrame:
     turn = lambda a: (F.col(f"{a}_r1") - F.col(f"{a}_r0"), F.col(f"{a}_c1") - F.col(f"{a}_c0"))
     a = sides.select("grid_id", "site", *(F.col(c).alias(f"a_{c}") for c in ("side", "r0", "c0", "r1", "c1")))
     b = sides.select("grid_id", "site", *(F.col(c).alias(f"b_{c}") for c in ("side", "r0", "c0", "r1", "c1")))
-    met = a.join(b.withColumn("a_r1", F.col("b_r0")).withColumn("a_c1", F.col("b_c0")), ["grid_id", "site", "a_r1", "a_c1"])
+    met = a.join(shuffled(b.withColumn("a_r1", F.col("b_r0")).withColumn("a_c1", F.col("b_c0"))), ["grid_id", "site", "a_r1", "a_c1"])
     (ar, ac), (br, bc) = turn("a"), turn("b")
     left = ac * br - ar * bc  # 1 to the left, 0 straight on, -1 to the right
     order = W.partitionBy("grid_id", "site", "a_side").orderBy(left.desc())
@@ -161,7 +161,7 @@ def rings(members: DataFrame, n_cols: int) -> DataFrame:
     follow = _next_sides(sides)
     whose = F.struct("grid_id", "site")
     ordered = graph.chains(follow.select(whose.alias("grid_id"), F.col("side").alias("cell"), F.col("follows").alias("receiver")))
-    placed = sides.join(ordered.select("grid_id.grid_id", "grid_id.site", F.col("cell").alias("side"), F.col("chain").alias("ring"), "step"), ["grid_id", "site", "side"])
+    placed = sides.join(shuffled(ordered.select("grid_id.grid_id", "grid_id.site", F.col("cell").alias("side"), F.col("chain").alias("ring"), "step")), ["grid_id", "site", "side"])
     point = F.struct("step", F.struct(F.col("c0").cast("double").alias("x"), F.col("r0").cast("double").alias("y")).alias("p"))
     lines = placed.groupBy("grid_id", "site", "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda q: q["p"]).alias("points"))
     closed = lines.select("grid_id", "site", "ring", F.concat("points", F.slice("points", 1, 1)).alias("points"))
@@ -184,8 +184,8 @@ def hole_owners(ringed: DataFrame) -> DataFrame:
     seen = upright.withColumn("west", west).where("hole").groupBy(*mask, "ring").agg(F.min_by("west", F.struct("row", "x")).alias("receiver"))
     whose = F.struct(*mask).alias("grid_id")
     met = settled(seen.select(whose, F.col("ring").alias("cell"), "receiver"))
-    exteriors = met.join(met.select("grid_id", F.col("cell").alias("receiver")), ["grid_id", "receiver"], "left_anti").select("grid_id", F.col("receiver").alias("cell"), F.lit(None).cast("long").alias("receiver")).distinct()
-    led = graph.drain(met.unionByName(exteriors)).join(met.select("grid_id", "cell"), ["grid_id", "cell"], "left_semi")
+    exteriors = met.join(shuffled(met.select("grid_id", F.col("cell").alias("receiver"))), ["grid_id", "receiver"], "left_anti").select("grid_id", F.col("receiver").alias("cell"), F.lit(None).cast("long").alias("receiver")).distinct()
+    led = graph.drain(met.unionByName(exteriors)).join(shuffled(met.select("grid_id", "cell")), ["grid_id", "cell"], "left_semi")
     return led.select("grid_id.grid_id", "grid_id.site", F.col("cell").alias("ring"), F.col("root").alias("owner"))
 
 
@@ -200,10 +200,10 @@ def within_budget(ringed: DataFrame, tolerance: float, most: int, doublings: int
         heavy = todo.groupBy(*mask).agg(F.sum(F.size("thin")).alias("_n")).where(F.col("_n") > most).select(*mask)
         if k > doublings or not heavy.limit(1).count():
             break
-        light = todo.join(heavy, mask, "left_anti")
+        light = todo.join(shuffled(heavy), mask, "left_anti")
         done = light if done is None else done.unionByName(light)
-        todo = settled(todo.join(heavy, mask, "left_semi").withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(tolerance * 2**k))))
-    last = todo.join(heavy.withColumn("over", F.lit(True)), mask, "left").withColumn("over", F.coalesce("over", F.lit(False)))
+        todo = settled(todo.join(shuffled(heavy), mask, "left_semi").withColumn("thin", geometry.thin_ring(F.col("points"), F.lit(tolerance * 2**k))))
+    last = todo.join(shuffled(heavy.withColumn("over", F.lit(True))), mask, "left").withColumn("over", F.coalesce("over", F.lit(False)))
     return last if done is None else last.unionByName(done.withColumn("over", F.lit(False)))
 
 
@@ -220,8 +220,8 @@ def mask_geojson(members: DataFrame, grid: Grid) -> DataFrame:
 
     placed = thinned.select("grid_id", "site", "ring", "area2", "over", F.transform("thin", degrees).alias("path"))
     owners = hole_owners(ringed)
-    holes = placed.join(owners, ["grid_id", "site", "ring"]).groupBy("grid_id", "site", F.col("owner").alias("ring")).agg(F.array_sort(F.collect_list("path")).alias("holes"))
-    outer = placed.where("area2 > 0").join(holes, ["grid_id", "site", "ring"], "left")
+    holes = placed.join(shuffled(owners), ["grid_id", "site", "ring"]).groupBy("grid_id", "site", F.col("owner").alias("ring")).agg(F.array_sort(F.collect_list("path")).alias("holes"))
+    outer = placed.where("area2 > 0").join(shuffled(holes), ["grid_id", "site", "ring"], "left")
     polygon = F.concat(F.array("path"), F.coalesce("holes", F.array().cast("array<array<array<double>>>")))
     whole = outer.groupBy("grid_id", "site").agg(F.sort_array(F.collect_list(F.struct((-F.col("area2")).alias("order"), polygon.alias("polygon")))).alias("p"), F.max("over").alias("over"))
     polygons = F.transform("p", lambda x: x["polygon"])

@@ -691,7 +691,7 @@ def contour_lengths(spark, sf_dir):
 @query()
 def mask_polygons(spark, sf_dir):
     flow, outlets = _outlets(spark, sf_dir)
-    members = graph.upstream(flow, outlets).join(flow.select("grid_id", "cell", "row", "col"), ["grid_id", "cell"])
+    members = graph.upstream(flow, outlets).join(shuffled(flow.select("grid_id", "cell", "row", "col")), ["grid_id", "cell"])
     return contours.mask_geojson(members.select("grid_id", F.col("outlet").alias("site"), "row", "col"), GRID).drop("grid_id", "over")
 
 
